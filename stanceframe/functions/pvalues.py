@@ -19,6 +19,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 _lgamma = np.vectorize(math.lgamma, otypes=[float])
 _erfc = np.vectorize(math.erfc, otypes=[float])
@@ -103,7 +104,7 @@ def normal_two_sided(z: np.ndarray) -> np.ndarray:
     return np.minimum(out, 1.0)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def _p_from_r_udf(r: pd.Series, n: pd.Series) -> pd.Series:
     rv = r.astype("float64").to_numpy(na_value=np.nan)
     nv = n.astype("float64").to_numpy(na_value=np.nan)
@@ -111,7 +112,7 @@ def _p_from_r_udf(r: pd.Series, n: pd.Series) -> pd.Series:
     return pd.Series(res).where(~np.isnan(res), None)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def _p_from_z_udf(z: pd.Series) -> pd.Series:
     zv = z.astype("float64").to_numpy(na_value=np.nan)
     res = normal_two_sided(zv)

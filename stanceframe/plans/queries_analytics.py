@@ -61,3 +61,114 @@ def q_question_quality(spark, sf_dir):
 def q_question_entropy(spark, sf_dir):
     """AGG-7/8: entropy and effective categories for every question with n >= 2."""
     return QL.question_entropy(load_cells(spark, sf_dir), min_n=2)
+
+
+# --- question pairs: STAT-6/7/8, AGG-10/11 ----------------------------------------
+
+from stanceframe.operators import pairs as PR  # noqa: E402
+from stanceframe.plans.sqlfun import sql_p_from_r, sql_p_from_z  # noqa: E402,F401
+
+
+def pairs_cte(min_n: int = MIN_N) -> str:
+    return f"""
+, qn AS (SELECT model, question FROM cells GROUP BY model, question HAVING count(*) >= {min_n}),
+  kept AS (SELECT c.* FROM cells c SEMI JOIN qn ON c.model = qn.model AND c.question = qn.question),
+  pc AS (SELECT a.model, a.question AS question_1, b.question AS question_2, a.score AS v1, b.score AS v2, count(*) AS c
+         FROM kept a JOIN kept b ON a.model = b.model AND a.respondent = b.respondent AND a.question < b.question
+         GROUP BY ALL),
+  pw AS (SELECT *, sum(c) OVER wp AS n,
+                sum(c * v1) OVER wp / sum(c) OVER wp AS m1, sum(c * v2) OVER wp / sum(c) OVER wp AS m2,
+                sum(c) OVER (PARTITION BY model, question_1, question_2, v1) AS eq1,
+                sum(c) OVER (PARTITION BY model, question_1, question_2, v2) AS eq2,
+                sum(c) OVER (PARTITION BY model, question_1, question_2 ORDER BY v1
+                             RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS le1,
+                sum(c) OVER (PARTITION BY model, question_1, question_2 ORDER BY v2
+                             RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS le2
+         FROM pc WINDOW wp AS (PARTITION BY model, question_1, question_2)),
+  pr AS (SELECT *, le1 - eq1 + (eq1 + 1) / 2.0 AS r1, le2 - eq2 + (eq2 + 1) / 2.0 AS r2, (n + 1) / 2.0 AS mr FROM pw),
+  pm AS (SELECT model, question_1, question_2, any_value(n) AS n,
+                sum(c * (v1 - m1) * (v1 - m1)) AS sxx, sum(c * (v2 - m2) * (v2 - m2)) AS syy,
+                sum(c * (v1 - m1) * (v2 - m2)) AS sxy,
+                sum(c * (r1 - mr) * (r1 - mr)) AS rxx, sum(c * (r2 - mr) * (r2 - mr)) AS ryy,
+                sum(c * (r1 - mr) * (r2 - mr)) AS rxy
+         FROM pr GROUP BY model, question_1, question_2),
+  pco AS (SELECT model, question_1, question_2, CAST(n AS BIGINT) AS n_samples,
+                 CASE WHEN sxx > 0 AND syy > 0 THEN greatest(-1.0, least(1.0, sxy / sqrt(sxx * syy))) END AS pearson_r,
+                 CASE WHEN rxx > 0 AND ryy > 0 THEN greatest(-1.0, least(1.0, rxy / sqrt(rxx * ryy))) END AS spearman_r
+          FROM pm),
+  corr AS (SELECT *, {sql_p_from_r('pearson_r', 'n_samples')} AS pearson_p,
+                  {sql_p_from_r('spearman_r', 'n_samples')} AS spearman_p,
+                  abs(pearson_r) AS abs_pearson_r, abs(spearman_r) AS abs_spearman_r
+           FROM pco WHERE n_samples >= {min_n}),
+  diag AS (SELECT model, question AS question_1, question AS question_2, CAST(count(*) AS BIGINT) AS n_samples, 1.0 AS r
+           FROM cells GROUP BY model, question HAVING count(*) >= {min_n} AND max(score) > min(score)),
+  cmat AS (SELECT model, question_1, question_2, n_samples, pearson_r AS r FROM pco
+           WHERE n_samples >= {min_n} AND pearson_r IS NOT NULL
+           UNION ALL SELECT * FROM diag)
+"""
+
+
+def pair_stats(spark, sf_dir, min_n=MIN_N):
+    return PR.pairwise_correlations(load_cells(spark, sf_dir), min_n)
+
+
+@register("pairwise_pearson",
+          pairs_cte() + "SELECT model, question_1, question_2, n_samples, pearson_r, pearson_p, abs_pearson_r FROM corr",
+          ("pearson_r", "pearson_p", "abs_pearson_r"))
+def q_pairwise_pearson(spark, sf_dir):
+    """STAT-6: Pearson r and p for every question pair co-answered by >= 30 respondents."""
+    return PR.pairwise_pearson(load_cells(spark, sf_dir), MIN_N)
+
+
+@register("pairwise_spearman",
+          pairs_cte() + "SELECT model, question_1, question_2, n_samples, spearman_r, spearman_p, abs_spearman_r FROM corr",
+          ("spearman_r", "spearman_p", "abs_spearman_r"))
+def q_pairwise_spearman(spark, sf_dir):
+    """STAT-7: Spearman r (midranks within each pair's co-answered rows) and p."""
+    return PR.pairwise_spearman(load_cells(spark, sf_dir), MIN_N)
+
+
+@register("correlation_matrix", pairs_cte() + "SELECT * FROM cmat", ("r",))
+def q_correlation_matrix(spark, sf_dir):
+    """STAT-8: sparse correlation matrix (upper triangle + diagonal), n >= 30."""
+    return PR.correlation_matrix(load_cells(spark, sf_dir), MIN_N)
+
+
+RELIABILITY_CTE = """
+, rr AS (SELECT model, pearson_r AS r, abs(pearson_r) AS abs_r FROM pco
+         WHERE n_samples >= {min_n} AND pearson_r IS NOT NULL),
+  rel AS (SELECT model, CAST(count(*) AS BIGINT) AS n_correlations, avg(abs_r) AS mean_abs_r,
+                 median(abs_r) AS median_abs_r, stddev_pop(r) AS std_r,
+                 100.0 * count_if(r > 0.5) / count(*) AS pct_strong_pos,
+                 100.0 * count_if(r < -0.5) / count(*) AS pct_strong_neg,
+                 100.0 * count_if(abs_r > 0.5) / count(*) AS pct_extreme
+          FROM rr GROUP BY model),
+  reliability AS (SELECT m.model, n_correlations, mean_abs_r, median_abs_r, std_r, pct_strong_pos, pct_strong_neg,
+                         pct_extreme, CASE WHEN std_r > 0 THEN mean_abs_r / std_r ELSE 0.0 END AS signal_to_noise
+                  FROM (SELECT DISTINCT model FROM cells) m LEFT JOIN rel USING (model))
+"""
+REL_DOUBLES = ("mean_abs_r", "median_abs_r", "std_r", "pct_strong_pos", "pct_strong_neg", "pct_extreme",
+               "signal_to_noise")
+
+
+@register("correlation_reliability", pairs_cte() + RELIABILITY_CTE.format(min_n=MIN_N) + "SELECT * FROM reliability",
+          REL_DOUBLES)
+def q_correlation_reliability(spark, sf_dir):
+    """AGG-10: reliability of each model's correlation structure."""
+    return PR.correlation_reliability(load_cells(spark, sf_dir), MIN_N)
+
+
+@register("correlation_summary", pairs_cte() + """
+SELECT model, CAST(count(*) AS BIGINT) AS n_correlations, CAST(count(pearson_r) AS BIGINT) AS n_with_data,
+       avg(n_samples) AS mean_sample_size, median(n_samples) AS median_sample_size,
+       avg(pearson_r) AS mean_pearson_r, stddev_samp(pearson_r) AS std_pearson_r,
+       avg(abs_pearson_r) AS mean_abs_pearson_r, avg(spearman_r) AS mean_spearman_r,
+       stddev_samp(spearman_r) AS std_spearman_r,
+       CAST(count_if(pearson_p < 0.001) AS BIGINT) AS sig_001, CAST(count_if(pearson_p < 0.01) AS BIGINT) AS sig_01,
+       CAST(count_if(pearson_p < 0.05) AS BIGINT) AS sig_05,
+       CAST(count_if(pearson_r > 0.5) AS BIGINT) AS strong_pos, CAST(count_if(pearson_r < -0.5) AS BIGINT) AS strong_neg
+FROM corr GROUP BY model""", ("mean_sample_size", "median_sample_size", "mean_pearson_r", "std_pearson_r",
+                              "mean_abs_pearson_r", "mean_spearman_r", "std_spearman_r"))
+def q_correlation_summary(spark, sf_dir):
+    """AGG-11: per-model summary of the pairwise correlation table."""
+    return PR.correlation_summary(load_cells(spark, sf_dir), MIN_N)

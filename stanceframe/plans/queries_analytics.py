@@ -172,3 +172,303 @@ FROM corr GROUP BY model""", ("mean_sample_size", "median_sample_size", "mean_pe
 def q_correlation_summary(spark, sf_dir):
     """AGG-11: per-model summary of the pairwise correlation table."""
     return PR.correlation_summary(load_cells(spark, sf_dir), MIN_N)
+
+
+# --- model roll-up, matrix views: AGG-1, AGG-2, AGG-9, JOIN-9 ---------------------
+
+from stanceframe.operators import compare as CP  # noqa: E402
+
+MQ_CTE = """
+, mqa AS (SELECT model, CAST(count(*) AS BIGINT) AS n_questions,
+                 CAST(count_if(NOT (is_zero_var OR is_low_var)) AS BIGINT) AS n_usable,
+                 100.0 * count_if(NOT (is_zero_var OR is_low_var)) / count(*) AS pct_usable,
+                 100.0 * count_if(is_zero_var) / count(*) AS pct_zero_var,
+                 100.0 * count_if(is_low_var) / count(*) AS pct_low_var,
+                 100.0 * count_if(is_zero_var OR is_low_var) / count(*) AS pct_problematic,
+                 avg(entropy) AS avg_entropy, avg(normalized_entropy) AS avg_normalized_entropy,
+                 avg(effective_categories) AS avg_effective_categories, avg(variance) AS avg_variance,
+                 avg(std) AS avg_std, avg(cv) AS avg_cv, avg(unique_values) AS avg_unique_values,
+                 avg(concentration) AS avg_concentration
+          FROM qq GROUP BY model),
+  mq AS (SELECT m.model, n_questions, n_usable, pct_usable, pct_zero_var, pct_low_var, pct_problematic,
+                avg_entropy, avg_normalized_entropy, avg_effective_categories, avg_variance, avg_std, avg_cv,
+                avg_unique_values, avg_concentration,
+                0.30 * (avg_normalized_entropy * 100) + 0.25 * least(avg_variance / 0.25 * 100, 100.0)
+                + 0.20 * least((avg_unique_values - 1) / 4 * 100, 100.0) + 0.25 * ((1 - avg_concentration) * 100)
+                  AS quality_score
+         FROM (SELECT DISTINCT model FROM cells) m LEFT JOIN mqa USING (model))
+"""
+MQ_DOUBLES = ("pct_usable", "pct_zero_var", "pct_low_var", "pct_problematic", "avg_entropy",
+              "avg_normalized_entropy", "avg_effective_categories", "avg_variance", "avg_std", "avg_cv",
+              "avg_unique_values", "avg_concentration", "quality_score")
+
+
+@register("model_quality", QQ_SQL.format(min_n=MIN_N) + MQ_CTE + "SELECT * FROM mq", MQ_DOUBLES)
+def q_model_quality(spark, sf_dir):
+    """AGG-9: per-model quality roll-up and composite score."""
+    return QL.model_quality(load_cells(spark, sf_dir), MIN_N)
+
+
+@register("missing_pct", """
+SELECT model, CAST(count(*) AS BIGINT) AS n_cells, CAST(count(DISTINCT respondent) AS BIGINT) AS n_respondents,
+       CAST(count(DISTINCT question) AS BIGINT) AS n_questions,
+       100.0 * (1.0 - count(*) / (count(DISTINCT respondent) * count(DISTINCT question))) AS missing_pct
+FROM cells GROUP BY model""", ("missing_pct",))
+def q_missing_pct(spark, sf_dir):
+    """AGG-2: share of the respondents x questions matrix that is missing."""
+    return C.missing_pct(load_cells(spark, sf_dir))
+
+
+@register("common_questions", """
+SELECT DISTINCT model, question FROM cells
+WHERE model <> 'human' AND question IN (SELECT question FROM cells WHERE model = 'human')""")
+def q_common_questions(spark, sf_dir):
+    """JOIN-9 / SET-3: questions present for both a model and the human reference."""
+    return C.common_questions(load_cells(spark, sf_dir))
+
+
+@register("response_matrix", """
+SELECT respondent, question, score FROM cells WHERE model = 'human'""", ("score",))
+def q_response_matrix(spark, sf_dir):
+    """AGG-1: wide human matrix (respondent x sorted questions), unpivoted back to check every cell."""
+    cells = load_cells(spark, sf_dir)
+    qs = [r.question for r in cells.where("model = 'human'").select("question").distinct().collect()]
+    wide = C.response_matrix(cells, model="human", questions=qs)
+    qcols = [c for c in wide.columns if c != "respondent"]
+    return wide.unpivot("respondent", qcols, "question", "score").where("score IS NOT NULL")
+
+
+# --- comparison with the reference: CMP-1..8, WIN-6 ------------------------------
+
+KL_CTE = """
+, kvc AS (SELECT model, question, score, count(*) AS c FROM cells GROUP BY ALL),
+  kref AS (SELECT question, score, c AS ch FROM kvc WHERE model = 'human'),
+  koth AS (SELECT * FROM kvc WHERE model <> 'human'),
+  kmq AS (SELECT DISTINCT model, question FROM koth),
+  kfull AS (SELECT model, question, score, sum(ch) AS ch, sum(cm) AS cm FROM (
+              SELECT q.model, q.question, r.score, r.ch, 0 AS cm FROM kmq q JOIN kref r ON q.question = r.question
+              UNION ALL
+              SELECT o.model, o.question, o.score, 0 AS ch, o.c AS cm FROM koth o
+              WHERE o.question IN (SELECT question FROM kref)) GROUP BY ALL),
+  kw AS (SELECT *, sum(ch) OVER w AS nh, sum(cm) OVER w AS nm, count(*) OVER w AS k
+         FROM kfull WINDOW w AS (PARTITION BY model, question)),
+  kp AS (SELECT *, (ch + 1e-10) / (nh + k * 1e-10) AS ph, (cm + 1e-10) / (nm + k * 1e-10) AS pm
+         FROM kw WHERE nh >= 10 AND nm >= 10),
+  klq AS (SELECT model, question, CAST(any_value(nh) AS BIGINT) AS n_reference, CAST(any_value(nm) AS BIGINT) AS n_model,
+                 CAST(count(*) AS BIGINT) AS support, sum(ph * ln(ph / pm)) AS kl_divergence,
+                 0.5 * sum(ph * ln(ph / ((ph + pm) / 2))) + 0.5 * sum(pm * ln(pm / ((ph + pm) / 2))) AS js_divergence
+          FROM kp GROUP BY model, question),
+  common AS (SELECT DISTINCT model, question FROM cells
+             WHERE model <> 'human' AND question IN (SELECT question FROM cells WHERE model = 'human')),
+  others AS (SELECT DISTINCT model FROM cells WHERE model <> 'human'),
+  klm AS (SELECT o.model, CAST(coalesce(nc.n_common, 0) AS BIGINT) AS n_common,
+                 CAST(coalesce(a.n_compared, 0) AS BIGINT) AS n_compared, a.avg_kl_divergence, a.avg_js_divergence
+          FROM others o
+          LEFT JOIN (SELECT model, count(*) AS n_common FROM common GROUP BY model) nc USING (model)
+          LEFT JOIN (SELECT model, count(*) AS n_compared, avg(kl_divergence) AS avg_kl_divergence,
+                            avg(js_divergence) AS avg_js_divergence FROM klq GROUP BY model) a USING (model))
+"""
+
+RV_CTE = """
+, ra AS (SELECT c.model, c.question_1, c.question_2, c.r AS a,
+                CASE WHEN c.question_1 = c.question_2 THEN 1.0 ELSE 2.0 END AS w
+         FROM cmat c
+         WHERE c.model <> 'human'
+           AND EXISTS (SELECT 1 FROM common x WHERE x.model = c.model AND x.question = c.question_1)
+           AND EXISTS (SELECT 1 FROM common x WHERE x.model = c.model AND x.question = c.question_2)),
+  rb AS (SELECT x.model, h.question_1, h.question_2, h.r AS b,
+                CASE WHEN h.question_1 = h.question_2 THEN 1.0 ELSE 2.0 END AS w
+         FROM cmat h JOIN common x ON x.question = h.question_1
+         WHERE h.model = 'human'
+           AND EXISTS (SELECT 1 FROM common y WHERE y.model = x.model AND y.question = h.question_2)),
+  rab AS (SELECT ra.model, sum(ra.w * a * b) AS tr_ab FROM ra JOIN rb USING (model, question_1, question_2)
+          GROUP BY ra.model),
+  raa AS (SELECT model, sum(w * a * a) AS tr_aa FROM ra GROUP BY model),
+  rbb AS (SELECT model, sum(w * b * b) AS tr_bb FROM rb GROUP BY model),
+  rnc AS (SELECT model, count(*) AS n_common FROM common GROUP BY model),
+  rv AS (SELECT o.model,
+                CASE WHEN coalesce(n_common, 0) >= 2 AND sqrt(coalesce(tr_aa, 0) * coalesce(tr_bb, 0)) > 0
+                     THEN coalesce(tr_ab, 0) / sqrt(coalesce(tr_aa, 0) * coalesce(tr_bb, 0)) END AS rv_coefficient
+         FROM others o LEFT JOIN rnc USING (model) LEFT JOIN rab USING (model)
+         LEFT JOIN raa USING (model) LEFT JOIN rbb USING (model))
+"""
+
+MANTEL_CTE = """
+, moff AS (SELECT * FROM cmat WHERE question_1 < question_2),
+  mc AS (SELECT a.model, a.question_1, a.question_2, a.r AS a, b.r AS b
+         FROM moff a JOIN moff b ON a.question_1 = b.question_1 AND a.question_2 = b.question_2 AND b.model = 'human'
+         WHERE a.model <> 'human'),
+  mb AS (SELECT *, count(*) OVER (PARTITION BY model) AS n,
+                a - avg(a) OVER (PARTITION BY model) AS ac, b - avg(b) OVER (PARTITION BY model) AS bc FROM mc),
+  mbase AS (SELECT * FROM mb WHERE n >= 10),
+  mstat AS (SELECT model, CAST(any_value(n) AS BIGINT) AS n_cells, sum(ac * bc) AS sab, sum(ac * ac) AS saa,
+                   sum(bc * bc) AS sbb, sum(ac * bc) / sqrt(sum(ac * ac) * sum(bc * bc)) AS mantel_r
+            FROM mbase GROUP BY model),
+  bpos AS (SELECT model, bc, row_number() OVER (PARTITION BY model ORDER BY question_1, question_2) AS pos FROM mbase),
+  reps AS (SELECT model, question_1, question_2, ac, unnest(range(0, {perms})) AS rep FROM mbase),
+  aperm AS (SELECT model, rep, ac,
+                   row_number() OVER (PARTITION BY model, rep
+                                      ORDER BY md5('{seed}:' || CAST(rep AS VARCHAR) || ':' || question_1 || chr(31) || question_2),
+                                               question_1, question_2) AS pos
+            FROM reps),
+  perm AS (SELECT a.model, a.rep, sum(a.ac * b.bc) AS sab_perm FROM aperm a JOIN bpos b ON a.model = b.model AND a.pos = b.pos
+           GROUP BY a.model, a.rep),
+  mhits AS (SELECT p.model, count_if(abs(p.sab_perm / sqrt(s.saa * s.sbb)) >= abs(s.mantel_r)) AS hits
+            FROM perm p JOIN mstat s USING (model) GROUP BY p.model),
+  mantel AS (SELECT o.model, n_cells, mantel_r,
+                    CASE WHEN mantel_r IS NOT NULL THEN coalesce(hits, 0) / {perms}.0 END AS mantel_p
+             FROM others o LEFT JOIN mstat USING (model) LEFT JOIN mhits USING (model)),
+  struct_sim AS (SELECT rv.model, rv.rv_coefficient, mantel.mantel_r AS mantel_corr, mantel.mantel_p
+                 FROM rv LEFT JOIN mantel USING (model))
+""".replace("{perms}", "1000").replace("{seed}", "42")
+
+QM_SELECT = """
+SELECT mq.*, reliability.* EXCLUDE (model), klm.* EXCLUDE (model), struct_sim.* EXCLUDE (model)
+FROM mq LEFT JOIN reliability USING (model) LEFT JOIN klm USING (model) LEFT JOIN struct_sim USING (model)"""
+
+ALL_CTE = (QQ_SQL.format(min_n=MIN_N) + MQ_CTE + pairs_cte() + RELIABILITY_CTE.format(min_n=MIN_N)
+           + KL_CTE + RV_CTE + MANTEL_CTE + ", qm AS (" + QM_SELECT + ")\n")
+QM_DOUBLES = MQ_DOUBLES + REL_DOUBLES + ("avg_kl_divergence", "avg_js_divergence", "rv_coefficient",
+                                         "mantel_corr", "mantel_p")
+
+
+@register("kl_js_by_question", KL_CTE + "SELECT * FROM klq", ("kl_divergence", "js_divergence"))
+def q_kl_js_by_question(spark, sf_dir):
+    """CMP-1: KL(human||model) and JS per common question with >= 10 answers each side."""
+    return CP.kl_js_by_question(load_cells(spark, sf_dir))
+
+
+@register("kl_js_by_model", KL_CTE + "SELECT * FROM klm", ("avg_kl_divergence", "avg_js_divergence"))
+def q_kl_js_by_model(spark, sf_dir):
+    """CMP-1: per-model averages of KL/JS with n_common and n_compared."""
+    return CP.kl_js_by_model(load_cells(spark, sf_dir))
+
+
+@register("rv_coefficient", pairs_cte() + KL_CTE + RV_CTE + "SELECT * FROM rv", ("rv_coefficient",))
+def q_rv_coefficient(spark, sf_dir):
+    """CMP-2: RV coefficient between each model's and the human correlation matrix."""
+    return CP.rv_coefficient(load_cells(spark, sf_dir))
+
+
+@register("mantel_test", pairs_cte() + KL_CTE + RV_CTE + MANTEL_CTE + "SELECT * FROM mantel",
+          ("mantel_r", "mantel_p"))
+def q_mantel_test(spark, sf_dir):
+    """CMP-3: Mantel r and 1000-permutation p (md5-ordered permutations, seed 42)."""
+    return CP.mantel_test(load_cells(spark, sf_dir))
+
+
+@register("structural_similarity", pairs_cte() + KL_CTE + RV_CTE + MANTEL_CTE + "SELECT * FROM struct_sim",
+          ("rv_coefficient", "mantel_corr", "mantel_p"))
+def q_structural_similarity(spark, sf_dir):
+    """CMP-4: RV, Mantel r and Mantel p per model."""
+    return CP.structural_similarity(load_cells(spark, sf_dir))
+
+
+@register("quality_metrics", ALL_CTE + "SELECT * FROM qm", QM_DOUBLES)
+def q_quality_metrics(spark, sf_dir):
+    """CMP-5: the per-model metrics table (quality, reliability, divergence, structure)."""
+    return CP.quality_metrics(load_cells(spark, sf_dir))
+
+
+def _metrics(spark, sf_dir):
+    return CP.quality_metrics(load_cells(spark, sf_dir))
+
+
+@register("all_models_table", ALL_CTE + """
+SELECT model, pct_usable, avg_entropy, avg_effective_categories, avg_concentration, avg_kl_divergence,
+       avg_js_divergence FROM qm""", ("pct_usable", "avg_entropy", "avg_effective_categories", "avg_concentration",
+                                     "avg_kl_divergence", "avg_js_divergence"))
+def q_all_models_table(spark, sf_dir):
+    """CMP-8: selected columns of the metrics table for every model."""
+    return CP.all_models_table(_metrics(spark, sf_dir))
+
+
+@register("model_rankings", ALL_CTE + """
+, lng AS (SELECT model, 'quality_score' AS metric, quality_score AS value FROM qm
+          UNION ALL SELECT model, 'pct_usable', pct_usable FROM qm
+          UNION ALL SELECT model, 'avg_entropy', avg_entropy FROM qm
+          UNION ALL SELECT model, 'avg_kl_divergence', avg_kl_divergence FROM qm
+                    WHERE model <> 'human' AND avg_kl_divergence IS NOT NULL)
+SELECT metric AS ranking,
+       CAST(row_number() OVER (PARTITION BY metric ORDER BY
+            CASE WHEN metric = 'avg_kl_divergence' THEN value ELSE -value END ASC NULLS LAST, model) AS BIGINT) AS rank,
+       model, value FROM lng""", ("value",))
+def q_model_rankings(spark, sf_dir):
+    """WIN-6: model rankings by quality, usable %, entropy (desc) and KL (asc)."""
+    return CP.model_rankings(_metrics(spark, sf_dir))
+
+
+FIND_SQL = """
+SELECT arg_min(model, prio * 1000000 + 0) AS model FROM (
+  SELECT model, CASE WHEN contains(lower(model), '{t}') THEN 0 {kw} END AS prio FROM (SELECT DISTINCT model FROM cells))
+WHERE prio IS NOT NULL"""
+
+
+def _find_sql(target, keywords):
+    kw = " ".join(f"WHEN contains(lower(model), '{k.lower()}') THEN {i + 1}" for i, k in enumerate(keywords))
+    return f"""
+SELECT model FROM (
+  SELECT model, row_number() OVER (ORDER BY prio, model) AS rn FROM (
+    SELECT model, CASE WHEN contains(lower(model), '{target.lower()}') THEN 0 {kw} END AS prio
+    FROM (SELECT DISTINCT model FROM cells)) WHERE prio IS NOT NULL) WHERE rn = 1"""
+
+
+BASE_FIND = ("base-model", ["m1", "m"])
+TUNED_FIND = ("finetuned", ["ft", "dpo", "m2"])
+
+
+@register("find_model", _find_sql(*TUNED_FIND))
+def q_find_model(spark, sf_dir):
+    """CMP-7: pick the tuned model by name target, then keywords in order."""
+    models = load_cells(spark, sf_dir).select("model").distinct()
+    return CP.find_model(models, *TUNED_FIND)
+
+
+def _roles_sql():
+    b = _find_sql(*BASE_FIND)
+    t = _find_sql(*TUNED_FIND)
+    return f""", base_m AS ({b}), tuned_m AS ({t}),
+  lng2 AS (SELECT model, 'pct_usable' AS metric, pct_usable AS value FROM qm
+           UNION ALL SELECT model, 'avg_entropy', avg_entropy FROM qm
+           UNION ALL SELECT model, 'avg_effective_categories', avg_effective_categories FROM qm
+           UNION ALL SELECT model, 'avg_concentration', avg_concentration FROM qm
+           UNION ALL SELECT model, 'avg_kl_divergence', avg_kl_divergence FROM qm
+           UNION ALL SELECT model, 'avg_js_divergence', avg_js_divergence FROM qm),
+  dirs AS (SELECT * FROM (VALUES ('pct_usable', false), ('avg_entropy', false), ('avg_effective_categories', false),
+                                 ('avg_concentration', true), ('avg_kl_divergence', true), ('avg_js_divergence', true))
+           t(metric, lower_better)),
+  wide AS (SELECT metric,
+                  max(CASE WHEN model = (SELECT model FROM base_m) THEN value END) AS base_value,
+                  max(CASE WHEN model = (SELECT model FROM tuned_m) THEN value END) AS tuned_value,
+                  max(CASE WHEN model = 'human' THEN value END) AS reference_value
+           FROM lng2 GROUP BY metric),
+  cmp AS (SELECT d.metric, d.lower_better, base_value, tuned_value, reference_value,
+                 tuned_value - base_value AS change,
+                 CASE WHEN tuned_value - base_value IS NULL THEN NULL
+                      WHEN d.lower_better THEN tuned_value - base_value < 0 ELSE tuned_value - base_value > 0 END AS better
+          FROM dirs d LEFT JOIN wide USING (metric))
+"""
+
+
+def _comparison(spark, sf_dir):
+    cells = load_cells(spark, sf_dir)
+    metrics = CP.quality_metrics(cells)
+    models = metrics.select("model")
+    return CP.compare_models(metrics, CP.find_model(models, *BASE_FIND), CP.find_model(models, *TUNED_FIND))
+
+
+@register("compare_models", ALL_CTE + _roles_sql() + "SELECT * FROM cmp",
+          ("base_value", "tuned_value", "reference_value", "change"))
+def q_compare_models(spark, sf_dir):
+    """CMP-6: base vs tuned model on six metrics (with the human value alongside)."""
+    return _comparison(spark, sf_dir)
+
+
+@register("compare_verdict", ALL_CTE + _roles_sql() + """
+SELECT CAST(count_if(better) AS BIGINT) AS n_improved, CAST(count_if(NOT better) AS BIGINT) AS n_regressed,
+       CASE WHEN count_if(better) > count_if(NOT better) THEN 'improvement'
+            WHEN count_if(NOT better) > count_if(better) THEN 'regression' ELSE 'mixed' END AS verdict
+FROM cmp""")
+def q_compare_verdict(spark, sf_dir):
+    """CMP-6 summary: improved/regressed counts and overall verdict."""
+    return CP.compare_verdict(_comparison(spark, sf_dir))

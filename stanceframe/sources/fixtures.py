@@ -174,3 +174,109 @@ def fixture_cte() -> str:
     """``WITH`` prefix that defines every fixture view for the DuckDB oracle."""
     parts = [f"{name} AS ({body.strip()})" for name, body in FIXTURE_SQL.items()]
     return "WITH " + ",\n".join(parts)
+
+
+# --- further stand-ins (batch outputs, request mapping, options, survey records) ---
+
+def batch_outputs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Batch output rows as returned by a batch API (no mapping columns)."""
+    return llm_raw(spark, sf_dir).select("ord", "custom_id", "status_code", "prompt_tokens",
+                                         "completion_tokens", "attempts", "raw")
+
+
+def request_mapping(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """custom_id -> (respondent name, question), as written when the requests were built."""
+    ev = table(spark, sf_dir, "events")
+    c = table(spark, sf_dir, "customer")
+    return (ev.join(c, ev.user_id == c.c_custkey)
+            .select(F.concat(F.lit("req_"), F.col("event_id").cast("string")).alias("custom_id"),
+                    F.col("c_name").alias("philosopher_name"), F.col("event_type").alias("question")))
+
+
+def question_options(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per question with its answer options (stance x the question's thesis)."""
+    q = table(spark, sf_dir, "events").select(F.col("event_type").alias("question")).distinct()
+    opts = F.array(*[F.concat(F.lit(s + ": "), F.col("question"))
+                     for s in ("Accept", "Lean towards", "Neutral", "Lean against", "Reject")],
+                   F.lit("Agnostic/undecided"))
+    return q.select("question", opts.alias("options"))
+
+
+def survey_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """D14 raw survey records: one per document, each line of the text one raw answer."""
+    d = table(spark, sf_dir, "documents")
+    lab = table(spark, sf_dir, "labels")
+    return (d.join(lab, "doc_id", "left").select(
+        F.col("doc_id").alias("rec_pos"),
+        F.concat(F.lit("https://people.example.org/profiles/doc-"), F.col("doc_id").cast("string")).alias("profile_url"),
+        (F.coalesce(F.col("toxic"), F.lit(0)) == 0).alias("has_survey_responses"),
+        F.transform(F.split(F.col("text"), "\n"), lambda x: F.struct(x.alias("raw_text"))).alias("survey_responses")))
+
+
+def profile_details(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """D13 scraped profile details keyed by profile URL (one per document)."""
+    d = table(spark, sf_dir, "documents")
+    return d.select(
+        F.concat(F.lit("https://people.example.org/profiles/doc-"), F.col("doc_id").cast("string")).alias("profile_url"),
+        F.when(F.col("n_chars") > 1000, F.array(F.col("lang"))).otherwise(F.array().cast("array<string>"))
+        .alias("areas_of_specialization"),
+        F.array(F.col("source")).alias("areas_of_interest"),
+        F.when(F.col("n_chars") % 2 == 0, F.col("source")).alias("phd_institution"),
+        F.when(F.col("n_chars") > 500, F.col("lang")).alias("current_institution"))
+
+
+FIXTURE_SQL.update({
+    "fx_outputs": """SELECT ord, custom_id, status_code, prompt_tokens, completion_tokens, attempts, raw FROM fx_llm_raw""",
+    "fx_mapping": """
+SELECT 'req_' || CAST(e.event_id AS VARCHAR) AS custom_id, c.c_name AS philosopher_name, e.event_type AS question
+FROM events e JOIN customer c ON e.user_id = c.c_custkey""",
+    "fx_options": """
+SELECT question, ['Accept: ' || question, 'Lean towards: ' || question, 'Neutral: ' || question,
+                  'Lean against: ' || question, 'Reject: ' || question, 'Agnostic/undecided'] AS options
+FROM (SELECT DISTINCT event_type AS question FROM events)""",
+    "fx_survey": """
+SELECT d.doc_id AS rec_pos, 'https://people.example.org/profiles/doc-' || CAST(d.doc_id AS VARCHAR) AS profile_url,
+       coalesce(l.toxic, 0) = 0 AS has_survey_responses, string_split(d.text, chr(10)) AS lines
+FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id""",
+    "fx_details": """
+SELECT 'https://people.example.org/profiles/doc-' || CAST(doc_id AS VARCHAR) AS profile_url,
+       CASE WHEN n_chars > 1000 THEN [lang] ELSE []::VARCHAR[] END AS areas_of_specialization,
+       [source] AS areas_of_interest,
+       CASE WHEN n_chars % 2 = 0 THEN source END AS phd_institution,
+       CASE WHEN n_chars > 500 THEN lang END AS current_institution
+FROM documents""",
+})
+
+
+# Stance answer texts in every layout the parsers must handle (one per event).
+_STANCE_LAYOUTS = [
+    "ACCEPT: {q}", "Accept:", "Lean toward: {q}", "Neutral", "agnostic/undecided", "Lean against:   {q}  ",
+    "Reject: {q}", "Accept an alternative view: {q}", "Neutral towards: {q}", "lean towards:{q}",
+    "Skipped", "Neutral: {q}",
+]
+
+
+def stance_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``(ord, question, text)``: answer texts cycling through the layouts above."""
+    ev = table(spark, sf_dir, "events")
+    k = F.col("event_id") % len(_STANCE_LAYOUTS)
+    text = None
+    for i, lay in enumerate(_STANCE_LAYOUTS):
+        head, _, tail = lay.partition("{q}")
+        val = F.concat(F.lit(head), F.col("event_type"), F.lit(tail)) if "{q}" in lay else F.lit(lay)
+        text = F.when(k == i, val) if text is None else text.when(k == i, val)
+    return ev.select(F.col("event_id").alias("ord"), F.col("event_type").alias("question"), text.alias("text"))
+
+
+def _stance_sql() -> str:
+    arms = []
+    for i, lay in enumerate(_STANCE_LAYOUTS):
+        head, _, tail = lay.partition("{q}")
+        esc = lambda s: s.replace("'", "''")
+        val = f"'{esc(head)}' || event_type || '{esc(tail)}'" if "{q}" in lay else f"'{esc(lay)}'"
+        arms.append(f"WHEN {i} THEN {val}")
+    return (f"SELECT event_id AS ord, event_type AS question, CASE event_id % {len(_STANCE_LAYOUTS)} "
+            + " ".join(arms) + " END AS text FROM events")
+
+
+FIXTURE_SQL["fx_stance"] = _stance_sql()

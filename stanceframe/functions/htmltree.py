@@ -1,0 +1,124 @@
+"""A tiny element tree over the standard-library ``html.parser`` (per-page helper).
+
+Only what the page jobs need: find / find_all by tag, class and id, direct
+children, and ``get_text`` with BeautifulSoup-like ``strip``/``separator``
+semantics.  Void elements never take children; an end tag closes the nearest
+matching open element (unclosed ones are implied closed).
+"""
+
+from __future__ import annotations
+
+from html.parser import HTMLParser
+
+VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source",
+        "track", "wbr"}
+RAW_TEXT = {"script", "style"}
+
+
+class Node:
+    __slots__ = ("tag", "attrs", "children", "parent")
+
+    def __init__(self, tag: str, attrs: dict | None = None, parent: "Node | None" = None):
+        self.tag = tag
+        self.attrs = attrs or {}
+        self.children: list = []
+        self.parent = parent
+
+    # --- queries ---------------------------------------------------------
+    def classes(self) -> list[str]:
+        return (self.attrs.get("class") or "").split()
+
+    def matches(self, tag=None, cls=None, id_=None) -> bool:
+        if tag is not None and self.tag not in (tag if isinstance(tag, (list, tuple, set)) else (tag,)):
+            return False
+        if cls is not None:
+            want = cls.split()
+            if any(c not in self.classes() for c in want):
+                return False
+        if id_ is not None and self.attrs.get("id") != id_:
+            return False
+        return True
+
+    def iter(self):
+        for ch in self.children:
+            if isinstance(ch, Node):
+                yield ch
+                yield from ch.iter()
+
+    def find_all(self, tag=None, cls=None, id_=None) -> list["Node"]:
+        return [n for n in self.iter() if n.matches(tag, cls, id_)]
+
+    def find(self, tag=None, cls=None, id_=None) -> "Node | None":
+        for n in self.iter():
+            if n.matches(tag, cls, id_):
+                return n
+        return None
+
+    def find_next(self, root: "Node", tag) -> "Node | None":
+        """First element with ``tag`` after this one in document order."""
+        seen = False
+        for n in root.iter():
+            if n is self:
+                seen = True
+                continue
+            if seen and n.matches(tag) and not self._contains(n):
+                return n
+        return None
+
+    def _contains(self, other: "Node") -> bool:
+        p = other.parent
+        while p is not None:
+            if p is self:
+                return True
+            p = p.parent
+        return False
+
+    def strings(self):
+        for ch in self.children:
+            if isinstance(ch, Node):
+                if ch.tag in RAW_TEXT:
+                    continue
+                yield from ch.strings()
+            else:
+                yield ch
+
+    def get_text(self, separator: str = "", strip: bool = False) -> str:
+        parts = list(self.strings())
+        if strip:
+            parts = [p.strip() for p in parts]
+            parts = [p for p in parts if p]
+        return separator.join(parts)
+
+
+class _Builder(HTMLParser):
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.root = Node("[document]")
+        self.cur = self.root
+
+    def handle_starttag(self, tag, attrs):
+        node = Node(tag, {k: (v if v is not None else "") for k, v in attrs}, self.cur)
+        self.cur.children.append(node)
+        if tag not in VOID:
+            self.cur = node
+
+    def handle_startendtag(self, tag, attrs):
+        node = Node(tag, {k: (v if v is not None else "") for k, v in attrs}, self.cur)
+        self.cur.children.append(node)
+
+    def handle_endtag(self, tag):
+        n = self.cur
+        while n is not None and n.tag != tag:
+            n = n.parent
+        if n is not None and n.parent is not None:
+            self.cur = n.parent
+
+    def handle_data(self, data):
+        self.cur.children.append(data)
+
+
+def parse(html: str) -> Node:
+    b = _Builder()
+    b.feed(html or "")
+    b.close()
+    return b.root

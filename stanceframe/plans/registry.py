@@ -93,4 +93,5 @@ def oracle_sql() -> dict[str, str]:
 
 def _load_all() -> None:
     # Importing the query modules fills REGISTRY.
-    from stanceframe.plans import queries_analytics, queries_effects, queries_prefs, queries_text  # noqa: F401
+    from stanceframe.plans import (queries_analytics, queries_effects, queries_pages, queries_prefs,  # noqa: F401
+                                   queries_text)

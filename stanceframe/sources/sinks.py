@@ -37,6 +37,37 @@ def write_jsonl(df: DataFrame, path: str | None = None, mode: str = "overwrite",
     return p
 
 
+def write_json_array(df: DataFrame, path: str | None = None) -> str:
+    """SNK-1 (reference layout): one JSON array of records per output file.
+
+    Each partition becomes one file holding its records as a single array, so
+    no file (and no task) ever holds more than one partition."""
+    p = _target(df, path, "jsonarray")
+    js = df.select(F.to_json(F.struct(*df.columns)).alias("j"))
+    arr = js.rdd.mapPartitions(lambda it: ["[" + ",".join(r.j for r in it) + "]"])
+    df.sparkSession.createDataFrame(arr.map(lambda s: (s,)), "value string").write.mode("overwrite").text(p)
+    return p
+
+
+def write_string_arrays(df: DataFrame, col: str, path: str | None = None) -> str:
+    """A JSON array of plain strings per output file (one file per partition)."""
+    p = _target(df, path, "strarray")
+    js = df.select(F.to_json(F.array(F.col(col))).alias("j"))  # '["value"]'
+    arr = js.rdd.mapPartitions(lambda it: ["[" + ",".join(r.j[1:-1] for r in it) + "]"])
+    df.sparkSession.createDataFrame(arr.map(lambda s: (s,)), "value string").write.mode("overwrite").text(p)
+    return p
+
+
+def write_json_object(df: DataFrame, key: str, value: str, path: str | None = None) -> str:
+    """One top-level JSON object ``{key: value}`` (question catalogue layout; one file).
+
+    Only for small catalogues: the object is built in one task by definition."""
+    p = _target(df, path, "jsonobject")
+    obj = df.agg(F.to_json(F.map_from_entries(F.array_sort(F.collect_list(F.struct(key, value))))).alias("value"))
+    obj.coalesce(1).write.mode("overwrite").text(p)
+    return p
+
+
 def write_csv(df: DataFrame, path: str | None = None, mode: str = "overwrite") -> str:
     """SNK-3: CSV with a header row."""
     p = _target(df, path, "csv")
@@ -63,6 +94,8 @@ def append_results(batch: DataFrame, path: str, keys: list[str]) -> DataFrame:
         new = batch.join(existing, keys, "left_anti")
     except Exception:  # noqa: BLE001 - first write: no table yet
         new = batch
-    new = new.localCheckpoint(eager=True) if False else new.checkpoint(eager=True)
+    # cut lineage (reliable checkpoint in the shared folder) so the returned rows do not
+    # re-read the table they were just appended to
+    new = new.checkpoint(eager=True)
     new.write.mode("append").parquet(path)
     return new

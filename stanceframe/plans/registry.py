@@ -94,4 +94,4 @@ def oracle_sql() -> dict[str, str]:
 def _load_all() -> None:
     # Importing the query modules fills REGISTRY.
     from stanceframe.plans import (queries_analytics, queries_effects, queries_pages, queries_prefs,  # noqa: F401
-                                   queries_io, queries_text)
+                                   queries_io, queries_stream, queries_text)

@@ -116,14 +116,16 @@ def usable_responses(records: DataFrame) -> DataFrame:
 def answer_items(records: DataFrame) -> DataFrame:
     """Explode usable records into parsed items with stance, cell key and score."""
     u = usable_responses(records)
-    it = u.select("philosopher_name", "question", "ord", F.posexplode("parsed").alias("item_pos", "item"))
+    # posexplode_outer: a plain explode makes Catalyst infer size(parsed) > 0 on the input and
+    # push it below the projection that parses, evaluating the parse several times
+    it = (u.select("philosopher_name", "question", "ord", F.posexplode_outer("parsed").alias("item_pos", "item"))
+          .where(F.col("item").isNotNull()))
     ps = T.parse_stance_prefix(F.col("item"))
-    it = it.withColumn("ps", ps).where(F.col("ps.stance").isNotNull())
-    return it.select("philosopher_name", "question", "ord", "item_pos", "item",
-                     F.col("ps.stance").alias("stance"), F.col("ps.answer").alias("answer"),
-                     T.cell_key(F.col("question"), F.col("ps.stance"), F.col("ps.answer")).alias("cell_key"),
-                     F.coalesce(T.score_stance(F.col("ps.stance")),
-                                F.when(F.col("ps.stance") == T.AGNOSTIC, F.lit(0.5))).alias("score"))
+    it = it.select("*", ps["stance"].alias("stance"), ps["answer"].alias("answer")).where(F.col("stance").isNotNull())
+    return it.select("philosopher_name", "question", "ord", "item_pos", "item", "stance", "answer",
+                     T.cell_key(F.col("question"), F.col("stance"), F.col("answer")).alias("cell_key"),
+                     F.coalesce(T.score_stance(F.col("stance")),
+                                F.when(F.col("stance") == T.AGNOSTIC, F.lit(0.5))).alias("score"))
 
 
 def first_valid_model_cells(records: DataFrame) -> DataFrame:

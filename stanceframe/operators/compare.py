@@ -15,6 +15,7 @@ from stanceframe.operators import pairs as PR
 from stanceframe.operators.cells import common_questions, value_counts
 from stanceframe.operators.pairs import correlation_reliability
 from stanceframe.operators.quality import model_quality
+from stanceframe.session import materialize
 
 EPS = 1e-10
 
@@ -26,13 +27,13 @@ def _models(cells: DataFrame, reference: str) -> DataFrame:
 # --- CMP-1 -----------------------------------------------------------------------
 
 def kl_js_by_question(cells: DataFrame, reference: str = "human", min_side: int = 10,
-                      eps: float = EPS) -> DataFrame:
+                      eps: float = EPS, vc: DataFrame | None = None) -> DataFrame:
     """KL(reference || model) and JS per common question with >= ``min_side`` answers each side.
 
     Support = union of values seen on either side (full outer via union + group);
     probabilities = (count + eps) renormalised; natural log.
     """
-    vc = value_counts(cells)
+    vc = vc if vc is not None else value_counts(cells)
     ref = vc.where(F.col("model") == reference).select("question", "score", F.col("c").alias("ch"))
     oth = vc.where(F.col("model") != reference)
     mq = oth.select("model", "question").distinct()
@@ -59,9 +60,10 @@ def kl_js_by_question(cells: DataFrame, reference: str = "human", min_side: int
 
 
 def kl_js_by_model(cells: DataFrame, reference: str = "human", min_side: int = 10,
-                   per_question: DataFrame | None = None) -> DataFrame:
+                   per_question: DataFrame | None = None, vc: DataFrame | None = None) -> DataFrame:
     """Per model: n_common, n_compared, avg_kl_divergence, avg_js_divergence."""
-    pq = per_question if per_question is not None else kl_js_by_question(cells, reference, min_side)
+    pq = per_question if per_question is not None else kl_js_by_question(cells, reference, min_side, vc=vc)
+    cells = vc if vc is not None else cells
     common = common_questions(cells, reference).groupBy("model").agg(F.count(F.lit(1)).alias("n_common"))
     agg = pq.groupBy("model").agg(F.count(F.lit(1)).alias("n_compared"),
                                   F.avg("kl_divergence").alias("avg_kl_divergence"),
@@ -82,13 +84,14 @@ def _restrict_to_common(mat: DataFrame, common: DataFrame) -> DataFrame:
 
 
 def rv_coefficient(cells: DataFrame, reference: str = "human", min_n: int = 30,
-                   matrix: DataFrame | None = None) -> DataFrame:
+                   matrix: DataFrame | None = None, vc: DataFrame | None = None) -> DataFrame:
     """RV = tr(AB)/sqrt(tr(AA) tr(BB)) over common questions, missing -> 0, diagonal included.
 
     The matrices are symmetric, so tr(XY) = sum(diag) + 2*sum(upper) over the
     sparse long form.  Fewer than 2 common questions or a zero denominator -> NULL.
     """
-    mat = matrix if matrix is not None else PR.correlation_matrix(cells, min_n)
+    mat = matrix if matrix is not None else materialize(PR.correlation_matrix(cells, min_n))
+    cells = vc if vc is not None else cells
     common = common_questions(cells, reference)
     w = F.when(F.col("question_1") == F.col("question_2"), 1.0).otherwise(2.0)
     a = _restrict_to_common(mat.where(F.col("model") != reference), common) \
@@ -137,12 +140,14 @@ def mantel_test(cells: DataFrame, reference: str = "human", min_n: int = 30, per
     needed because sums and sums of squares are permutation-invariant.
     p = #(|r_perm| >= |r_obs|) / permutations.
     """
-    mc = mantel_cells(cells, reference, min_n, matrix)
+    mc = mantel_cells(cells, reference, min_n, matrix if matrix is not None
+                      else materialize(PR.correlation_matrix(cells, min_n)))
     wm = Window.partitionBy("model")
-    base = (mc.withColumn("n", F.count(F.lit(1)).over(wm))
-            .where(F.col("n") >= min_cells)
-            .withColumn("ac", F.col("a") - F.avg("a").over(wm))
-            .withColumn("bc", F.col("b") - F.avg("b").over(wm)))
+    # the centred cell vectors are tiny (Q^2/2 per model) and read three times below
+    base = materialize(mc.withColumn("n", F.count(F.lit(1)).over(wm))
+                       .where(F.col("n") >= min_cells)
+                       .withColumn("ac", F.col("a") - F.avg("a").over(wm))
+                       .withColumn("bc", F.col("b") - F.avg("b").over(wm)))
     stats = base.groupBy("model").agg(
         F.first("n").cast("bigint").alias("n_cells"),
         F.sum(F.col("ac") * F.col("bc")).alias("sab"),
@@ -172,11 +177,11 @@ def mantel_test(cells: DataFrame, reference: str = "human", min_n: int = 30, per
 
 def structural_similarity(cells: DataFrame, reference: str = "human", min_n: int = 30,
                           permutations: int = 1000, seed: int = 42,
-                          matrix: DataFrame | None = None) -> DataFrame:
+                          matrix: DataFrame | None = None, vc: DataFrame | None = None) -> DataFrame:
     """CMP-4: RV coefficient and Mantel r / p per model."""
-    mat = matrix if matrix is not None else PR.correlation_matrix(cells, min_n)
-    rv = rv_coefficient(cells, reference, min_n, mat)
-    mt = mantel_test(cells, reference, min_n, permutations, seed, matrix=mat)
+    mat = matrix if matrix is not None else materialize(PR.correlation_matrix(cells, min_n))
+    rv = rv_coefficient(cells, reference, min_n, mat, vc=vc)
+    mt = mantel_test(vc if vc is not None else cells, reference, min_n, permutations, seed, matrix=mat)
     return rv.join(mt.select("model", F.col("mantel_r").alias("mantel_corr"), "mantel_p"), "model", "left")
 
 
@@ -186,12 +191,15 @@ def quality_metrics(cells: DataFrame, reference: str = "human", min_n: int = 30,
                     permutations: int = 1000, seed: int = 42) -> DataFrame:
     """CMP-5: one row per model: quality roll-up, correlation reliability, divergence and
     structure versus the reference (NULL for the reference itself)."""
-    pairs = PR.pair_moments(PR.pair_value_counts(cells, min_n))
-    mat = PR.correlation_matrix(cells, min_n, pairs)
-    mq = model_quality(cells, min_n)
-    rel = correlation_reliability(cells, min_n, pairs)
-    div = kl_js_by_model(cells, reference)
-    st = structural_similarity(cells, reference, min_n, permutations, seed, mat)
+    # two small aggregates feed every branch; the raw answers are read twice in total
+    vc = materialize(value_counts(cells))
+    pairs = materialize(PR.pair_moments(PR.pair_value_counts(cells, min_n)))
+    mat = materialize(PR.correlation_matrix(cells, min_n, pairs, vc=vc))
+    models = vc.select("model").distinct()
+    mq = model_quality(cells, min_n, vc=vc)
+    rel = correlation_reliability(cells, min_n, pairs, models=models)
+    div = kl_js_by_model(cells, reference, vc=vc)
+    st = structural_similarity(cells, reference, min_n, permutations, seed, mat, vc=vc)
     return (mq.join(rel, "model", "left").join(div, "model", "left").join(st, "model", "left"))
 
 

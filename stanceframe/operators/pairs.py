@@ -102,21 +102,26 @@ def pairwise_spearman(cells: DataFrame, min_n: int = 30) -> DataFrame:
         *PAIR_KEYS, "n_samples", "spearman_r", "spearman_p", "abs_spearman_r")
 
 
-def diagonal(cells: DataFrame, min_n: int = 30) -> DataFrame:
+def diagonal(cells: DataFrame, min_n: int = 30, vc: DataFrame | None = None) -> DataFrame:
     """Diagonal of the correlation matrix: 1.0 for questions with n >= min_n and non-zero variance."""
-    q = (cells.where(F.col("score").isNotNull()).groupBy("model", "question")
-         .agg(F.count(F.lit(1)).alias("n"), F.min("score").alias("lo"), F.max("score").alias("hi")))
+    if vc is not None:
+        q = vc.groupBy("model", "question").agg(F.sum("c").alias("n"), F.min("score").alias("lo"),
+                                                 F.max("score").alias("hi"))
+    else:
+        q = (cells.where(F.col("score").isNotNull()).groupBy("model", "question")
+             .agg(F.count(F.lit(1)).alias("n"), F.min("score").alias("lo"), F.max("score").alias("hi")))
     return (q.where((F.col("n") >= min_n) & (F.col("hi") > F.col("lo")))
             .select("model", F.col("question").alias("question_1"), F.col("question").alias("question_2"),
                     F.col("n").cast("bigint").alias("n_samples"), F.lit(1.0).alias("r")))
 
 
-def correlation_matrix(cells: DataFrame, min_n: int = 30, pairs: DataFrame | None = None) -> DataFrame:
+def correlation_matrix(cells: DataFrame, min_n: int = 30, pairs: DataFrame | None = None,
+                       vc: DataFrame | None = None) -> DataFrame:
     """STAT-8: sparse upper triangle incl. diagonal; an absent cell is missing (n < min_n or zero variance)."""
     p = pairs if pairs is not None else pair_moments(pair_value_counts(cells, min_n))
     off = (p.where((F.col("n_samples") >= min_n) & F.col("pearson_r").isNotNull())
            .select(*PAIR_KEYS, "n_samples", F.col("pearson_r").alias("r")))
-    return off.unionByName(diagonal(cells, min_n))
+    return off.unionByName(diagonal(cells, min_n, vc))
 
 
 def exact_median(df: DataFrame, keys: list[str], value: str, out: str) -> DataFrame:
@@ -131,7 +136,8 @@ def exact_median(df: DataFrame, keys: list[str], value: str, out: str) -> DataFr
             .groupBy(*keys).agg(F.avg(F.col(value).cast("double")).alias(out)))
 
 
-def correlation_reliability(cells: DataFrame, min_n: int = 30, pairs: DataFrame | None = None) -> DataFrame:
+def correlation_reliability(cells: DataFrame, min_n: int = 30, pairs: DataFrame | None = None,
+                            models: DataFrame | None = None) -> DataFrame:
     """AGG-10: per model, over upper-triangle correlations (n >= min_n, r defined).
 
     mean/median |r|, population std of r, % r > .5, % r < -.5, % |r| > .5,
@@ -156,7 +162,8 @@ def correlation_reliability(cells: DataFrame, min_n: int = 30, pairs: DataFrame
         pct("n_pos").alias("pct_strong_pos"), pct("n_neg").alias("pct_strong_neg"),
         pct("n_ext").alias("pct_extreme"),
         F.when(F.col("std_r") > 0, F.col("mean_abs_r") / F.col("std_r")).otherwise(F.lit(0.0)).alias("signal_to_noise"))
-    return cells.select("model").distinct().join(out, "model", "left")
+    ms = models if models is not None else cells.select("model").distinct()
+    return ms.join(out, "model", "left")
 
 
 def correlation_summary(cells: DataFrame, min_n: int = 30, corr: DataFrame | None = None) -> DataFrame:

@@ -31,7 +31,7 @@ def _moments_from_counts(vc: DataFrame, keys=("model", "question")) -> DataFrame
                  F.max("c").alias("max_c")))
 
 
-def question_quality(cells: DataFrame, min_n: int = 30) -> DataFrame:
+def question_quality(cells: DataFrame, min_n: int = 30, vc: DataFrame | None = None) -> DataFrame:
     """AGG-6/7/8: one row per (model, question) with at least ``min_n`` answers.
 
     Columns: n, unique_values, variance & std (ddof 1), mean, cv (0 when mean is 0),
@@ -39,7 +39,7 @@ def question_quality(cells: DataFrame, min_n: int = 30) -> DataFrame:
     effective_categories = 2^entropy, concentration = top frequency / n,
     is_zero_var (variance < 1e-10), is_low_var (unique <= 2).
     """
-    m = _moments_from_counts(value_counts(cells)).where(F.col("n") >= min_n)
+    m = _moments_from_counts(vc if vc is not None else value_counts(cells)).where(F.col("n") >= min_n)
     var = F.try_divide(F.col("m2"), (F.col("n") - 1).cast("double"))
     ent = F.when(F.col("n") < 2, F.lit(0.0)).otherwise(F.col("entropy_raw") + F.lit(0.0))
     max_ent = F.when(F.col("unique_values") > 1, F.log2(F.col("unique_values").cast("double"))).otherwise(F.lit(0.0))
@@ -72,7 +72,8 @@ def question_entropy(cells: DataFrame, min_n: int = 2) -> DataFrame:
                     "effective_categories", "max_entropy", "normalized_entropy")
 
 
-def model_quality(cells: DataFrame, min_n: int = 30, question_metrics: DataFrame | None = None) -> DataFrame:
+def model_quality(cells: DataFrame, min_n: int = 30, question_metrics: DataFrame | None = None,
+                  vc: DataFrame | None = None) -> DataFrame:
     """AGG-9: per-model roll-up of ``question_quality`` with the composite score.
 
     quality_score = 0.30*entropy_score + 0.25*variance_score + 0.20*diversity_score
@@ -81,7 +82,7 @@ def model_quality(cells: DataFrame, min_n: int = 30, question_metrics: DataFrame
     min(100, (avg unique - 1)/4*100) and concentration_score = (1 - avg concentration)*100.
     A model without qualifying questions keeps a row with NULL metrics.
     """
-    qm = question_metrics if question_metrics is not None else question_quality(cells, min_n)
+    qm = question_metrics if question_metrics is not None else question_quality(cells, min_n, vc)
     prob = F.col("is_zero_var") | F.col("is_low_var")
     agg = (qm.groupBy("model").agg(
         F.count(F.lit(1)).alias("n_questions"),
@@ -113,5 +114,5 @@ def model_quality(cells: DataFrame, min_n: int = 30, question_metrics: DataFrame
         "avg_entropy", "avg_normalized_entropy", "avg_effective_categories", "avg_variance",
         "avg_std", "avg_cv", "avg_unique_values", "avg_concentration",
         score.alias("quality_score"))
-    models = cells.select("model").distinct()
+    models = (vc if vc is not None else cells).select("model").distinct()
     return models.join(rolled, "model", "left")

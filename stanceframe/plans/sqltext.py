@@ -11,7 +11,8 @@ def q(s: str) -> str:
 
 
 def strip(x: str) -> str:
-    return f"regexp_replace({x}, '^\\s+|\\s+$', '', 'g')"
+    chars = "".join(f"' || chr({ord(c)}) || '" for c in T.PY_WHITESPACE)
+    return f"trim({x}, '{chars}')"
 
 
 def collapse(x: str) -> str:

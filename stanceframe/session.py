@@ -52,3 +52,13 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path under the shared checkpoint folder for written tables."""
     base = ensure_checkpoint_dir(spark).rstrip("/")
     return f"{base}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def materialize(df):
+    """Cut lineage of a (small) intermediate: reliable checkpoint into the shared folder.
+
+    Used for aggregates that several branches of one plan read (value counts,
+    pair moments, correlation matrices), so the raw answers are not re-scanned
+    and re-shuffled per branch, and a lost executor does not recompute them."""
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)

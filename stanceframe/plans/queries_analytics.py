@@ -7,14 +7,18 @@ from pyspark.sql import DataFrame, SparkSession
 from stanceframe.operators import cells as C
 from stanceframe.operators import quality as QL
 from stanceframe.plans.registry import register
+from stanceframe.session import materialize
 from stanceframe.sources import fixtures as FX
 
 MIN_N = 30
 
 
 def load_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Answer records -> first-answer-wins cells (AGG-3)."""
-    return C.first_valid_cells(FX.answers(spark, sf_dir))
+    """Answer records -> first-answer-wins cells (AGG-3), written once to the shared
+    checkpoint folder: every plan below reads the cells in several branches (value
+    counts, pruning counts, both sides of the pair join), and re-deriving them from
+    the raw answers per branch would repeat the full shuffle each time."""
+    return materialize(C.first_valid_cells(FX.answers(spark, sf_dir)))
 
 
 # --- AGG-6/7/8 ---------------------------------------------------------------

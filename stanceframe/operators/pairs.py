@@ -22,12 +22,19 @@ Plan (per model):
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from stanceframe.functions.pvalues import p_from_r
 
 PAIR_KEYS = ("model", "question_1", "question_2")
+PAIR_COUNT_SCHEMA = "model string, question_1 string, v1 double, question_2 string, v2 double, c bigint"
+MAX_GRAM_COLUMNS = 4096   # (question, value) columns per model for the in-task Gram path
+GRAM_BLOCK = 1024         # respondents per dense block
 
 
 def prune_questions(cells: DataFrame, min_n: int) -> DataFrame:
@@ -39,16 +46,112 @@ def prune_questions(cells: DataFrame, min_n: int) -> DataFrame:
     return cells.join(qn, ["model", "question"], "left_semi")
 
 
-def pair_value_counts(cells: DataFrame, min_n: int = 30) -> DataFrame:
-    """JOIN-11 + partial aggregation: counts per (model, q1, q2, v1, v2) over co-answering respondents."""
+def pair_value_counts(cells: DataFrame, min_n: int = 30, method: str = "auto") -> DataFrame:
+    """JOIN-11 as value-pair counts ``(model, q1, q2, v1, v2, c)`` over co-answering respondents.
+
+    ``gram`` (default when every model has at most MAX_GRAM_COLUMNS distinct
+    (question, value) pairs, i.e. answers on a small scale): cells are hash-
+    partitioned by (model, respondent) and sorted, and each task accumulates the
+    Gram matrix A'A of one-hot (question, value) rows block by block in numpy.
+    No pair of answers is ever enumerated; each task emits at most K^2/2
+    pre-aggregated counts, summed across tasks by one small shuffle.
+    ``join``: the theta self join on (model, respondent, q1 < q2), aggregated in the
+    same stage -- the exact fallback for continuous scores, where the joint
+    sample itself is needed for per-pair ranks.
+    """
     kept = prune_questions(cells.select("model", "respondent", "question", "score")
                            .where(F.col("score").isNotNull()), min_n)
+    if method == "auto":
+        width = (kept.groupBy("model").agg(F.count_distinct("question", "score").alias("k"))
+                 .agg(F.max("k")).first()[0]) or 0
+        method = "gram" if width <= MAX_GRAM_COLUMNS else "join"
+    if method == "gram":
+        return _gram_pair_counts(kept)
     a = kept.select("model", "respondent", F.col("question").alias("question_1"), F.col("score").alias("v1"))
     b = kept.select("model", "respondent", F.col("question").alias("question_2"), F.col("score").alias("v2"))
     joined = a.join(b, ["model", "respondent"]).where(F.col("question_1") < F.col("question_2"))
     return joined.groupBy(*PAIR_KEYS, "v1", "v2").agg(F.count(F.lit(1)).alias("c"))
 
 
+class _Gram:
+    """Per-model accumulator: column ids of (question, value) and the count matrix."""
+
+    def __init__(self):
+        self.ids: dict = {}
+        self.keys: list = []
+        self.g = np.zeros((0, 0))
+
+    def column_ids(self, q: pd.Series, v: pd.Series) -> np.ndarray:
+        codes, uniq = pd.factorize(pd.MultiIndex.from_arrays([q, v]))
+        local = np.empty(len(uniq), dtype=np.int64)
+        for i, key in enumerate(uniq):
+            j = self.ids.get(key)
+            if j is None:
+                j = self.ids[key] = len(self.keys)
+                self.keys.append(key)
+            local[i] = j
+        k = len(self.keys)
+        if self.g.shape[0] < k:
+            g = np.zeros((k, k))
+            g[:self.g.shape[0], :self.g.shape[1]] = self.g
+            self.g = g
+        return local[codes]
+
+    def add(self, rows: np.ndarray, cols: np.ndarray) -> None:
+        k = len(self.keys)
+        for start in range(0, int(rows.max()) + 1 if len(rows) else 0, GRAM_BLOCK):
+            sel = (rows >= start) & (rows < start + GRAM_BLOCK)
+            a = np.zeros((GRAM_BLOCK, k), dtype=np.float32)
+            a[rows[sel] - start, cols[sel]] = 1.0
+            self.g[:k, :k] += (a.T @ a).astype(np.float64)
+
+    def rows(self, model: str) -> pd.DataFrame:
+        if not self.keys:
+            return pd.DataFrame(columns=["model", "question_1", "v1", "question_2", "v2", "c"])
+        q = np.array([k[0] for k in self.keys], dtype=object)
+        v = np.array([k[1] for k in self.keys], dtype=np.float64)
+        i, j = np.nonzero(self.g)
+        keep = q[i] < q[j]
+        i, j = i[keep], j[keep]
+        return pd.DataFrame({"model": model, "question_1": q[i], "v1": v[i], "question_2": q[j], "v2": v[j],
+                             "c": self.g[i, j].astype(np.int64)})
+
+
+def _gram_pair_counts(kept: DataFrame) -> DataFrame:
+    n = int(kept.sparkSession.conf.get("spark.sql.shuffle.partitions", "8"))
+    srt = kept.repartition(n, "model", "respondent").sortWithinPartitions("model", "respondent")
+
+    def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        accs: dict[str, _Gram] = {}
+        carry = None
+
+        def feed(pdf: pd.DataFrame) -> None:
+            for model, g in pdf.groupby("model", sort=False):
+                acc = accs.setdefault(model, _Gram())
+                cols = acc.column_ids(g["question"], g["score"])
+                rows = pd.factorize(g["respondent"])[0]
+                acc.add(rows, cols)
+
+        for pdf in it:
+            if carry is not None and len(carry):
+                pdf = pd.concat([carry, pdf], ignore_index=True)
+            if not len(pdf):
+                continue
+            # the last respondent may continue in the next batch: hold its rows back
+            last = (pdf["model"].iat[-1], pdf["respondent"].iat[-1])
+            tail = (pdf["model"] == last[0]) & (pdf["respondent"] == last[1])
+            carry = pdf[tail]
+            feed(pdf[~tail])
+        if carry is not None and len(carry):
+            feed(carry)
+        for model, acc in accs.items():
+            yield acc.rows(model)
+
+    counts = srt.select("model", "respondent", "question", F.col("score").cast("double").alias("score")) \
+        .mapInPandas(run, PAIR_COUNT_SCHEMA)
+    return counts.groupBy(*PAIR_KEYS, "v1", "v2").agg(F.sum("c").alias("c"))
+
+
 def pair_moments(pc: DataFrame) -> DataFrame:
     """n, Pearson r and Spearman r per pair from the value-pair count table."""
     wp = Window.partitionBy(*PAIR_KEYS)

@@ -13,12 +13,13 @@ from stanceframe.sources import fixtures as FX
 MIN_N = 30
 
 
-def load_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+def load_cells(spark: SparkSession, sf_dir: str, materialized: bool = True) -> DataFrame:
     """Answer records -> first-answer-wins cells (AGG-3), written once to the shared
     checkpoint folder: every plan below reads the cells in several branches (value
     counts, pruning counts, both sides of the pair join), and re-deriving them from
     the raw answers per branch would repeat the full shuffle each time."""
-    return materialize(C.first_valid_cells(FX.answers(spark, sf_dir)))
+    cells = C.first_valid_cells(FX.answers(spark, sf_dir))
+    return materialize(cells) if materialized else cells
 
 
 # --- AGG-6/7/8 ---------------------------------------------------------------
@@ -55,7 +56,7 @@ QQ_DOUBLES = ("variance", "std", "mean", "cv", "entropy", "max_entropy", "normal
 @register("question_quality", QQ_SQL.format(min_n=MIN_N) + "SELECT * FROM qq", QQ_DOUBLES)
 def q_question_quality(spark, sf_dir):
     """AGG-6/7/8 per (model, question) with n >= 30."""
-    return QL.question_quality(load_cells(spark, sf_dir), min_n=MIN_N)
+    return QL.question_quality(load_cells(spark, sf_dir, materialized=False), min_n=MIN_N)
 
 
 @register("question_entropy",
@@ -64,7 +65,7 @@ def q_question_quality(spark, sf_dir):
           ("entropy", "effective_categories", "max_entropy", "normalized_entropy"))
 def q_question_entropy(spark, sf_dir):
     """AGG-7/8: entropy and effective categories for every question with n >= 2."""
-    return QL.question_entropy(load_cells(spark, sf_dir), min_n=2)
+    return QL.question_entropy(load_cells(spark, sf_dir, materialized=False), min_n=2)
 
 
 # --- question pairs: STAT-6/7/8, AGG-10/11 ----------------------------------------
@@ -210,7 +211,8 @@ MQ_DOUBLES = ("pct_usable", "pct_zero_var", "pct_low_var", "pct_problematic", "a
 @register("model_quality", QQ_SQL.format(min_n=MIN_N) + MQ_CTE + "SELECT * FROM mq", MQ_DOUBLES)
 def q_model_quality(spark, sf_dir):
     """AGG-9: per-model quality roll-up and composite score."""
-    return QL.model_quality(load_cells(spark, sf_dir), MIN_N)
+    vc = materialize(C.value_counts(load_cells(spark, sf_dir, materialized=False)))
+    return QL.model_quality(None, MIN_N, vc=vc)
 
 
 @register("missing_pct", """
@@ -220,7 +222,7 @@ SELECT model, CAST(count(*) AS BIGINT) AS n_cells, CAST(count(DISTINCT responden
 FROM cells GROUP BY model""", ("missing_pct",))
 def q_missing_pct(spark, sf_dir):
     """AGG-2: share of the respondents x questions matrix that is missing."""
-    return C.missing_pct(load_cells(spark, sf_dir))
+    return C.missing_pct(load_cells(spark, sf_dir, materialized=False))
 
 
 @register("common_questions", """
@@ -228,7 +230,7 @@ SELECT DISTINCT model, question FROM cells
 WHERE model <> 'human' AND question IN (SELECT question FROM cells WHERE model = 'human')""")
 def q_common_questions(spark, sf_dir):
     """JOIN-9 / SET-3: questions present for both a model and the human reference."""
-    return C.common_questions(load_cells(spark, sf_dir))
+    return C.common_questions(load_cells(spark, sf_dir, materialized=False))
 
 
 @register("response_matrix", """
@@ -339,13 +341,14 @@ QM_DOUBLES = MQ_DOUBLES + REL_DOUBLES + ("avg_kl_divergence", "avg_js_divergence
 @register("kl_js_by_question", KL_CTE + "SELECT * FROM klq", ("kl_divergence", "js_divergence"))
 def q_kl_js_by_question(spark, sf_dir):
     """CMP-1: KL(human||model) and JS per common question with >= 10 answers each side."""
-    return CP.kl_js_by_question(load_cells(spark, sf_dir))
+    return CP.kl_js_by_question(load_cells(spark, sf_dir, materialized=False))
 
 
 @register("kl_js_by_model", KL_CTE + "SELECT * FROM klm", ("avg_kl_divergence", "avg_js_divergence"))
 def q_kl_js_by_model(spark, sf_dir):
     """CMP-1: per-model averages of KL/JS with n_common and n_compared."""
-    return CP.kl_js_by_model(load_cells(spark, sf_dir))
+    vc = materialize(C.value_counts(load_cells(spark, sf_dir, materialized=False)))
+    return CP.kl_js_by_model(None, vc=vc)
 
 
 @register("rv_coefficient", pairs_cte() + KL_CTE + RV_CTE + "SELECT * FROM rv", ("rv_coefficient",))

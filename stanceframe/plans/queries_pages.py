@@ -71,8 +71,12 @@ def q_page_qa_rows(spark, sf_dir):
 
 @register("profile_details")
 def q_profile_details(spark, sf_dir):
-    """HTM-5: profile details parsed from every page (``error`` column, never fatal)."""
-    return PG.profile_details(_pages(spark, sf_dir))
+    """HTM-5: profile details parsed from every page (``error`` column, never fatal); the two
+    area lists are joined with the unit separator for comparison."""
+    d = PG.profile_details(_pages(spark, sf_dir))
+    return d.select("page_key", *[F.array_join(c, "\x1f").alias(c) for c in ("areas_of_specialization",
+                                                                             "areas_of_interest")],
+                    "location", "phd_institution", "current_institution", "error")
 
 
 @register("extraction_report")

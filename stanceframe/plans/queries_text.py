@@ -322,7 +322,7 @@ def q_request_shards(spark, sf_dir):
     """SNK-4: requests written as 100-request shards (partitioned parquet), manifest read back."""
     from stanceframe.sources.sinks import write_request_shards
     path = write_request_shards(_requests(spark, sf_dir), size=100)
-    sh = spark.read.parquet(path)
+    sh = spark.read.parquet(path).withColumn("shard", F.col("shard").cast("bigint"))
     return sh.groupBy("shard").agg(F.count(F.lit(1)).cast("bigint").alias("num_requests"),
                                    F.min("req_no").alias("first_req"), F.max("req_no").alias("last_req"))
 

@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from stanceframe.functions.pvalues import p_from_r, p_from_z
 from stanceframe.functions.text import year_bin
 from stanceframe.operators.cells import value_counts
+from stanceframe.session import materialize
 
 FAMILY = ("model", "feature_type")
 EFFECT_KEYS = ("model", "feature_type", "feature", "question")
@@ -100,27 +101,41 @@ def mw_p(z):
     return F.when(z.isNull() | (z <= 0), F.lit(1.0)).otherwise(p_from_z(z))
 
 
-def fdr_bh(df: DataFrame, p_col: str, out: str, family: tuple[str, ...] | list[str] = FAMILY) -> DataFrame:
+def fdr_bh(df: DataFrame, p_col: str, out: str, family: tuple[str, ...] | list[str] = FAMILY,
+           block: int = 1 << 16) -> DataFrame:
     """STAT-9: Benjamini-Hochberg adjusted p per family; missing p counts as 1.
 
-    p_adj(i) = min(1, min_{j >= i} p(j) * m / j) over p sorted ascending.  One
-    window per family (families are small after the minimum-count filter).
+    p_adj(i) = min(1, min_{j >= i} p(j) * m / j) over p sorted ascending.  The
+    ordering is a distributed dense index (no family in one task); the suffix
+    minimum runs inside fixed-size blocks of ``block`` positions, and each block
+    takes the minimum of all later blocks of its family from a small carry table.
+    Tied p-values get equal adjusted values whatever their order.
     """
+    from stanceframe.operators.ordering import dense_index
+    fam = list(family)
     pf = F.coalesce(F.col(p_col), F.lit(1.0))
-    w = Window.partitionBy(*family).orderBy(pf)
-    x = (df.withColumn("_pf", pf)
-         .withColumn("_rank", F.row_number().over(w))
-         .withColumn("_m", F.count(F.lit(1)).over(Window.partitionBy(*family)))
-         .withColumn("_adj", F.col("_pf") * F.col("_m") / F.col("_rank")))
-    tail = w.rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    return (x.withColumn(out, F.least(F.lit(1.0), F.min("_adj").over(tail)))
-            .drop("_pf", "_rank", "_m", "_adj"))
+    x = df.withColumn("_pf", pf).withColumn("_tb", F.xxhash64(*[F.col(c) for c in df.columns]))
+    x = dense_index(x, [*fam, "_pf", "_tb"], "_g")
+    st = x.groupBy(*fam).agg(F.min("_g").alias("_start"), F.count(F.lit(1)).alias("_m"))
+    x = (x.join(st, fam)
+         .withColumn("_rank", F.col("_g") - F.col("_start") + 1)
+         .withColumn("_adj", F.col("_pf") * F.col("_m") / F.col("_rank"))
+         .withColumn("_blk", F.floor((F.col("_rank") - 1) / block)))
+    inblock = Window.partitionBy(*fam, "_blk").orderBy("_g").rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    x = x.withColumn("_sfx", F.min("_adj").over(inblock))
+    bmin = x.groupBy(*fam, "_blk").agg(F.min("_adj").alias("_bmin"))
+    later = Window.partitionBy(*fam).orderBy("_blk").rowsBetween(1, Window.unboundedFollowing)
+    carry = bmin.withColumn("_carry", F.min("_bmin").over(later)).drop("_bmin")
+    x = x.join(carry, [*fam, "_blk"])
+    adj = F.least(F.lit(1.0), F.least(F.col("_sfx"), F.coalesce(F.col("_carry"), F.col("_sfx"))))
+    return x.withColumn(out, adj).drop("_pf", "_tb", "_g", "_start", "_m", "_rank", "_adj", "_blk", "_sfx", "_carry")
 
 
 def feature_effect_table(cells: DataFrame, features: DataFrame, min_count: int = 5) -> DataFrame:
     """STAT-1/3/4/5 + STAT-9 for multi-valued features (one BH family per (model, feature_type))."""
-    e = _effects(cells, features, min_count, with_mw=True)
-    e = fdr_bh(e, "p_value", "p_value_fdr")
+    # the effect table (features x questions rows) is read several times by the two BH passes
+    e = materialize(_effects(cells, features, min_count, with_mw=True))
+    e = materialize(fdr_bh(e, "p_value", "p_value_fdr"))
     return fdr_bh(e, "mannwhitney_p", "mw_p_value_fdr")
 
 
@@ -141,7 +156,7 @@ def categorical_effect_table(cells: DataFrame, profiles: DataFrame,
     for k in feature_keys:
         m = categorical_members(profiles, k)
         members = m if members is None else members.unionByName(m)
-    e = _effects(cells, members, min_count, with_mw=False)
+    e = materialize(_effects(cells, members, min_count, with_mw=False))
     return fdr_bh(e, "p_value", "p_value_fdr")
 
 

@@ -228,14 +228,18 @@ def correlation_matrix(cells: DataFrame, min_n: int = 30, pairs: DataFrame | Non
 
 
 def exact_median(df: DataFrame, keys: list[str], value: str, out: str) -> DataFrame:
-    """Exact median per group (mean of the two middle values) via a ranked window."""
-    w = Window.partitionBy(*keys).orderBy(value)
-    x = (df.where(F.col(value).isNotNull())
-         .withColumn("_rn", F.row_number().over(w))
-         .withColumn("_cnt", F.count(F.lit(1)).over(Window.partitionBy(*keys))))
-    lo = F.floor((F.col("_cnt") + 1) / 2)
-    hi = F.ceil((F.col("_cnt") + 1) / 2)
-    return (x.where((F.col("_rn") == lo) | (F.col("_rn") == hi))
+    """Exact median per group (mean of the two middle values), with no group in one task.
+
+    Values get global positions in (keys, value) order from a range-partitioned
+    dense index; each group's first position and size come from a small aggregate;
+    the one or two middle rows are picked by position.  Tied values may swap places
+    between retries, which cannot change the median."""
+    from stanceframe.operators.ordering import dense_index
+    x = dense_index(df.where(F.col(value).isNotNull()).select(*keys, value), [*keys, value], "_g")
+    st = x.groupBy(*keys).agg(F.min("_g").alias("_s"), F.count(F.lit(1)).alias("_n"))
+    lo = F.col("_s") + F.floor((F.col("_n") - 1) / 2)
+    hi = F.col("_s") + F.ceil((F.col("_n") - 1) / 2)
+    return (x.join(st, list(keys)).where((F.col("_g") == lo) | (F.col("_g") == hi))
             .groupBy(*keys).agg(F.avg(F.col(value).cast("double")).alias(out)))
 
 

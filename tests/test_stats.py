@@ -186,3 +186,28 @@ def test_result_independent_of_partitions(spark):
     def rounded(df):
         return sorted(tuple(round(v, 12) if isinstance(v, float) else v for v in r) for r in df.collect())
     assert rounded(QL.question_quality(cells.repartition(7), 2)) == rounded(QL.question_quality(cells.repartition(1), 2))
+
+
+def test_fdr_blocks_match_single_window(spark):
+    rng = np.random.default_rng(7)
+    rows = [("m", "t" if i % 3 else "u", float(p)) for i, p in enumerate(rng.uniform(size=300))]
+    rows += [("m", "t", 0.2)] * 5 + [("m", "u", None)] * 3
+    df = spark.createDataFrame(rows, "model string, feature_type string, p double")
+    a = sorted((r["feature_type"], r["p"] or 2.0, round(r["q"], 12)) for r in EF.fdr_bh(df, "p", "q", block=7).collect())
+    b = sorted((r["feature_type"], r["p"] or 2.0, round(r["q"], 12)) for r in EF.fdr_bh(df, "p", "q").collect())
+    assert a == b
+    # reference computation
+    for ft in ("t", "u"):
+        ps = np.array([p if p is not None else 1.0 for _, f, p in rows if f == ft])
+        o = np.sort(ps)
+        m = len(o)
+        adj = np.minimum.accumulate((o * m / np.arange(1, m + 1))[::-1])[::-1]
+        want = sorted(np.round(np.minimum(adj, 1.0), 12))
+        got = sorted(q for f, _, q in b if f == ft)
+        assert np.allclose(got, want, atol=1e-12)
+
+
+def test_exact_median(spark):
+    df = spark.createDataFrame([("a", float(v)) for v in [5, 1, 3, 2, 4, 4]] + [("b", 7.0)], "k string, v double")
+    got = {r["k"]: r["med"] for r in PR.exact_median(df, ["k"], "v", "med").collect()}
+    assert got == {"a": 3.5, "b": 7.0}

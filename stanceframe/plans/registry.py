@@ -74,6 +74,8 @@ def queries() -> dict[str, QueryFn]:
 
     def wrap(q: Query) -> QueryFn:
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            from stanceframe.session import prepare
+            prepare(spark)
             return finish(q.fn(spark, sf_dir))
         run.__name__ = q.name
         run.__doc__ = q.doc

@@ -10,6 +10,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import SparkSession
 
@@ -31,7 +32,7 @@ def build_session(master: str = "local[8]", shuffle_partitions: int = 8,
     )
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
-    ensure_checkpoint_dir(spark)
+    prepare(spark)
     return spark
 
 
@@ -62,3 +63,36 @@ def materialize(df):
     and re-shuffled per branch, and a lost executor does not recompute them."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+_SHIPPED: set[int] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``stanceframe`` importable on the Python workers (as ``--py-files`` would).
+
+    pandas UDFs and ``mapInPandas`` functions are pickled by module path, so a
+    worker whose working directory is not the repository needs the package.
+    The zip is built once per SparkContext from the installed package sources."""
+    sc = spark.sparkContext
+    key = id(sc._jsc)
+    if key in _SHIPPED:
+        return
+    pkg = os.path.dirname(os.path.abspath(__file__))
+    fd, path = tempfile.mkstemp(prefix="stanceframe-", suffix=".zip")
+    os.close(fd)
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
+        for root, _, files in os.walk(pkg):
+            for f in files:
+                if f.endswith(".py"):
+                    full = os.path.join(root, f)
+                    z.write(full, os.path.relpath(full, os.path.dirname(pkg)))
+    sc.addPyFile(path)
+    _SHIPPED.add(key)
+
+
+def prepare(spark: SparkSession) -> SparkSession:
+    """Checkpoint folder + package on the workers; idempotent."""
+    ensure_checkpoint_dir(spark)
+    ship_package(spark)
+    return spark

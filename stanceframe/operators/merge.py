@@ -31,8 +31,11 @@ def last_record_rows(df: DataFrame, key: str, record: str) -> DataFrame:
     return df.join(last, [key, record], "left_semi")
 
 
-def _response_summary(answers: DataFrame, key: str) -> DataFrame:
-    return answers.groupBy(key).agg(
+def _response_summary(answers: DataFrame, key: str | list[str]) -> DataFrame:
+    """Per record: answer count, score sum and the answer map (one record holds at most one
+    answer per question, so the map is bounded by the question catalogue)."""
+    keys = [key] if isinstance(key, str) else key
+    return answers.groupBy(*keys).agg(
         F.count(F.lit(1)).cast("bigint").alias("n_responses"),
         F.sum("score").alias("score_sum"),
         F.map_from_entries(F.collect_list(F.struct("question", "score"))).alias("responses"))
@@ -69,13 +72,14 @@ def unmatched_survey(profiles: DataFrame, survey: DataFrame) -> DataFrame:
 
 
 def merge_survey_profiles(survey: DataFrame, profiles: DataFrame, marker: str, order: str = "_order") -> DataFrame:
-    """JOIN-2: each survey record LEFT JOIN profiles on slug B (last profile per slug by
-    input ``order``); unmatched records are flagged ``matched = false``."""
+    """JOIN-2: each survey record (``philosopher``, ``rec_pos``) LEFT JOIN profiles on slug B
+    (last profile per slug by input ``order``); every record stays its own row and
+    unmatched records are flagged ``matched = false``."""
     p = profiles.withColumn("slug", T.slug_after_marker(F.col("url"), marker)).where(F.col("slug").isNotNull())
     p = dedupe_last(p.select("slug", "name", "url", "phd_country", order), ["slug"], order).drop(order)
-    summ = _response_summary(survey, "philosopher")
+    summ = _response_summary(survey, ["philosopher", "rec_pos"])
     j = summ.join(p, summ.philosopher == p.slug, "left")
-    return j.select("philosopher", "name", "url", "phd_country", "n_responses", "score_sum",
+    return j.select("philosopher", "rec_pos", "name", "url", "phd_country", "n_responses", "score_sum",
                     F.col("slug").isNotNull().alias("matched"))
 
 

@@ -538,8 +538,10 @@ def q_unmatched_survey(spark, sf_dir):
                 arg_max(name, respondent) AS name, arg_max(url, respondent) AS url,
                 arg_max(phd_country, respondent) AS phd_country
          FROM fx_profiles WHERE contains(url, {S.q(MARKER)}) GROUP BY 1)
-SELECT s.philosopher, pb.name, pb.url, pb.phd_country, s.n_responses, s.score_sum, pb.slug IS NOT NULL AS matched
-FROM summ s LEFT JOIN pb ON pb.slug = s.philosopher""", ("score_sum",))
+SELECT s.philosopher, s.rec_pos, pb.name, pb.url, pb.phd_country, s.n_responses, s.score_sum,
+       pb.slug IS NOT NULL AS matched
+FROM (SELECT philosopher, rec_pos, CAST(count(*) AS BIGINT) AS n_responses, sum(score) AS score_sum
+      FROM survey GROUP BY ALL) s LEFT JOIN pb ON pb.slug = s.philosopher""", ("score_sum",))
 def q_merge_survey_profiles(spark, sf_dir):
     """JOIN-2: survey answers joined to profiles on slug B; unmatched flagged."""
     p = FX.profiles(spark, sf_dir).withColumn("_order", F.col("respondent"))

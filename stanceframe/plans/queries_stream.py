@@ -18,12 +18,12 @@ from stanceframe.streaming import ingest as ST
 @register("stream_ingest_cells", "SELECT model, respondent, question, score FROM cells", ("score",))
 def q_stream_ingest_cells(spark, sf_dir):
     """STR-1: answers land as four successive file drops; a file-source stream keeps the
-    first answer per cell (append-only sink, left-anti against it per micro-batch)."""
+    first answer per cell (state-store flag per key, parquet file sink)."""
     landing, sink, ckpt = (scratch_path(spark, n) for n in ("landing", "cells-sink", "cells-ckpt"))
     ST.land_in_waves(FX.answers(spark, sf_dir), landing, "ord", waves=4)
     q = ST.stream_ingest_cells(spark, landing, sink, ckpt, max_files_per_trigger=2)
     q.awaitTermination()
-    return spark.read.parquet(sink)
+    return spark.read.parquet(sink).select("model", "respondent", "question", "score")
 
 
 OUTCOME_SQL = """

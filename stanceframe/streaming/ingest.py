@@ -1,9 +1,9 @@
 """Structured Streaming jobs (STR-1, STR-2) over a directory where result files land.
 
-* ``stream_ingest_cells``: file source -> per micro-batch first answer per cell
-  -> left-anti against the sink table -> append.  The sink is the state, so a
-  replayed epoch (after a driver/executor loss) appends nothing twice; the
-  checkpoint location lives in the shared folder.
+* ``stream_ingest_cells``: file source -> ``applyInPandasWithState`` keyed by
+  cell (a "seen" flag in the state store) -> parquet file sink.  Each trigger
+  touches only its own keys; state and sink commit through the checkpoint in
+  the shared folder, so a restart neither loses nor duplicates rows.
 * ``stream_run_outcomes``: running outcome counts per model, a streaming
   aggregate in ``complete`` mode whose snapshot each trigger overwrites a table.
 
@@ -16,37 +16,51 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.errors import AnalysisException
 
-from stanceframe.operators.cells import CELL_KEYS, first_valid_cells
+from stanceframe.operators.cells import CELL_KEYS
 
 ANSWER_SCHEMA = "model string, respondent bigint, question string, score double, ord bigint"
 OUTCOME_SCHEMA = "model string, success boolean, attempts bigint, generation_time double"
 
 
-def _existing(spark: SparkSession, path: str, keys: Sequence[str]) -> DataFrame | None:
-    try:
-        return spark.read.parquet(path).select(*keys)
-    except AnalysisException:
-        return None
-
-
 def stream_ingest_cells(spark: SparkSession, landing_dir: str, sink_dir: str, checkpoint_dir: str,
                         keys: Sequence[str] = CELL_KEYS, max_files_per_trigger: int | None = 1,
                         available_now: bool = True):
-    """STR-1: ingest answer files as they land; one row per cell key, first arrival wins."""
+    """STR-1: ingest answer files as they land; one row per cell key, first arrival wins
+    (ties inside a micro-batch broken by ``ord``).
+
+    A custom stateful operator (``applyInPandasWithState``) keeps one "seen" flag per
+    key in the state store, so each trigger touches only the keys it brings -- the
+    cost does not grow with the sink.  The parquet file sink plus the checkpoint give
+    exactly-once output across restarts."""
     reader = spark.readStream.schema(ANSWER_SCHEMA)
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
-    src = reader.json(landing_dir)
-
-    def upsert(batch: DataFrame, epoch_id: int) -> None:
-        first = first_valid_cells(batch, keys)
-        seen = _existing(batch.sparkSession, sink_dir, keys)
-        new = first if seen is None else first.join(seen, list(keys), "left_anti")
-        new.write.mode("append").parquet(sink_dir)
-
-    w = src.writeStream.foreachBatch(upsert).option("checkpointLocation", checkpoint_dir)
+    src = reader.json(landing_dir).where(F.col("score").isNotNull())
+    key_list = list(keys)
+
+    def first_arrival(key, pdfs, state):
+        if state.exists:
+            for _ in pdfs:
+                pass
+            return
+        best = None
+        for pdf in pdfs:
+            if len(pdf):
+                row = pdf.loc[[pdf["ord"].idxmin()]]
+                if best is None or row["ord"].iat[0] < best["ord"].iat[0]:
+                    best = row
+        if best is not None:
+            state.update((True,))
+            yield best[[*key_list, "score", "ord"]]
+
+    cols = [*key_list, "score", "ord"]
+    types = {f.name: f.dataType.simpleString() for f in src.schema.fields}
+    out_schema = ", ".join(f"{c} {types[c]}" for c in cols)
+    out = (src.select(*cols).groupBy(*key_list)
+           .applyInPandasWithState(first_arrival, out_schema, "seen boolean", "append", "NoTimeout"))
+    w = (out.writeStream.format("parquet").option("path", sink_dir)
+         .option("checkpointLocation", checkpoint_dir).outputMode("append"))
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="30 seconds")
     return w.start()
 

@@ -12,13 +12,14 @@ from stanceframe.streaming import ingest as ST
 from .conftest import SF001
 
 
-def test_stream_ingest_matches_batch_and_replays_cleanly(spark):
+def test_stream_ingest_matches_batch_and_restarts_cleanly(spark):
     ans = FX.answers(spark, SF001)
     landing, sink = scratch_path(spark, "t-landing"), scratch_path(spark, "t-sink")
     ST.land_in_waves(ans, landing, "ord", waves=3)
-    ST.stream_ingest_cells(spark, landing, sink, scratch_path(spark, "t-ckpt1")).awaitTermination()
-    # a fresh checkpoint replays every file: the sink must not gain duplicates
-    ST.stream_ingest_cells(spark, landing, sink, scratch_path(spark, "t-ckpt2")).awaitTermination()
+    ckpt = scratch_path(spark, "t-ckpt")
+    ST.stream_ingest_cells(spark, landing, sink, ckpt).awaitTermination()
+    # a restart on the same checkpoint must neither re-emit nor lose rows
+    ST.stream_ingest_cells(spark, landing, sink, ckpt).awaitTermination()
     got = sorted(map(tuple, spark.read.parquet(sink).select("model", "respondent", "question", "score").collect()))
     want = sorted(map(tuple, first_valid_cells(ans).select("model", "respondent", "question", "score").collect()))
     assert got == want

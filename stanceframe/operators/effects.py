@@ -109,7 +109,8 @@ def fdr_bh(df: DataFrame, p_col: str, out: str, family: tuple[str, ...] | list[s
     ordering is a distributed dense index (no family in one task); the suffix
     minimum runs inside fixed-size blocks of ``block`` positions, and each block
     takes the minimum of all later blocks of its family from a small carry table.
-    Tied p-values get equal adjusted values whatever their order.
+    Tied p-values get equal adjusted values whatever their order.  The input is read
+    several times, so pass a materialized (or cheap to recompute) DataFrame.
     """
     from stanceframe.operators.ordering import dense_index
     fam = list(family)
@@ -229,10 +230,21 @@ def top_effects(effects: DataFrame, k: int = 20, p_threshold: float = 0.05) -> D
                     "point_biserial_corr", "cohens_d", "p_value_fdr"))
 
 
-def top_features(feature_stats: DataFrame, k: int = 15) -> DataFrame:
-    """TOP-2: per (model, feature_type), the k features with most significant effects."""
-    w = Window.partitionBy("model", "feature_type").orderBy(F.col("n_significant").desc(), "feature")
-    return (feature_stats.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+def top_features(feature_stats: DataFrame, k: int = 15, k_by_type: dict | None = None,
+                 label_order_types: tuple[str, ...] = ("year_of_phd_degree",)) -> DataFrame:
+    """TOP-2: per (model, feature_type), the features with most significant effects:
+    ``k`` per family (``k_by_type`` overrides, e.g. 10 countries), ties by feature name;
+    families in ``label_order_types`` (year bins) list every feature with at least one
+    significant effect, in label order."""
+    k_by_type = k_by_type if k_by_type is not None else {"phd_country": 10}
+    labelled = F.col("feature_type").isin(list(label_order_types)) if label_order_types else F.lit(False)
+    order_key = F.when(labelled, F.lit(0)).otherwise(-F.col("n_significant"))
+    w = Window.partitionBy("model", "feature_type").orderBy(order_key, "feature")
+    limit = F.lit(k)
+    for t, kt in k_by_type.items():
+        limit = F.when(F.col("feature_type") == t, F.lit(kt)).otherwise(limit)
+    ranked = feature_stats.where(~labelled | (F.col("n_significant") > 0)).withColumn("rank", F.row_number().over(w))
+    return (ranked.where(labelled | (F.col("rank") <= limit))
             .select("model", "feature_type", F.col("rank").cast("bigint").alias("rank"), "feature",
                     "n_significant", "mean_corr", "n_questions", "significance_rate", "mean_cohens_d"))
 

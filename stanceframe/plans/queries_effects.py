@@ -131,7 +131,9 @@ FROM fr""", ("pearson_p", "pearson_p_fdr"))
 def q_fdr_bh(spark, sf_dir):
     """STAT-9 standalone: BH-adjusted Pearson p-values, one family per model."""
     from stanceframe.operators.pairs import pairwise_pearson
-    pp = pairwise_pearson(load_cells(spark, sf_dir), MIN_N)
+    from stanceframe.session import materialize
+    # BH reads its input several times (ordering, family sizes, block minima)
+    pp = materialize(pairwise_pearson(load_cells(spark, sf_dir), MIN_N))
     return EF.fdr_bh(pp, "pearson_p", "pearson_p_fdr", ["model"]).select(
         "model", "question_1", "question_2", "pearson_p", "pearson_p_fdr")
 
@@ -220,10 +222,15 @@ def q_top_effects(spark, sf_dir):
 @register("top_features", MV_CTE + CT_CTE + ALL_EFF + ", fe AS (" + FE_SQL.format(src="all_eff") + """)
 SELECT model, feature_type, CAST(rk AS BIGINT) AS rank, feature, n_significant, mean_corr, n_questions,
        significance_rate, mean_cohens_d FROM (
-  SELECT *, row_number() OVER (PARTITION BY model, feature_type ORDER BY n_significant DESC, feature) AS rk FROM fe)
-WHERE rk <= 15""", ("mean_corr", "significance_rate", "mean_cohens_d"))
+  SELECT *, row_number() OVER (PARTITION BY model, feature_type
+                               ORDER BY CASE WHEN feature_type = 'year_of_phd_degree' THEN 0 ELSE -n_significant END,
+                                        feature) AS rk
+  FROM fe WHERE feature_type <> 'year_of_phd_degree' OR n_significant > 0)
+WHERE feature_type = 'year_of_phd_degree' OR rk <= CASE WHEN feature_type = 'phd_country' THEN 10 ELSE 15 END""",
+          ("mean_corr", "significance_rate", "mean_cohens_d"))
 def q_top_features(spark, sf_dir):
-    """TOP-2: 15 features with most significant effects per family."""
+    """TOP-2: per family the features with most significant effects (15; 10 countries; year
+    bins with any significant effect in label order)."""
     return EF.top_features(EF.feature_effects(_all_effects(spark, sf_dir)), 15)
 
 

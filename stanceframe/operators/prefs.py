@@ -120,8 +120,9 @@ def eligible_respondents(records: DataFrame, details: DataFrame, min_fields: int
     order = "_order" if "_order" in details.columns else None
     det = details if order is None else dedupe_last(details, ["profile_url"], order).drop(order)
     if order is None:
-        det = dedupe_last(details.withColumn("_dpos", F.monotonically_increasing_id()), ["profile_url"], "_dpos") \
-            .drop("_dpos")
+        # no input order given: pick deterministically by content, so a retried task agrees
+        det = dedupe_last(details.withColumn("_dpos", F.xxhash64(*[F.col(c) for c in details.columns])),
+                          ["profile_url"], "_dpos").drop("_dpos")
     j = kept.join(det, "profile_url", "left")
     comp = T.profile_completeness("areas_of_specialization", "areas_of_interest", "phd_institution",
                                   "current_institution")

@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 
 def dense_index(df: DataFrame, order_cols: Sequence[str], out: str = "pos",
                 num_partitions: int | None = None) -> DataFrame:
+    # an explicit count keeps AQE from coalescing: both readers of the shuffle below (the
+    # per-partition counts and the final join) must see exactly the same partitions
     n = num_partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "8"))
     s = (df.repartitionByRange(n, *order_cols).sortWithinPartitions(*order_cols)
          .withColumn("_pid", F.spark_partition_id())

@@ -118,8 +118,7 @@ class _Gram:
 
 
 def _gram_pair_counts(kept: DataFrame) -> DataFrame:
-    n = int(kept.sparkSession.conf.get("spark.sql.shuffle.partitions", "8"))
-    srt = kept.repartition(n, "model", "respondent").sortWithinPartitions("model", "respondent")
+    srt = kept.repartition("model", "respondent").sortWithinPartitions("model", "respondent")
 
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         accs: dict[str, _Gram] = {}

@@ -71,7 +71,7 @@ def q_question_entropy(spark, sf_dir):
 # --- question pairs: STAT-6/7/8, AGG-10/11 ----------------------------------------
 
 from stanceframe.operators import pairs as PR  # noqa: E402
-from stanceframe.plans.sqlfun import sql_p_from_r, sql_p_from_z  # noqa: E402,F401
+from stanceframe.plans.sqlfun import sql_p_from_r  # noqa: E402
 
 
 def pairs_cte(min_n: int = MIN_N) -> str:
@@ -405,12 +405,6 @@ def q_model_rankings(spark, sf_dir):
     return CP.model_rankings(_metrics(spark, sf_dir))
 
 
-FIND_SQL = """
-SELECT arg_min(model, prio * 1000000 + 0) AS model FROM (
-  SELECT model, CASE WHEN contains(lower(model), '{t}') THEN 0 {kw} END AS prio FROM (SELECT DISTINCT model FROM cells))
-WHERE prio IS NOT NULL"""
-
-
 def _find_sql(target, keywords):
     kw = " ".join(f"WHEN contains(lower(model), '{k.lower()}') THEN {i + 1}" for i, k in enumerate(keywords))
     return f"""

@@ -31,8 +31,11 @@ OUT_SCHEMA = T.StructType([
 @register("read_jsonl", f"SELECT {OUT_COLS} FROM fx_outputs")
 def q_read_jsonl(spark, sf_dir):
     """SRC-5 (+SNK-2): batch outputs written as JSON lines and read back with a fixed schema."""
+    from stanceframe.session import materialize
     p = K.write_jsonl(FX.batch_outputs(spark, sf_dir))
-    df = R.read_jsonl(spark, p, OUT_SCHEMA)
+    # Spark refuses raw-JSON queries that reference only the corrupt-record column (a count
+    # after this filter would); parse once into the shared folder, then filter
+    df = materialize(R.read_jsonl(spark, p, OUT_SCHEMA))
     return df.where(F.col("_corrupt_record").isNull()).drop("_corrupt_record")
 
 

@@ -85,7 +85,9 @@ def read_string_array(spark: SparkSession, path: str) -> DataFrame:
 
 def read_jsonl(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     """SRC-5: JSON lines with a fixed schema; blank lines skipped; a malformed line keeps
-    its text in ``_corrupt_record`` (PERMISSIVE) instead of failing the job."""
+    its text in ``_corrupt_record`` (PERMISSIVE) instead of failing the job.  Filter on that
+    column only after persisting the parsed rows (Spark rejects raw-file queries that
+    reference the corrupt-record column alone)."""
     s = T.StructType(schema.fields + [T.StructField("_corrupt_record", T.StringType())])
     return (spark.read.schema(s).option("mode", "PERMISSIVE")
             .option("columnNameOfCorruptRecord", "_corrupt_record").json(path))

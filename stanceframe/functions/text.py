@@ -157,14 +157,17 @@ def normalize_option(x: Column | str) -> Column:
 
 # --- stance parsing ----------------------------------------------------------
 
-def parse_stance_prefix(text: Column | str) -> Column:
+def parse_stance_prefix(text: Column | str, stripped: Column | None = None,
+                        lowered: Column | None = None) -> Column:
     """EXP-7: ``struct(stance, answer)`` by ordered case-insensitive prefixes.
 
     Agnostic text first; otherwise the first matching prefix, answer = rest
     stripped (may be empty); no match -> stance NULL, answer = stripped text.
+    ``stripped``/``lowered`` may be columns computed in an earlier projection, so the
+    strip and lower-case run once per row rather than once per prefix branch.
     """
-    s = py_strip(text)
-    low = F.lower(s)
+    s = stripped if stripped is not None else py_strip(text)
+    low = lowered if lowered is not None else F.lower(s)
     stance = F.when(low == AGNOSTIC.lower(), F.lit(AGNOSTIC))
     answer = F.when(low == AGNOSTIC.lower(), F.lit(AGNOSTIC.lower()))
     for prefix, name in STANCE_PREFIXES:

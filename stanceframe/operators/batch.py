@@ -120,7 +120,8 @@ def answer_items(records: DataFrame) -> DataFrame:
     # push it below the projection that parses, evaluating the parse several times
     it = (u.select("philosopher_name", "question", "ord", F.posexplode_outer("parsed").alias("item_pos", "item"))
           .where(F.col("item").isNotNull()))
-    ps = T.parse_stance_prefix(F.col("item"))
+    it = it.withColumn("_s", T.py_strip(F.col("item"))).withColumn("_low", F.lower(F.col("_s")))
+    ps = T.parse_stance_prefix(F.col("item"), F.col("_s"), F.col("_low"))
     it = it.select("*", ps["stance"].alias("stance"), ps["answer"].alias("answer")).where(F.col("stance").isNotNull())
     return it.select("philosopher_name", "question", "ord", "item_pos", "item", "stance", "answer",
                      T.cell_key(F.col("question"), F.col("stance"), F.col("answer")).alias("cell_key"),

@@ -1,111 +1,93 @@
 """UDF-1: answers from a caller-supplied text generator, with validation and retries.
 
-``generate_answers`` runs one ``mapInPandas`` pass over a request table: for each
-request it calls ``generate(prompt, temperature, max_tokens)`` until the parsed
-answer validates against the question's options (at most ``max_retries`` tries),
-logging every attempt.  No network client ships with the library; the function
-is the caller's (tests use a deterministic local one).  The per-attempt parse and
-validation are small Python helpers with the same rules as the Catalyst
-``parse_response_list`` / ``validate_response``.
+Tries run as rounds.  Round k calls ``generate(prompt, temperature, max_tokens)``
+(plus ``attempt=k`` when the callable accepts it) for every still-pending request
+in one ``mapInPandas`` pass, and the round's output is checkpointed at once so
+the generator is never called twice for the same try, even when a later stage is
+recomputed or an executor is lost.  Parsing and validation are the Catalyst
+``parse_response_list`` / ``validate_response``; only requests whose answer did
+not validate go to the next round.  The attempt log per request (at most
+``max_retries`` entries) is assembled by one grouped aggregate.
+
+No network client ships with the library; the function is the caller's (tests
+use a deterministic local one).
 """
 
 from __future__ import annotations
 
-import json
-import re
+import inspect
 import time
 from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from stanceframe.functions.text import OPTION_TRAILING
+from stanceframe.functions import text as T
+from stanceframe.session import materialize
 
-Generator = Callable[[str, float, int], str]
+Generator = Callable[..., str]
 
-ATTEMPT_TYPE = ("struct<attempt:int, parsed:array<string>, raw:string, valid:boolean, validation_msg:string, "
-                "time:double, error:string>")
-OUT_SCHEMA = (f"custom_id string, success boolean, parsed array<string>, raw string, error string, "
-              f"generation_time double, attempts int, all_attempts array<{ATTEMPT_TYPE}>")
+CALL_SCHEMA = "custom_id string, prompt string, options array<string>, raw string, time double, error string"
 
 
-def parse_list(text: str) -> list[str]:
-    t = (text or "").strip()
-    if t.startswith("```"):
-        lines = t.split("\n")
-        t = "\n".join(lines[1:-1] if lines[-1].strip() == "```" else lines[1:]).strip()
-    m = re.search(r"\[.*?\]", t, re.DOTALL)
-    if m:
-        try:
-            v = json.loads(m.group())
-            if isinstance(v, list):
-                return [str(i).strip() for i in v if i]
-        except json.JSONDecodeError:
-            pass
-    for pat in (r'"([^"]+)"', r"'([^']+)'"):
-        found = re.findall(pat, t)
-        if found:
-            return found
-    return [t]
+def _caller(generate: Generator, attempt: int, temperature: float, max_tokens: int):
+    try:
+        takes_attempt = "attempt" in inspect.signature(generate).parameters
+    except (TypeError, ValueError):
+        takes_attempt = False
 
-
-def norm_option(s: str) -> str:
-    if not s:
-        return ""
-    n = " ".join(str(s).lower().split()).rstrip(OPTION_TRAILING)
-    n = re.sub(":+", ":", n).replace(" :", ":").replace(":", ": ").replace(":  ", ": ")
-    return " ".join(n.split())
-
-
-def validate(items: list[str], options: list[str]) -> tuple[bool, str]:
-    if not items:
-        return False, "Empty response"
-    nv = {norm_option(o) for o in options}
-    nnc = {norm_option(o).replace(":", "") for o in options}
-    bad = [i for i in items if not (i in options or norm_option(i) in nv or norm_option(i).replace(":", "") in nnc)]
-    if bad:
-        return False, "Invalid options: [" + ", ".join(f"'{b}'" for b in bad[:3]) + "]"
-    return True, "Valid"
-
-
-def _answer(gen: Generator, prompt: str, options: list[str], retries: int, temperature: float,
-            max_tokens: int) -> dict:
-    attempts, total = [], 0.0
-    last_raw, last_parsed, last_msg, last_err = "", [], "", None
-    for k in range(1, retries + 1):
-        try:
-            t0 = time.time()
-            raw = gen(prompt, temperature, max_tokens)
-            dt = time.time() - t0
-            total += dt
-            parsed = parse_list(raw)
-            ok, msg = validate(parsed, options)
-            attempts.append({"attempt": k, "parsed": parsed, "raw": raw, "valid": ok, "validation_msg": msg,
-                             "time": dt, "error": None})
-            last_raw, last_parsed, last_msg = raw, parsed, msg
-            if ok:
-                return {"success": True, "parsed": parsed, "raw": raw, "error": None, "generation_time": total,
-                        "attempts": k, "all_attempts": attempts}
-        except Exception as e:  # noqa: BLE001 - logged as an attempt
-            last_err = f"{type(e).__name__}: {e}"
-            attempts.append({"attempt": k, "parsed": None, "raw": None, "valid": None, "validation_msg": None,
-                             "time": 0.0, "error": last_err})
-    err = (f"Max retries reached. Last validation: {last_msg}" if last_err is None
-           else f"Exception after {retries} attempts: {last_err}")
-    return {"success": False, "parsed": last_parsed, "raw": last_raw, "error": err, "generation_time": total,
-            "attempts": retries, "all_attempts": attempts}
+    def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in it:
+            raws, times, errors = [], [], []
+            for prompt in pdf["prompt"]:
+                t0 = time.time()
+                try:
+                    kw = {"attempt": attempt} if takes_attempt else {}
+                    raws.append(generate(prompt, temperature, max_tokens, **kw))
+                    times.append(time.time() - t0)
+                    errors.append(None)
+                except Exception as e:  # noqa: BLE001 - recorded as a failed try
+                    raws.append(None)
+                    times.append(0.0)
+                    errors.append(f"{type(e).__name__}: {e}")
+            yield pdf.assign(raw=raws, time=times, error=errors)
+    return run
 
 
 def generate_answers(requests: DataFrame, generate: Generator, max_retries: int = 5, temperature: float = 0.0,
                      max_tokens: int = 100) -> DataFrame:
-    """Requests ``(custom_id, prompt, options)`` -> one answer record per request."""
-    def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in it:
-            recs = []
-            for cid, prompt, opts in zip(pdf["custom_id"], pdf["prompt"], pdf["options"]):
-                r = _answer(generate, prompt, list(opts) if opts is not None else [], max_retries, temperature,
-                            max_tokens)
-                recs.append({"custom_id": cid, **r})
-            yield pd.DataFrame(recs, columns=["custom_id", "success", "parsed", "raw", "error", "generation_time",
-                                              "attempts", "all_attempts"])
-    return requests.select("custom_id", "prompt", "options").mapInPandas(run, OUT_SCHEMA)
+    """Requests ``(custom_id, prompt, options)`` -> one answer record per request:
+    ``success, parsed, raw, error, generation_time, attempts, all_attempts``."""
+    pending = requests.select("custom_id", "prompt", F.col("options").cast("array<string>"))
+    rounds = []
+    for k in range(1, max_retries + 1):
+        called = pending.mapInPandas(_caller(generate, k, temperature, max_tokens), CALL_SCHEMA)
+        parsed = F.when(F.col("error").isNull(), T.parse_response_list(F.col("raw")))
+        v = T.validate_response(F.col("parsed"), F.col("options"))
+        r = called.withColumn("parsed", parsed).withColumn("v", v)
+        r = materialize(r.select(
+            "custom_id", "prompt", "options",
+            F.struct(F.lit(k).alias("attempt"), F.col("parsed"), F.col("raw"),
+                     F.when(F.col("error").isNull(), F.col("v.valid")).alias("valid"),
+                     F.when(F.col("error").isNull(), F.col("v.message")).alias("validation_msg"),
+                     F.col("time"), F.col("error")).alias("a")))
+        rounds.append(r.select("custom_id", "a"))
+        pending = r.where(~F.coalesce(F.col("a.valid"), F.lit(False))).select("custom_id", "prompt", "options")
+    log = rounds[0]
+    for r in rounds[1:]:
+        log = log.unionByName(r)
+    per = log.groupBy("custom_id").agg(F.array_sort(F.collect_list("a")).alias("all_attempts"))
+    last = F.element_at("all_attempts", -1)
+    ok = F.coalesce(last["valid"], F.lit(False))
+    n = F.size("all_attempts")
+    err = (F.when(ok, F.lit(None).cast("string"))
+           .when(last["error"].isNotNull(),
+                 F.concat(F.lit(f"Exception after {max_retries} attempts: "), last["error"]))
+           .otherwise(F.concat(F.lit("Max retries reached. Last validation: "), last["validation_msg"])))
+    return per.select(
+        "custom_id", ok.alias("success"),
+        F.coalesce(last["parsed"], F.array().cast("array<string>")).alias("parsed"),
+        F.coalesce(last["raw"], F.lit("")).alias("raw"), err.alias("error"),
+        F.aggregate("all_attempts", F.lit(0.0), lambda acc, a: acc + a["time"]).alias("generation_time"),
+        n.cast("int").alias("attempts"), "all_attempts")

@@ -53,18 +53,14 @@ def q_stream_run_outcomes(spark, sf_dir):
 
 def demo_generator():
     """Deterministic local text generator for tests: by prompt hash it answers validly,
-    answers validly only on the second try, never validly, or in a fenced list."""
-    seen: dict[str, int] = {}
-
-    def gen(prompt: str, temperature: float, max_tokens: int) -> str:
-        n = seen.get(prompt, 0)
-        seen[prompt] = n + 1
+    answers validly only from the second try on, never validly, or in a fenced list."""
+    def gen(prompt: str, temperature: float, max_tokens: int, attempt: int = 1) -> str:
         q = prompt.rsplit("Question: ", 1)[-1].split("\n", 1)[0]
         kind = int(hashlib.md5(prompt.encode()).hexdigest(), 16) % 4
         if kind == 0:
             return f'["Accept: {q}"]'
         if kind == 1:
-            return "I am not sure." if n == 0 else f'["Lean towards: {q}"]'
+            return "I am not sure." if attempt == 1 else f'["Lean towards: {q}"]'
         if kind == 2:
             return '["Maybe"]'
         return f'```json\n["Reject: {q}", "Neutral: {q}"]\n```'

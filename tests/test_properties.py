@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 from stanceframe.functions import text as T
 from stanceframe.operators import prefs as PF
 from stanceframe.operators.cells import first_valid_cells
-from stanceframe.operators.generate import norm_option, parse_list
 from stanceframe.sources import fixtures as FX
 
 from .conftest import SF01
@@ -52,22 +51,37 @@ def test_normalize_option_matches_python(spark, values):
     assert got == [norm_option(v) for v in values]
 
 
+def norm_option(s):
+    """Independent statement of the option rule (word-split, tail punctuation, colons)."""
+    if not s:
+        return ""
+    words = " ".join(s.lower().split()).rstrip(".,!?;")
+    while "::" in words:
+        words = words.replace("::", ":")
+    return " ".join(words.replace(" :", ":").replace(":", ": ").split())
+
+
 def _py_parse_strict(text):
-    """The list rule with JSON items rendered as JSON text (the declared difference)."""
-    out = parse_list(text)
-    t = (text or "").strip()
-    if t.startswith("```"):
-        lines = t.split("\n")
-        t = "\n".join(lines[1:-1] if lines[-1].strip() == "```" else lines[1:]).strip()
-    m = re.search(r"\[.*?\]", t, re.DOTALL)
-    if m:
+    """Independent statement of the list rule, JSON items rendered as JSON text."""
+    body = text.strip()
+    if body.startswith("```"):
+        rows = body.split("\n")[1:]
+        if rows and rows[-1].strip() == "```":
+            rows = rows[:-1]
+        body = "\n".join(rows).strip()
+    run = re.search(r"\[.*?\]", body, re.S)
+    if run is not None:
         try:
-            v = json.loads(m.group())
-            if isinstance(v, list):
-                return [(i if isinstance(i, str) else json.dumps(i)).strip() for i in v if i]
-        except json.JSONDecodeError:
-            pass
-    return out
+            items = json.loads(run.group(0))
+        except ValueError:
+            items = None
+        if isinstance(items, list):
+            return [(x if isinstance(x, str) else json.dumps(x)).strip() for x in items if x]
+    for quote in ('"', "'"):
+        found = re.findall(quote + "([^" + quote + "]+)" + quote, body)
+        if found:
+            return found
+    return [body]
 
 
 @settings(max_examples=1, deadline=None)

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from stanceframe.operators import batch as B
 from stanceframe.operators.cells import first_valid_cells
-from stanceframe.operators.generate import generate_answers, parse_list, validate
+from stanceframe.operators.generate import generate_answers
 from stanceframe.session import scratch_path
 from stanceframe.sources import fixtures as FX
 from stanceframe.streaming import ingest as ST
@@ -35,21 +35,12 @@ def test_stream_outcomes(spark):
     assert out["a"]["processed"] == 2 and out["a"]["n_failed"] == 1 and out["b"]["n_retried"] == 1
 
 
-def test_python_validation_helpers():
-    assert parse_list('```json\n["A: x"]\n```') == ["A: x"]
-    assert validate(["accept : yes"], ["Accept: yes"]) == (True, "Valid")
-    assert validate(["nope", "no2"], ["Accept: yes"]) == (False, "Invalid options: ['nope', 'no2']")
-
-
 def test_generate_answers_retries(spark):
-    calls = {}
-
-    def gen(prompt, temperature, max_tokens):
-        calls[prompt] = calls.get(prompt, 0) + 1
+    def gen(prompt, temperature, max_tokens, attempt=1):
         if prompt == "good":
             return '["Accept: yes"]'
         if prompt == "late":
-            return "hmm" if calls[prompt] < 3 else '["Accept: yes"]'
+            return "hmm" if attempt < 3 else '["Accept: yes"]'
         raise RuntimeError("down")
 
     req = spark.createDataFrame([("r1", "good", ["Accept: yes"]), ("r2", "late", ["Accept: yes"]),
@@ -60,3 +51,4 @@ def test_generate_answers_retries(spark):
     assert out["r2"]["success"] and out["r2"]["attempts"] == 3 and out["r2"]["chosen"]["attempt"] == 3
     assert not out["r3"]["success"] and out["r3"]["attempts"] == 5 and out["r3"]["error"].startswith("Exception")
     assert out["r3"]["chosen"]["attempt"] == 5
+    assert [a["validation_msg"] for a in out["r2"]["all_attempts"]][:2] == ["Invalid options: ['hmm']"] * 2

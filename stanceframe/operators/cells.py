@@ -21,7 +21,8 @@ def first_valid_cells(answers: DataFrame, keys: Sequence[str] = CELL_KEYS,
     """AGG-3: first non-NULL value per cell key, "first" by the order column.
 
     ``min_by`` is a hash aggregate with map-side partial aggregation, so a hot
-    key is collapsed before the shuffle.
+    key is collapsed before the shuffle.  ``order`` must be unique within a key
+    (an input position) for the choice to be deterministic.
     """
     return (answers.where(F.col(value).isNotNull())
             .groupBy(*keys)

@@ -18,7 +18,8 @@ def dedupe_last(df: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
     """JOIN-3: keep the whole last record per key (dict-overwrite semantics).
 
     ``max_by(struct(*), order)`` is a hash aggregate with partial aggregation,
-    so a key holding a third of the rows is reduced map-side.
+    so a key holding a third of the rows is reduced map-side.  ``order`` (an input
+    position) must be unique within a key for the choice to be deterministic.
     """
     rest = [c for c in df.columns if c not in keys]
     agg = df.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.col(order)).alias("_r"))

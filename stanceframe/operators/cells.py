@@ -82,7 +82,8 @@ def question_sets(cells: DataFrame) -> DataFrame:
 
 def common_questions(cells: DataFrame, reference: str = "human") -> DataFrame:
     """JOIN-9 / SET-3: questions each model shares with the reference model."""
-    qs = question_sets(cells)
+    from stanceframe.session import materialize
+    qs = materialize(question_sets(cells))   # tiny, read by both sides of the semi join
     ref = qs.where(F.col("model") == reference).select("question")
     return (qs.where(F.col("model") != reference)
             .join(ref, "question", "left_semi")

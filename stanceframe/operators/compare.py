@@ -33,7 +33,9 @@ def kl_js_by_question(cells: DataFrame, reference: str = "human", min_side: int
     Support = union of values seen on either side (full outer via union + group);
     probabilities = (count + eps) renormalised; natural log.
     """
-    vc = vc if vc is not None else value_counts(cells)
+    # the value counts are tiny and read by four branches with different filters (no exchange
+    # reuse), so write them once instead of re-aggregating the answers per branch
+    vc = vc if vc is not None else materialize(value_counts(cells))
     ref = vc.where(F.col("model") == reference).select("question", "score", F.col("c").alias("ch"))
     oth = vc.where(F.col("model") != reference)
     mq = oth.select("model", "question").distinct()

@@ -16,6 +16,7 @@ from stanceframe.functions import prompts as P
 from stanceframe.functions import text as T
 from stanceframe.operators.merge import dedupe_last
 from stanceframe.operators.ordering import dense_index
+from stanceframe.session import materialize
 
 # ---------------------------------------------------------------------------
 # Topic keyword table (topic, keywords, question), in table order.
@@ -115,7 +116,8 @@ def eligible_respondents(records: DataFrame, details: DataFrame, min_fields: int
     """Records flagged as having answers, joined to their details (JOIN-12, last detail per
     URL wins), with at least ``min_fields`` profile fields, and an anonymous id taken from
     the record's input position (before any filter)."""
-    idx = dense_index(records, ["rec_pos"], "_idx")
+    # positions and eligibility on the narrow key columns only (no answer texts)
+    idx = dense_index(records.select("rec_pos", "profile_url", "has_survey_responses"), ["rec_pos"], "_idx")
     kept = idx.where(F.coalesce(F.col("has_survey_responses"), F.lit(False)))
     order = "_order" if "_order" in details.columns else None
     det = details if order is None else dedupe_last(details, ["profile_url"], order).drop(order)
@@ -139,8 +141,11 @@ def preference_pairs(records: DataFrame, details: DataFrame, topics=DEFAULT_TOPI
     column over (rec_pos, resp_pos); default = md5 hash of seed and keys.
     """
     j = eligible_respondents(records, details, min_fields, anon_prefix)
-    j = respondent_split(j, "anon_id", seed, train_frac)
-    j = j.withColumn("persona", P.anon_persona_prompt())
+    # one narrow row per kept respondent (id, split, persona), written once: it is read by the
+    # split's count and ordering and by the join below, while the answer texts are read once
+    j = materialize(respondent_split(j, "anon_id", seed, train_frac)
+                    .select("rec_pos", "anon_id", "split", P.anon_persona_prompt().alias("persona")))
+    j = records.select("rec_pos", "survey_responses").join(j, "rec_pos")
     a = j.select("rec_pos", "anon_id", "split", "persona",
                  F.posexplode("survey_responses").alias("resp_pos", "resp"))
     a = a.select("rec_pos", "anon_id", "split", "persona", "resp_pos",

@@ -82,6 +82,9 @@ def model_quality(cells: DataFrame, min_n: int = 30, question_metrics: DataFrame
     min(100, (avg unique - 1)/4*100) and concentration_score = (1 - avg concentration)*100.
     A model without qualifying questions keeps a row with NULL metrics.
     """
+    if vc is None and question_metrics is None:
+        from stanceframe.session import materialize
+        vc = materialize(value_counts(cells))   # read twice below: metrics and the model list
     qm = question_metrics if question_metrics is not None else question_quality(cells, min_n, vc)
     prob = F.col("is_zero_var") | F.col("is_low_var")
     agg = (qm.groupBy("model").agg(

@@ -52,3 +52,28 @@ def test_dense_index(spark):
     df = spark.range(0, 1000).withColumn("k", (F.col("id") * 7919) % 1000)
     out = dense_index(df.repartition(13), ["k"], "pos").collect()
     assert sorted((r["k"], r["pos"]) for r in out) == [(i, i) for i in range(1000)]
+
+
+def test_compare_models_direction_and_ties(spark):
+    from stanceframe.operators import compare as CP
+    cols = [m for m, _ in CP.COMPARE_METRICS]
+    base = {c: 1.0 for c in cols}
+    tuned = dict(base, avg_concentration=0.5, pct_usable=2.0)        # lower-better down, higher-better up
+    human = {c: 0.0 for c in cols}
+    rows = [(m, *[v[c] for c in cols]) for m, v in (("base", base), ("tuned", tuned), ("human", human))]
+    metrics = spark.createDataFrame(rows, "model string, " + ", ".join(f"{c} double" for c in cols))
+    b = spark.createDataFrame([("base",)], "model string")
+    t = spark.createDataFrame([("tuned",)], "model string")
+    out = {r["metric"]: r for r in CP.compare_models(metrics, b, t).collect()}
+    assert out["avg_concentration"]["better"] and out["pct_usable"]["better"]
+    assert out["avg_entropy"]["better"] is False                       # unchanged counts as regression
+    v = CP.compare_verdict(CP.compare_models(metrics, b, t)).first()
+    assert (v["n_improved"], v["n_regressed"], v["verdict"]) == (2, 4, "regression")
+
+
+def test_pending_tasks_two_column_key(spark):
+    tasks = spark.createDataFrame([("a||b", "c", 0), ("a", "b||c", 1), ("x", "q", 2)],
+                                  "philosopher_name string, question string, req_no int")
+    done = spark.createDataFrame([("a||b", "c")], "philosopher_name string, question string")
+    got = [r["req_no"] for r in B.pending_tasks(tasks, done, limit=5).collect()]
+    assert got == [1, 2]

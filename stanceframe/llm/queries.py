@@ -7,6 +7,13 @@ from pyspark.sql import DataFrame, SparkSession
 from stanceframe.llm.common import table
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity score of every document from the weakly supervised classifier (trained, so tested on the held-out fold)."""
+    from stanceframe.llm import toxicity
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score_documents(docs, toxicity.train(docs, table(spark, sf_dir, "labels")), threshold=0.5)
+
+
 def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SentencePiece ids and decoded text of every document, as digests (no SQL form; tested against the library)."""
     from stanceframe.llm.sentencepiece_codec import default_model, encode_table
@@ -19,7 +26,14 @@ def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_table(table(spark, sf_dir, "documents"), default_tokenizer(), end_id=0)
 
 
-QUERIES = {f.__name__: f for f in (op3_sentencepiece, op5_token_files)}
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every document from Naive Bayes support vectors (trained, so tested on the held-out fold)."""
+    from stanceframe.llm import quality_nbsvm
+    docs = table(spark, sf_dir, "documents")
+    return quality_nbsvm.score_documents(docs, quality_nbsvm.train(docs, table(spark, sf_dir, "labels")), threshold=0.3)
+
+
+QUERIES = {f.__name__: f for f in (op2_toxicity, op3_sentencepiece, op5_token_files, op7_quality)}
 ORACLE_SQL: dict[str, str] = {}
 
 

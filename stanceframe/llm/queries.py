@@ -20,6 +20,12 @@ def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_table(table(spark, sf_dir, "documents"), default_model())
 
 
+def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate components of all documents by 5-word shingles, 0.8 (iterative, so tested by brute force)."""
+    from stanceframe.llm.ngram_join import jaccard_components
+    return jaccard_components(table(spark, sf_dir, "documents"))
+
+
 def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token ids of every document written to seekable files and read back (no SQL form; tested as a round trip)."""
     from stanceframe.llm.token_files import default_tokenizer, token_table
@@ -33,7 +39,7 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_nbsvm.score_documents(docs, quality_nbsvm.train(docs, table(spark, sf_dir, "labels")), threshold=0.3)
 
 
-QUERIES = {f.__name__: f for f in (op2_toxicity, op3_sentencepiece, op5_token_files, op7_quality)}
+QUERIES = {f.__name__: f for f in (op2_toxicity, op3_sentencepiece, op4_ngram_join, op5_token_files, op7_quality)}
 ORACLE_SQL: dict[str, str] = {}
 
 

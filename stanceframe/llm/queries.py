@@ -3,10 +3,29 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from stanceframe.llm.common import table
 
 
+#: Production mix: four domains of sources, languages weighted, half of the corpus, two epochs at most.
+MIX_WEIGHTS = {"d0": 4, "d1": 3, "d2": 2, "d3": 1,
+               **{f"d{k}/{lang}": w for k in range(4) for lang, w in (("en", 6), ("de", 2), ("es", 1), ("fr", 1))}}
+#: A source's domain: the remainder of the number at its end by 4 (sources without a number: domain d0).
+_DOMAIN = "concat('d', coalesce(try_cast(regexp_extract(source, '([0-9]{1,9})$', 1) as int), 0) % 4)"
+
+
+def with_domain(docs: DataFrame) -> DataFrame:
+    """The source catalogue's domain column, which the documents table does not have."""
+    return docs.withColumn("domain", F.expr(_DOMAIN))
+
+
+def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents, epochs and token prefixes of the weighted mix over the domain-language-source tree."""
+    from stanceframe.llm.mixing import Plan, mix
+    return mix(with_domain(table(spark, sf_dir, "documents")), Plan(weights=MIX_WEIGHTS))
+
+
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity score of every document from the weakly supervised classifier (trained, so tested on the held-out fold)."""
     from stanceframe.llm import toxicity
@@ -39,8 +58,16 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_nbsvm.score_documents(docs, quality_nbsvm.train(docs, table(spark, sf_dir, "labels")), threshold=0.3)
 
 
-QUERIES = {f.__name__: f for f in (op2_toxicity, op3_sentencepiece, op4_ngram_join, op5_token_files, op7_quality)}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_mixing, op2_toxicity, op3_sentencepiece, op4_ngram_join, op5_token_files, op7_quality)}
+
+
+def _oracles() -> dict[str, str]:
+    from stanceframe.llm.mixing import Plan, mix_sql
+    domain = "'d' || CAST(coalesce(try_cast(regexp_extract(source, '([0-9]{1,9})$', 1) AS INTEGER), 0) % 4 AS VARCHAR)"
+    return {"op1_mixing": mix_sql(Plan(weights=MIX_WEIGHTS), f"SELECT *, {domain} AS domain FROM documents")}
+
+
+ORACLE_SQL: dict[str, str] = _oracles()
 
 
 def queries():

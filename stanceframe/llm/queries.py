@@ -51,6 +51,12 @@ def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_table(table(spark, sf_dir, "documents"), default_tokenizer(), end_id=0)
 
 
+def op6_license(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base license phrases and rule detections of every document."""
+    from stanceframe.llm.license_scan import scan
+    return scan(table(spark, sf_dir, "documents"))
+
+
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality score of every document from Naive Bayes support vectors (trained, so tested on the held-out fold)."""
     from stanceframe.llm import quality_nbsvm
@@ -58,13 +64,42 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_nbsvm.score_documents(docs, quality_nbsvm.train(docs, table(spark, sf_dir, "labels")), threshold=0.3)
 
 
-QUERIES = {f.__name__: f for f in (op1_mixing, op2_toxicity, op3_sentencepiece, op4_ngram_join, op5_token_files, op7_quality)}
+def op8_lattice_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and components of all embeddings with cosine 0.9 or more (hashed, so tested by brute force)."""
+    from stanceframe.llm.lattice_dedup import near_duplicates
+    return near_duplicates(table(spark, sf_dir, "embeddings"), least=0.9)
+
+
+def op9_onebit_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest embeddings by inner product of every row whose id is divisible by 20 (tested by brute force)."""
+    from stanceframe.llm.onebit_search import search
+    return search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20).drop("compared")
+
+
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Captures of all pages, written as archives and assembled again from their records."""
+    from stanceframe.llm.warc import captures
+    return captures(table(spark, sf_dir, "pages"))
+
+
+QUERIES = {f.__name__: f for f in (op1_mixing, op2_toxicity, op3_sentencepiece, op4_ngram_join, op5_token_files, op6_license, op7_quality,
+                                   op8_lattice_dedup, op9_onebit_search, op10_warc)}
+
+#: What the archives must say of the pages, stated on the pages.
+WARC_SQL = """WITH p AS (SELECT page_id, CAST(octet_length(encode(coalesce(html, ''))) AS BIGINT) AS n, sha256(coalesce(html, '')) AS d FROM pages),
+f AS (SELECT d, min(page_id) AS first_id FROM p WHERE n >= 100 GROUP BY d)
+SELECT page_id, n AS payload_bytes, p.d AS payload_digest,
+  CASE WHEN first_id IS NULL OR page_id = first_id THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id <> first_id THEN first_id END AS refers_to
+FROM p LEFT JOIN f ON f.d = p.d"""
 
 
 def _oracles() -> dict[str, str]:
+    from stanceframe.llm.license_scan import scan_sql
     from stanceframe.llm.mixing import Plan, mix_sql
     domain = "'d' || CAST(coalesce(try_cast(regexp_extract(source, '([0-9]{1,9})$', 1) AS INTEGER), 0) % 4 AS VARCHAR)"
-    return {"op1_mixing": mix_sql(Plan(weights=MIX_WEIGHTS), f"SELECT *, {domain} AS domain FROM documents")}
+    return {"op1_mixing": mix_sql(Plan(weights=MIX_WEIGHTS), f"SELECT *, {domain} AS domain FROM documents"),
+            "op6_license": scan_sql(), "op10_warc": WARC_SQL}
 
 
 ORACLE_SQL: dict[str, str] = _oracles()

@@ -336,3 +336,17 @@ def _own_sets(members: DataFrame) -> DataFrame:
             yield batch.filter(pa.array(ok, pa.bool_()))
 
     return members.mapInArrow(run, "node bigint, members binary").dropDuplicates(["node"])
+
+
+def drop_near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """The rows of ``docs`` without those of another document's component; each component keeps its smallest id.
+
+    Rows without id stay.  Where an id is repeated, its rows with equal texts become one; rows with
+    different texts of one id all stay if the id does."""
+    found = stored(jaccard_components(docs, percent).where("doc_id is not null"), "join-found")
+    gone = stored(found.where("doc_id <> component_id").select("doc_id").distinct(), "join-gone")
+    twice = stored(found.groupBy("doc_id").count().where("count > 1").select("doc_id"), "join-twice")
+    left = docs.join(_when_small(gone, gone.count(), 8), "doc_id", "left_anti").select(*docs.columns)
+    n = twice.count()
+    again = left.join(_when_small(twice, n, 8), "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id", "text"])
+    return left.join(_when_small(twice, n, 8), "doc_id", "left_anti").select(*docs.columns).unionByName(again)

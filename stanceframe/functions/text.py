@@ -236,11 +236,7 @@ def strip_code_fence(text: Column | str) -> Column:
 
 
 _JSON_OPTS = {"allowSingleQuotes": "false", "mode": "PERMISSIVE"}
-_FALSY_TEXT = ("", "0", "0.0", "false", "[]", "{}")
-
-
-def _falsy() -> Column:
-    return F.array(*[F.lit(v) for v in _FALSY_TEXT])
+_FALSY_JSON = ("0", "0.0", "false", "[]", "{}")   # as bare JSON values; the same as strings are kept
 
 
 def _json_list(text: Column) -> Column:
@@ -250,15 +246,20 @@ def _json_list(text: Column) -> Column:
 def parse_response_list(text: Column | str) -> Column:
     """EXP-10: parse a model answer into an ``array<string>``.
 
-    First bracketed run as a JSON list (falsy items dropped, items stripped);
-    else all double-quoted runs; else all single-quoted runs; else the text.
+    First bracketed run as a JSON list (empty strings and the bare values null, 0, false,
+    [] and {} dropped, items stripped; the *strings* "0" or "false" stay); else all double-quoted runs; else all single-quoted runs; else the text.
     Non-string JSON items come back as their JSON text (``true``, ``{...}``).
     """
     s = strip_code_fence(text)
     m = F.regexp_extract(s, r"(?s)\[.*?\]", 0)
     parsed = F.when(m != "", _json_list(m))
-    items = F.transform(F.filter(parsed, lambda i: i.isNotNull() & ~F.array_contains(_falsy(), i)),
-                        lambda i: py_strip(i))
+    # the same list as variants tells a string from a bare value of the same spelling
+    kinds = F.from_json(m, "array<variant>", _JSON_OPTS)
+    pairs = F.zip_with(parsed, kinds, lambda i, v: F.struct(i.alias("i"), (F.schema_of_variant(v) == "STRING").alias("is_text")))
+    falsy = F.array(*[F.lit(v) for v in _FALSY_JSON])
+    kept = F.filter(pairs, lambda p: p["i"].isNotNull() & (p["i"] != "")
+                    & (F.coalesce(p["is_text"], F.lit(True)) | ~F.array_contains(falsy, p["i"])))
+    items = F.transform(kept, lambda p: py_strip(p["i"]))
     dq = F.regexp_extract_all(s, F.lit('"([^"]+)"'), 1)
     sq = F.regexp_extract_all(s, F.lit("'([^']+)'"), 1)
     return (F.when(parsed.isNotNull(), items)
@@ -281,6 +282,17 @@ def extract_json_list(text: Column | str) -> Column:
     return F.coalesce(a1, a2, a3, a4, F.array(s))
 
 
+def quoted_item(x: Column) -> Column:
+    """A string as a list prints it: single quotes, double ones where it holds just single ones,
+    with backslashes and line breaks escaped."""
+    s = F.replace(x, F.lit("\\"), F.lit("\\\\"))
+    for ch, esc in (("\n", "\\n"), ("\r", "\\r"), ("\t", "\\t")):
+        s = F.replace(s, F.lit(ch), F.lit(esc))
+    single, double = x.contains("'"), x.contains('"')
+    return (F.when(single & ~double, F.concat(F.lit('"'), s, F.lit('"')))
+            .otherwise(F.concat(F.lit("'"), F.replace(s, F.lit("'"), F.lit("\\'")), F.lit("'"))))
+
+
 def validate_response(items: Column | str, options: Column | str) -> Column:
     """EXP-12: ``struct(valid, message)``: every item must match an option raw, after
     normalisation, or after normalisation with colons removed."""
@@ -292,8 +304,7 @@ def validate_response(items: Column | str, options: Column | str) -> Column:
         | F.array_contains(norm, normalize_option(i))
         | F.array_contains(norm_nc, F.replace(normalize_option(i), F.lit(":"), F.lit("")))))
     first3 = F.slice(invalid, 1, 3)
-    msg_list = F.concat(F.lit("["), F.array_join(F.transform(first3, lambda i: F.concat(F.lit("'"), i, F.lit("'"))), ", "),
-                        F.lit("]"))
+    msg_list = F.concat(F.lit("["), F.array_join(F.transform(first3, quoted_item), ", "), F.lit("]"))
     empty = items.isNull() | (F.size(items) == 0)
     valid = F.when(empty, F.lit(False)).otherwise(F.size(invalid) == 0)
     message = (F.when(empty, F.lit("Empty response"))
@@ -338,13 +349,38 @@ def name_from_file(file_name: Column | str, suffix: str = "_views.html") -> Colu
     return F.replace(_c(file_name), F.lit(suffix), F.lit(""))
 
 
-def resolve_link(href: Column | str, host: str, base: Column | str | None = None) -> Column:
-    """EXP-24: absolute kept; ``/x`` -> host + x; otherwise base directory + href."""
-    h = _c(href)
-    b = F.lit(host + "/") if base is None else _c(base)
-    return (F.when(h.startswith("http"), h)
-            .when(h.startswith("/"), F.concat(F.lit(host), h))
-            .otherwise(F.concat(F.regexp_replace(b, "[^/]*$", ""), h)))
+def resolve_link(href: Column | str, base: Column | str) -> Column:
+    """EXP-24: a link resolved against the URL of its page, by the rules of URL joining.
+
+    A link with a scheme is kept; ``//host/x`` takes the page's scheme, ``/x`` its host, ``?q`` its path,
+    ``#f`` (or nothing) its path and query; other links replace what follows the last slash of the
+    path.  ``.`` and ``..`` segments of the joined path are resolved."""
+    h, b = _c(href), _c(base)
+    scheme = F.regexp_extract(b, r"^([A-Za-z][A-Za-z0-9+.-]*:)", 1)
+    site = F.regexp_extract(b, r"^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)", 1)
+    no_fragment = F.regexp_replace(b, "#.*$", "")
+    no_query = F.regexp_replace(b, "[?#].*$", "")
+    folder = F.regexp_replace(F.substr(no_query, F.length(site) + 1), "[^/]*$", "")
+    folder = F.when(folder == "", F.lit("/")).otherwise(folder)
+
+    def clean(path: Column) -> Column:
+        """``path`` (may end in ?query or #fragment) with its dot segments resolved."""
+        tail = F.regexp_extract(path, "([?#].*)$", 1)
+        parts = F.split(F.regexp_replace(path, "[?#].*$", ""), "/")
+        last = F.element_at(parts, -1)
+        # the first part is the empty text before the leading slash and is never removed
+        done = F.aggregate(parts, F.array().cast("array<string>"), lambda a, x: F.when(
+            x == "..", F.slice(a, 1, F.greatest(F.size(a) - 1, F.lit(1)))).when(x == ".", a).otherwise(F.concat(a, F.array(x))))
+        done = F.when(last.isin(".", ".."), F.concat(done, F.array(F.lit("")))).otherwise(done)
+        return F.concat(F.array_join(done, "/"), tail)
+
+    return (F.when(h.rlike("^[A-Za-z][A-Za-z0-9+.-]*:"), h)
+            .when(h.startswith("//"), F.concat(scheme, h))
+            .when(h.startswith("/"), F.concat(site, clean(h)))
+            .when(h == "", no_fragment)
+            .when(h.startswith("#"), F.concat(no_fragment, h))
+            .when(h.startswith("?"), F.concat(no_query, h))
+            .otherwise(F.concat(site, clean(F.concat(folder, h)))))
 
 
 def anonymized_id(pos: Column | str, prefix: str = "Philosopher") -> Column:

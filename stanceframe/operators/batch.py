@@ -15,8 +15,6 @@ from stanceframe.functions import prompts as P
 from stanceframe.functions import text as T
 from stanceframe.operators.ordering import dense_index
 
-MAX_QUESTIONS_INLINE = 100_000
-
 
 # --- JOIN-5 / WIN-1: request table ----------------------------------------------
 
@@ -25,27 +23,20 @@ def build_requests(respondents: DataFrame, questions: DataFrame, limit: int | No
                    site: str = P.DEFAULT_SITE) -> DataFrame:
     """Respondents x questions in respondent-major order, ``req_{n}`` ids, prompts.
 
-    The persona prompt is built once per respondent (before the expansion).
-    The question catalogue (one row per question) is attached as an array and
-    exploded per respondent -- a generator, not a join; its size is checked.
+    The persona prompt is built once per respondent (before the expansion).  Every
+    respondent is expanded to the question positions 0..n-1 and meets the catalogue
+    in an equi-join on the position; a small catalogue is broadcast by its measured size.
     Request number n = resp_pos * n_questions + q_pos, so no global window.
     """
     qs = dense_index(questions.select(*q_order, *[c for c in questions.columns if c not in q_order]),
                      list(q_order), "q_pos")
     n_q = qs.count()
-    if n_q > MAX_QUESTIONS_INLINE:
-        raise ValueError(f"question catalogue too large to inline ({n_q} rows)")
-    qrows = qs.select("q_pos", "question", "options").orderBy("q_pos").collect()
-    catalogue = F.array(*[F.struct(F.lit(r.q_pos).cast("bigint").alias("q_pos"), F.lit(r.question).alias("question"),
-                                   F.array(*[F.lit(o) for o in (r.options or [])]).cast("array<string>")
-                                   .alias("options"))
-                          for r in qrows]) if qrows else F.array().cast(
-        "array<struct<q_pos:bigint,question:string,options:array<string>>>")
     resp = dense_index(respondents, list(resp_order), "resp_pos")
     resp = resp.withColumn("persona_prompt", P.persona_prompt())
-    req = (resp.select("*", F.explode(catalogue).alias("q"))
-           .select("*", F.col("q.q_pos").alias("q_pos"), F.col("q.question").alias("question"),
-                   F.col("q.options").alias("options")).drop("q")
+    positions = F.sequence(F.lit(0).cast("bigint"), F.lit(n_q - 1).cast("bigint")) if n_q else F.array().cast("array<bigint>")
+    drop = [c for c in ("question", "options") if c in resp.columns]
+    req = (resp.drop(*drop).withColumn("q_pos", F.explode(positions))
+           .join(qs.select("q_pos", "question", "options"), "q_pos")
            .withColumn("req_no", F.col("resp_pos") * F.lit(n_q) + F.col("q_pos")))
     if limit is not None:
         req = req.where(F.col("req_no") < limit)

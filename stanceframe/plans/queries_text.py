@@ -166,11 +166,17 @@ def _sql_validate(items: str, options: str) -> str:
     return inv
 
 
+_ESC = (r"replace(replace(replace(replace(x, chr(92), chr(92) || chr(92)), chr(10), chr(92) || 'n'), "
+        r"chr(13), chr(92) || 'r'), chr(9), chr(92) || 't')")
+
+
 @register("validate_response", f"""
 SELECT ord, CASE WHEN len(items) = 0 THEN false ELSE len(inv) = 0 END AS valid,
        CASE WHEN len(items) = 0 THEN 'Empty response'
             WHEN len(inv) > 0 THEN 'Invalid options: [' ||
-                 array_to_string(list_transform(inv[1:3], lambda x: '''' || x || ''''), ', ') || ']'
+                 array_to_string(list_transform(inv[1:3], lambda x: CASE
+                   WHEN contains(x, '''') AND NOT contains(x, '"') THEN '"' || {_ESC} || '"'
+                   ELSE '''' || replace({_ESC}, '''', chr(92) || '''') || '''' END), ', ') || ']'
             ELSE 'Valid' END AS message
 FROM (SELECT ord, items, {_sql_validate('items', 'options')} AS inv FROM (
   SELECT r.ord, {S.parse_response_list('r.raw')} AS items, o.options FROM fx_llm_raw r JOIN fx_options o USING (question)))""")
@@ -230,23 +236,30 @@ def q_name_from_file(spark, sf_dir):
 _HREF = '<a [^>]*href="([^"]*)"'
 
 
+# every kind of link next to the page's own: other host, query, fragment, dot segments, nothing
+_LINK_KINDS = ("'//other.example/a.html'", "'?q=' || page_id", "'#s' || page_id", "'sub/../x' || page_id || '.html'", "'./y.html'", "''",
+               "'mailto:a@b.example'")
+
+
 @register("resolve_link", f"""
-SELECT page_id, CAST(unnest(generate_series(0, len(h) - 1)) AS BIGINT) AS link_pos, unnest(h) AS href,
-       unnest(list_transform(h, lambda x: CASE WHEN starts_with(x, 'http') THEN x
-                                  WHEN starts_with(x, '/') THEN host || x
-                                  ELSE regexp_replace(url, '[^/]*$', '') || x END)) AS resolved
-FROM (SELECT page_id, url, regexp_extract(url, '^(https?://[^/?#]+)', 1) AS host,
-             regexp_extract_all(html, {S.q(_HREF)}, 1) AS h FROM pages)""")
+SELECT page_id, link_pos, href, CASE
+         WHEN regexp_matches(href, '^[a-z]+:') THEN href
+         WHEN starts_with(href, '//') THEN split_part(url, '//', 1) || href
+         WHEN starts_with(href, '/') THEN site || href
+         WHEN href = '' OR starts_with(href, '#') THEN split_part(url, '#', 1) || href
+         WHEN starts_with(href, '?') THEN page || href
+         ELSE regexp_extract(page || CASE WHEN page = site THEN '/' ELSE '' END, '^(.*/)', 1) || replace(replace(href, 'sub/../', ''), './', '') END AS resolved
+FROM (SELECT page_id, url, regexp_extract(url, '^([a-z]+://[^/?#]+)', 1) AS site, split_part(split_part(url, '#', 1), '?', 1) AS page,
+             CAST(unnest(generate_series(0, len(h) - 1)) AS BIGINT) AS link_pos, unnest(h) AS href
+      FROM (SELECT page_id, url, list_concat(regexp_extract_all(html, {S.q(_HREF)}, 1), [{', '.join(_LINK_KINDS)}]) AS h FROM pages))""")
 def q_resolve_link(spark, sf_dir):
-    """EXP-24: every anchor href resolved against its page (absolute, host-relative, relative)."""
+    """EXP-24: every anchor href of a page, and one of each other kind, resolved against its URL."""
+    kinds = F.array(*[F.expr(k) for k in _LINK_KINDS])
     p = FX.table(spark, sf_dir, "pages").select(
-        "page_id", "url", F.regexp_extract("url", "^(https?://[^/?#]+)", 1).alias("host"),
-        F.regexp_extract_all("html", F.lit(_HREF), 1).alias("h"))
-    x = p.select("page_id", "url", "host", F.posexplode("h").alias("link_pos", "href"))
-    resolved = (F.when(F.col("href").startswith("http"), F.col("href"))
-                .when(F.col("href").startswith("/"), F.concat("host", "href"))
-                .otherwise(F.concat(F.regexp_replace("url", "[^/]*$", ""), F.col("href"))))
-    return x.select("page_id", F.col("link_pos").cast("bigint").alias("link_pos"), "href", resolved.alias("resolved"))
+        "page_id", "url", F.concat(F.regexp_extract_all("html", F.lit(_HREF), 1), kinds).alias("h"))
+    x = p.select("page_id", "url", F.posexplode("h").alias("link_pos", "href"))
+    return x.select("page_id", F.col("link_pos").cast("bigint").alias("link_pos"), "href",
+                    T.resolve_link("href", "url").alias("resolved"))
 
 
 @register("anonymized_id", """
@@ -373,8 +386,8 @@ ITEMS_SQL = JBR_SQL + f"""
                             ELSE question || ':' || answer END AS cell_key,
                     coalesce({S.score('stance')}, CASE WHEN stance = 'Agnostic/undecided' THEN CAST(0.5 AS DOUBLE) END) AS score
              FROM items2 WHERE stance IS NOT NULL),
-  mcells AS (SELECT philosopher_name, cell_key, arg_min(score, ord * 100000 + item_pos) AS score,
-                    min(ord * 100000 + item_pos) AS first_at
+  mcells AS (SELECT philosopher_name, cell_key, arg_min(score, row(ord, item_pos)) AS score,
+                    min(row(ord, item_pos)) AS first_at
              FROM items3 WHERE score IS NOT NULL GROUP BY ALL)
 """
 
@@ -398,7 +411,7 @@ def q_normalize_cells(spark, sf_dir):
     c = _model_cells(spark, sf_dir)
     c = c.select(F.lit("model").alias("model"), F.col("philosopher_name").alias("respondent"),
                  F.col("cell_key").alias("question"), "score",
-                 (F.col("first_at.ord") * 100000 + F.col("first_at.item_pos")).alias("ord"))
+                 F.col("first_at").alias("ord"))
     return normalize_cells(c).select(F.col("respondent").alias("philosopher_name"), "question", "score")
 
 

@@ -81,9 +81,11 @@ def parse_response_list(x: str) -> str:
     s = strip_fence(x)
     m = f"regexp_extract({s}, '(?s)\\[.*?\\]', 0)"
     parsed = _json_list(m)
-    falsy = "['', '0', '0.0', 'false', '[]', '{}']"
-    items = (f"list_transform(list_filter({parsed}, lambda i: i IS NOT NULL AND NOT list_contains({falsy}, i)), "
-             f"lambda i: {strip('i')})")
+    falsy = "['0', '0.0', 'false', '[]', '{}']"
+    raw = f"from_json({m}, '[\"JSON\"]')"   # the items as JSON text: strings keep their quotes
+    items = (f"list_transform(list_filter(list_zip({parsed}, (CASE WHEN {parsed} IS NOT NULL THEN {raw} END)), "
+             f"lambda p: p[1] IS NOT NULL AND p[1] <> '' AND NOT (json_type(p[2]) <> 'VARCHAR' AND list_contains({falsy}, p[1]))), "
+             f"lambda p: {strip('p[1]')})")
     dq = f"regexp_extract_all({s}, '\"([^\"]+)\"', 1)"
     sq = f"regexp_extract_all({s}, '''([^'']+)''', 1)"
     return (f"(CASE WHEN {parsed} IS NOT NULL THEN {items} WHEN len({dq}) > 0 THEN {dq} "

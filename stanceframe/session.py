@@ -1,13 +1,14 @@
 """Session helpers: sane defaults for tests/bench and a shared scratch folder.
 
 On a cluster the scratch folder is whatever ``spark.checkpoint.dir`` names
-(a shared filesystem such as HDFS/S3).  Only when it is unset (local tests)
-do we pick a fresh folder under /tmp.
+(a shared filesystem such as HDFS/S3).  Where it is unset, a fresh folder
+under /tmp is used with a local master only; other masters get an error.
 """
 
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 import zipfile
@@ -43,6 +44,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if sc_dir:
         return sc_dir
     if not conf_dir:
+        master = spark.sparkContext.master
+        if not re.fullmatch(r"local(\[[^\]]*\])?", master):
+            raise RuntimeError(f"spark.checkpoint.dir must name a folder that all executors share (master {master})")
         conf_dir = tempfile.mkdtemp(prefix="stanceframe-ckpt-", dir="/tmp")
         spark.conf.set("spark.checkpoint.dir", conf_dir)
     spark.sparkContext.setCheckpointDir(conf_dir)
@@ -55,14 +59,20 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{base}/{name}-{uuid.uuid4().hex[:12]}"
 
 
+def stored(df, name: str = "table"):
+    """Write a table to the shared folder as Parquet and read it back: cuts lineage, keeps column pruning."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def materialize(df):
-    """Cut lineage of a (small) intermediate: reliable checkpoint into the shared folder.
+    """Cut lineage of an intermediate: written to the shared folder as Parquet and read back.
 
     Used for aggregates that several branches of one plan read (value counts,
     pair moments, correlation matrices), so the raw answers are not re-scanned
     and re-shuffled per branch, and a lost executor does not recompute them."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    return stored(df, "stage")
 
 
 _SHIPPED: set[int] = set()

@@ -8,11 +8,14 @@ presentation only -- we write JSON lines, which every reader here accepts.
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stanceframe.operators.batch import assign_shards
-from stanceframe.session import scratch_path
+from stanceframe.session import scratch_path, stored
+
+ARRAY_RECORDS = 50_000  # records that one array file holds
 
 
 def _target(df: DataFrame, path: str | None, name: str) -> str:
@@ -38,26 +41,31 @@ def write_jsonl(df: DataFrame, path: str | None = None, mode: str = "overwrite",
 
 
 def write_json_array(df: DataFrame, path: str | None = None) -> str:
-    """SNK-1 (reference layout): one JSON array of records per output file.
-
-    Each partition becomes one file holding its records as a single array, so
-    no file (and no task) ever holds more than one partition."""
+    """SNK-1 (array layout): files that each hold one JSON array of up to ``ARRAY_RECORDS`` records."""
     p = _target(df, path, "jsonarray")
-    js = df.select(F.to_json(F.struct(*df.columns)).alias("j"))
-    arr = js.rdd.mapPartitions(lambda it: ["[" + ",".join(r.j for r in it) + "]"])
-    df.sparkSession.createDataFrame(arr.map(lambda s: (s,)), "value string").write.mode("overwrite").text(p)
+    _write_arrays(df.select(F.to_json(F.struct(*df.columns)).alias("j")), p)
     return p
 
 
 def write_string_arrays(df: DataFrame, col: str, path: str | None = None) -> str:
-    """A JSON array of plain strings per output file (one file per partition)."""
+    """Files that each hold one JSON array of up to ``ARRAY_RECORDS`` plain strings."""
     p = _target(df, path, "strarray")
-    js = df.select(F.to_json(F.array(F.col(col))).alias("j"))  # '["value"]'
-    arr = js.rdd.mapPartitions(lambda it: ["[" + ",".join(r.j[1:-1] for r in it) + "]"])
-    df.sparkSession.createDataFrame(arr.map(lambda s: (s,)), "value string").write.mode("overwrite").text(p)
+    one = F.to_json(F.array(F.col(col)))  # '["value"]'
+    _write_arrays(df.select(F.substring(one, F.lit(2), F.length(one) - 2).alias("j")), p)
     return p
 
 
+def _write_arrays(items: DataFrame, path: str) -> None:
+    """One file per block of consecutive JSON items ``j``: a block, not a partition, is what a task joins to one text."""
+    n = F.monotonically_increasing_id()
+    placed = stored(items.withColumn("_i", n), "array-items")   # numbered once, so a block never changes
+    block = F.concat_ws("-", F.shiftright("_i", 33), F.floor((F.col("_i") - F.shiftleft(F.shiftright("_i", 33), 33)) / ARRAY_RECORDS))
+    arrays = (placed.withColumn("block", block).groupBy("block")
+              .agg(F.array_sort(F.collect_list(F.struct("_i", "j"))).alias("x"))
+              .select("block", F.concat(F.lit("["), F.array_join(F.col("x.j"), ","), F.lit("]")).alias("value")))
+    arrays.write.mode("overwrite").partitionBy("block").text(path)
+
+
 def write_json_object(df: DataFrame, key: str, value: str, path: str | None = None) -> str:
     """One top-level JSON object ``{key: value}`` (question catalogue layout; one file).
 
@@ -86,16 +94,20 @@ def write_request_shards(requests: DataFrame, size: int = 100, path: str | None
 def append_results(batch: DataFrame, path: str, keys: list[str]) -> DataFrame:
     """SNK-5: append only rows whose key is not in the table yet; the table is the state.
 
-    Returns the rows that were appended.  Safe to re-run (idempotent per key).
+    Returns the rows that were appended.  Safe to re-run (idempotent per key); one
+    writer per table at a time.  Only a missing table counts as the first write: any
+    other failure to read it is raised, so nothing is appended twice.
     """
     spark = batch.sparkSession
     try:
-        existing = spark.read.parquet(path).select(*keys)
-        new = batch.join(existing, keys, "left_anti")
-    except Exception:  # noqa: BLE001 - first write: no table yet
+        existing = spark.read.parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
         new = batch
-    # cut lineage (reliable checkpoint in the shared folder) so the returned rows do not
-    # re-read the table they were just appended to
-    new = new.checkpoint(eager=True)
+    else:
+        new = batch.join(existing.select(*keys), keys, "left_anti")
+    # written first, so the returned rows do not re-read the table they are appended to
+    new = stored(new, "appended")
     new.write.mode("append").parquet(path)
     return new

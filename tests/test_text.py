@@ -93,9 +93,13 @@ def test_year_bin(spark):
 
 def test_misc(spark):
     assert one(spark, T.safe_filename, "Jöhn O'Neil (ed.)") == "Jöhn_ONeil_ed"
-    assert one(spark, lambda c: T.resolve_link(c, "https://h.org", F.lit("https://h.org/a/b.html")), "x.html") \
-        == "https://h.org/a/x.html"
-    assert one(spark, lambda c: T.resolve_link(c, "https://h.org"), "/p") == "https://h.org/p"
+    base = "https://h.org/a/b.html?x=1#top"
+    for href, want in [("x.html", "https://h.org/a/x.html"), ("/p", "https://h.org/p"), ("//cdn.z/x.e", "https://cdn.z/x.e"),
+                       ("?a=1.e", "https://h.org/a/b.html?a=1.e"), ("#f", "https://h.org/a/b.html?x=1#f"),
+                       ("../c/./d.html?q=..", "https://h.org/c/d.html?q=.."), ("..", "https://h.org/"), ("../../..", "https://h.org/"),
+                       ("http://o.net/y", "http://o.net/y"), ("mailto:a@b.c", "mailto:a@b.c"), ("", "https://h.org/a/b.html?x=1")]:
+        assert one(spark, lambda c: T.resolve_link(c, F.lit(base)), href) == want
+    assert one(spark, lambda c: T.resolve_link(c, F.lit("https://h.org")), "x") == "https://h.org/x"
     assert one(spark, T.anonymized_id, 7, "int") == "Philosopher_0007"
     assert one(spark, T.is_blocked_page, "<p>Cloudflare Ray ID: 1</p>") is True
     assert one(spark, T.coerce_score, "NaN") is None
@@ -127,3 +131,16 @@ def test_persona_prompt(spark):
     assert txt == ("You are a professional philosopher at MIT (US).\n\nYour Educational Background:\n"
                    "- PhD from Uni (US) in 2010\n\nYour Areas of Specialization:\n- A\n- B\n\n"
                    "Your Areas of Interest:\n- C\n\n")
+
+
+def test_list_items_keep_strings_that_look_falsy(spark):
+    parse = lambda s: one(spark, T.parse_response_list, s)
+    assert parse('["false","0","Accept: x"]') == ["false", "0", "Accept: x"]
+    assert parse('[false, 0, 0.0, null, "", "[]", " a "]') == ["[]", "a"]
+    assert parse('[true, 1, {"a": 1}, {}]') == ["true", "1", '{"a":1}']
+
+
+def test_invalid_items_are_printed_like_a_list(spark):
+    df = spark.createDataFrame([(["it's", 'say "x"', "both ' and \""], ["Accept"])], "items array<string>, options array<string>")
+    got = df.select(T.validate_response("items", "options")["message"]).first()[0]
+    assert got == "Invalid options: " + repr(["it's", 'say "x"', "both ' and \""])

@@ -11,9 +11,11 @@ share one.  The prefix is therefore extended and indexed like this:
   and indexed by combinations of two of a subclass; the prefix grows until the subclasses' sizes, less
   one each, make up for the missing tokens, which again forces a common index entry.
 
-Candidates of an index entry are compared with its smallest member first.  What these links connect needs
-no further comparison; the remaining pairs of an entry, across components, are all verified.  So a group of
-many near copies costs one comparison per copy, and no link between components is lost.
+Candidates of an index entry are first compared with its hub, the member that has the fewest tokens to
+itself; pairs whose sizes and numbers of shared tokens rule the similarity out are no candidates.  What
+these links connect needs no further comparison; the remaining pairs of a hub's entries, across components,
+are all verified in blocks, which return just the links that join components.  So a group of many near
+copies costs one comparison per copy, and no link between components is lost.
 """
 
 from __future__ import annotations
@@ -33,6 +35,7 @@ WIDTH, PERCENT = 5, 80
 RARE = 8  # a token in more sets than this is frequent
 BLOCK = 2_000_000  # characters that a task turns into tokens at a time
 RANGE_BYTES = 24_000_000  # tokens that one group counts at a time
+GROUP_BLOCK = 1024  # sets of a group that are compared with each other, or with another block, in one go
 SMALL_SIDE = 32 << 20  # a side of a join this small, by its counted rows, is broadcast
 _U = np.uint64
 _MARK = np.uint32(0xFFFFFFFF)
@@ -165,23 +168,26 @@ def _shared_tokens(rows: DataFrame, bits: int) -> DataFrame:
 
 
 def _rare_prefixes(shared: DataFrame, percent: int) -> DataFrame:
-    """Sets whose unique tokens do not fill the prefix: the rare tokens to index, and whether more is needed."""
+    """Sets whose unique tokens do not fill the prefix: size, shared tokens (at least those that other sets
+    hold too), the rare tokens to index, and whether more is needed."""
     per_set = (shared.groupBy("node").agg(F.max("n").alias("n"), F.sum("shared").alias("shared"),
                                           F.collect_list("rare").alias("rare"))
                .where(F.lit(percent) * F.col("n") <= 100 * F.col("shared")))  # of n, at most n - ceil(t n) unique
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            keys, short = [], []
+            keys, short, held = [], [], []
             for n, sh, lists in zip(*(b.column(k).to_pylist() for k in (1, 2, 3)), strict=True):
                 tok = np.sort(np.frombuffer(b"".join(lists), np.uint64))
                 need = prefix_length(n, percent) - (n - sh)
                 keys.append(tok[:need].view(np.int64).tolist())
                 short.append(need > len(tok))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(keys, pa.list_(pa.int64())),
-                                              pa.array(short, pa.bool_())], names=["node", "n", "keys", "short"])
+                held.append(min(n, sh))
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0), b.column(1), pa.array(held, pa.int64()), pa.array(keys, pa.list_(pa.int64())),
+                 pa.array(short, pa.bool_())], names=["node", "n", "s", "keys", "short"])
 
-    return per_set.mapInArrow(run, "node bigint, n bigint, keys array<bigint>, short boolean")
+    return per_set.mapInArrow(run, "node bigint, n bigint, s bigint, keys array<bigint>, short boolean")
 
 
 def _subclasses(band: int, percent: int) -> int:
@@ -236,10 +242,10 @@ def _set_bytes(texts: DataFrame) -> DataFrame:
 
 
 def _combinations(texts: DataFrame, percent: int, bits: int) -> DataFrame:
-    """Postings of the sets whose rare tokens do not fill the prefix; ``texts``: node, text, rare tokens."""
+    """Postings of the sets whose rare tokens do not fill the prefix; ``texts``: node, text, rare tokens, shared."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            nodes, texts, rare = (batch.column(k).to_pylist() for k in range(3))
+            nodes, texts, rare, held = (batch.column(k).to_pylist() for k in range(4))
             for lo, hi in batches_of(texts, BLOCK):
                 d, h = shingle_sets(texts[lo:hi], WIDTH)
                 cut = np.searchsorted(d, np.arange(hi - lo + 1))
@@ -251,9 +257,10 @@ def _combinations(texts: DataFrame, percent: int, bits: int) -> DataFrame:
                     size.append(b - a)
                     keys.append(combination_keys(other, int(b - a), len(known), percent))
                 yield pa.RecordBatch.from_arrays([pa.array(keys, pa.list_(pa.int64())), pa.array(nodes[lo:hi], pa.int64()),
-                                                  pa.array(size, pa.int64())], names=["keys", "node", "n"])
+                                                  pa.array(size, pa.int64()), pa.array(held[lo:hi], pa.int64())],
+                                                 names=["keys", "node", "n", "s"])
 
-    return texts.mapInArrow(run, "keys array<bigint>, node bigint, n bigint")
+    return texts.mapInArrow(run, "keys array<bigint>, node bigint, n bigint, s bigint")
 
 
 def _similar(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -274,8 +281,9 @@ def _similar(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def _fits(percent: int):
-    lo, hi = F.least("n", "n2"), F.greatest("n", "n2")
-    return 100 * lo >= percent * hi
+    """Whether sizes n, n2 and shared tokens s, s2 allow the similarity: the intersection is at most the smaller s."""
+    most = F.least("s", "s2")
+    return 100 * most >= percent * (F.col("n") + F.col("n2") - most)
 
 
 def jaccard_components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -295,29 +303,27 @@ def jaccard_components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     members = stored(_set_bytes(_texts_of(docs, wanted, counts[0])), "join-members")
     # a repeated id may bring texts of other sets along: keep those whose set is the wanted one
     members = _own_sets(members)
-    heavy = wanted.where("short").select("node", "doc_id", "keys")
-    heavy_texts = (_narrow(docs).join(_when_small(heavy.select("node", F.col("doc_id").alias("_id"), "keys"), counts[1], 512), "_id")
-                   .select("node", "_t", "keys"))
-    postings = (prefixes.select(F.explode("keys").alias("key"), "node", "n")
-                .unionByName(_combinations(heavy_texts, percent, bits).select(F.explode("keys").alias("key"), "node", "n")))
+    heavy = wanted.where("short").select("node", "doc_id", "keys", "s")
+    heavy_texts = (_narrow(docs).join(_when_small(heavy.select("node", F.col("doc_id").alias("_id"), "keys", "s"), counts[1], 512), "_id")
+                   .select("node", "_t", "keys", "s"))
+    postings = (prefixes.select(F.explode("keys").alias("key"), "node", "n", "s")
+                .unionByName(_combinations(heavy_texts, percent, bits).select(F.explode("keys").alias("key"), "node", "n", "s")))
     postings = stored(postings, "join-postings")
-    # links to the smallest member of each entry
-    lead = postings.groupBy("key").agg(F.min_by("n", "node").alias("n2"), F.min("node").alias("a"), F.max("node").alias("_z"))
-    star = (postings.join(lead.where("a <> _z"), "key").where((F.col("node") > F.col("a")) & _fits(percent))
-            .select("a", F.col("node").alias("b")).distinct())
+    # links to the member of each entry that has the fewest tokens to itself
+    lead = (postings.groupBy("key").agg(F.min(F.struct((F.col("n") - F.col("s")).alias("own"), "node", "n", "s")).alias("l"),
+                                        F.min("node").alias("_a"), F.max("node").alias("_z"))
+            .where("_a <> _z").select("key", F.col("l.node").alias("a"), F.col("l.n").alias("n2"), F.col("l.s").alias("s2")))
+    star = (postings.join(lead, "key").where((F.col("node") != F.col("a")) & _fits(percent))
+            .select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct())
     star = stored(star, "join-star")
     links = stored(_similar(star, members, percent), "join-links")
     comp = stored(connected_components(links), "join-components")
-    # every other pair of an entry whose members lie in different components
-    tagged = (postings.join(comp, "node", "left").select("key", "node", "n", F.coalesce("component", "node").alias("c")))
-    mixed = tagged.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("key")
-    left = stored(tagged.join(mixed, "key"), "join-mixed")
-    other = left.select("key", F.col("node").alias("b"), F.col("n").alias("n2"), F.col("c").alias("c2"))
-    rest = (left.join(other, "key").where((F.col("node") < F.col("b")) & (F.col("c") != F.col("c2")) & _fits(percent))
-            .select(F.col("node").alias("a"), "b").distinct().join(star, ["a", "b"], "left_anti"))
-    more = _similar(stored(rest, "join-rest"), members, percent)
-    links = stored(links.unionByName(more), "join-all-links")
-    comp = connected_components(links)
+    # entries of one hub are one group; where its members lie in different components, compare across them
+    groups = postings.join(lead.select("key", F.col("a").alias("hub")), "key").select("hub", "node", "n", "s").distinct()
+    groups = stored(groups.join(comp, "node", "left").select("hub", "node", "n", "s", F.coalesce("component", "node").alias("c")),
+                    "join-groups")
+    more = stored(_across(groups, members, percent), "join-more")
+    comp = connected_components(links.unionByName(more))
     # the smallest document of each set, then of each component
     groups = first.join(comp, "node", "left").select("node", "doc_id", "copies", F.coalesce("component", "node").alias("c"))
     least = groups.groupBy("c").agg(F.min("doc_id").alias("component_id"), F.sum("copies").alias("_m"))
@@ -326,6 +332,87 @@ def jaccard_components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
             .select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id")))
 
 
+def _across(groups: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links that join components inside groups (hub, node, n, s, c); none between components is missed.
+
+    A group is cut into blocks of about ``GROUP_BLOCK`` sets and every pair of blocks compared by itself, so a
+    group of any size is spread over tasks that each hold two blocks; small groups travel together.  A pair
+    of blocks gives a spanning selection of its links: as many as it joins components, not all pairs."""
+    mixed = (groups.groupBy("hub").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("size"))
+             .where("lo <> hi").select("hub", "size"))
+    rows = stored(groups.join(mixed, "hub"), "join-mixed")
+    units = (rows.count() // GROUP_BLOCK) + 1
+    blocks = F.ceil(F.col("size") / F.lit(GROUP_BLOCK)).cast("int")
+    rows = rows.withColumn("_b", F.when(F.col("size") > GROUP_BLOCK, F.pmod(F.xxhash64("node"), blocks).cast("int")).otherwise(0))
+    rows = rows.withColumn("_with", F.explode(F.when(F.col("size") > GROUP_BLOCK, F.sequence(F.lit(0), blocks - 1)).otherwise(F.array(F.lit(0)))))
+    big = F.col("size") > GROUP_BLOCK
+    rows = rows.select("hub", "node", "n", "s", "c", "_b",
+                       F.when(big, F.col("hub")).otherwise(F.pmod(F.xxhash64("hub"), F.lit(units))).alias("u"),
+                       F.when(big, F.least("_b", "_with")).otherwise(-1).alias("i"),
+                       F.when(big, F.greatest("_b", "_with")).otherwise(-1).alias("j")).join(sets, "node")
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        i, j = key[1].as_py(), key[2].as_py()
+        hub, node, n, s, c, b = (np.asarray(table[x]) for x in ("hub", "node", "n", "s", "c", "_b"))
+        members = [np.frombuffer(x, np.uint64) for x in table["members"].to_pylist()]
+        links: list[tuple[int, int]] = []
+        order = np.argsort(hub, kind="stable")
+        cut = np.flatnonzero(np.concatenate([[True], hub[order][1:] != hub[order][:-1], [True]]))
+        for lo, hi in zip(cut[:-1], cut[1:], strict=True):
+            at = order[lo:hi]
+            side = b[at] if i != j else np.zeros(len(at), np.int64)
+            links += spanning_links(node[at], n[at], s[at], c[at], side, [members[k] for k in at], percent)
+        return pa.table([pa.array([x[k] for x in links], pa.int64()) for k in (0, 1)], schema=schema)
+
+    return rows.groupBy("u", "i", "j").applyInArrow(run, "a bigint, b bigint").distinct()
+
+
+def spanning_links(node: np.ndarray, n: np.ndarray, s: np.ndarray, c: np.ndarray, side: np.ndarray, members: list[np.ndarray],
+                   percent: int) -> list[tuple[int, int]]:
+    """Links between the components ``c`` of a few sets, enough to join all that any link joins.
+
+    With two different ``side`` values only pairs across the sides count."""
+    names, comp = np.unique(c, return_inverse=True)
+    if len(names) < 2:
+        return []
+    parent = np.arange(len(names))
+
+    def find(x: int) -> int:
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    size = np.array([len(m) for m in members])
+    start = np.concatenate([[0], np.cumsum(size)])
+    local = np.unique(np.concatenate(members), return_inverse=True)[1]
+    mark = np.zeros(local.max() + 1 if len(local) else 1, bool)
+    largest = np.bincount(comp).argmax()
+    two = len(np.unique(side)) > 1
+    out = []
+    for x in np.flatnonzero(comp != largest):  # of any pair across components, one is not in the largest
+        root = np.array([find(k) for k in range(len(names))])
+        most = np.minimum(s[x], s)
+        ok = (root[comp] != root[comp[x]]) & (100 * most >= percent * (n[x] + n - most))
+        ok &= (comp == largest) | (node > node[x])  # pairs of two such sets once
+        if two:
+            ok &= side != side[x]
+        ys = np.flatnonzero(ok)
+        if not len(ys):
+            continue
+        mark[local[start[x]:start[x + 1]]] = True
+        hits = mark[np.concatenate([local[start[y]:start[y + 1]] for y in ys])]
+        both = np.add.reduceat(hits.astype(np.int64), np.concatenate([[0], np.cumsum(size[ys])[:-1]]))
+        mark[local[start[x]:start[x + 1]]] = False
+        for y in ys[100 * both >= percent * (size[x] + size[ys] - both)]:
+            p, q = find(comp[x]), find(comp[y])
+            if p != q:
+                parent[p] = q
+                out.append((int(min(node[x], node[y])), int(max(node[x], node[y]))))
+    return out
+
+
 def _own_sets(members: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -137,17 +137,19 @@ def mixed_documents(docs: DataFrame, plan: Plan) -> DataFrame:
     are told apart by their number of tokens and levels; columns are those of ``docs``."""
     levels = list(plan.levels)
     taken = mix(docs, plan).groupBy("doc_id", *levels, "n_tokens").agg(
-        F.max("epochs").alias("epochs"), F.max("take_tokens").alias("take_tokens"))
-    keys = docs.select("*", F.coalesce(F.regexp_count(F.col("text"), F.lit(WORD_RE)), F.lit(0)).cast("bigint").alias("_n"))
-    on = [keys["doc_id"].eqNullSafe(taken["doc_id"]), keys["_n"] == taken["n_tokens"],
-          *(F.coalesce(keys[c].cast("string"), F.lit("")) == taken[c] for c in levels)]
-    joined = keys.join(taken, on).select(*(keys[c] for c in docs.columns), "_n", taken["epochs"], taken["take_tokens"])
-    last = F.when(F.col("take_tokens") > 0, F.array(F.col("take_tokens"))).otherwise(F.array().cast("array<bigint>"))
-    copies = F.concat(F.array_repeat(F.col("_n"), F.col("epochs").cast("int")), last)
+        F.max("epochs").alias("mix__epochs"), F.max("take_tokens").alias("mix__take"))
+    taken = taken.select(F.col("doc_id").alias("mix__id"), F.col("n_tokens").alias("mix__tokens"), "mix__epochs", "mix__take",
+                         *(F.col(c).alias(f"mix__{c}") for c in levels))
+    rows = docs.withColumn("mix__n", F.coalesce(F.regexp_count(F.col("text"), F.lit(WORD_RE)), F.lit(0)).cast("bigint"))
+    on = F.col("doc_id").eqNullSafe(F.col("mix__id")) & (F.col("mix__n") == F.col("mix__tokens"))
+    for c in levels:
+        on = on & (F.coalesce(F.col(c).cast("string"), F.lit("")) == F.col(f"mix__{c}"))
+    last = F.when(F.col("mix__take") > 0, F.array(F.col("mix__take"))).otherwise(F.array().cast("array<bigint>"))
+    copies = F.concat(F.array_repeat(F.col("mix__n"), F.col("mix__epochs").cast("int")), last)
     words = F.regexp_extract_all(F.col("text"), F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0))
-    prefix = F.array_join(F.slice(words, F.lit(1), F.col("_k").cast("int")), "")
-    text = F.when(F.col("_k") < F.col("_n"), prefix).otherwise(F.col("text"))
-    return (joined.withColumn("_k", F.explode(copies))
+    prefix = F.array_join(F.slice(words, F.lit(1), F.col("mix__k").cast("int")), "")
+    text = F.when(F.col("mix__k") < F.col("mix__n"), prefix).otherwise(F.col("text"))
+    return (rows.join(taken, on).withColumn("mix__k", F.explode(copies))
             .select(*(text.alias(c) if c == "text" else F.col(c) for c in docs.columns)))
 
 

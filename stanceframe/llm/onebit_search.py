@@ -19,7 +19,7 @@ from stanceframe.llm.common import stored
 from stanceframe.llm.lattice_dedup import _matrix, usable_vectors
 
 SEED = 41
-BOUND = 3.0  # width of the error bound in standard deviations of the estimate
+BOUND = 1.9  # width of the error bound in standard deviations of the estimate
 DATA_BLOCK, QUERY_BLOCK = 8192, 2048
 
 

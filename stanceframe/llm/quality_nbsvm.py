@@ -121,11 +121,21 @@ def fit(sample: list[tuple[str, int]], cost: float = 0.02, sweeps: int = 12, ble
     if len(set(ys)) < 2:
         share = (sum(ys) + 1) / (len(ys) + 2)
         return Model({}, 0.0, 0.0, math.log(share / (1 - share)))
-    sets = [indicators(t) for t, _ in sample]
-    seen = Counter(f for s in sets for f in s)
-    vocab = {f: k for k, (f, _) in enumerate(sorted(((f, c) for f, c in seen.items() if c >= min(MIN_DOCS, max(1, len(sets) // 8))),
-                                                   key=lambda x: (-x[1], repr(x[0])))[:MAX_FEATURES])}
-    rows = [np.array(sorted(vocab[f] for f in s if f in vocab), np.int64) for s in sets]
+    # counted as numbers first: the indicators of all texts never stand in memory at once
+    seen, count = np.unique(np.concatenate([np.fromiter(map(hash, indicators(t)), np.int64) for t, _ in sample]), return_counts=True)
+    common = count >= min(MIN_DOCS, max(1, len(sample) // 8))
+    picked = seen[common][np.argsort(-count[common], kind="stable")[:MAX_FEATURES]].tolist()
+    del seen, count
+    names = dict.fromkeys(picked)
+    hashed = []
+    for t, _ in sample:
+        own = {hash(f): f for f in indicators(t)}
+        own = {h: f for h, f in own.items() if h in names}
+        names.update(own)
+        hashed.append(np.fromiter(own, np.int64))
+    vocab = {f: k for k, f in enumerate(sorted(names.values(), key=repr))}  # the same order on every run
+    number = {h: vocab[f] for h, f in names.items()}
+    rows = [np.array(sorted(number[h] for h in r.tolist()), np.int64) for r in hashed]
     y = np.array([1.0 if v else -1.0 for v in ys])
     count = {s: np.full(len(vocab), 1.0) for s in (1.0, -1.0)}
     for r, v in zip(rows, y, strict=True):

@@ -15,9 +15,9 @@ MIX_WEIGHTS = {"d0": 4, "d1": 3, "d2": 2, "d3": 1,
 _DOMAIN = "concat('d', coalesce(try_cast(regexp_extract(source, '([0-9]{1,9})$', 1) as int), 0) % 4)"
 
 
-def with_domain(docs: DataFrame) -> DataFrame:
+def with_domain(docs: DataFrame, name: str = "domain") -> DataFrame:
     """The source catalogue's domain column, which the documents table does not have."""
-    return docs.withColumn("domain", F.expr(_DOMAIN))
+    return docs.withColumn(name, F.expr(_DOMAIN))
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -12,7 +12,6 @@ from __future__ import annotations
 
 import math
 import re
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -89,31 +88,38 @@ def build_lexicon(sample: list[tuple[str, int]], least: float = 30.0) -> list[tu
     Evidence is the log-likelihood ratio of the document frequencies; ``least`` leaves next to none of the
     millions of candidates to chance, and the share among toxic rows must be ten times the other."""
     n = [max(1, sum(1 for _, y in sample if y == k)) for k in (0, 1)]
-    df: tuple[Counter, Counter] = (Counter(), Counter())
+    # counted as numbers first: the millions of candidates never stand in memory as texts
+    held: tuple[list, list] = ([], [])
     for t, y in sample:
-        df[y].update({e for w in plain_words(t) for e in entries_of(w)})
+        held[y].append(np.fromiter({hash(e) for w in plain_words(t) for e in entries_of(w)}, np.int64))
+    (k0, c0), (k1, c1) = (np.unique(np.concatenate([np.zeros(0, np.int64), *x]), return_counts=True) for x in held)
+    del held
+    other = np.zeros(len(k1), np.int64)
+    if len(k0):
+        at = np.minimum(np.searchsorted(k0, k1), len(k0) - 1)
+        other = np.where(k0[at] == k1, c0[at], 0)
     share = n[1] / (n[0] + n[1])
-    out = []
-    for e, c1 in df[1].items():
-        c0 = df[0][e]
-        if c1 / n[1] < 10 * c0 / n[0]:
-            continue
-        g = 2 * (c1 * math.log(c1 / ((c0 + c1) * share)) + (c0 * math.log(c0 / ((c0 + c1) * (1 - share))) if c0 else 0.0))
-        if g >= least or c1 >= 3 and c0 == 0 and g >= least * min(1.0, len(sample) / 1000):
-            out.append((e, g))
-    out.sort(key=lambda x: (-x[1], x[0]))
-    return out[:MAX_ENTRIES]
+    both = other + c1
+    g = 2 * (c1 * np.log(c1 / (both * share)) + other * np.log(np.maximum(other, 1) / (both * (1 - share))))
+    # small samples cannot give much evidence
+    need = np.where((c1 >= 3) & (other == 0), least * min(1.0, len(sample) / 1000), least)
+    ok = (c1 / n[1] >= 10 * other / n[0]) & (g >= need)
+    evidence = dict(zip(k1[ok].tolist(), g[ok].tolist(), strict=True))
+    found = {e: evidence[h] for t, y in sample if y for w in plain_words(t) for e in entries_of(w) if (h := hash(e)) in evidence}
+    return sorted(found.items(), key=lambda x: (-x[1], x[0]))[:MAX_ENTRIES]
 
 
 class LabelModel:
     """Generative model of voters that vote toxic (1), clean (-1) or abstain (0).
 
-    A voter is right with its own accuracy whenever it votes; abstaining says nothing.  The class
-    share is given, the accuracies are fitted by expectation maximisation, and the correlation of the voters'
+    A voter is right with its own accuracy whenever it votes; abstaining says nothing, so the class share
+    among voted texts is even and it is the clean voter that speaks for the many texts without any
+    entry.  Expectation maximisation fits the accuracies; ``trust`` is the weight of the starting accuracy
+    against a voter's own votes, without which the labels can drift.  The correlation of the voters'
     firing that the classes leave unexplained makes dependent voters share one vote."""
 
-    def __init__(self, prior: float = 0.1, start: float = 0.9):
-        self.prior, self.start = prior, start
+    def __init__(self, prior: float = 0.5, start: float = 0.9, trust: float = 0.5):
+        self.prior, self.start, self.trust = prior, start, trust
 
     def fit(self, votes: np.ndarray, rounds: int = 60) -> LabelModel:
         """``votes``: rows x voters of 1, 0, -1; no labels."""
@@ -126,7 +132,7 @@ class LabelModel:
         p = self.posterior(votes)
         for k in range(rounds):
             right = up.T @ p + down.T @ (1 - p)
-            self.accuracy = np.clip((right + 2 * self.start) / (cast + 2), 0.55, 0.995)  # better than chance
+            self.accuracy = np.clip((right / cast + self.trust * self.start) / (1 + self.trust), 0.55, 0.995)  # above chance
             if k % 5 == 0:
                 self._correlate(np.abs(votes).astype(np.float64), p)
             old, p = p, self.posterior(votes)
@@ -220,10 +226,11 @@ def fit(sample: list[tuple[str, int]]) -> tuple[Model, LabelModel | None]:
         if own and not any(len(own & where[v]) > 0.95 * len(own | where[v]) for v in voters):
             voters.append(e)
     fired = vote_matrix(looks, voters)
-    labeller = LabelModel(sum(ys) / len(ys)).fit(fired)
+    labeller = LabelModel().fit(fired)
     target = labeller.posterior(fired)
     rows = [np.array(sorted(v.entries), np.int64) for v in looks]
     w = _logistic(rows, target, len(ranked))
+    lexicon.cache.clear()  # the words looked up here do not travel with the model
     return Model(lexicon, w[:-1], float(w[-1])), labeller
 
 

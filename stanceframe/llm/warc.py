@@ -84,7 +84,9 @@ def write_warc(pages: DataFrame, folder: str) -> DataFrame:
     """Write archives of all pages to a shared folder; returns the manifest (path, bytes).
 
     One archive per task and attempt; only successful attempts are in the manifest.  A null html is an
-    empty payload; null ids and urls are written as empty; repeated rows are captures of their own."""
+    empty payload; null ids and urls are written as empty, and a row without id is never a revisit;
+    repeated rows are captures of their own (rows of the first id with a payload are all responses);
+    extra columns are ignored; an empty table gives an empty manifest."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out, name, size, seen = None, "", 0, {}
         for batch in batches:

@@ -47,7 +47,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The weighted mix; a document of two epochs comes twice, one at a budget's end with its token prefix."""
     prepare(spark)
-    return mixed_documents(with_domain(docs), Plan(weights=MIX_WEIGHTS)).select(*docs.columns)
+    plan = Plan(levels=("mix__domain", "lang", "source"), weights=MIX_WEIGHTS)
+    return mixed_documents(with_domain(docs, "mix__domain"), plan).select(*docs.columns)
 
 
 def token_digests(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

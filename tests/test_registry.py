@@ -4,6 +4,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as E
+from stanceframe.plans import registry
 from stanceframe.sources.fixtures import TABLES
 
 from .conftest import SF001
@@ -18,7 +19,8 @@ def test_entry(spark):
 
 
 def test_every_query_has_oracle_or_is_rows_only():
-    q, s = E.queries(), E.oracle_sql()
+    q, s = registry.queries(), registry.oracle_sql()
+    assert set(q) <= set(E.queries()) and set(s) <= set(E.oracle_sql())
     assert set(q) - set(s) == ROWS_ONLY
     assert set(s) <= set(q)
     assert len(q) >= 100

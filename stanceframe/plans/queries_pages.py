@@ -28,7 +28,7 @@ def _frag_sql(inner: str, sep: str) -> str:
 SELECT page_id,
        CASE WHEN regexp_matches(html, '(?is)<h1\\b[^>]*>.*?</h1>')
             THEN {_frag_sql("regexp_extract(html, '(?is)<h1\\b[^>]*>(.*?)</h1>', 1)", "''")} END AS title,
-       {_frag_sql("regexp_extract(html, '(?is)<body\\b[^>]*>(.*)</body>', 1)", "chr(10)")} AS text
+       {_frag_sql("regexp_extract(html, '(?is)<body\\b[^>]*>(.*?)(?:</body>|$)', 1)", "chr(10)")} AS text
 FROM pages""")
 def q_page_title_text(spark, sf_dir):
     """HTM-6: page title (first h1) and body text, entities decoded."""
@@ -54,36 +54,56 @@ def q_page_links(spark, sf_dir):
     return PG.page_links(FX.table(spark, sf_dir, "pages"), suffix="e", rule="endswith")
 
 
-def _pages(spark, sf_dir):
-    return FX.table(spark, sf_dir, "pages").withColumn("page_key", F.col("page_id").cast("string"))
+# what the saved pages say, stated on the customers they are made of
+_SURVEY_SQL = """
+SELECT CAST(c_custkey AS VARCHAR) AS page_key, lower('Seg ' || c_mktsegment) AS question, 0 AS pos,
+       CASE WHEN c_custkey % 8 = 0 THEN 'Skipped it' ELSE 'Accept:' || c_mktsegment || ' view' END AS answer
+FROM customer WHERE c_custkey % 4 = 0
+UNION ALL SELECT CAST(c_custkey AS VARCHAR), 'combined ' || c_nationkey, 0, 'lean toward: view ' || c_custkey FROM customer WHERE c_custkey % 4 = 0
+UNION ALL SELECT CAST(c_custkey AS VARCHAR), 'combined ' || c_nationkey, 1, 'reject' FROM customer WHERE c_custkey % 4 = 0"""
 
 
-@register("survey_table_answers")
+@register("survey_table_answers", f"SELECT * FROM ({_SURVEY_SQL})")
 def q_survey_table_answers(spark, sf_dir):
-    """HTM-2/3: survey-table answers of every page (element-tree parse, last duplicate wins)."""
-    return PG.survey_table_answers(_pages(spark, sf_dir))
+    """HTM-2/3: survey-table answers of every saved page (last duplicate question wins)."""
+    return PG.survey_table_answers(FX.saved_pages(spark, sf_dir))
 
 
-@register("page_qa_rows")
+@register("page_qa_rows", """
+SELECT CAST(c_custkey AS VARCHAR) AS page_key, 0 AS pos, 'Question ' || c_custkey AS question, c_mktsegment AS answer FROM customer WHERE c_custkey % 4 = 2
+UNION ALL SELECT CAST(c_custkey AS VARCHAR), 1, 'Second ' || c_nationkey, 'maybe' FROM customer WHERE c_custkey % 4 = 2
+UNION ALL SELECT CAST(c_custkey AS VARCHAR), 0, 'Seg ' || c_mktsegment, 'Accept:' || c_mktsegment || ' view' FROM customer WHERE c_custkey % 4 = 0
+UNION ALL SELECT CAST(c_custkey AS VARCHAR), 1, 'Combined ' || c_nationkey, 'Accept a combination of answers:Lean   Towardview ' || c_custkey || 'Reject'
+  FROM customer WHERE c_custkey % 4 = 0
+UNION ALL SELECT CAST(c_custkey AS VARCHAR), 2, 'SEG ' || c_mktsegment, 'Skipped' || chr(10) || '  it' FROM customer WHERE c_custkey % 8 = 0""")
 def q_page_qa_rows(spark, sf_dir):
-    """HTM-4: generic question/answer rows from tables and definition lists of every page."""
-    return PG.page_qa_rows(_pages(spark, sf_dir))
-
-
-@register("profile_details")
+    """HTM-4: generic question/answer rows from tables and definition lists of every saved page."""
+    return PG.page_qa_rows(FX.saved_pages(spark, sf_dir))
+
+
+@register("profile_details", """
+SELECT CAST(c_custkey AS VARCHAR) AS page_key,
+       CASE WHEN c_custkey % 4 = 1 THEN 'Ethics' || chr(31) || 'Logic ' || c_custkey ELSE '' END AS areas_of_specialization,
+       CASE WHEN c_custkey % 8 = 1 THEN 'Law & Order' ELSE '' END AS areas_of_interest, CAST(NULL AS VARCHAR) AS location,
+       CASE WHEN c_custkey % 4 = 1 THEN 'Old ' || c_mktsegment || CASE WHEN c_custkey % 8 = 5 THEN ', Dept' ELSE '' END
+            || ', PhD, ' || (1990 + c_custkey % 20) END AS phd_institution,
+       CASE WHEN c_custkey % 4 = 1 THEN 'University ' || c_nationkey END AS current_institution, CAST(NULL AS VARCHAR) AS error
+FROM customer""")
 def q_profile_details(spark, sf_dir):
-    """HTM-5: profile details parsed from every page (``error`` column, never fatal); the two
-    area lists are joined with the unit separator for comparison."""
-    d = PG.profile_details(_pages(spark, sf_dir))
+    """HTM-5: profile details parsed from every saved page; the two area lists are joined with the
+    unit separator for comparison."""
+    d = PG.profile_details(FX.saved_pages(spark, sf_dir))
     return d.select("page_key", *[F.array_join(c, "\x1f").alias(c) for c in ("areas_of_specialization",
                                                                              "areas_of_interest")],
                     "location", "phd_institution", "current_institution", "error")
 
 
-@register("extraction_report")
+@register("extraction_report", """
+SELECT CAST(c_custkey AS VARCHAR) AS page_key, CAST(CASE WHEN c_custkey % 4 = 0 THEN 2 ELSE 0 END AS BIGINT) AS n_questions,
+       CAST(CASE WHEN c_custkey % 4 = 0 THEN 3 ELSE 0 END AS BIGINT) AS n_answers, c_custkey % 4 <> 0 AS no_answers FROM customer""")
 def q_extraction_report(spark, sf_dir):
-    """AGG-20: answers extracted per page and the pages that yielded none."""
-    p = _pages(spark, sf_dir)
+    """AGG-20: answers extracted per saved page, and the pages that yielded none."""
+    p = FX.saved_pages(spark, sf_dir)
     return PG.extraction_report(p, PG.survey_table_answers(p))
 
 

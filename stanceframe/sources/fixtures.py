@@ -280,3 +280,35 @@ def _stance_sql() -> str:
 
 
 FIXTURE_SQL["fx_stance"] = _stance_sql()
+
+
+def saved_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Saved pages ``(page_key, html)``, one per customer, of four kinds by the key: survey answers (single,
+    combined, a repeated question, a row of one cell), profile, question/answer lists, no such markup."""
+    c = table(spark, sf_dir, "customer")
+    k = F.col("c_custkey")
+    key, seg, nat = k.cast("string"), F.col("c_mktsegment"), F.col("c_nationkey").cast("string")
+
+    def html(*parts):
+        return F.concat(F.lit("<html><body>"), *(p if not isinstance(p, str) else F.lit(p) for p in parts), F.lit("</body></html>"))
+
+    repeated = F.when(k % 8 == 0, F.concat(
+        F.lit("<tr><td><a class='survey-question-title x' href=#>SEG "), seg, F.lit("</a></td><td>  Skipped\n  it <!-- n --></td></tr>"))).otherwise("")
+    survey = html(
+        "<h2>My Survey Responses</h2><p>x</p><table><thead><tr><th>Q</th><th>A</th></tr></thead><tbody>",
+        "<tr><td><a class='survey-question-title' href='#'>Seg ", seg, "</a></td><td><span>Accept:</span> <strong class='thesis-title'>", seg,
+        " view</strong></td></tr><tr><td><a class='survey-question-title' href='#'>Combined ", nat,
+        "</a></td><td>Accept a combination of answers:<ul><li>Lean   Toward <strong class='thesis-title'>view ", key,
+        "</strong></li><li>Reject</li></ul></td></tr>", repeated, "<tr><td>one cell</td></tr></tbody></table>")
+    interest = F.when(k % 8 == 1, F.lit("<div class='about__topics'><div class='about__content'><span class='about-title'>Areas of Interest</span>"
+                                        "<table><tr><td><a class='category'>Law &amp; Order</a></td></tr></table></div></div>")).otherwise("")
+    second = F.when(k % 8 == 5, "<div class='about-second'>Dept</div>").otherwise("")
+    profile = html(
+        "<div class='affil'> University ", nat, " </div><div class='about__topics'><div class='about__content'>"
+        "<span class='about-title'>Areas of Specialization</span><table><tr><td><a class='category'>Ethics</a><a class='category'>Logic ", key,
+        "</a></td></tr></table></div></div>", interest, "<div class='row about'><div class='about__content'><span class='about-title'>"
+        "<a class='affil'>Old ", seg, "</a></span>", second, "<div class='text-muted about-extra'>PhD, ", (1990 + k % 20).cast("string"), "</div></div></div>")
+    qa = html("<table><tr><th>Question ", key, "</th><td>", seg, "</td></tr><tr><td>abc</td><td>no</td></tr></table>"
+              "<dl><dt>Second ", nat, "</dt><dd>maybe</dd><dt>q</dt><dd>short</dd><dt>Third</dt></dl>")
+    page = F.when(k % 4 == 0, survey).when(k % 4 == 1, profile).when(k % 4 == 2, qa).otherwise(html("<p>", seg, "</p>"))
+    return c.select(key.alias("page_key"), page.alias("html"))

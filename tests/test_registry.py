@@ -9,8 +9,7 @@ from stanceframe.sources.fixtures import TABLES
 
 from .conftest import SF001
 
-ROWS_ONLY = {"survey_table_answers", "page_qa_rows", "profile_details", "extraction_report",
-             "generate_answers", "first_valid_attempt"}
+ROWS_ONLY = {"generate_answers", "first_valid_attempt"}
 
 
 def test_entry(spark):
@@ -41,7 +40,9 @@ def _norm(rows):
     return sorted(out, key=repr)
 
 
-@pytest.mark.parametrize("name", ["question_quality", "pairwise_spearman", "feature_effect_table", "kl_js_by_question",
+@pytest.mark.parametrize("name", ["question_quality", "pairwise_spearman", "feature_effect_table", "survey_table_answers", "page_qa_rows", "profile_details",
+                                  "extraction_report", "resolve_link", "page_links", "validate_response", "normalize_cells", "request_shards",
+                                   "kl_js_by_question",
                                   "parse_response_list", "merge_profiles_survey", "page_title_text",
                                   "preference_pairs", "build_requests", "stream_run_outcomes"])
 def test_against_oracle_sf0001(spark, duck, name):

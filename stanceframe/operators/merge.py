@@ -32,36 +32,45 @@ def last_record_rows(df: DataFrame, key: str, record: str) -> DataFrame:
     return df.join(last, [key, record], "left_semi")
 
 
-def _response_summary(answers: DataFrame, key: str | list[str]) -> DataFrame:
-    """Per record: answer count, score sum and the answer map (one record holds at most one
-    answer per question, so the map is bounded by the question catalogue)."""
+def _response_summary(answers: DataFrame, key: str | list[str], question: str = "question") -> DataFrame:
+    """Per record: answer count, score sum and the answer map (bounded by the question catalogue).
+
+    Of repeated questions of a record the last one by ``ord`` counts, where the answers have that column;
+    without it the largest score, so that a retried task agrees."""
     keys = [key] if isinstance(key, str) else key
-    return answers.groupBy(*keys).agg(
+    value = F.max_by("score", "ord") if "ord" in answers.columns else F.max("score")
+    one = answers.groupBy(*keys, question).agg(value.alias("score"))
+    return one.groupBy(*keys).agg(
         F.count(F.lit(1)).cast("bigint").alias("n_responses"),
         F.sum("score").alias("score_sum"),
-        F.map_from_entries(F.collect_list(F.struct("question", "score"))).alias("responses"))
+        F.map_from_entries(F.collect_list(F.struct(question, "score"))).alias("responses"))
+
+
+def _no_responses():
+    return F.create_map().cast("map<string,double>")
 
 
 def merge_profiles_survey(profiles: DataFrame, survey: DataFrame) -> DataFrame:
-    """JOIN-1: every profile (duplicates kept) with its answers by slug A (empty if none),
-    plus survey-only slugs with default profile fields and ``survey_response_count``.
+    """JOIN-1: every profile (duplicates kept) with all its columns and its answers by slug A (empty if
+    none), plus survey-only slugs with empty profile columns and ``survey_response_count``.
 
-    ``survey``: long ``(philosopher, rec_pos, question, score)``; the last record
+    ``survey``: long ``(philosopher, rec_pos, question, score[, ord])``; the last record
     per slug wins.
     """
     s = last_record_rows(survey, "philosopher", "rec_pos")
     summ = _response_summary(s, "philosopher")
     p = profiles.withColumn("slug", T.slug_from_profile_url(F.col("url")))
     matched = (p.join(summ, p.slug == summ.philosopher, "left")
-               .select("name", "url", "slug", F.lit("profile").alias("source"),
+               .select(*profiles.columns, "slug", F.lit("profile").alias("source"),
                        F.coalesce("n_responses", F.lit(0)).cast("bigint").alias("n_responses"),
                        F.coalesce("score_sum", F.lit(0.0)).alias("score_sum"),
+                       F.coalesce("responses", _no_responses()).alias("responses"),
                        F.lit(None).cast("bigint").alias("survey_response_count")))
     only = (summ.join(p.select("slug").where(F.col("slug").isNotNull()).distinct(),
                       summ.philosopher == F.col("slug"), "left_anti")
-            .select(F.lit(None).cast("string").alias("name"), F.lit(None).cast("string").alias("url"),
+            .select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in profiles.schema],
                     F.col("philosopher").alias("slug"), F.lit("survey_only").alias("source"),
-                    "n_responses", "score_sum", F.col("n_responses").alias("survey_response_count")))
+                    "n_responses", "score_sum", "responses", F.col("n_responses").alias("survey_response_count")))
     return matched.unionByName(only)
 
 
@@ -77,25 +86,26 @@ def merge_survey_profiles(survey: DataFrame, profiles: DataFrame, marker: str, o
     (last profile per slug by input ``order``); every record stays its own row and
     unmatched records are flagged ``matched = false``."""
     p = profiles.withColumn("slug", T.slug_after_marker(F.col("url"), marker)).where(F.col("slug").isNotNull())
-    p = dedupe_last(p.select("slug", "name", "url", "phd_country", order), ["slug"], order).drop(order)
+    cols = [c for c in profiles.columns if c != order]
+    p = dedupe_last(p.select("slug", *cols, order), ["slug"], order).drop(order)
     summ = _response_summary(survey, ["philosopher", "rec_pos"])
     j = summ.join(p, summ.philosopher == p.slug, "left")
-    return j.select("philosopher", "rec_pos", "name", "url", "phd_country", "n_responses", "score_sum",
+    return j.select("philosopher", "rec_pos", *cols, "n_responses", "score_sum", "responses",
                     F.col("slug").isNotNull().alias("matched"))
 
 
 def merge_model_profiles(records: DataFrame, cells: DataFrame, profiles: DataFrame,
                          persona_cols: Sequence[str] = ("phd_country",)) -> DataFrame:
-    """JOIN-4: per respondent name in the model answers, LEFT JOIN profiles on the
-    normalised name (last profile per name wins).  Unmatched names rebuild persona
-    fields from their *first* model record, ``matched = false``, ``source = 'llm'``.
+    """JOIN-4: per respondent name in the model answers, with the answer map, LEFT JOIN profiles (all their
+    columns) on the normalised name (last profile per name wins).  Unmatched names rebuild
+    ``persona_cols`` from their *first* model record, ``matched = false``, ``source = 'llm'``.
 
     ``cells``: ``(philosopher_name, cell_key, score)``; ``records`` carry ``ord``.
     """
-    summ = cells.groupBy("philosopher_name").agg(F.count(F.lit(1)).cast("bigint").alias("n_responses"),
-                                                 F.sum("score").alias("score_sum"))
+    summ = _response_summary(cells, "philosopher_name", "cell_key")
+    rest = [c for c in profiles.columns if c not in ("name", "_order", *persona_cols)]
     pn = profiles.withColumn("_norm", T.normalize_name(F.col("name"))).where(F.col("_norm").isNotNull())
-    pn = dedupe_last(pn.select("_norm", "name", *persona_cols, "_order"), ["_norm"], "_order")
+    pn = dedupe_last(pn.select("_norm", "name", *persona_cols, *rest, "_order"), ["_norm"], "_order")
     first = records.groupBy("philosopher_name").agg(
         F.min_by(F.struct(*persona_cols), F.col("ord")).alias("_first"))
     s = summ.withColumn("_norm", T.normalize_name(F.col("philosopher_name")))
@@ -103,8 +113,8 @@ def merge_model_profiles(records: DataFrame, cells: DataFrame, profiles: DataFra
     matched = F.col("name").isNotNull()
     cols = [F.when(matched, F.col(c)).otherwise(F.col(f"_first.{c}")).alias(c) for c in persona_cols]
     return j.select(F.coalesce(F.col("name"), F.col("philosopher_name")).alias("name"),
-                    "n_responses", "score_sum", matched.alias("matched"),
-                    F.when(matched, F.lit(None).cast("string")).otherwise(F.lit("llm")).alias("source"), *cols)
+                    "n_responses", "score_sum", "responses", matched.alias("matched"),
+                    F.when(matched, F.lit(None).cast("string")).otherwise(F.lit("llm")).alias("source"), *cols, *rest)
 
 
 def merge_counts(merged: DataFrame, matched: str = "matched") -> DataFrame:

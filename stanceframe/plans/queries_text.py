@@ -505,38 +505,57 @@ def q_pending_tasks(spark, sf_dir):
 
 # --- merges (JOIN-1..4, SET-4, AGG-18) ----------------------------------------------------
 
+# survey answers: some of respondents without a profile, some in two records, some with repeated questions
 SURVEY_SQL = """
-, survey AS (SELECT lower(replace(c.c_name, '#', '-')) AS philosopher, 0 AS rec_pos, a.question, a.score
-             FROM (SELECT respondent, question, min_by(score, ord) AS score FROM fx_answers
-                   WHERE model = 'human' GROUP BY ALL) a
-             JOIN customer c ON c.c_custkey = a.respondent),
+, cell AS (SELECT respondent, question, min_by(score, ord) AS score FROM fx_answers WHERE model = 'human' GROUP BY ALL),
+  raw_survey AS (
+    SELECT CASE WHEN c.c_custkey % 50 = 0 THEN 'guest-' || c.c_custkey ELSE lower(replace(c.c_name, '#', '-')) END AS philosopher,
+           CASE WHEN c.c_custkey % 7 = 0 THEN CAST(length(a.question) % 2 AS INTEGER) ELSE 0 END AS rec_pos, a.question,
+           CASE WHEN o.ord = 1 THEN 1.0 - a.score ELSE a.score END AS score, o.ord
+    FROM cell a JOIN customer c ON c.c_custkey = a.respondent JOIN (VALUES (0), (1)) o(ord) ON o.ord = 0 OR c.c_custkey % 11 = 0),
+  survey AS (SELECT philosopher, rec_pos, question, arg_max(score, ord) AS score FROM raw_survey GROUP BY ALL),
   prof AS (SELECT *, CASE WHEN len(p) >= 2 AND p[-2] = 'profiles' THEN p[-1] END AS slug FROM (
              SELECT *, string_split(regexp_replace(regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*([^?#]*)', 1),
                                                    '^/+|/+$', '', 'g'), '/') AS p FROM fx_profiles)),
-  summ AS (SELECT philosopher, CAST(count(*) AS BIGINT) AS n_responses, sum(score) AS score_sum FROM survey GROUP BY ALL)
+  recs AS (SELECT philosopher, rec_pos, CAST(count(*) AS BIGINT) AS n_responses, sum(score) AS score_sum,
+                  string_agg(question || '=' || CAST(score AS VARCHAR), chr(31) ORDER BY question) AS responses FROM survey GROUP BY ALL),
+  summ AS (SELECT * FROM recs QUALIFY rec_pos = max(rec_pos) OVER (PARTITION BY philosopher))
 """
+_PROFILE_COLS = ("phd_country", "current_institution_country", "year_of_phd_degree")
 
 
 def survey_long(spark, sf_dir):
-    """Human answers as survey records keyed by slug (one record per respondent)."""
+    """Human answers as survey rows ``(philosopher, rec_pos, question, score, ord)``: some respondents have no
+    profile under their slug, some two records, some a question twice in a record."""
     a = FX.answers(spark, sf_dir).where("model = 'human'")
     cells = first_valid_cells(a, keys=("respondent", "question"))
     c = FX.table(spark, sf_dir, "customer")
+    k = F.col("c_custkey")
+    twice = F.when(k % 11 == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
     return cells.join(c, cells.respondent == c.c_custkey).select(
-        F.lower(F.replace("c_name", F.lit("#"), F.lit("-"))).alias("philosopher"),
-        F.lit(0).alias("rec_pos"), "question", "score")
+        F.when(k % 50 == 0, F.concat(F.lit("guest-"), k.cast("string")))
+        .otherwise(F.lower(F.replace("c_name", F.lit("#"), F.lit("-")))).alias("philosopher"),
+        F.when(k % 7 == 0, F.length("question") % 2).otherwise(0).alias("rec_pos"), "question", "score", F.explode(twice).alias("ord")) \
+        .withColumn("score", F.when(F.col("ord") == 1, 1.0 - F.col("score")).otherwise(F.col("score")))
 
 
-@register("merge_profiles_survey", SURVEY_SQL + """
-SELECT name, url, slug, 'profile' AS source, CAST(coalesce(n_responses, 0) AS BIGINT) AS n_responses,
-       coalesce(score_sum, 0.0) AS score_sum, CAST(NULL AS BIGINT) AS survey_response_count
+def _shown(df):
+    """The answer map as text, in the order of its keys."""
+    entries = F.transform(F.array_sort(F.map_entries("responses")), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string")))
+    return df.withColumn("responses", F.array_join(entries, "\x1f"))
+
+
+@register("merge_profiles_survey", SURVEY_SQL + f"""
+SELECT name, url, {', '.join(_PROFILE_COLS)}, slug, 'profile' AS source, CAST(coalesce(n_responses, 0) AS BIGINT) AS n_responses,
+       coalesce(score_sum, 0.0) AS score_sum, coalesce(responses, '') AS responses, CAST(NULL AS BIGINT) AS survey_response_count
 FROM prof LEFT JOIN summ ON prof.slug = summ.philosopher
 UNION ALL
-SELECT NULL, NULL, philosopher, 'survey_only', n_responses, score_sum, n_responses FROM summ
+SELECT NULL, NULL, {', '.join('NULL' for _ in _PROFILE_COLS)}, philosopher, 'survey_only', n_responses, score_sum, responses, n_responses FROM summ
 WHERE philosopher NOT IN (SELECT slug FROM prof WHERE slug IS NOT NULL)""", ("score_sum",))
 def q_merge_profiles_survey(spark, sf_dir):
-    """JOIN-1: all profiles with their survey answers by slug, plus survey-only rows."""
-    return M.merge_profiles_survey(FX.profiles(spark, sf_dir), survey_long(spark, sf_dir))
+    """JOIN-1: all profiles with their columns and survey answers by slug, plus survey-only rows."""
+    m = _shown(M.merge_profiles_survey(FX.profiles(spark, sf_dir), survey_long(spark, sf_dir)))
+    return m.select("name", "url", *_PROFILE_COLS, "slug", "source", "n_responses", "score_sum", "responses", "survey_response_count")
 
 
 @register("unmatched_survey", SURVEY_SQL + """
@@ -549,16 +568,16 @@ def q_unmatched_survey(spark, sf_dir):
 @register("merge_survey_profiles", SURVEY_SQL + f"""
 , pb AS (SELECT CASE WHEN contains(url, {S.q(MARKER)}) THEN string_split(url, {S.q(MARKER)})[-1] END AS slug,
                 arg_max(name, respondent) AS name, arg_max(url, respondent) AS url,
-                arg_max(phd_country, respondent) AS phd_country
+                {', '.join(f'arg_max_null({c}, respondent) AS {c}' for c in _PROFILE_COLS)}
          FROM fx_profiles WHERE contains(url, {S.q(MARKER)}) GROUP BY 1)
-SELECT s.philosopher, s.rec_pos, pb.name, pb.url, pb.phd_country, s.n_responses, s.score_sum,
+SELECT s.philosopher, s.rec_pos, pb.name, pb.url, {', '.join(f'pb.{c}' for c in _PROFILE_COLS)}, s.n_responses, s.score_sum, s.responses,
        pb.slug IS NOT NULL AS matched
-FROM (SELECT philosopher, rec_pos, CAST(count(*) AS BIGINT) AS n_responses, sum(score) AS score_sum
-      FROM survey GROUP BY ALL) s LEFT JOIN pb ON pb.slug = s.philosopher""", ("score_sum",))
+FROM recs s LEFT JOIN pb ON pb.slug = s.philosopher""", ("score_sum",))
 def q_merge_survey_profiles(spark, sf_dir):
-    """JOIN-2: survey answers joined to profiles on slug B; unmatched flagged."""
+    """JOIN-2: every survey record joined to profiles on slug B; unmatched flagged."""
     p = FX.profiles(spark, sf_dir).withColumn("_order", F.col("respondent"))
-    return M.merge_survey_profiles(survey_long(spark, sf_dir), p, MARKER)
+    m = _shown(M.merge_survey_profiles(survey_long(spark, sf_dir), p, MARKER))
+    return m.select("philosopher", "rec_pos", "name", "url", *_PROFILE_COLS, "n_responses", "score_sum", "responses", "matched")
 
 
 @register("dedupe_last", """
@@ -580,25 +599,33 @@ def _merge_model(spark, sf_dir):
     records = records.join(ev, "custom_id").join(nat.select(F.col("c_custkey").alias("user_id"),
                                                             F.col("n_name").alias("phd_country")), "user_id", "left")
     cells = B.first_valid_model_cells(records)
-    profiles = FX.profiles(spark, sf_dir).withColumn("_order", F.col("respondent"))
+    # every twentieth respondent has no profile and falls back to the first record
+    profiles = FX.profiles(spark, sf_dir).where("respondent % 20 <> 0").withColumn("_order", F.col("respondent"))
     return M.merge_model_profiles(records, cells, profiles)
 
 
 @register("merge_model_profiles", ITEMS_SQL + f"""
-, pn AS (SELECT {S.normalize_name('name')} AS norm, arg_max(name, respondent) AS name,
-                arg_max(phd_country, respondent) AS phd_country FROM fx_profiles
-         WHERE {S.normalize_name('name')} IS NOT NULL GROUP BY 1),
-  ms AS (SELECT philosopher_name, CAST(count(*) AS BIGINT) AS n_responses, sum(score) AS score_sum FROM mcells GROUP BY ALL)
-SELECT coalesce(pn.name, ms.philosopher_name) AS name, n_responses, score_sum, pn.name IS NOT NULL AS matched,
-       CASE WHEN pn.name IS NOT NULL THEN NULL ELSE 'llm' END AS source, pn.phd_country
-FROM ms LEFT JOIN pn ON pn.norm = {S.normalize_name('ms.philosopher_name')}""", ("score_sum",))
+, pn AS (SELECT {S.normalize_name('name')} AS norm, arg_max(name, respondent) AS name, arg_max_null(url, respondent) AS url,
+                {', '.join(f'arg_max_null({c}, respondent) AS {c}' for c in _PROFILE_COLS)} FROM fx_profiles
+         WHERE {S.normalize_name('name')} IS NOT NULL AND respondent % 20 <> 0 GROUP BY 1),
+  ms AS (SELECT philosopher_name, CAST(count(*) AS BIGINT) AS n_responses, sum(score) AS score_sum,
+                string_agg(cell_key || '=' || CAST(score AS VARCHAR), chr(31) ORDER BY cell_key) AS responses FROM mcells GROUP BY philosopher_name),
+  fr AS (SELECT j.philosopher_name, arg_min(n.n_name, j.ord) AS phd_country
+         FROM jbr j JOIN events e ON j.custom_id = 'req_' || CAST(e.event_id AS VARCHAR)
+              LEFT JOIN customer c ON c.c_custkey = e.user_id LEFT JOIN nation n ON n.n_nationkey = c.c_nationkey GROUP BY 1)
+SELECT coalesce(pn.name, ms.philosopher_name) AS name, n_responses, score_sum, responses, pn.name IS NOT NULL AS matched,
+       CASE WHEN pn.name IS NOT NULL THEN NULL ELSE 'llm' END AS source,
+       CASE WHEN pn.name IS NOT NULL THEN pn.phd_country ELSE fr.phd_country END AS phd_country, pn.url,
+       pn.current_institution_country, pn.year_of_phd_degree
+FROM ms LEFT JOIN pn ON pn.norm = {S.normalize_name('ms.philosopher_name')} LEFT JOIN fr USING (philosopher_name)""", ("score_sum",))
 def q_merge_model_profiles(spark, sf_dir):
     """JOIN-4: model answers merged with profiles by normalised name (first-record fallback)."""
-    return _merge_model(spark, sf_dir)
+    return _shown(_merge_model(spark, sf_dir)).select("name", "n_responses", "score_sum", "responses", "matched", "source", "phd_country",
+                                                      "url", "current_institution_country", "year_of_phd_degree")
 
 
 @register("merge_counts", ITEMS_SQL + f"""
-, pn AS (SELECT DISTINCT {S.normalize_name('name')} AS norm FROM fx_profiles),
+, pn AS (SELECT DISTINCT {S.normalize_name('name')} AS norm FROM fx_profiles WHERE respondent % 20 <> 0),
   ms AS (SELECT DISTINCT philosopher_name FROM mcells)
 SELECT CAST(count(*) AS BIGINT) AS total, CAST(count(pn.norm) AS BIGINT) AS matched,
        CAST(count(*) - count(pn.norm) AS BIGINT) AS unmatched

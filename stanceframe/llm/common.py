@@ -50,6 +50,13 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: i
     return [(r["_t"], r["_y"]) for r in rows]
 
 
+def small_batches(batches, rows: int = 1000):
+    """Arrow batches cut to at most ``rows`` rows, so that few rows stand in memory as Python objects."""
+    for batch in batches:
+        for lo in range(0, len(batch), rows):
+            yield batch.slice(lo, rows)
+
+
 def batches_of(texts: list[str], max_chars: int):
     """Consecutive slices (lo, hi) of texts of about ``max_chars`` characters, one text at least."""
     lo = size = 0

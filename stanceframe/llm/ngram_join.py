@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stanceframe.llm.common import batches_of, stored
+from stanceframe.llm.common import batches_of, small_batches, stored
 from stanceframe.llm.components import connected_components
 from stanceframe.llm.shingles import mix, set_digests, shingle_sets
 
@@ -52,7 +52,7 @@ def _when_small(df: DataFrame, rows: int, row_bytes: int) -> DataFrame:
 def set_table(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles and set digest (null for the empty set) of every row."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small_batches(batches):
             texts = batch.column(1).to_pylist()
             for lo, hi in batches_of(texts, BLOCK):
                 size, digest = set_digests(*shingle_sets(texts[lo:hi], WIDTH), hi - lo)
@@ -228,7 +228,7 @@ def _texts_of(docs: DataFrame, wanted: DataFrame, rows: int) -> DataFrame:
 
 def _set_bytes(texts: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small_batches(batches):
             texts = batch.column(1).to_pylist()
             for lo, hi in batches_of(texts, BLOCK):
                 d, h = shingle_sets(texts[lo:hi], WIDTH)

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stanceframe.llm.common import batches_of, is_held_out, labelled_sample
+from stanceframe.llm.common import is_held_out, labelled_sample, small_batches
 
 PER_CLASS = 2000  # labelled rows of each class that may reach the driver
 MAX_FEATURES = 60_000
@@ -183,20 +183,19 @@ def score_documents(docs: DataFrame, model: Model, threshold: float, keep: list[
     null and are not held out; columns that clash with the result's are read but not passed on unless
     kept.  No shuffle: the model is a bounded dictionary that travels with the tasks."""
     keep = keep or []
-    src = docs.select(F.col("doc_id").cast("bigint").alias("_id"), F.coalesce(F.col("text"), F.lit("")).alias("_t"),
-                      *(F.col(c).alias(f"k_{c}") for c in keep))
+    at = keep.index("text") + 1 if "text" in keep else None  # a kept text travels once
+    src = docs.select(F.col("doc_id").cast("bigint").alias("_id"), *(F.col(c).alias(f"k_{c}") for c in keep),
+                      *([] if at else [F.col("text").alias("_t")]))
     fields = [f"`k_{c}` {src.schema[f'k_{c}'].dataType.simpleString()}" for c in keep]
     schema = ", ".join(["doc_id bigint", "held_out boolean", "score double", "predicted int", *fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for lo, hi in batches_of(texts, 4_000_000):
-                score = [model.score(t) for t in texts[lo:hi]]
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(lo, hi - lo), pa.array([is_held_out(i) for i in ids[lo:hi]], pa.bool_()),
-                     pa.array(score, pa.float64()), pa.array([int(s >= threshold) for s in score], pa.int32()),
-                     *(batch.column(2 + k).slice(lo, hi - lo) for k in range(len(keep)))],
-                    names=["doc_id", "held_out", "score", "predicted", *(f"k_{c}" for c in keep)])
+        for batch in small_batches(batches):
+            score = [model.score(t or "") for t in batch.column(at or len(keep) + 1).to_pylist()]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array([is_held_out(i) for i in batch.column(0).to_pylist()], pa.bool_()),
+                 pa.array(score, pa.float64()), pa.array([int(s >= threshold) for s in score], pa.int32()),
+                 *(batch.column(1 + k) for k in range(len(keep)))],
+                names=["doc_id", "held_out", "score", "predicted", *(f"k_{c}" for c in keep)])
 
     return src.mapInArrow(run, schema)

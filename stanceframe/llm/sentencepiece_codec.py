@@ -23,10 +23,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stanceframe.llm.common import batches_of
+from stanceframe.llm.common import batches_of, small_batches
 
 SPACE = "▁"  # the library's visible space
-MAX_CACHED = 600_000  # distinct words kept per worker; the table is emptied when full
+MAX_CACHED = 250_000  # distinct words kept per worker; the table is emptied when full
 
 
 def default_model() -> str:
@@ -179,7 +179,7 @@ class PrefixTableEncoder:
         for k in np.unique(key[self.fit_key[slot] != key]).tolist():
             ok = self.fits.get(k)
             if ok is None:
-                if len(self.fits) > 1_000_000:
+                if len(self.fits) > 300_000:
                     self.fits.clear()
                 ok = self.fits[k] = self.compatible(k >> 20, k & 0xFFFFF)
             found[k] = ok
@@ -314,9 +314,9 @@ def encode_table(docs: DataFrame, model_file: str, id_col: str = "doc_id", text_
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(model_file)
         sha = hashlib.sha256
-        for batch in batches:
+        for batch in small_batches(batches):
             key, texts = batch.column(0), batch.column(1).to_pylist()
-            for lo, hi in batches_of(texts, 4_000_000):
+            for lo, hi in batches_of(texts, 2_000_000):
                 n, ids_hex, text_hex, kept = [], [], [], []
                 for ids, shown in enc.encode_all(texts[lo:hi]):
                     n.append(len(ids))

@@ -29,7 +29,7 @@ from stanceframe.session import scratch_path
 
 SKIPPABLE_MAGIC, SEEKABLE_MAGIC = 0x184D2A5E, 0x8F92EAB1  # fixed by the public format
 FRAME_BYTES = 1 << 20  # a data frame is closed when it holds this much; a longer document has its own
-MAX_CACHED = 1_000_000  # distinct stretches kept per worker; the table is emptied when full
+MAX_CACHED = 800_000  # distinct stretches kept per worker; the table is emptied when full
 
 # Unicode White_Space, as the tokenizer's split pattern has it
 _SPACES = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"

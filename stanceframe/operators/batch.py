@@ -148,11 +148,14 @@ def assign_shards(requests: DataFrame, size: int = 100, order: str = "req_no") -
 
 
 def shard_manifest(sharded: DataFrame, success: str | None = None) -> DataFrame:
-    """One row per shard: request count, and a status when a success flag is given
-    (``completed`` when every request succeeded, else ``failed``)."""
+    """One row per shard: request count, and a status when a success flag (null: no result yet) is given:
+    ``pending`` without any result, ``active`` with some missing, ``completed`` when every request
+    succeeded, else ``failed``."""
     aggs = [F.count(F.lit(1)).cast("bigint").alias("num_requests")]
     if success is not None:
-        aggs.append(F.when(F.bool_and(F.col(success)), F.lit("completed")).otherwise(F.lit("failed")).alias("status"))
+        done, every = F.count(F.col(success)), F.count(F.lit(1))
+        aggs.append(F.when(done == 0, F.lit("pending")).when(done < every, F.lit("active"))
+                    .when(F.bool_and(F.col(success)), F.lit("completed")).otherwise(F.lit("failed")).alias("status"))
     return sharded.groupBy("shard").agg(*aggs)
 
 
@@ -176,6 +179,20 @@ def token_cost(results: DataFrame, price_in: float, price_out: float,
         .withColumn("total_cost", F.col("input_cost") + F.col("output_cost"))
 
 
+def token_cost_by_family(results: DataFrame, prices: DataFrame, family: str = "family") -> DataFrame:
+    """AGG-15 with a price table ``(family, price_in, price_out)``: totals per family, then its own prices.
+
+    A family without prices keeps its totals with NULL costs."""
+    agg = results.groupBy(family).agg(F.sum("input_tokens").cast("bigint").alias("input_tokens"),
+                                      F.sum("output_tokens").cast("bigint").alias("output_tokens"),
+                                      F.count(F.lit(1)).cast("bigint").alias("n_requests"),
+                                      F.count_if("success").cast("bigint").alias("n_success"))
+    x = agg.join(prices.select(family, "price_in", "price_out"), family, "left")
+    return (x.withColumn("input_cost", F.col("input_tokens") / 1e6 * F.col("price_in"))
+            .withColumn("output_cost", F.col("output_tokens") / 1e6 * F.col("price_out"))
+            .withColumn("total_cost", F.col("input_cost") + F.col("output_cost")).drop("price_in", "price_out"))
+
+
 def run_outcomes(records: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """AGG-16: processed, success, failed, retried (success with attempts > 1), rates, avg time."""
     g = records.groupBy(*by) if by else records.groupBy()

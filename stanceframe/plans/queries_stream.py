@@ -31,7 +31,7 @@ SELECT CASE CAST(ord % 3 AS INT) WHEN 0 THEN 'human' WHEN 1 THEN 'm1' ELSE 'm2'
        CAST(count(*) AS BIGINT) AS processed, CAST(count_if(status_code = 200) AS BIGINT) AS n_success,
        CAST(count_if(status_code <> 200) AS BIGINT) AS n_failed,
        CAST(count_if(status_code = 200 AND attempts > 1) AS BIGINT) AS n_retried,
-       CAST(NULL AS DOUBLE) AS total_time
+       sum(completion_tokens / 10.0 + attempts) AS total_time
 FROM fx_outputs GROUP BY 1"""
 
 
@@ -41,7 +41,7 @@ def q_stream_run_outcomes(spark, sf_dir):
     o = FX.batch_outputs(spark, sf_dir)
     recs = o.select(F.when(F.col("ord") % 3 == 0, "human").when(F.col("ord") % 3 == 1, "m1").otherwise("m2")
                     .alias("model"), (F.col("status_code") == 200).alias("success"), "attempts",
-                    F.lit(None).cast("double").alias("generation_time"), "ord")
+                    (F.col("completion_tokens") / 10.0 + F.col("attempts")).alias("generation_time"), "ord")
     landing, sink, ckpt = (scratch_path(spark, n) for n in ("outcomes-landing", "outcomes-sink", "outcomes-ckpt"))
     ST.land_in_waves(recs, landing, "ord", waves=4)
     q = ST.stream_run_outcomes(spark, landing, sink, ckpt, max_files_per_trigger=2)
@@ -80,9 +80,17 @@ def q_generate_answers(spark, sf_dir):
                     F.size("all_attempts").alias("n_logged"))
 
 
-@register("first_valid_attempt")
+@register("first_valid_attempt", """
+SELECT custom_id, CASE WHEN status_code = 200 THEN 1 + ord % attempts ELSE attempts END AS attempt, status_code = 200 AS valid,
+       CASE WHEN status_code = 200 THEN 'Valid' ELSE 'HTTP ' || status_code END AS validation_msg FROM fx_outputs""")
 def q_first_valid_attempt(spark, sf_dir):
-    """UDF-2: the first valid attempt of each request's log, else its last attempt."""
-    g = _generated(spark, sf_dir).withColumn("chosen", B.first_valid_attempt("all_attempts"))
+    """UDF-2: the first valid attempt of each request's log, else its last attempt.  The logs are shaped from
+    the batch outputs: as many attempts as the output counts, valid from some attempt on if it succeeded."""
+    ok = F.col("status_code") == 200
+    log = F.transform(F.sequence(F.lit(1).cast("bigint"), F.col("attempts")), lambda i: F.struct(
+        i.alias("attempt"), (ok & (i >= 1 + F.col("ord") % F.col("attempts"))).alias("valid"),
+        F.when(~ok, F.concat(F.lit("HTTP "), F.col("status_code").cast("string")))
+        .when(i >= 1 + F.col("ord") % F.col("attempts"), "Valid").otherwise("Empty response").alias("validation_msg")))
+    g = FX.batch_outputs(spark, sf_dir).withColumn("all_attempts", log).withColumn("chosen", B.first_valid_attempt("all_attempts"))
     return g.select("custom_id", F.col("chosen.attempt").alias("attempt"), F.col("chosen.valid").alias("valid"),
                     F.col("chosen.validation_msg").alias("validation_msg"))

@@ -459,6 +459,25 @@ def q_token_cost(spark, sf_dir):
     return B.token_cost(_jbr(spark, sf_dir), PRICE_IN, PRICE_OUT)
 
 
+# prices per million tokens by model family; the last family has none
+PRICES = (("family-a", 2.5, 10.0), ("family-b", 0.15, 0.6))
+_FAMILY = "CASE ord % 3 WHEN 0 THEN 'family-a' WHEN 1 THEN 'family-b' ELSE 'family-c' END"
+
+
+@register("token_cost_by_family", JBR_SQL + f"""
+, g AS (SELECT {_FAMILY} AS family, CAST(sum(input_tokens) AS BIGINT) AS input_tokens, CAST(sum(output_tokens) AS BIGINT) AS output_tokens,
+               CAST(count(*) AS BIGINT) AS n_requests, CAST(count_if(success) AS BIGINT) AS n_success FROM jbr GROUP BY 1),
+  pr(family, pi, po) AS (VALUES {', '.join(f"('{f}', CAST({i} AS DOUBLE), CAST({o} AS DOUBLE))" for f, i, o in PRICES)})
+SELECT family, input_tokens, output_tokens, n_requests, n_success, input_tokens / 1e6 * pi AS input_cost,
+       output_tokens / 1e6 * po AS output_cost, input_tokens / 1e6 * pi + output_tokens / 1e6 * po AS total_cost
+FROM g LEFT JOIN pr USING (family)""", ("input_cost", "output_cost", "total_cost"))
+def q_token_cost_by_family(spark, sf_dir):
+    """AGG-15: token totals and cost per model family, each at its own prices (NULL where a family has none)."""
+    results = _jbr(spark, sf_dir).withColumn("family", F.expr(_FAMILY))
+    prices = spark.createDataFrame(list(PRICES), "family string, price_in double, price_out double")
+    return B.token_cost_by_family(results, prices)
+
+
 @register("run_outcomes", JBR_SQL + f"""
 , rec AS (SELECT j.*, j.success AND len(v.inv) = 0 AND len(j.parsed) > 0 AS ok FROM jbr j JOIN (
             SELECT custom_id, {_sql_validate(S.parse_response_list('r.raw'), 'o.options')} AS inv
@@ -466,7 +485,7 @@ def q_token_cost(spark, sf_dir):
           USING (custom_id))
 SELECT CAST(count(*) AS BIGINT) AS processed, CAST(count_if(ok) AS BIGINT) AS n_success,
        CAST(count_if(NOT ok) AS BIGINT) AS n_failed, CAST(count_if(ok AND attempts > 1) AS BIGINT) AS n_retried,
-       CAST(NULL AS DOUBLE) AS avg_time,
+       avg(output_tokens / 10.0 + attempts) AS avg_time,
        100.0 * count_if(ok) / count(*) AS pct_success, 100.0 * count_if(ok AND attempts > 1) / count(*) AS pct_retried,
        100.0 * count_if(NOT ok) / count(*) AS pct_failed FROM rec""",
           ("avg_time", "pct_success", "pct_retried", "pct_failed"))
@@ -476,18 +495,21 @@ def q_run_outcomes(spark, sf_dir):
     v = T.validate_response(F.col("parsed"), F.col("options"))
     rec = (j.join(FX.batch_outputs(spark, sf_dir).select("custom_id", "attempts"), "custom_id")
            .select((F.col("success") & v["valid"]).alias("success"), "attempts",
-                   F.lit(None).cast("double").alias("generation_time")))
+                   (F.col("output_tokens") / 10.0 + F.col("attempts")).alias("generation_time")))
     return B.run_outcomes(rec)
 
 
 @register("shard_status", """
 SELECT status, CAST(count(*) AS BIGINT) AS n_shards FROM (
-  SELECT CAST(floor(ord / 100) AS BIGINT) AS shard,
-         CASE WHEN bool_and(status_code = 200) THEN 'completed' ELSE 'failed' END AS status
-  FROM fx_outputs GROUP BY ALL) GROUP BY ALL""")
+  SELECT shard, CASE WHEN shard % 5 = 0 THEN 'pending' WHEN shard % 5 = 1 THEN 'active'
+                     WHEN bool_and(status_code = 200 OR shard % 5 = 2) THEN 'completed' ELSE 'failed' END AS status
+  FROM (SELECT CAST(floor(ord / 100) AS BIGINT) AS shard, status_code FROM fx_outputs) GROUP BY shard) GROUP BY status""")
 def q_shard_status(spark, sf_dir):
-    """AGG-19: shards of 100 outputs by status (completed = every request returned 200)."""
-    o = FX.batch_outputs(spark, sf_dir).withColumn("ok", F.col("status_code") == 200)
+    """AGG-19: shards of 100 requests by status; of five shards one has no output yet, one half of them,
+    one only good ones."""
+    k, ok = F.floor(F.col("ord") / 100) % 5, F.col("status_code") == 200
+    seen = F.when((k == 0) | (k == 1) & (F.col("ord") % 2 == 0), F.lit(None).cast("boolean")).when(k == 2, F.lit(True)).otherwise(ok)
+    o = FX.batch_outputs(spark, sf_dir).withColumn("ok", seen)
     return B.shard_status(B.shard_manifest(B.assign_shards(o, 100, "ord"), "ok"))
 
 

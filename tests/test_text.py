@@ -17,8 +17,8 @@ def test_slug_rules(spark):
     assert one(spark, T.slug_from_profile_url, "https://x.org/a/profiles/c?x=1") == "c"
     assert one(spark, T.slug_from_profile_url, "https://x.org/about/c") is None
     assert one(spark, T.slug_from_profile_url, "") is None
-    m = lambda c: T.slug_after_marker(c, "philpeople.org/profiles/")
-    assert one(spark, m, "https://philpeople.org/profiles/a/") == "a/"
+    m = lambda c: T.slug_after_marker(c, "people.example.org/profiles/")
+    assert one(spark, m, "https://people.example.org/profiles/a/") == "a/"
     assert one(spark, m, "https://other.org/profiles/a") is None
     assert one(spark, lambda c: T.slug_second_last(c, "unknown"), "https://x.org/p/slug/views") == "slug"
     assert one(spark, lambda c: T.slug_second_last(c, "unknown"), "noslash") == "unknown"

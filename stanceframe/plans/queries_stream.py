@@ -46,7 +46,7 @@ def q_stream_run_outcomes(spark, sf_dir):
     ST.land_in_waves(recs, landing, "ord", waves=4)
     q = ST.stream_run_outcomes(spark, landing, sink, ckpt, max_files_per_trigger=2)
     q.awaitTermination()
-    return spark.read.parquet(sink).select(
+    return ST.latest_outcomes(spark, sink).select(
         "model", *[F.col(c).cast("bigint").alias(c) for c in ("processed", "n_success", "n_failed", "n_retried")],
         F.col("total_time").cast("double").alias("total_time"))
 

@@ -67,7 +67,9 @@ def stream_ingest_cells(spark: SparkSession, landing_dir: str, sink_dir: str, ch
 
 def stream_run_outcomes(spark: SparkSession, landing_dir: str, sink_dir: str, checkpoint_dir: str,
                         max_files_per_trigger: int | None = 1, available_now: bool = True):
-    """STR-2: running AGG-16 outcome counts per model over the landing stream."""
+    """STR-2: running AGG-16 outcome counts per model over the landing stream.
+
+    Every trigger writes a version of its own; ``latest_outcomes`` reads the newest complete one."""
     reader = spark.readStream.schema(OUTCOME_SCHEMA)
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
@@ -78,17 +80,25 @@ def stream_run_outcomes(spark: SparkSession, landing_dir: str, sink_dir: str, ch
         F.sum("generation_time").alias("total_time"))
 
     def snapshot(batch: DataFrame, epoch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(sink_dir)
+        # one row per model: a single file, which appears whole or not at all; a replayed epoch rewrites its own version
+        batch.coalesce(1).write.mode("overwrite").parquet(f"{sink_dir}/version={epoch_id}")
 
     w = agg.writeStream.outputMode("complete").foreachBatch(snapshot).option("checkpointLocation", checkpoint_dir)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="30 seconds")
     return w.start()
 
 
+def latest_outcomes(spark: SparkSession, sink_dir: str) -> DataFrame:
+    """The newest version of the running outcome counts."""
+    t = spark.read.parquet(sink_dir)
+    newest = t.agg(F.max("version").alias("version"))
+    return t.join(F.broadcast(newest), "version").drop("version")   # one number
+
+
 def land_in_waves(df: DataFrame, landing_dir: str, order: str, waves: int = 4) -> None:
     """Write ``df`` into ``landing_dir`` as ``waves`` successive file drops in ``order``
     (each drop a separate write, so file modification times follow the order)."""
-    qs = df.approxQuantile(order, [i / waves for i in range(1, waves)], 0.0)
+    qs = df.approxQuantile(order, [i / waves for i in range(1, waves)], 0.01)
     bounds = [None, *qs, None]
     for i in range(waves):
         cond = F.lit(True)

@@ -136,7 +136,7 @@ def test_persona_prompt(spark):
 def test_list_items_keep_strings_that_look_falsy(spark):
     parse = lambda s: one(spark, T.parse_response_list, s)
     assert parse('["false","0","Accept: x"]') == ["false", "0", "Accept: x"]
-    assert parse('[false, 0, 0.0, null, "", "[]", " a "]') == ["[]", "a"]
+    assert parse('[false, 0, 0.0, null, "", "{}", " a "]') == ["{}", "a"]
     assert parse('[true, 1, {"a": 1}, {}]') == ["true", "1", '{"a":1}']
 
 

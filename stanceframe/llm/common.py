@@ -50,6 +50,23 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: i
     return [(r["_t"], r["_y"]) for r in rows]
 
 
+_CACHES: dict[str, list[dict]] = {}
+
+
+def register_cache(owner: str, table: dict) -> dict:
+    """A table that an operator keeps in a worker process between its tasks."""
+    _CACHES.setdefault(owner, []).append(table)
+    return table
+
+
+def free_other_caches(owner: str) -> None:
+    """At the start of a task: empty what other operators' tasks left in this worker process."""
+    for name, tables in _CACHES.items():
+        if name != owner:
+            for t in tables:
+                t.clear()
+
+
 def small_batches(batches, rows: int = 1000):
     """Arrow batches cut to at most ``rows`` rows, so that few rows stand in memory as Python objects."""
     for batch in batches:

@@ -27,14 +27,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stanceframe.llm.common import batches_of, small_batches, stored
+from stanceframe.llm.common import batches_of, free_other_caches, small_batches, stored
 from stanceframe.llm.components import connected_components
 from stanceframe.llm.shingles import mix, set_digests, shingle_sets
 
 WIDTH, PERCENT = 5, 80
 RARE = 8  # a token in more sets than this is frequent
-BLOCK = 2_000_000  # characters that a task turns into tokens at a time
-RANGE_BYTES = 24_000_000  # tokens that one group counts at a time
+BLOCK = 500_000  # characters that a task turns into tokens at a time
+RANGE_BYTES = 16_000_000  # tokens that one group counts at a time
 GROUP_BLOCK = 1024  # sets of a group that are compared with each other, or with another block, in one go
 SMALL_SIDE = 32 << 20  # a side of a join this small, by its counted rows, is broadcast
 _U = np.uint64
@@ -52,6 +52,7 @@ def _when_small(df: DataFrame, rows: int, row_bytes: int) -> DataFrame:
 def set_table(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles and set digest (null for the empty set) of every row."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        free_other_caches("join")
         for batch in small_batches(batches):
             texts = batch.column(1).to_pylist()
             for lo, hi in batches_of(texts, BLOCK):
@@ -98,7 +99,7 @@ def _token_rows(docs: DataFrame, bits: int) -> DataFrame:
         seen: set[int] = set()
         for batch in batches:
             texts = batch.column(1).to_pylist()
-            for lo, hi in batches_of(texts, 4 * BLOCK):
+            for lo, hi in batches_of(texts, 8 * BLOCK):
                 d, h = zip(*(((x + a), y) for a, b in ((lo + i, lo + j) for i, j in batches_of(texts[lo:hi], BLOCK))
                              for x, y in [shingle_sets(texts[a:b], WIDTH)]), strict=True)
                 d, h = np.concatenate(d) - lo, np.concatenate(h)

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stanceframe.llm.common import is_held_out, labelled_sample, small_batches
+from stanceframe.llm.common import free_other_caches, is_held_out, labelled_sample, small_batches
 
 PER_CLASS = 2000  # labelled rows of each class that may reach the driver
 MAX_FEATURES = 60_000
@@ -190,6 +190,7 @@ def score_documents(docs: DataFrame, model: Model, threshold: float, keep: list[
     schema = ", ".join(["doc_id bigint", "held_out boolean", "score double", "predicted int", *fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        free_other_caches("scores")
         for batch in small_batches(batches):
             score = [model.score(t or "") for t in batch.column(at or len(keep) + 1).to_pylist()]
             yield pa.RecordBatch.from_arrays(

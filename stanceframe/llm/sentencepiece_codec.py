@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stanceframe.llm.common import batches_of, small_batches
+from stanceframe.llm.common import batches_of, free_other_caches, register_cache, small_batches
 
 SPACE = "▁"  # the library's visible space
 MAX_CACHED = 250_000  # distinct words kept per worker; the table is emptied when full
@@ -64,7 +64,7 @@ class PrefixTableEncoder:
                 self.halves[i] = made
         self.alone = {p for p in pieces if len(p) == 1}
         self._build_automaton()
-        self.fits: dict[int, bool] = {}
+        self.fits: dict[int, bool] = register_cache("sentencepiece", {})
         self.fit_key = np.full(1 << 20, -1, np.int64)  # recent answers of compatible(), by hashed pair
         self.fit_ok = np.zeros(1 << 20, bool)
         # words are independent when no reachable piece holds a space after another character
@@ -78,7 +78,7 @@ class PrefixTableEncoder:
         mark = re.escape("".join(sorted(stops)))
         self.split = re.compile(f"{SPACE}*[{mark}]+|{SPACE}*[^{SPACE}{mark}]+|{SPACE}+" if stops else
                                 f"{SPACE}*[^{SPACE}]+|{SPACE}+").findall
-        self.words: dict[str, tuple[tuple[int, ...], str]] = {}
+        self.words: dict[str, tuple[tuple[int, ...], str]] = register_cache("sentencepiece", {})
         # what an id stands for on its own; bytes of longer characters only count together
         self.shown = {i: p.replace(SPACE, " ") for i, p in self.text_of.items()}
         self.shown |= {i: chr(x) for x, i in self.bytes_of.items() if x < 0x80}
@@ -312,6 +312,7 @@ def encode_table(docs: DataFrame, model_file: str, id_col: str = "doc_id", text_
     schema += ", ids array<int>" * with_ids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        free_other_caches("sentencepiece")
         enc = encoder(model_file)
         sha = hashlib.sha256
         for batch in small_batches(batches):

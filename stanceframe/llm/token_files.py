@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from stanceframe.llm.common import batches_of, stored
+from stanceframe.llm.common import batches_of, register_cache, stored
 from stanceframe.session import scratch_path
 
 SKIPPABLE_MAGIC, SEEKABLE_MAGIC = 0x184D2A5E, 0x8F92EAB1  # fixed by the public format
@@ -59,7 +59,7 @@ class IdEncoder:
                            and pre.get("use_regex", True) and spec.get("normalizer") is None)
         self.special = [t["content"] for t in spec.get("added_tokens", [])]
         self.width = 2 if self.tok.get_vocab_size() <= 1 << 16 else 4
-        self.known: dict[str, bytes] = {}  # ids in 4 bytes each
+        self.known: dict[str, bytes] = register_cache("token files", {})  # ids in 4 bytes each
 
     def encode_all(self, texts: list[str]) -> list[np.ndarray]:
         cut = []

@@ -238,12 +238,25 @@ SELECT respondent, question, score FROM cells WHERE model = 'human'""", ("score"
 def q_response_matrix(spark, sf_dir):
     """AGG-1: wide human matrix (respondent x sorted questions), unpivoted back to check every cell."""
     cells = load_cells(spark, sf_dir)
-    qs = [r.question for r in cells.where("model = 'human'").select("question").distinct().collect()]
-    wide = C.response_matrix(cells, model="human", questions=qs)
+    wide = C.response_matrix(cells, model="human", questions=_catalogue(cells))
     qcols = [c for c in wide.columns if c != "respondent"]
     return wide.unpivot("respondent", qcols, "question", "score").where("score IS NOT NULL")
 
 
+@register("response_matrix_models", "SELECT model, respondent, question, score FROM cells", ("score",))
+def q_response_matrix_models(spark, sf_dir):
+    """AGG-1: wide matrix of every model ((model, respondent) x sorted questions), unpivoted back to check every cell."""
+    cells = load_cells(spark, sf_dir)
+    wide = C.response_matrix(cells, questions=_catalogue(cells))
+    qcols = [c for c in wide.columns if c not in ("model", "respondent")]
+    return wide.unpivot(["model", "respondent"], qcols, "question", "score").where("score IS NOT NULL")
+
+
+def _catalogue(cells):
+    """The questions of all models: the matrix's columns, which have to be known before it is planned."""
+    return [r.question for r in cells.select("question").distinct().collect()]
+
+
 # --- comparison with the reference: CMP-1..8, WIN-6 ------------------------------
 
 KL_CTE = """

@@ -55,3 +55,11 @@ def test_against_oracle_sf0001(spark, duck, name):
     want = _norm([tuple(r[i] for i in idx) for r in cur.fetchall()])
     assert sorted(ocols) == sorted(cols)
     assert got == want
+
+
+def test_response_matrix_holds_every_model(spark, duck):
+    got = _norm([tuple(r) for r in E.queries()["response_matrix_models"](spark, SF001)
+                 .select("model", "respondent", "question", "score").collect()])
+    assert {r[0] for r in got} == {"human", "m1", "m2"}
+    assert got == _norm(duck.execute("SELECT model, respondent, question, score FROM ("
+                                     + E.oracle_sql()["response_matrix_models"] + ")").fetchall())

@@ -29,12 +29,14 @@ def is_held_out(doc_id: int | None) -> bool:
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int) -> list[tuple[str, int]]:
     """At most ``per_class`` training texts of each class, outside the held-out fold.
 
-    The sample is the rows with the smallest md5 of their id, so it is the same on every run.
+    The sample is the rows with the smallest md5 of their id among those that ``docs`` holds, so it is the
+    same on every run and labels of other documents take no place in it.
     ``per_class`` bounds what reaches the driver, whatever the size of the tables.  Ids, languages and
     sources are used to join and split only; only the text is returned.  Rows without label or id
     are left out; an id that occurs twice in ``labels`` counts once, with its largest label."""
+    there = docs.select("doc_id").distinct()  # ids only, no texts
     lab = (labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
-           .groupBy("doc_id").agg(F.max(label).cast("int").alias("_y"))
+           .join(there, "doc_id", "left_semi").groupBy("doc_id").agg(F.max(label).cast("int").alias("_y"))
            .withColumn("_h", F.md5(F.col("doc_id").cast("string").cast("binary"))))
     # each class: the smallest hashes, taken in the executors before anything reaches the driver
     picked = None

@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from stanceframe.llm import license_scan, mixing, quality_nbsvm, toxicity, warc
-from stanceframe.llm.common import is_held_out, table
+from stanceframe.llm.common import is_held_out, labelled_sample, table
 
 SF01 = "/root/testdata/sf0.01"
 
@@ -118,6 +118,16 @@ def test_scores_of_odd_rows(docs, spark, module):
     assert module.score_documents(d.limit(0), model, 0.5).count() == 0
 
 
+def test_sample_is_full_although_labels_lack_documents(docs, spark):
+    ids = sorted((i for i in range(400) if not is_held_out(i)), key=lambda i: hashlib.md5(str(i).encode()).hexdigest())
+    gone = {i for i in ids if i % 2} - set(ids[-20:])  # an earlier stage removed most of one class
+    labels = spark.createDataFrame([(i, i % 2) for i in ids], "doc_id bigint, toxic int")
+    rows = [(i, f"text {i}") for i in ids if i not in gone]
+    got = labelled_sample(docs([*rows, rows[0], (None, "no id")]), labels, "toxic", 8)
+    want = [i for y in (0, 1) for i in [i for i in ids if i % 2 == y and i not in gone][:8]]
+    assert got == [(f"text {i}", i % 2) for i in ids if i in want]
+
+
 def test_svm_separates_and_label_model_finds_bad_voters():
     import numpy as np
     rng = np.random.default_rng(0)

@@ -10,6 +10,7 @@ training rows that the fit has not seen.
 
 from __future__ import annotations
 
+import hashlib
 import math
 import re
 from collections import Counter
@@ -115,6 +116,21 @@ def _descend(rows: list[np.ndarray], y: np.ndarray, ratio: np.ndarray, cost: flo
     return w, bias
 
 
+def _smallest_digests(sample: list[tuple[str, int]], hashes: np.ndarray, n: int) -> np.ndarray:
+    """The n of these sorted hashes whose indicators have the smallest digests: Python's hash differs between
+    processes, the digest does not."""
+    digest = np.zeros(len(hashes), np.uint64)
+    known = np.zeros(len(hashes), bool)
+    for t, _ in sample:
+        own = list(indicators(t))
+        h = np.fromiter(map(hash, own), np.int64, len(own))
+        at = np.minimum(np.searchsorted(hashes, h), len(hashes) - 1)
+        for i in np.flatnonzero((hashes[at] == h) & ~known[at]).tolist():
+            digest[at[i]] = int.from_bytes(hashlib.blake2b(repr(own[i]).encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big")
+            known[at[i]] = True
+    return hashes[np.argsort(digest, kind="stable")[:n]]
+
+
 def fit(sample: list[tuple[str, int]], cost: float = 0.02, sweeps: int = 12, blend: float = 0.9) -> Model:
     """Fit on (text, label) pairs.  Without rows of both classes the score is the class share."""
     ys = [y for _, y in sample]
@@ -124,7 +140,13 @@ def fit(sample: list[tuple[str, int]], cost: float = 0.02, sweeps: int = 12, ble
     # counted as numbers first: the indicators of all texts never stand in memory at once
     seen, count = np.unique(np.concatenate([np.fromiter(map(hash, indicators(t)), np.int64) for t, _ in sample]), return_counts=True)
     common = count >= min(MIN_DOCS, max(1, len(sample) // 8))
-    picked = seen[common][np.argsort(-count[common], kind="stable")[:MAX_FEATURES]].tolist()
+    seen, count = seen[common], count[common]
+    if len(seen) > MAX_FEATURES:
+        least = np.partition(count, len(count) - MAX_FEATURES)[len(count) - MAX_FEATURES]
+        tied = seen[count == least]
+        seen = seen[count > least]
+        seen = np.concatenate([seen, _smallest_digests(sample, tied, MAX_FEATURES - len(seen))])
+    picked = seen.tolist()
     del seen, count
     names = dict.fromkeys(picked)
     hashed = []

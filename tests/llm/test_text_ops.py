@@ -2,8 +2,11 @@
 
 import hashlib
 import io
+import os
 import random
 import re
+import subprocess
+import sys
 
 import duckdb
 import pytest
@@ -128,6 +131,16 @@ def test_sample_is_full_although_labels_lack_documents(docs, spark):
     assert got == [(f"text {i}", i % 2) for i in ids if i in want]
 
 
+def test_cut_among_equal_counts_is_the_same_in_every_process():
+    code = ("import random; from stanceframe.llm import quality_nbsvm as q; q.MAX_FEATURES = 60\n"
+            "r = random.Random(5); texts = [(' '.join(f'w{r.randint(0, 60 + 9 * (i % 2))}' for _ in range(30)), i % 2) for i in range(60)]\n"
+            "m = q.fit(texts); print(sorted(map(repr, m.weights.items())), m.bias, m.slope, m.offset)")
+    root = os.path.dirname(os.path.dirname(os.path.abspath(quality_nbsvm.__file__)))
+    out = {subprocess.run([sys.executable, "-c", code], cwd=os.path.dirname(root), capture_output=True, text=True, check=True,
+                          env={**os.environ, "PYTHONHASHSEED": seed}).stdout for seed in ("1", "2", "3")}
+    assert len(out) == 1
+
+
 def test_svm_separates_and_label_model_finds_bad_voters():
     import numpy as np
     rng = np.random.default_rng(0)

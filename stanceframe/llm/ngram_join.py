@@ -26,6 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from stanceframe.llm.common import batches_of, free_other_caches, small_batches, stored
 from stanceframe.llm.components import connected_components
@@ -293,6 +294,11 @@ def jaccard_components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     Null and empty texts, and texts without words, have n_shingles 0 and are linked with nothing; a null id
     gives a null doc_id and links only where a row with an id holds the same set; repeated rows come out as
     often as they come in; component_id is the smallest id reachable.  Extra columns are ignored."""
+    return _set_components(docs, percent).select("doc_id", "n_shingles", "component_id")
+
+
+def _set_components(docs: DataFrame, percent: int) -> DataFrame:
+    """The rows of ``jaccard_components`` with the digest of their set (``node``)."""
     sets = stored(set_table(docs), "join-sets")
     total = sets.agg(F.sum("n_shingles")).first()[0] or 0
     bits = max(0, int(total * 8 // RANGE_BYTES).bit_length())
@@ -330,7 +336,7 @@ def jaccard_components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     least = groups.groupBy("c").agg(F.min("doc_id").alias("component_id"), F.sum("copies").alias("_m"))
     final = groups.join(least.where("_m > 1"), "c").select("node", "component_id")
     return (sets.join(final, "node", "left")
-            .select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id")))
+            .select("doc_id", "n_shingles", "node", F.coalesce("component_id", "doc_id").alias("component_id")))
 
 
 def _across(groups: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -426,15 +432,35 @@ def _own_sets(members: DataFrame) -> DataFrame:
     return members.mapInArrow(run, "node bigint, members binary").dropDuplicates(["node"])
 
 
+def _with_sets(docs: DataFrame) -> DataFrame:
+    """Every row with the digest of its set after its columns (null for the empty set)."""
+    names = [*docs.columns, "_set"]
+    schema = StructType([*docs.schema.fields, StructField("_set", LongType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        free_other_caches("join")
+        for batch in small_batches(batches):
+            texts = batch.column(len(names) - 1).to_pylist()
+            for lo, hi in batches_of(texts, BLOCK):
+                size, digest = set_digests(*shingle_sets(texts[lo:hi], WIDTH), hi - lo)
+                yield pa.RecordBatch.from_arrays([*(c.slice(lo, hi - lo) for c in batch.columns[:-1]),
+                                                  pa.array(digest.view(np.int64), pa.int64(), mask=size == 0)], names=names)
+
+    return docs.select(*docs.columns, F.coalesce(F.col("text"), F.lit("")).alias("_set")).mapInArrow(run, schema)
+
+
 def drop_near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """The rows of ``docs`` without those of another document's component; each component keeps its smallest id.
 
-    Rows without id stay.  Where an id is repeated, its rows with equal texts become one; rows with
-    different texts of one id all stay if the id does."""
-    found = stored(jaccard_components(docs, percent).where("doc_id is not null"), "join-found")
-    gone = stored(found.where("doc_id <> component_id").select("doc_id").distinct(), "join-gone")
+    Rows without id stay.  Where an id is repeated, its rows with equal texts become one, and each of its
+    rows with different texts stays or goes by its own text's component."""
+    found = stored(_set_components(docs, percent).where("doc_id is not null").select("doc_id", "node", "component_id"), "join-found")
+    gone = stored(found.where("doc_id <> component_id").select("doc_id", "node").distinct(), "join-gone")
     twice = stored(found.groupBy("doc_id").count().where("count > 1").select("doc_id"), "join-twice")
-    left = docs.join(_when_small(gone, gone.count(), 8), "doc_id", "left_anti").select(*docs.columns)
-    n = twice.count()
-    again = left.join(_when_small(twice, n, 8), "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id", "text"])
-    return left.join(_when_small(twice, n, 8), "doc_id", "left_anti").select(*docs.columns).unionByName(again)
+    n, n_gone = twice.count(), gone.count()
+    once = (docs.join(_when_small(twice, n, 8), "doc_id", "left_anti").select(*docs.columns)
+            .join(_when_small(gone.select("doc_id"), n_gone, 8), "doc_id", "left_anti").select(*docs.columns))
+    again = docs.join(_when_small(twice, n, 8), "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id", "text"])
+    pairs = _when_small(gone.select("doc_id", F.col("node").alias("_set")), n_gone, 16)
+    again = _with_sets(again).join(pairs, ["doc_id", "_set"], "left_anti").select(*docs.columns)
+    return once.unionByName(again)

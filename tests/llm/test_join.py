@@ -89,6 +89,13 @@ def test_odd_rows_and_filter(docs):
     assert J.jaccard_components(docs(rows).limit(0)).count() == 0
 
 
+def test_filter_decides_per_row_of_a_repeated_id(docs):
+    t, u, w = (" ".join(f"{c}{i}" for i in range(20)) for c in "tuw")
+    rows = [(3, t), (7, t + " more"), (7, u), (7, u), (9, u), (5, w), (5, t), (None, u)]
+    kept = sorted((r["doc_id"] if r["doc_id"] is not None else -1, r["text"]) for r in J.drop_near_duplicates(docs(rows)).collect())
+    assert kept == [(-1, u), (3, t), (5, w), (7, u)]
+
+
 def test_connected_components(spark):
     rng = random.Random(1)
     edges = [(i, i + 1) for i in range(50)] + [(rng.randint(100, 400), rng.randint(100, 400)) for _ in range(150)] + [(7, 7)]

@@ -621,9 +621,14 @@ def _merge_model(spark, sf_dir):
     records = records.join(ev, "custom_id").join(nat.select(F.col("c_custkey").alias("user_id"),
                                                             F.col("n_name").alias("phd_country")), "user_id", "left")
     cells = B.first_valid_model_cells(records)
-    # every twentieth respondent has no profile and falls back to the first record
-    profiles = FX.profiles(spark, sf_dir).where("respondent % 20 <> 0").withColumn("_order", F.col("respondent"))
-    return M.merge_model_profiles(records, cells, profiles)
+    return M.merge_model_profiles(records, cells, _merge_profiles(spark, sf_dir))
+
+
+def _merge_profiles(spark, sf_dir):
+    """All profiles; every twentieth has a guest's name, so its respondent is unmatched and falls back to the first record."""
+    guest = F.concat(F.lit("guest "), F.col("respondent").cast("string"))
+    return (FX.profiles(spark, sf_dir).withColumn("name", F.when(F.col("respondent") % 20 == 0, guest).otherwise(F.col("name")))
+            .withColumn("_order", F.col("respondent")))
 
 
 @register("merge_model_profiles", ITEMS_SQL + f"""

@@ -1,11 +1,17 @@
 """Merges, dedupe rules and ordering helpers."""
 
+import duckdb
+import pytest
 from pyspark.sql import functions as F
 
 from stanceframe.operators import batch as B
 from stanceframe.operators import merge as M
 from stanceframe.operators.cells import normalize_cells
 from stanceframe.operators.ordering import dense_index
+from stanceframe.plans import registry
+from stanceframe.sources.fixtures import TABLES
+
+from .conftest import SF001
 
 
 def test_merge_profiles_survey(spark):
@@ -77,3 +83,22 @@ def test_pending_tasks_two_column_key(spark):
     done = spark.createDataFrame([("a||b", "c")], "philosopher_name string, question string")
     got = [r["req_no"] for r in B.pending_tasks(tasks, done, limit=5).collect()]
     assert got == [1, 2]
+
+
+def test_merge_queries_keep_all_profiles(spark):
+    from stanceframe.plans import queries_text as Q
+    from stanceframe.sources import fixtures as FX
+    p = Q._merge_profiles(spark, SF001)
+    assert p.count() == FX.profiles(spark, SF001).count()
+    assert {r["name"] for r in p.where("respondent % 20 = 0").collect()} == {
+        f"guest {r['respondent']}" for r in p.where("respondent % 20 = 0").collect()} != set()
+
+
+@pytest.mark.parametrize("name", ["merge_model_profiles", "merge_counts"])
+def test_merge_queries_equal_sql(spark, name):
+    con = duckdb.connect()
+    for t in TABLES:
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{SF001}/{t}.parquet')")
+    df = registry.queries()[name](spark, SF001)
+    want = con.execute(f"SELECT {', '.join(df.columns)} FROM ({registry.oracle_sql()[name]})").fetchall()
+    assert sorted(map(repr, map(tuple, df.collect()))) == sorted(map(repr, want))

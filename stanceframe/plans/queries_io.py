@@ -61,7 +61,7 @@ SELECT CAST(floor(ord / 100) AS BIGINT) AS shard,
        custom_id, status_code, raw AS content, prompt_tokens, completion_tokens, false AS bad_line
 FROM fx_outputs""")
 def q_read_batch_outputs(spark, sf_dir):
-    """SRC-6: batch outputs as 100-line JSONL shards (one file each), read whole per shard."""
+    """SRC-6: batch outputs as 100-line JSONL shards (one file each), read line by line."""
     from stanceframe.session import scratch_path
     path = scratch_path(spark, "batch-shards")
     (_batch_lines(spark, sf_dir).repartition("shard").sortWithinPartitions("shard", "ord")

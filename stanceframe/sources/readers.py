@@ -7,11 +7,12 @@ parallel.  Line formats (JSONL, CSV) split across tasks.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from stanceframe.functions.text import coerce_score, name_from_file
+from stanceframe.session import stored
 
 PROFILE_SCHEMA = T.StructType([
     T.StructField("name", T.StringType()), T.StructField("url", T.StringType()),
@@ -97,11 +98,18 @@ def read_batch_outputs(spark: SparkSession, path: str, glob: str | None = None,
                        schema: T.StructType = BATCH_OUTPUT_SCHEMA) -> DataFrame:
     """SRC-6: JSONL shard files -> (file_name, line_no, fields..., bad_line).
 
-    Each shard file is read whole so line numbers are exact; blank lines are
-    skipped; a line that is not valid JSON is kept with ``bad_line = true`` (counted
-    by ``batch_read_errors``), never fatal."""
-    t = _whole_files(spark, path, glob)
-    lines = t.select("file_path", "file_name", F.posexplode(F.split("value", "\n")).alias("line_no", "line"))
+    Files are read line by line and split across tasks.  The lines are stored with their block's start, so a
+    line's number is its place in its block plus the lines of the file's blocks before it.  Blank lines are
+    skipped; a line that is not valid JSON is kept with ``bad_line = true`` (counted by
+    ``batch_read_errors``), never fatal."""
+    t = stored(spark.read.text(path, lineSep="\n", pathGlobFilter=glob).select(
+        F.col("_metadata.file_path").alias("file_path"), F.col("_metadata.file_name").alias("file_name"),
+        F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"),
+        F.col("value").alias("line")), "jsonl-lines")
+    blocks = t.groupBy("file_path", "block").agg(F.min("at").alias("first"), F.count("*").alias("n"))
+    before = Window.partitionBy("file_path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = blocks.select("file_path", "block", (F.coalesce(F.sum("n").over(before), F.lit(0)) - F.col("first")).alias("shift"))
+    lines = t.join(blocks, ["file_path", "block"]).withColumn("line_no", F.col("at") + F.col("shift"))
     lines = lines.where(F.trim("line") != "")
     bad = F.get_json_object("line", "$").isNull()
     return lines.select("file_path", "file_name", F.col("line_no").cast("bigint").alias("line_no"),

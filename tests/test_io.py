@@ -16,6 +16,26 @@ def test_batch_outputs_bad_and_blank_lines(spark):
     assert R.batch_read_errors(df).first()["bad_lines"] == 1
 
 
+def test_batch_outputs_are_numbered_across_splits(spark):
+    path = scratch_path(spark, "shard-splits")
+    for name, n in (("a", 300), ("b", 170)):
+        lines = ["" if i % 7 == 3 else f'{{"custom_id": "{name}{i}"}}' for i in range(n)]
+        spark.createDataFrame([("\n".join(lines),)], "value string").coalesce(1).write.text(f"{path}/shard={name}")
+    old = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "700")
+        spark.conf.set("spark.sql.files.openCostInBytes", "0")
+        df = R.read_batch_outputs(spark, path, glob="part-*")
+        raw = spark.read.text(path, wholetext=False, pathGlobFilter="part-*")
+        assert raw.select("_metadata.file_block_start").distinct().count() > 2  # files are split
+        assert all("jsonl-lines" in f for f in df.inputFiles())  # stored lines, not whole files
+        got = sorted((r["custom_id"], r["line_no"]) for r in df.collect())
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    assert got == sorted((f"{name}{i}", i) for name, n in (("a", 300), ("b", 170)) for i in range(n) if i % 7 != 3)
+
+
 def test_jsonl_corrupt_record_kept(spark):
     path = scratch_path(spark, "jsonl-test")
     spark.createDataFrame([('{"x": 1}',), ("oops",)], "value string").coalesce(1).write.text(path)

@@ -19,7 +19,8 @@ from stanceframe.llm.common import stored
 from stanceframe.llm.lattice_dedup import _matrix, usable_vectors
 
 SEED = 41
-BOUND = 1.9  # width of the error bound in standard deviations of the estimate
+BOUND = 1.9  # narrow width of the error bound, in standard deviations of the estimate: may pass over true neighbours
+SEARCH_BOUND = 3.0  # the width that search works with
 DATA_BLOCK, QUERY_BLOCK = 8192, 2048
 
 
@@ -86,7 +87,7 @@ def best_of_block(q_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, vecto
             yield int(q_ids[lo + j]), ids[rows[best]], score[best], len(rows)
 
 
-def search(table: DataFrame, is_query, k: int = 20, bound: float = BOUND, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
+def search(table: DataFrame, is_query, k: int = 20, bound: float = SEARCH_BOUND, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id, score: the k vectors of largest inner product with every query row.
 
     ``is_query`` is a condition on ``vec_id``.  Null, empty, zero and non-finite vectors and null ids take

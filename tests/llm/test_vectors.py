@@ -1,5 +1,7 @@
 """Lattice near-dedup and one-bit search against brute force."""
 
+import inspect
+
 import numpy as np
 from pyspark.sql import functions as F
 
@@ -78,3 +80,14 @@ def test_bits_leave_most_vectors_uncompared():
     exact = [set(np.argsort(-np.where(np.arange(4000) == q, -np.inf, x @ x[q]))[:20]) for q in range(40)]
     assert np.mean([len(exact[q] & set(ids)) for q, ids, _, _ in out]) >= 19.8
     assert np.mean([c for *_, c in out]) < 2400  # of 4000 vectors without any structure
+
+
+def test_search_bound_misses_no_neighbour_where_a_narrow_one_does():
+    n, x = 4000, np.random.default_rng(3).standard_normal((4000, 64))
+    bits, length, cos = O.codes(x, np.zeros(64))
+    exact = [set(np.argsort(-np.where(np.arange(n) == q, -np.inf, x @ x[q]))[:20]) for q in range(400)]
+
+    def missed(bound):
+        return sum(len(exact[q] - set(ids)) for q, ids, _, _ in O.best_of_block(
+            np.arange(400), x[:400], np.arange(n), x, bits, length, cos, np.zeros(64), 20, bound))
+    assert missed(1.9) > 0 == missed(inspect.signature(O.search).parameters["bound"].default)

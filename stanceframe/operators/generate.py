@@ -28,22 +28,22 @@ from stanceframe.session import materialize
 
 Generator = Callable[..., str]
 
-CALL_SCHEMA = "custom_id string, prompt string, options array<string>, raw string, time double, error string"
+CALL_SCHEMA = "custom_id string, prompt string, options array<string>, recorded array<string>, raw string, time double, error string"
 
 
 def _caller(generate: Generator, attempt: int, temperature: float, max_tokens: int):
     try:
-        takes_attempt = "attempt" in inspect.signature(generate).parameters
+        takes = set(inspect.signature(generate).parameters)
     except (TypeError, ValueError):
-        takes_attempt = False
+        takes = set()
 
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in it:
             raws, times, errors = [], [], []
-            for prompt in pdf["prompt"]:
+            for prompt, recorded in zip(pdf["prompt"], pdf["recorded"], strict=True):
                 t0 = time.time()
                 try:
-                    kw = {"attempt": attempt} if takes_attempt else {}
+                    kw = {k: v for k, v in (("attempt", attempt), ("recorded", recorded)) if k in takes}
                     raws.append(generate(prompt, temperature, max_tokens, **kw))
                     times.append(time.time() - t0)
                     errors.append(None)
@@ -58,8 +58,12 @@ def _caller(generate: Generator, attempt: int, temperature: float, max_tokens: i
 def generate_answers(requests: DataFrame, generate: Generator, max_retries: int = 5, temperature: float = 0.0,
                      max_tokens: int = 100) -> DataFrame:
     """Requests ``(custom_id, prompt, options)`` -> one answer record per request:
-    ``success, parsed, raw, error, generation_time, attempts, all_attempts``."""
-    pending = requests.select("custom_id", "prompt", F.col("options").cast("array<string>"))
+    ``success, parsed, raw, error, generation_time, attempts, all_attempts``.
+
+    Where requests carry ``recorded`` (texts by attempt), a callable that accepts ``recorded`` gets it too."""
+    recorded = F.col("recorded") if "recorded" in requests.columns else F.lit(None)
+    pending = requests.select("custom_id", "prompt", F.col("options").cast("array<string>"),
+                              recorded.cast("array<string>").alias("recorded"))
     rounds = []
     for k in range(1, max_retries + 1):
         called = pending.mapInPandas(_caller(generate, k, temperature, max_tokens), CALL_SCHEMA)
@@ -67,13 +71,13 @@ def generate_answers(requests: DataFrame, generate: Generator, max_retries: int
         v = T.validate_response(F.col("parsed"), F.col("options"))
         r = called.withColumn("parsed", parsed).withColumn("v", v)
         r = materialize(r.select(
-            "custom_id", "prompt", "options",
+            "custom_id", "prompt", "options", "recorded",
             F.struct(F.lit(k).alias("attempt"), F.col("parsed"), F.col("raw"),
                      F.when(F.col("error").isNull(), F.col("v.valid")).alias("valid"),
                      F.when(F.col("error").isNull(), F.col("v.message")).alias("validation_msg"),
                      F.col("time"), F.col("error")).alias("a")))
         rounds.append(r.select("custom_id", "a"))
-        pending = r.where(~F.coalesce(F.col("a.valid"), F.lit(False))).select("custom_id", "prompt", "options")
+        pending = r.where(~F.coalesce(F.col("a.valid"), F.lit(False))).select("custom_id", "prompt", "options", "recorded")
     log = rounds[0]
     for r in rounds[1:]:
         log = log.unionByName(r)

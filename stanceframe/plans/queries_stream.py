@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-import hashlib
-
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from stanceframe.operators import batch as B
@@ -51,30 +50,32 @@ def q_stream_run_outcomes(spark, sf_dir):
         F.col("total_time").cast("double").alias("total_time"))
 
 
-def demo_generator():
-    """Deterministic local text generator for tests: by prompt hash it answers validly,
-    answers validly only from the second try on, never validly, or in a fenced list."""
-    def gen(prompt: str, temperature: float, max_tokens: int, attempt: int = 1) -> str:
-        q = prompt.rsplit("Question: ", 1)[-1].split("\n", 1)[0]
-        kind = int(hashlib.md5(prompt.encode()).hexdigest(), 16) % 4
-        if kind == 0:
-            return f'["Accept: {q}"]'
-        if kind == 1:
-            return "I am not sure." if attempt == 1 else f'["Lean towards: {q}"]'
-        if kind == 2:
-            return '["Maybe"]'
-        return f'```json\n["Reject: {q}", "Neutral: {q}"]\n```'
-    return gen
+def recorded_answer(prompt: str, temperature: float, max_tokens: int, attempt: int = 1, recorded=None) -> str:
+    """The recorded text of this attempt; an attempt without one fails as a call would."""
+    text = recorded[attempt - 1] if recorded is not None and len(recorded) >= attempt else None
+    if text is None:
+        raise LookupError("no recorded output")
+    return text
+
+
+def _recorded_requests(spark, sf_dir, max_retries):
+    """Requests with the batch outputs of their respondent and question, one attempt each in their order (null if the call failed)."""
+    keys = ["philosopher_name", "question"]
+    outputs = (FX.batch_outputs(spark, sf_dir).join(FX.request_mapping(spark, sf_dir), "custom_id")
+               .withColumn("_k", F.row_number().over(Window.partitionBy(*keys).orderBy("ord"))).where(F.col("_k") <= max_retries)
+               .select(*keys, F.struct("_k", F.when(F.col("status_code") == 200, F.col("raw")).alias("raw")).alias("_a"))
+               .groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list("_a")), lambda a: a["raw"]).alias("recorded")))
+    return (_requests(spark, sf_dir).join(FX.question_options(spark, sf_dir), "question")
+            .join(outputs, keys, "left"))
 
 
 def _generated(spark, sf_dir):
-    req = _requests(spark, sf_dir).join(FX.question_options(spark, sf_dir), "question")
-    return generate_answers(req, demo_generator(), max_retries=5)
+    return generate_answers(_recorded_requests(spark, sf_dir, 5), recorded_answer, max_retries=5)
 
 
 @register("generate_answers")
 def q_generate_answers(spark, sf_dir):
-    """UDF-1: every request answered by a caller-supplied generator with up to 5 validated tries."""
+    """UDF-1: every request answered from the recorded batch outputs with up to 5 validated tries."""
     g = _generated(spark, sf_dir)
     return g.select("custom_id", "success", F.array_join("parsed", "\x1f").alias("parsed"), "error", "attempts",
                     F.size("all_attempts").alias("n_logged"))

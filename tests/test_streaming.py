@@ -52,3 +52,20 @@ def test_generate_answers_retries(spark):
     assert not out["r3"]["success"] and out["r3"]["attempts"] == 5 and out["r3"]["error"].startswith("Exception")
     assert out["r3"]["chosen"]["attempt"] == 5
     assert [a["validation_msg"] for a in out["r2"]["all_attempts"]][:2] == ["Invalid options: ['hmm']"] * 2
+
+
+def test_generate_answers_query_returns_recorded_outputs(spark):
+    from stanceframe.plans import queries_stream as Q
+    from stanceframe.plans import queries_text as QT
+    from stanceframe.sources import fixtures as FX
+    recorded = {}
+    for r in (FX.batch_outputs(spark, SF001).join(FX.request_mapping(spark, SF001), "custom_id").orderBy("ord").collect()):
+        recorded.setdefault((r["philosopher_name"], r["question"]), []).append(r["raw"] if r["status_code"] == 200 else None)
+    key = {r["custom_id"]: (r["philosopher_name"], r["question"]) for r in QT._requests(spark, SF001).collect()}
+    out = Q._generated(spark, SF001).collect()
+    assert {r["custom_id"] for r in out} == set(key) and any(r["success"] for r in out)
+    for r in out:
+        want = [*recorded.get(key[r["custom_id"]], []), None, None, None, None, None][:5]
+        log = r["all_attempts"]
+        assert [a["raw"] for a in log] == want[:len(log)] and (r["success"] or len(log) == 5)
+        assert all((a["error"] is None) == (a["raw"] is not None) for a in log)

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import zlib
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -62,11 +65,22 @@ def register_cache(owner: str, table: dict) -> dict:
 
 
 def free_other_caches(owner: str) -> None:
-    """At the start of a task: empty what other operators' tasks left in this worker process."""
+    """At the start of a task: empty what other operators' tasks left in this worker process, and give the
+    memory that they freed back to the system (allocators keep it otherwise, and workers outlive their tasks)."""
     for name, tables in _CACHES.items():
         if name != owner:
             for t in tables:
                 t.clear()
+    release_memory()
+
+
+def release_memory() -> None:
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # other C libraries have no such call
+        pass
 
 
 def small_batches(batches, rows: int = 1000):

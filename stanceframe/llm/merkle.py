@@ -10,7 +10,7 @@ first four paragraphs stand in pieces of 2 to 16, so that short texts have branc
 * fingerprint = root, then each section after ``/``, its paragraphs divided by ``.``, a paragraph as the marks of
   its pieces: 10 hexadecimal digits of the piece's digest and its length in three decimal digits.
 * likeness of two fingerprints: 1 for equal roots, else the share of the code points that stand in pieces of equal
-  marks: 2 * common / (one + other), each mark counted once.
+  marks: 2 * common / (one + other); a mark that stands several times in both is common as often as in the one with fewer.
 
 Nulls: a null text is the empty text; its fingerprint is that of the empty text, its likeness to any other text 0.
 Everything is an expression on one row, so repeated rows, ties, empty tables and further columns need no care.
@@ -71,8 +71,21 @@ def fingerprint_text(root: Column, paragraphs: Column) -> Column:
 
 
 def marks(paragraphs: Column) -> Column:
-    """All different marks of a text."""
-    return F.array_distinct(F.flatten(F.transform(paragraphs, lambda p: p["marks"])))
+    """All marks of a text; the second and later ones of equal marks have their number behind them."""
+    def numbered(m: Column) -> Column:
+        at = F.sequence(F.lit(0), F.size(m) - 1)
+        starts = F.filter(at, lambda i: (i == 0) | (F.get(m, i) != F.get(m, i - 1)))  # of the runs of equal marks
+
+        def run(first: Column, k: Column, starts: Column) -> Column:
+            length = F.coalesce(F.get(starts, k + 1), F.size(m)) - first
+            return F.transform(F.sequence(F.lit(1), length), lambda t: F.when(t == 1, F.get(m, first)).otherwise(F.concat(F.get(m, first), F.lit("#"), t.cast("string"))))
+
+        return F.transform(F.array(starts), lambda s: F.flatten(F.transform(s, lambda first, k: run(first, k, s))))[0]
+
+    def of(m: Column) -> Column:
+        return F.when(F.size(F.array_distinct(m)) == F.size(m), m).otherwise(F.transform(F.array(F.array_sort(m)), numbered)[0])
+
+    return F.transform(F.array(F.flatten(F.transform(paragraphs, lambda p: p["marks"]))), of)[0]
 
 
 def _weight(m: Column) -> Column:
@@ -200,14 +213,18 @@ def edited_likeness_sql() -> str:
                 f"ELSE CAST(2 * {weight(f'list_intersect({a}_marks, {b}_marks)')} AS DOUBLE) / {total} END")
 
     parts = ", ".join(f"{root_.format(p=f'{c}_p')} AS {c}_root, {body.format(p=f'{c}_p')} AS {c}_body, "
-                      f"list_distinct(flatten(list_transform({c}_p, lambda p: p.marks))) AS {c}_marks" for c in par)
+                      f"flatten(list_transform({c}_p, lambda p: p.marks)) AS {c}_all" for c in par)
+    # the second and later ones of equal marks with their number
+    numbered = ", ".join(f"list_transform({c}_all, lambda x, i: x || CASE WHEN list_position({c}_all, x) < i THEN "
+                         f"'#' || CAST(len(list_filter(list_slice({c}_all, 1, i), lambda y: y = x)) AS VARCHAR) ELSE '' END) AS {c}_marks" for c in par)
     return f"""WITH s AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
 o AS (SELECT doc_id, text, CAST(length(text) AS BIGINT) AS n, CAST(length(text) // 3 AS BIGINT) AS cut, sha256(text) AS dig FROM s),
 x AS (SELECT doc_id, text, n, cut, coalesce(lead(text) OVER (ORDER BY doc_id DESC NULLS LAST, dig),
   first_value(text) OVER (ORDER BY doc_id DESC NULLS LAST, dig)) AS next_text FROM o),
 e AS (SELECT doc_id, n, text, next_text, substr(text, 1, n - cut) || substr(next_text, 1, cut) AS edited FROM x),
 t AS (SELECT doc_id, n, edited, {', '.join(f'{x} AS {c}_p' for c, x in par.items())} FROM e),
-r AS (SELECT doc_id, n, edited, {parts} FROM t)
+q AS (SELECT doc_id, n, edited, {parts} FROM t),
+r AS (SELECT * EXCLUDE ({", ".join(f"{c}_all" for c in par)}), {numbered} FROM q)
 SELECT doc_id, n AS n_chars, sha256(edited) AS edited_sha256, text_root || '/' || text_body AS fingerprint,
   edited_root || '/' || edited_body AS edited_fingerprint, CAST({like('text', 'edited')} AS DOUBLE) AS near_edited, CAST({like('text', 'next_text')} AS DOUBLE) AS near_next
 FROM r"""

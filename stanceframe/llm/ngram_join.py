@@ -91,6 +91,7 @@ def _token_rows(docs: DataFrame, bits: int) -> DataFrame:
             keep = ~hot[a:b] | lead[a:b]
             entry = np.where(hot[a:b], _MARK, place.astype(np.uint32))[keep]
             part = (h[a:b][keep] << _U(bits)) >> _U(32)  # the 32 bits after the range's
+            # 32 bits stand for a token in its range: see _shared_tokens for tokens that agree in them
             yield {"part": int(of[a]), "nodes": nodes[own].tobytes(), "sizes": sizes[own].astype("<u4").tobytes(),
                    "folded": folded.tobytes(), "tokens": part.astype("<u4").tobytes(), "entry": entry.astype("<u4").tobytes()}
 
@@ -118,78 +119,87 @@ def _token_rows(docs: DataFrame, bits: int) -> DataFrame:
 
 
 def _shared_tokens(rows: DataFrame, bits: int) -> DataFrame:
-    """Per set and range: its size, how many of its tokens other sets hold too, and the rare ones of these."""
-    out = pa.schema([("node", pa.int64()), ("n", pa.int64()), ("shared", pa.int64()), ("rare", pa.binary())])
+    """Per range of tokens and bucket of sets, packed: the sets, their sizes, how many of their tokens there other sets
+    hold too, and the rare ones of these.
+
+    A token is known here by its range and the next 32 bits.  Tokens of one set that agree in these count as
+    often as they are: a set's entries are taken from one row that holds it, never folded by token.  So what
+    counts as shared may be too much, never too little."""
+    out = pa.schema([("bucket", pa.int32()), *((c, pa.binary()) for c in ("nodes", "sizes", "shared", "rares", "rare"))])
 
     def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         part = key[0].as_py()
-        node, n, token, folded = [], [], [], []
-        marked = []
-        for r in table.to_pylist():
-            own, sizes = np.frombuffer(r["nodes"], np.uint64), np.frombuffer(r["sizes"], "<u4")
-            fold = np.frombuffer(r["folded"], "<u4")
-            tok, entry = np.frombuffer(r["tokens"], "<u4"), np.frombuffer(r["entry"], "<u4")
+        cols = {c: table[c].to_pylist() for c in ("nodes", "sizes", "folded", "tokens", "entry")}
+        own = [np.frombuffer(x, np.uint64) for x in cols["nodes"]]
+        start = np.concatenate([[0], np.cumsum([len(x) for x in own])])
+        node = np.concatenate(own)
+        size = np.frombuffer(b"".join(cols["sizes"]), "<u4")
+        folded = np.frombuffer(b"".join(cols["folded"]), "<u4").astype(np.int64)
+        here = np.zeros(len(node), bool)  # of equal sets in several rows, one
+        here[np.unique(node, return_index=True)[1]] = True
+        token, at, marked = [], [], []
+        for k, (t, e) in enumerate(zip(cols["tokens"], cols["entry"], strict=True)):
+            tok, entry = np.frombuffer(t, "<u4"), np.frombuffer(e, "<u4")
             marked.append(tok[entry == _MARK])
-            own_fold = np.flatnonzero(fold)
-            folded.append((own[own_fold], sizes[own_fold], fold[own_fold]))
             real = entry != _MARK
-            token.append(tok[real])
-            node.append(own[entry[real]])
-            n.append(sizes[entry[real]])
-        node, n, token = np.concatenate(node), np.concatenate(n), np.concatenate(token)
-        hot = np.unique(np.concatenate(marked))
-        order = np.lexsort((node, token))
-        node, n, token = node[order], n[order], token[order]
-        new = np.ones(len(token), bool)  # a set that two tasks hold counts once
-        new[1:] = (token[1:] != token[:-1]) | (node[1:] != node[:-1])
-        node, n, token = node[new], n[new], token[new]
+            place = entry[real].astype(np.int64) + start[k]
+            keep = here[place]
+            token.append(tok[real][keep])
+            at.append(place[keep])
+        token, at = np.concatenate(token), np.concatenate(at)
+        order = np.argsort(token, kind="stable")
+        token, at = token[order], at[order]
         lo = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]])) if len(token) else np.zeros(0, np.int64)
-        df = np.repeat(np.diff(np.concatenate([lo, [len(token)]])), np.diff(np.concatenate([lo, [len(token)]])))
-        frequent = (df > RARE) | np.isin(token, hot)
+        length = np.diff(np.concatenate([lo, [len(token)]]))
+        df = np.repeat(length, length)
+        frequent = (df > RARE) | np.isin(token, np.concatenate(marked))
         rare = (df > 1) & ~frequent
-        use = rare | frequent
-        # by set: the shared tokens counted, the rare ones listed
-        f_node, f_n, f_count = (np.concatenate(x) for x in zip(*folded, strict=True))
-        first = np.unique(f_node, return_index=True)[1]  # of equal sets in several tasks, one
-        node_all = np.concatenate([node[use], f_node[first]])
-        n_all = np.concatenate([n[use], f_n[first]])
-        add = np.concatenate([np.ones(use.sum(), np.int64), f_count[first].astype(np.int64)])
-        is_rare = np.concatenate([rare[use], np.zeros(len(first), bool)])
-        tok64 = np.concatenate([_U(part) << _U(32) | token[use].astype(np.uint64), np.zeros(len(first), np.uint64)])
-        order = np.lexsort((tok64, node_all))
-        node_all, n_all, add, is_rare, tok64 = (x[order] for x in (node_all, n_all, add, is_rare, tok64))
-        if not len(node_all):
-            return out.empty_table()
-        cut = np.flatnonzero(np.concatenate([[True], node_all[1:] != node_all[:-1], [True]]))
-        shared = np.add.reduceat(add, cut[:-1])
-        lists = [tok64[a:b][is_rare[a:b]].tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)]
-        return pa.table([pa.array(node_all[cut[:-1]].view(np.int64)), pa.array(n_all[cut[:-1]].astype(np.int64)),
-                         pa.array(shared), pa.array(lists, pa.binary())], schema=out)
-
-    return rows.groupBy("part").applyInArrow(run, "node bigint, n bigint, shared bigint, rare binary")
+        shared = np.bincount(at[rare | frequent], minlength=len(node)) + np.where(here, folded, 0)
+        # sets in order, so that a bucket of sets is a slice
+        rank = np.empty(len(node), np.int64)
+        by_node = np.argsort(node, kind="stable")
+        rank[by_node] = np.arange(len(node))
+        rares = np.bincount(at[rare], minlength=len(node))
+        r_at, r_tok = at[rare], (_U(part) << _U(32)) | token[rare].astype(np.uint64)
+        r_order = np.argsort(rank[r_at], kind="stable")
+        by_node = by_node[shared[by_node] > 0]
+        r_end = np.concatenate([[0], np.cumsum(rares[by_node])])
+        r_tok = r_tok[r_order]
+        of = (node[by_node] >> _U(64 - bits)).astype(np.int64) if bits else np.zeros(len(by_node), np.int64)
+        cut = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1], [True]])) if len(of) else np.zeros(1, np.int64)
+        rows_ = [{"bucket": int(of[a]), "nodes": node[by_node[a:b]].tobytes(), "sizes": size[by_node[a:b]].tobytes(),
+                  "shared": shared[by_node[a:b]].astype("<u4").tobytes(), "rares": rares[by_node[a:b]].astype("<u4").tobytes(),
+                  "rare": r_tok[r_end[a]:r_end[b]].tobytes()} for a, b in zip(cut[:-1], cut[1:], strict=True)]
+        return pa.Table.from_pylist(rows_, schema=out)
+
+    return rows.groupBy("part").applyInArrow(run, "bucket int, nodes binary, sizes binary, shared binary, rares binary, rare binary")
 
 
 def _rare_prefixes(shared: DataFrame, percent: int) -> DataFrame:
     """Sets whose unique tokens do not fill the prefix: size, shared tokens (at least those that other sets
-    hold too), the rare tokens to index, and whether more is needed."""
-    per_set = (shared.groupBy("node").agg(F.max("n").alias("n"), F.sum("shared").alias("shared"),
-                                          F.collect_list("rare").alias("rare"))
-               .where(F.lit(percent) * F.col("n") <= 100 * F.col("shared")))  # of n, at most n - ceil(t n) unique
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            keys, short, held = [], [], []
-            for n, sh, lists in zip(*(b.column(k).to_pylist() for k in (1, 2, 3)), strict=True):
-                tok = np.sort(np.frombuffer(b"".join(lists), np.uint64))
-                need = prefix_length(n, percent) - (n - sh)
-                keys.append(tok[:need].view(np.int64).tolist())
-                short.append(need > len(tok))
-                held.append(min(n, sh))
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), b.column(1), pa.array(held, pa.int64()), pa.array(keys, pa.list_(pa.int64())),
-                 pa.array(short, pa.bool_())], names=["node", "n", "s", "keys", "short"])
-
-    return per_set.mapInArrow(run, "node bigint, n bigint, s bigint, keys array<bigint>, short boolean")
+    hold too), the rare tokens to index, and whether more is needed.  A bucket of sets is a group of bounded size."""
+    out = pa.schema([("node", pa.int64()), ("n", pa.int64()), ("s", pa.int64()), ("keys", pa.list_(pa.int64())), ("short", pa.bool_())])
+
+    def run(_, table: pa.Table) -> pa.Table:
+        def column(c: str, kind) -> np.ndarray:
+            return np.frombuffer(b"".join(table[c].to_pylist()), kind)
+
+        node, n = column("nodes", np.uint64), column("sizes", "<u4").astype(np.int64)
+        part_shared, rares, rare = column("shared", "<u4").astype(np.int64), column("rares", "<u4").astype(np.int64), column("rare", np.uint64)
+        names, first, where = np.unique(node, return_index=True, return_inverse=True)
+        sh = np.bincount(where, weights=part_shared, minlength=len(names)).astype(np.int64)
+        n = n[first]
+        owner = np.repeat(where, rares)
+        order = np.lexsort((rare, owner))
+        owner, rare = owner[order], rare[order]
+        begin = np.searchsorted(owner, np.arange(len(names) + 1))
+        use = np.flatnonzero(percent * n <= 100 * sh)  # of n, at most n - ceil(t n) unique
+        need = [prefix_length(int(k), percent) for k in n[use]] - (n[use] - sh[use])
+        keys = [np.unique(rare[begin[i]:min(begin[i] + max(k, 0), begin[i + 1])]).view(np.int64) for i, k in zip(use.tolist(), need.tolist(), strict=True)]
+        return pa.table([pa.array(names[use].view(np.int64)), pa.array(n[use]), pa.array(np.minimum(n, sh)[use]), pa.array(keys, pa.list_(pa.int64())),
+                         pa.array(need > np.diff(begin)[use])], schema=out)
+
+    return shared.groupBy("bucket").applyInArrow(run, "node bigint, n bigint, s bigint, keys array<bigint>, short boolean")
 
 
 def _subclasses(band: int, percent: int) -> int:
@@ -255,9 +265,9 @@ def _combinations(texts: DataFrame, percent: int, bits: int) -> DataFrame:
                 for i, (a, b) in enumerate(zip(cut[:-1], cut[1:], strict=True)):
                     own = h[a:b] >> _U(32 - bits)  # as the index knows them: range and 32 bits
                     known = np.array(rare[lo + i], np.int64).view(np.uint64)
-                    other = np.unique(own[~np.isin(own, known)])
+                    other = h[a:b][~np.isin(own, known)]  # in full, so that no two become one
                     size.append(b - a)
-                    keys.append(combination_keys(other, int(b - a), len(known), percent))
+                    keys.append(combination_keys(other, int(b - a), int(b - a) - len(other), percent))
                 yield pa.RecordBatch.from_arrays([pa.array(keys, pa.list_(pa.int64())), pa.array(nodes[lo:hi], pa.int64()),
                                                   pa.array(size, pa.int64()), pa.array(held[lo:hi], pa.int64())],
                                                  names=["keys", "node", "n", "s"])

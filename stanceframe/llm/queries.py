@@ -82,6 +82,18 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return captures(table(spark, sf_dir, "pages"))
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Embeddings whitened on the covariance of all rows, 32 components (tested against exact arithmetic)."""
+    from stanceframe.llm.whitening import whiten
+    return whiten(table(spark, sf_dir, "embeddings"), components=32)
+
+
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 2000 best phrases of two to five words of every language, by exact counts."""
+    from stanceframe.llm.collocations import mine
+    return mine(table(spark, sf_dir, "documents"))
+
+
 def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Merkle fingerprints of every document and of its edited text, and their likenesses."""
     from stanceframe.llm.merkle import edited_likeness
@@ -89,7 +101,7 @@ def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_mixing, op2_toxicity, op3_sentencepiece, op4_ngram_join, op5_token_files, op6_license, op7_quality,
-                                   op8_lattice_dedup, op9_onebit_search, op10_warc, op13_merkle)}
+                                   op8_lattice_dedup, op9_onebit_search, op10_warc, op11_whitening, op12_collocations, op13_merkle)}
 
 #: What the archives must say of the pages, stated on the pages.
 WARC_SQL = """WITH p AS (SELECT page_id, CAST(octet_length(encode(coalesce(html, ''))) AS BIGINT) AS n, sha256(coalesce(html, '')) AS d FROM pages),
@@ -101,12 +113,13 @@ FROM p LEFT JOIN f ON f.d = p.d"""
 
 
 def _oracles() -> dict[str, str]:
+    from stanceframe.llm.collocations import mine_sql
     from stanceframe.llm.license_scan import scan_sql
     from stanceframe.llm.merkle import edited_likeness_sql
     from stanceframe.llm.mixing import Plan, mix_sql
     domain = "'d' || CAST(coalesce(try_cast(regexp_extract(source, '([0-9]{1,9})$', 1) AS INTEGER), 0) % 4 AS VARCHAR)"
     return {"op1_mixing": mix_sql(Plan(weights=MIX_WEIGHTS), f"SELECT *, {domain} AS domain FROM documents"),
-            "op6_license": scan_sql(), "op10_warc": WARC_SQL, "op13_merkle": edited_likeness_sql()}
+            "op6_license": scan_sql(), "op10_warc": WARC_SQL, "op12_collocations": mine_sql(), "op13_merkle": edited_likeness_sql()}
 
 
 ORACLE_SQL: dict[str, str] = _oracles()

@@ -2,22 +2,19 @@
 
 Words are runs without space and tab..carriage return, A-Z in lower case.  A set holds the hashes of all
 runs of ``width`` words; a shorter text has its whole word sequence as its one member, a text without
-words the empty set.  Two members are taken as equal when their 64-bit hashes are.
+words the empty set.  Two members are taken as equal when their 64-bit hashes are: a word's is xxh3 of its bytes,
+taken once per different word of a block, a member's is scrambled after every word.
 """
 
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
+import xxhash
 
 _U = np.uint64
-_TABLE = np.random.default_rng(20240501).integers(1, 2**64, 256, dtype=np.uint64)
-_BASE = 0x9E3779B97F4A7C15 | 1
-_BACK = pow(_BASE, -1, 2**64)
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[65:91] += 32
-_SPACE = np.zeros(256, bool)
-_SPACE[[32, 9, 10, 11, 12, 13]] = True
-_powers: list[np.ndarray] = []
+_CLEAN = bytes(32 if b in b"\x20\x09\x0a\x0b\x0c\x0d" else b + 32 if 65 <= b <= 90 else b for b in range(256))
+_SEED = 20240501
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -27,38 +24,50 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(31))
 
 
-def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if not _powers or len(_powers[0]) < n:
-        size = max(n, 1 << 20)
-        both = []
-        for b in (_BASE, _BACK):
-            p = np.full(size, b, np.uint64)
-            p[0] = 1
-            both.append(np.multiply.accumulate(p))
-        _powers[:] = both
-    return _powers[0], _powers[1]
+class Codes:
+    """Byte strings given as one body and their lengths: a number for each (equal ones share it), and the different ones."""
 
+    def __init__(self, body: np.ndarray, lengths: np.ndarray):
+        offsets = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int64)
+        coded = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(lengths), [None, pa.py_buffer(offsets), pa.py_buffer(body)]).dictionary_encode()
+        self.code = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        self.count = len(coded.dictionary)
+        _, at, raw = coded.dictionary.buffers()
+        self.at = np.frombuffer(at, np.int64)[:self.count + 1].tolist() if self.count else [0]
+        self.raw = raw.to_pybytes() if raw is not None else b""
 
-def shingle_sets(texts: list[str], width: int = 5) -> tuple[np.ndarray, np.ndarray]:
-    """(text number, member hash) of all distinct members, ascending by both."""
+    def __getitem__(self, k: int) -> bytes:
+        return self.raw[self.at[k]:self.at[k + 1]]
+
+    def hashes(self, seed: int) -> np.ndarray:
+        """xxh3 of every different one."""
+        raw, at, digest = self.raw, self.at, xxhash.xxh3_64_intdigest
+        return np.array([digest(raw[a:b], seed) for a, b in zip(at[:-1], at[1:], strict=True)], np.uint64)
+
+
+def word_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(text number, hash) of every word of a block of texts, in order."""
     raw = [t.encode("utf-8", "surrogatepass") for t in texts]
-    data = np.frombuffer(b" ".join(raw) + b" ", np.uint8)
+    data = np.frombuffer(b" ".join(raw).translate(_CLEAN) + b" ", np.uint8)
     first = np.cumsum([0, *(len(r) + 1 for r in raw)])[:-1]  # each text's first byte
-    inside = ~_SPACE[data]
+    inside = data != 32
     edge = np.flatnonzero(np.diff(np.concatenate([[False], inside])))
     start, end = edge[::2], edge[1::2]
-    if not len(start):
+    words = Codes(data[inside], end - start)
+    return np.searchsorted(first, start, "right") - 1, words.hashes(_SEED)[words.code]
+
+
+def shingle_sets(texts: list[str], width: int = 5) -> tuple[np.ndarray, np.ndarray]:
+    """(text number, member hash) of all distinct members, ascending by both."""
+    owner, word = word_hashes(texts)
+    if not len(word):
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    up, back = _power_tables(len(data))
-    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_TABLE[_LOWER[data]] * up[:len(data)], dtype=np.uint64)])
-    word = mix((total[end] - total[start]) * back[start] + (end - start).astype(np.uint64))
-    owner = np.searchsorted(first, start, "right") - 1
 
     def fold(lo: np.ndarray, n: int) -> np.ndarray:
         h = np.full(len(lo), n, np.uint64)
         for j in range(n):
-            h = h * _U(0xD1342543DE82EF95) + word[lo + j]
-        return mix(h)
+            h = mix(h * _U(0xD1342543DE82EF95) + word[lo + j])
+        return h
 
     at = np.arange(len(word))
     full = at[:len(word) - width + 1] if len(word) >= width else at[:0]

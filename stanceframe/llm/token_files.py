@@ -36,6 +36,8 @@ _SPACES = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\
 #: Stretches that the tokenizer's own split never crosses: a word with at most one space before it,
 #: white space up to its last character, that last character.
 _STRETCH = re.compile(f" ?[^{_SPACES}]+|[{_SPACES}]+(?![^{_SPACES}])|[{_SPACES}]")
+#: White space outside ASCII: a text that holds any is cut by the expression above.
+_WIDE_SPACE = re.compile("[\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]")
 
 
 def default_tokenizer() -> str:
@@ -59,28 +61,69 @@ class IdEncoder:
                            and pre.get("use_regex", True) and spec.get("normalizer") is None)
         self.special = [t["content"] for t in spec.get("added_tokens", [])]
         self.width = 2 if self.tok.get_vocab_size() <= 1 << 16 else 4
-        self.known: dict[str, bytes] = register_cache("token files", {})  # ids in 4 bytes each
+        self.known: dict[bytes, bytes] = register_cache("token files", {})  # ids in 4 bytes each
 
     def encode_all(self, texts: list[str]) -> list[np.ndarray]:
-        cut = []
+        """Ids of every text.  Texts whose stretches ASCII white space alone divides are cut together, as bytes."""
+        out: list[np.ndarray] = [np.zeros(0, np.uint32)] * len(texts)
+        plain, rest = [], []
+        for k, t in enumerate(texts):
+            easy = self.by_stretch and not any(s in t for s in self.special) and (t.isascii() or not _WIDE_SPACE.search(t))
+            (plain if easy else rest).append(k)
+        for group, ids in ((plain, self._by_bytes), (rest, self._by_text)):
+            if group:
+                for k, got in zip(group, ids([texts[k] for k in group]), strict=True):
+                    out[k] = got
+        return out
+
+    def _learn(self, stretches: list[bytes]) -> list[bytes]:
+        """The ids of different stretches, 4 bytes each; new ones are encoded in one call."""
+        found = [self.known.get(w) for w in stretches]
+        if None in found:
+            new = [w for w, x in zip(stretches, found, strict=True) if x is None]
+            fresh = {w: array("I", e.ids).tobytes() for w, e in
+                     zip(new, self.tok.encode_batch_fast([w.decode() for w in new], add_special_tokens=False), strict=True)}
+            if len(self.known) + len(fresh) > MAX_CACHED:
+                self.known.clear()
+            self.known.update((w, x) for w, x in fresh.items() if len(w) <= 64)
+            found = [fresh[w] if x is None else x for w, x in zip(stretches, found, strict=True)]
+        return found
+
+    def _by_text(self, texts: list[str]) -> Iterator[np.ndarray]:
         for t in texts:
             whole = not self.by_stretch or any(s in t for s in self.special)
-            cut.append([t] if whole else _STRETCH.findall(t))
-        get = self.known.get
-        found = [list(map(get, parts)) for parts in cut]
-        new = list({w for parts, got in zip(cut, found, strict=True) if None in got
-                    for w, x in zip(parts, got, strict=True) if x is None})
-        fresh = {w: array("I", e.ids).tobytes() for w, e in
-                 zip(new, self.tok.encode_batch_fast(new, add_special_tokens=False), strict=True)}
-        if len(self.known) + len(fresh) > MAX_CACHED:
-            self.known.clear()
-        self.known.update((w, x) for w, x in fresh.items() if len(w) <= 64)
-        out = []
-        for parts, got in zip(cut, found, strict=True):
-            if None in got:
-                got = [fresh[w] if x is None else x for w, x in zip(parts, got, strict=True)]
-            out.append(np.frombuffer(b"".join(got), np.uint32))
-        return out
+            parts = [w.encode() for w in ([t] if whole else _STRETCH.findall(t))]
+            if whole:  # not a stretch: what is kept of stretches does not hold for it
+                yield np.array(self.tok.encode(t, add_special_tokens=False).ids, np.uint32)
+            else:
+                yield np.frombuffer(b"".join(self._learn(parts)), np.uint32)
+
+    def _by_bytes(self, texts: list[str]) -> list[np.ndarray]:
+        raw = [t.encode() for t in texts]
+        data = np.frombuffer(b"".join(raw), np.uint8)
+        first = np.cumsum([0, *(len(r) for r in raw)])  # each text's first byte, and the end
+        if not len(data):
+            return [np.zeros(0, np.uint32)] * len(texts)
+        space = (data == 32) | ((data >= 9) & (data <= 13))
+        begin = np.zeros(len(data) + 1, bool)
+        begin[first] = True  # a text's start; the end too
+        at_start = begin[:-1].copy()
+        begin[1:-1] |= space[1:] & ~space[:-1]  # white space after a word
+        word = np.flatnonzero(~space[1:] & space[:-1] & ~at_start[1:]) + 1  # a word after white space
+        begin[word - 1] = True  # the last of it stands alone, or with the word if it is a space
+        begin[word[data[word - 1] != 32]] = True
+        offsets = np.flatnonzero(begin).astype(np.int64)
+        coded = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(offsets) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(data)]).dictionary_encode()
+        ids = self._learn(coded.dictionary.to_pylist())
+        code = coded.indices.to_numpy(zero_copy_only=False)
+        size = np.array([len(x) for x in ids], np.int64) // 4
+        start = np.concatenate([[0], np.cumsum(size)[:-1]])
+        n = size[code]
+        end = np.cumsum(n)
+        flat = np.frombuffer(b"".join(ids), np.uint32)[np.repeat(start[code] - (end - n), n) + np.arange(end[-1] if len(end) else 0)]
+        # ids before each text's first stretch
+        cut = np.concatenate([[0], end])[np.searchsorted(offsets, first)]
+        return [flat[a:b] for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)]
 
 
 _LOADED: dict[str, IdEncoder] = {}

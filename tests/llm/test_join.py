@@ -79,6 +79,33 @@ def test_components_equal_brute_force(docs, seed):
     assert sorted(map(tuple, J.jaccard_components(docs(rows)).collect())) == brute(rows)
 
 
+def _inside(n, m, tag):
+    """A text of n shingles, all held by a second one of m."""
+    words = [f"{tag}{k}" for k in range(m + 4)]
+    return " ".join(words[:n + 4]), " ".join(words)
+
+
+@pytest.mark.parametrize("range_bytes", [J.RANGE_BYTES, 200_000])
+def test_very_long_texts_link_at_exactly_the_limit(docs, monkeypatch, range_bytes):
+    """400,000 shingles inside 500,000: the index knows tokens by 32 bits and their range, of which some agree."""
+    monkeypatch.setattr(J, "RANGE_BYTES", range_bytes)  # one range of tokens, and several dozen
+    a, b = _inside(400_000, 500_000, "x")
+    c, d = _inside(399_999, 500_000, "y")
+    rows = [(1, a), (2, b), (3, c), (4, d), (5, a), (6, "short text of its own here")]
+    got = sorted(map(tuple, J.jaccard_components(docs(rows, 2)).collect()))
+    assert got == [(1, 400_000, 1), (2, 500_000, 1), (3, 399_999, 3), (4, 500_000, 4), (5, 400_000, 1), (6, 2, 6)]
+
+
+def test_words_that_agree_in_a_polynomial_hash_are_told_apart(docs):
+    """A Thue-Morse word of 1024 letters and its complement agree in any polynomial hash modulo a power of two."""
+    word = "a"
+    while len(word) < 1024:
+        word += word.translate(str.maketrans("ab", "ba"))
+    other = word.translate(str.maketrans("ab", "ba"))
+    rows = [(1, f"{word} one two three four"), (2, f"{other} one two three four"), (3, f"{word} one two three FOUR")]
+    assert sorted(map(tuple, J.jaccard_components(docs(rows)).collect())) == [(1, 1, 1), (2, 1, 2), (3, 1, 1)]
+
+
 def test_odd_rows_and_filter(docs):
     t = "one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty"
     rows = [(7, t), (7, t), (3, t + " more"), (None, t), (9, None), (9, ""), (11, "alone")]

@@ -1,19 +1,21 @@
 """Pages as flat node tables: one pass of the standard-library parser, no tree objects.
 
-Every element and every piece of text becomes a row ``(pos, last, parent, tag, id, cls, text)``, numbered in
-document order; ``last`` is the number of the last node inside it, so "inside" is a range of numbers.
-Texts have the tag ``#text`` (``#raw`` inside script and style).
+Every element and every piece of text becomes a row ``(pos, last, parent, tag, id, cls, text, href)``, numbered in
+document order; ``last`` is the number of the last node inside it, so "inside" is a slice of the table.
+Texts have the tag ``#text`` (``#raw`` inside script and style); ``href`` is null where an element has none.  The parser
+decodes all character references, in texts and in attributes.  Work grows with the page, whatever stays open in it.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from html.parser import HTMLParser
 
 #: Elements without an end tag, and elements whose content is no text (fixed by HTML).
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset(("script", "style"))
 
-NODE_TYPE = ("array<struct<pos:int,last:int,parent:int,tag:string,id:string,cls:array<string>,text:string>>")
+NODE_TYPE = ("array<struct<pos:int,last:int,parent:int,tag:string,id:string,cls:array<string>,text:string,href:string>>")
 
 
 class NodeList(HTMLParser):
@@ -23,29 +25,35 @@ class NodeList(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.rows: list[list] = []
         self.open: list[int] = []
+        self.open_tags: Counter[str] = Counter()
 
-    def _add(self, tag, id_=None, cls=(), text=None) -> int:
+    def _add(self, tag, id_=None, cls=(), text=None, href=None) -> int:
         pos = len(self.rows)
-        self.rows.append([pos, pos, self.open[-1] if self.open else -1, tag, id_, list(cls), text])
+        self.rows.append([pos, pos, self.open[-1] if self.open else -1, tag, id_, list(cls), text, href])
         return pos
 
     def handle_starttag(self, tag, attrs):
         a = dict(attrs)
-        pos = self._add(tag, a.get("id"), (a.get("class") or "").split())
+        pos = self._add(tag, a.get("id"), (a.get("class") or "").split(), href=(a["href"] or "") if "href" in a else None)
         if tag not in VOID:
             self.open.append(pos)
+            self.open_tags[tag] += 1
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
         if tag not in VOID:
             self.open.pop()
+            self.open_tags[tag] -= 1
 
     def handle_endtag(self, tag):
-        depth = next((k for k in range(len(self.open) - 1, -1, -1) if self.rows[self.open[k]][3] == tag), None)
-        if depth is not None:
-            for k in self.open[depth:]:
-                self.rows[k][1] = len(self.rows) - 1
-            del self.open[depth:]
+        if not self.open_tags[tag]:
+            return
+        while True:
+            row = self.rows[self.open.pop()]
+            row[1] = len(self.rows) - 1
+            self.open_tags[row[3]] -= 1
+            if row[3] == tag:
+                break
 
     def handle_data(self, data):
         raw = bool(self.open) and self.rows[self.open[-1]][3] in RAW

@@ -8,11 +8,15 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from stanceframe.operators import pairs as PR
 from stanceframe.operators.cells import common_questions, value_counts
+from stanceframe.operators.ordering import dense_index
 from stanceframe.operators.pairs import correlation_reliability
 from stanceframe.operators.quality import model_quality
 from stanceframe.session import materialize
@@ -125,9 +129,67 @@ def mantel_cells(cells: DataFrame, reference: str = "human", min_n: int = 30,
     return a.join(b, ["question_1", "question_2"])
 
 
-def permutation_key(seed: int, rep, q1, q2):
-    """Deterministic pseudo-random sort key per (rep, cell): md5 of seed, rep and the pair."""
-    return F.md5(F.concat(F.lit(f"{seed}:"), rep.cast("string"), F.lit(":"), q1, F.lit("\x1f"), q2))
+#: Rounds of the permutation, and the modulus of its keys (a prime, so that products of two keys fit 64 bits).
+SHUFFLE_ROUNDS, KEY_MODULUS = 24, 2**31 - 1
+#: Cells of a packed row and of the positions a task holds on either side (32 MB); repetitions of a task.
+CHUNK, SUPER, REPS_A_TASK = 1 << 15, 1 << 22, 50
+
+
+def permuted(pos: np.ndarray, n: int, rep: int, seed: int) -> np.ndarray:
+    """Where positions of 0 .. n-1 go in repetition ``rep``: a keyed bijection for any n.
+
+    Swap-or-not rounds: a key pairs each position x with key - x; both of a pair move or both stay, by a bit
+    that depends on the larger of them.  No sort, and a repetition needs nothing but its number."""
+    x, m = pos, KEY_MODULUS
+    for r in range(SHUFFLE_ROUNDS):
+        start = (rep * 48271 + seed * 69621 + r * 39373 + 1) % m
+        k = (start * start + start * 16807 + r + 1) % m
+        y = (k % n + n - x) % n
+        t = ((np.maximum(x, y) + 1) % m * k + r + 1) % m
+        x = np.where(t * t % m % 2 == 1, y, x)
+    return x
+
+
+def _permuted_sums(base: DataFrame, permutations: int, seed: int) -> DataFrame:
+    """(model, rep, sab_perm): the sum of a_perm * b of every repetition, from cells (model, n, pos, ac, bc).
+
+    Cells travel packed, a chunk of positions a row.  A task has a few repetitions of one model, a super block of
+    positions to move and one of positions to meet: bounded memory for any n, and one number a repetition leaves it."""
+    packed = (base.groupBy("model", "n", F.floor(F.col("pos") / CHUNK).alias("chunk"))
+              .agg(F.array_sort(F.collect_list(F.struct("pos", "ac", "bc"))).alias("c"))
+              .select("model", "n", "chunk", F.col("c.ac").alias("ac"), F.col("c.bc").alias("bc")))
+    packed = materialize(packed)
+    supers = F.floor((F.col("n") - 1) / SUPER).cast("int")
+    own = F.floor(F.col("chunk") * CHUNK / SUPER).cast("int")
+    parts = F.explode(F.sequence(F.lit(0), F.lit((permutations - 1) // REPS_A_TASK))).alias("reps")
+    other = F.explode(F.sequence(F.lit(0), supers))
+    moving = packed.select("model", "n", "chunk", F.lit(True).alias("moves"), F.col("ac").alias("v"), own.alias("i"), other.alias("j"))
+    met = packed.select("model", "n", "chunk", F.lit(False).alias("moves"), F.col("bc").alias("v"), own.alias("j"), other.alias("i"))
+    sides = moving.unionByName(met).select("*", parts)
+    schema = pa.schema([("model", pa.string()), ("rep", pa.int64()), ("sab_perm", pa.float64())])
+
+    def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        model, n, reps, _, j = (k.as_py() for k in key)
+        table = table.sort_by("chunk")
+
+        def side(moves: bool) -> tuple[np.ndarray, np.ndarray]:
+            rows = table.filter(pc.equal(table["moves"], moves))
+            values = [np.asarray(v.values) for v in rows["v"]]
+            at = [c * CHUNK + np.arange(len(v)) for c, v in zip(rows["chunk"].to_pylist(), values, strict=True)]
+            return np.concatenate([np.zeros(0, np.int64), *at]), np.concatenate([np.zeros(0), *values])
+
+        (pos, a), (_, b) = side(True), side(False)
+        low = j * SUPER
+        out = []
+        numbers = range(reps * REPS_A_TASK, min((reps + 1) * REPS_A_TASK, permutations))
+        for rep in numbers:
+            to = permuted(pos, n, rep, seed) - low
+            here = (to >= 0) & (to < len(b))
+            out.append(float(a[here] @ b[to[here]]))
+        return pa.table([pa.array([model] * len(out), pa.string()), pa.array(list(numbers), pa.int64()), pa.array(out, pa.float64())], schema=schema)
+
+    sums = sides.groupBy("model", "n", "reps", "i", "j").applyInArrow(run, "model string, rep bigint, sab_perm double")
+    return sums.groupBy("model", "rep").agg(F.sum("sab_perm").alias("sab_perm"))
 
 
 def mantel_test(cells: DataFrame, reference: str = "human", min_n: int = 30, permutations: int = 1000,
@@ -135,37 +197,26 @@ def mantel_test(cells: DataFrame, reference: str = "human", min_n: int = 30, per
     """CMP-3: Pearson r of the two upper triangles and its permutation p-value.
 
     The model's cell vector is permuted against the fixed reference vector
-    (cells permuted freely, not matrix rows).  Permutation ``rep`` orders the
-    cells by md5(seed, rep, cell) -- deterministic, so a retried task
-    reproduces it.  All ``permutations`` reps run in parallel: the expanded
-    table is partitioned by (model, rep); only sum(a_perm * b) per rep is
-    needed because sums and sums of squares are permutation-invariant.
+    (cells permuted freely, not matrix rows).  Repetition ``rep`` moves the cell at position i to
+    ``permuted(i)``, so a retried task reproduces it.  Only sum(a_perm * b) per
+    repetition is needed because sums and sums of squares are permutation-invariant.
     p = #(|r_perm| >= |r_obs|) / permutations.
     """
     mc = mantel_cells(cells, reference, min_n, matrix if matrix is not None
                       else materialize(PR.correlation_matrix(cells, min_n)))
-    wm = Window.partitionBy("model")
-    # the centred cell vectors are tiny (Q^2/2 per model) and read three times below
-    base = materialize(mc.withColumn("n", F.count(F.lit(1)).over(wm))
-                       .where(F.col("n") >= min_cells)
-                       .withColumn("ac", F.col("a") - F.avg("a").over(wm))
-                       .withColumn("bc", F.col("b") - F.avg("b").over(wm)))
+    # positions over all models in one stored order, then within each model
+    placed = dense_index(mc, ["model", "question_1", "question_2"], "at")
+    per = placed.groupBy("model").agg(F.count(F.lit(1)).alias("n"), F.avg("a").alias("ma"), F.avg("b").alias("mb"), F.min("at").alias("first"))
+    base = materialize(placed.join(per.where(F.col("n") >= min_cells), "model")
+                       .select("model", "n", (F.col("at") - F.col("first")).alias("pos"), (F.col("a") - F.col("ma")).alias("ac"),
+                               (F.col("b") - F.col("mb")).alias("bc")))
     stats = base.groupBy("model").agg(
         F.first("n").cast("bigint").alias("n_cells"),
         F.sum(F.col("ac") * F.col("bc")).alias("sab"),
         F.sum(F.col("ac") * F.col("ac")).alias("saa"),
         F.sum(F.col("bc") * F.col("bc")).alias("sbb"))
     stats = stats.withColumn("mantel_r", F.try_divide(F.col("sab"), F.sqrt(F.col("saa") * F.col("sbb"))))
-    # fixed positions of the reference vector, once per model
-    bpos = base.select("model", "bc", F.row_number().over(
-        Window.partitionBy("model").orderBy("question_1", "question_2")).alias("pos"))
-    reps = base.select("model", "question_1", "question_2", "ac",
-                       F.explode(F.sequence(F.lit(0), F.lit(permutations - 1))).alias("rep"))
-    key = permutation_key(seed, F.col("rep"), F.col("question_1"), F.col("question_2"))
-    aperm = reps.select("model", "rep", "ac", F.row_number().over(
-        Window.partitionBy("model", "rep").orderBy(key, "question_1", "question_2")).alias("pos"))
-    perm = (aperm.join(bpos, ["model", "pos"])
-            .groupBy("model", "rep").agg(F.sum(F.col("ac") * F.col("bc")).alias("sab_perm")))
+    perm = _permuted_sums(base, permutations, seed)
     hits = (perm.join(stats.select("model", "saa", "sbb", "mantel_r"), "model")
             .withColumn("r_perm", F.try_divide(F.col("sab_perm"), F.sqrt(F.col("saa") * F.col("sbb"))))
             .groupBy("model")

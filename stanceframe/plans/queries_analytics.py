@@ -312,6 +312,19 @@ RV_CTE = """
          LEFT JOIN raa USING (model) LEFT JOIN rbb USING (model))
 """
 
+def _moved_sql(source: str, seed: int) -> str:
+    """Positions after the permutation of each repetition, as ``CP.permuted`` has them: the keys of a repetition as a list, a round as two nested SELECTs."""
+    m = CP.KEY_MODULUS
+    start = f"((rep * 48271 + {seed * 69621 + 1} + r * 39373) % {m})"
+    keys = f"(SELECT rep, list(({start} * {start} + {start} * 16807 + r + 1) % {m} ORDER BY r) AS ks FROM (SELECT DISTINCT rep FROM {source}) a, (SELECT unnest(range(0, {CP.SHUFFLE_ROUNDS})) AS r) b GROUP BY rep)"
+    q = f"SELECT s.model, s.n, s.rep, s.ac, s.pos AS x, ks FROM {source} s JOIN {keys} k ON k.rep = s.rep"
+    for r in range(CP.SHUFFLE_ROUNDS):
+        q = f"SELECT model, n, rep, ac, ks, x, (ks[{r + 1}] % n + n - x) % n AS y FROM ({q})"
+        q = f"SELECT model, n, rep, ac, ks, x, y, ((greatest(x, y) + 1) % {m} * ks[{r + 1}] + {r + 1}) % {m} AS t FROM ({q})"
+        q = f"SELECT model, n, rep, ac, ks, CASE WHEN (t * t) % {m} % 2 = 1 THEN y ELSE x END AS x FROM ({q})"
+    return f"(SELECT model, rep, ac, x AS pos FROM ({q}))"
+
+
 MANTEL_CTE = """
 , moff AS (SELECT * FROM cmat WHERE question_1 < question_2),
   mc AS (SELECT a.model, a.question_1, a.question_2, a.r AS a, b.r AS b
@@ -323,13 +336,9 @@ MANTEL_CTE = """
   mstat AS (SELECT model, CAST(any_value(n) AS BIGINT) AS n_cells, sum(ac * bc) AS sab, sum(ac * ac) AS saa,
                    sum(bc * bc) AS sbb, sum(ac * bc) / sqrt(sum(ac * ac) * sum(bc * bc)) AS mantel_r
             FROM mbase GROUP BY model),
-  bpos AS (SELECT model, bc, row_number() OVER (PARTITION BY model ORDER BY question_1, question_2) AS pos FROM mbase),
-  reps AS (SELECT model, question_1, question_2, ac, unnest(range(0, {perms})) AS rep FROM mbase),
-  aperm AS (SELECT model, rep, ac,
-                   row_number() OVER (PARTITION BY model, rep
-                                      ORDER BY md5('{seed}:' || CAST(rep AS VARCHAR) || ':' || question_1 || chr(31) || question_2),
-                                               question_1, question_2) AS pos
-            FROM reps),
+  bpos AS (SELECT model, n, ac, bc, row_number() OVER (PARTITION BY model ORDER BY question_1, question_2) - 1 AS pos FROM mbase),
+  reps AS (SELECT model, n, pos, ac, unnest(range(0, {perms})) AS rep FROM bpos),
+  aperm AS {moved},
   perm AS (SELECT a.model, a.rep, sum(a.ac * b.bc) AS sab_perm FROM aperm a JOIN bpos b ON a.model = b.model AND a.pos = b.pos
            GROUP BY a.model, a.rep),
   mhits AS (SELECT p.model, count_if(abs(p.sab_perm / sqrt(s.saa * s.sbb)) >= abs(s.mantel_r)) AS hits
@@ -339,7 +348,7 @@ MANTEL_CTE = """
              FROM others o LEFT JOIN mstat USING (model) LEFT JOIN mhits USING (model)),
   struct_sim AS (SELECT rv.model, rv.rv_coefficient, mantel.mantel_r AS mantel_corr, mantel.mantel_p
                  FROM rv LEFT JOIN mantel USING (model))
-""".replace("{perms}", "1000").replace("{seed}", "42")
+""".replace("{moved}", _moved_sql("reps", 42)).replace("{perms}", "1000")
 
 QM_SELECT = """
 SELECT mq.*, reliability.* EXCLUDE (model), klm.* EXCLUDE (model), struct_sim.* EXCLUDE (model)
@@ -373,7 +382,7 @@ def q_rv_coefficient(spark, sf_dir):
 @register("mantel_test", pairs_cte() + KL_CTE + RV_CTE + MANTEL_CTE + "SELECT * FROM mantel",
           ("mantel_r", "mantel_p"))
 def q_mantel_test(spark, sf_dir):
-    """CMP-3: Mantel r and 1000-permutation p (md5-ordered permutations, seed 42)."""
+    """CMP-3: Mantel r and 1000-permutation p (keyed permutations, seed 42)."""
     return CP.mantel_test(load_cells(spark, sf_dir))
 
 

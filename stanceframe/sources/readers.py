@@ -1,8 +1,7 @@
 """Sources (SRC-1..9) with explicit schemas (no inference) and explicit order columns.
 
-Whole-document formats (a JSON array or object per file) are read one file per
-task -- that is the format's unit; directories of many such files read in
-parallel.  Line formats (JSONL, CSV) split across tasks.
+JSON arrays are split across tasks by ``jsonarray``; line formats (JSONL, CSV) by Spark.  A JSON object per file and
+a saved page are read one file per task: the first is a catalogue, the second small by its nature.
 """
 
 from __future__ import annotations
@@ -13,6 +12,7 @@ from pyspark.sql import types as T
 
 from stanceframe.functions.text import coerce_score, name_from_file
 from stanceframe.session import stored
+from stanceframe.sources.jsonarray import ITEMS, array_items
 
 PROFILE_SCHEMA = T.StructType([
     T.StructField("name", T.StringType()), T.StructField("url", T.StringType()),
@@ -48,10 +48,9 @@ def _whole_files(spark: SparkSession, path: str, glob: str | None = None) -> Dat
 
 
 def read_json_records(spark: SparkSession, path: str, schema: T.StructType = PROFILE_SCHEMA) -> DataFrame:
-    """SRC-1: files each holding one JSON array of records -> rows with (file_path, pos)."""
-    t = _whole_files(spark, path)
-    return (t.select("file_path", F.posexplode(F.from_json("value", T.ArrayType(schema))).alias("pos", "rec"))
-            .select("file_path", F.col("pos").cast("bigint").alias("pos"), "rec.*"))
+    """SRC-1: files each holding one JSON array of records -> rows with (file_path, pos); a file is read by
+    as many tasks as it has blocks."""
+    return array_items(spark, path, schema).select("file_path", "pos", "item.*")
 
 
 def read_response_map(spark: SparkSession, path: str, schema: T.StructType = RESPONSE_MAP_SCHEMA,
@@ -79,9 +78,7 @@ def read_question_options(spark: SparkSession, path: str) -> DataFrame:
 
 def read_string_array(spark: SparkSession, path: str) -> DataFrame:
     """SRC-4: JSON array(s) of plain strings -> (file_path, pos, value)."""
-    t = _whole_files(spark, path)
-    return (t.select("file_path", F.posexplode(F.from_json("value", T.ArrayType(T.StringType()))).alias("pos", "v"))
-            .select("file_path", F.col("pos").cast("bigint").alias("pos"), F.col("v").alias("value")))
+    return array_items(spark, path, T.StringType(), ITEMS).select("file_path", "pos", F.col("item").alias("value"))
 
 
 def read_jsonl(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:

@@ -1,6 +1,12 @@
 """Readers: bad and blank lines in batch shards, JSONL corrupt records, JSON arrays."""
 
+import json
+import random
+
+from pyspark.sql import types as T
+
 from stanceframe.session import materialize, scratch_path
+from stanceframe.sources import jsonarray
 from stanceframe.sources import readers as R
 from stanceframe.sources import sinks as K
 
@@ -49,3 +55,58 @@ def test_json_array_round_trip(spark):
     df = spark.createDataFrame([("n1", "u1"), ("n2", "u2")], "name string, url string").repartition(2)
     got = sorted((r["name"], r["url"]) for r in R.read_json_records(spark, K.write_json_array(df)).collect())
     assert got == [("n1", "u1"), ("n2", "u2")]
+
+
+def _hard_text(rng):
+    return "".join(rng.choice(['"', "\\", "},", "{", "}", "[", "]", ",", "é", "😀", "\n", " ", "a", "\\\\", '\\"', "},{"]) for _ in range(rng.randint(0, 25)))
+
+
+def test_one_json_array_is_read_by_many_tasks(spark):
+    """Arrays cut into splits of 64 bytes, in several layouts, against Python's own reader."""
+    rng = random.Random(8)
+    path = scratch_path(spark, "json-split")
+    files, texts = {}, {}
+    layouts = [dict(), dict(indent=2), dict(separators=(",", ":")), dict(separators=(" , ", " : ")), dict(ensure_ascii=False)]
+    for k in range(10):
+        recs = [{"name": _hard_text(rng), "tags": [_hard_text(rng) for _ in range(rng.randint(0, 3))],
+                 "responses": {f"q{j}": _hard_text(rng) for j in range(rng.randint(0, 3))}} for _ in range(rng.choice([0, 1, 2, 40]))]
+        files[f"part-{k}.json"] = recs
+        texts[f"part-{k}.json"] = json.dumps(recs, **layouts[k % 5])
+    texts["object.json"], files["object.json"] = '{"name": "alone", "tags": [], "responses": {"a": "b"}}', [{"name": "alone", "tags": [], "responses": {"a": "b"}}]
+    texts["space.json"], files["space.json"] = " \n [ ] \n", []
+    texts["broken.json"], files["broken.json"] = '[{"name": "x"}, {"name": oops}, {"name": "z"}]', None
+    for name, text in texts.items():  # files of given names, by Spark's own file system
+        jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+        p = jvm.org.apache.hadoop.fs.Path(f"{path}/{name}")
+        out = p.getFileSystem(conf).create(p)
+        out.write(bytearray(text.encode()))
+        out.close()
+    schema = T.StructType([T.StructField("name", T.StringType()), T.StructField("tags", T.ArrayType(T.StringType())),
+                           T.StructField("responses", T.MapType(T.StringType(), T.StringType()))])
+    old = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "64")
+        spark.conf.set("spark.sql.files.openCostInBytes", "0")
+        rows = R.read_json_records(spark, path, schema).collect()
+        frag = jsonarray._fragments(spark, path, "},", "part-9.json")
+        assert frag.select("block").distinct().count() > 1
+        assert jsonarray.segments(spark, path, "},", "part-8.json").count() in (1, len(files["part-8.json"]))
+        strings = {}
+        for k in range(6):
+            items = [_hard_text(rng) for _ in range(rng.choice([0, 1, 50]))]
+            p = spark._jvm.org.apache.hadoop.fs.Path(f"{path}-s/{k}.json")
+            out = p.getFileSystem(spark._jsc.hadoopConfiguration()).create(p)
+            out.write(bytearray(json.dumps(items, **layouts[k % 5]).encode()))
+            out.close()
+            strings[f"{k}.json"] = items
+        values = R.read_string_array(spark, path + "-s").collect()
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    got = {}
+    for r in sorted(rows, key=lambda r: (r["file_path"], r["pos"])):
+        got.setdefault(r["file_path"].rsplit("/", 1)[1], []).append((r["pos"], {"name": r["name"], "tags": r["tags"], "responses": r["responses"]}))
+    broken = got.pop("broken.json")
+    assert {v["name"] for _, v in broken} >= {"x", "z"}
+    assert got == {f: list(enumerate(recs)) for f, recs in files.items() if recs}
+    assert sorted((r["file_path"].rsplit("/", 1)[1], r["pos"], r["value"]) for r in values) == sorted((f, i, v) for f, vs in strings.items() for i, v in enumerate(vs))

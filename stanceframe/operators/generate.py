@@ -2,15 +2,16 @@
 
 Tries run as rounds.  Round k calls ``generate(prompt, temperature, max_tokens)``
 (plus ``attempt=k`` when the callable accepts it) for every still-pending request
-in one ``mapInPandas`` pass, and the round's output is checkpointed at once so
+in one ``mapInPandas`` pass, and the round's output is written at once so
 the generator is never called twice for the same try, even when a later stage is
 recomputed or an executor is lost.  Parsing and validation are the Catalyst
-``parse_response_list`` / ``validate_response``; only requests whose answer did
-not validate go to the next round.  The attempt log per request (at most
+``parse_response_list`` / ``validate_response``; only the ids of requests whose answer did
+not validate go to the next round, where they meet the requests, stored once, by a join.  The rounds
+end when nothing is pending.  The attempt log per request (at most
 ``max_retries`` entries) is assembled by one grouped aggregate.
 
 No network client ships with the library; the function is the caller's (tests
-use a deterministic local one).
+use a deterministic local one).  A task has at most ``in_flight`` calls under way at a time.
 """
 
 from __future__ import annotations
@@ -18,6 +19,7 @@ from __future__ import annotations
 import inspect
 import time
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -28,56 +30,62 @@ from stanceframe.session import materialize
 
 Generator = Callable[..., str]
 
-CALL_SCHEMA = "custom_id string, prompt string, options array<string>, recorded array<string>, raw string, time double, error string"
+CALL_SCHEMA = "custom_id string, options array<string>, raw string, time double, error string"
 
 
-def _caller(generate: Generator, attempt: int, temperature: float, max_tokens: int):
+def _caller(generate: Generator, attempt: int, temperature: float, max_tokens: int, in_flight: int):
     try:
         takes = set(inspect.signature(generate).parameters)
     except (TypeError, ValueError):
         takes = set()
 
+    def call(request: tuple) -> tuple[str | None, float, str | None]:
+        prompt, recorded = request
+        t0 = time.time()
+        try:
+            kw = {k: v for k, v in (("attempt", attempt), ("recorded", recorded)) if k in takes}
+            return generate(prompt, temperature, max_tokens, **kw), time.time() - t0, None
+        except Exception as e:  # noqa: BLE001 - recorded as a failed try
+            return None, 0.0, f"{type(e).__name__}: {e}"
+
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in it:
-            raws, times, errors = [], [], []
-            for prompt, recorded in zip(pdf["prompt"], pdf["recorded"], strict=True):
-                t0 = time.time()
-                try:
-                    kw = {k: v for k, v in (("attempt", attempt), ("recorded", recorded)) if k in takes}
-                    raws.append(generate(prompt, temperature, max_tokens, **kw))
-                    times.append(time.time() - t0)
-                    errors.append(None)
-                except Exception as e:  # noqa: BLE001 - recorded as a failed try
-                    raws.append(None)
-                    times.append(0.0)
-                    errors.append(f"{type(e).__name__}: {e}")
-            yield pdf.assign(raw=raws, time=times, error=errors)
+        # as many calls under way as threads; map() keeps the order
+        with ThreadPoolExecutor(in_flight) as pool:
+            for pdf in it:
+                requests = zip(pdf["prompt"], pdf["recorded"], strict=True)
+                done = list(map(call, requests) if in_flight == 1 else pool.map(call, requests))
+                raws, times, errors = zip(*done, strict=True) if done else ((), (), ())
+                yield pdf[["custom_id", "options"]].assign(raw=pd.Series(raws, pdf.index, object), time=pd.Series(times, pdf.index, float),
+                                                           error=pd.Series(errors, pdf.index, object))
     return run
 
 
 def generate_answers(requests: DataFrame, generate: Generator, max_retries: int = 5, temperature: float = 0.0,
-                     max_tokens: int = 100) -> DataFrame:
+                     max_tokens: int = 100, in_flight: int = 1) -> DataFrame:
     """Requests ``(custom_id, prompt, options)`` -> one answer record per request:
     ``success, parsed, raw, error, generation_time, attempts, all_attempts``.
 
     Where requests carry ``recorded`` (texts by attempt), a callable that accepts ``recorded`` gets it too."""
     recorded = F.col("recorded") if "recorded" in requests.columns else F.lit(None)
-    pending = requests.select("custom_id", "prompt", F.col("options").cast("array<string>"),
-                              recorded.cast("array<string>").alias("recorded"))
-    rounds = []
+    asked = materialize(requests.select("custom_id", "prompt", F.col("options").cast("array<string>"),
+                                        recorded.cast("array<string>").alias("recorded")))
+    pending, rounds = asked, []
     for k in range(1, max_retries + 1):
-        called = pending.mapInPandas(_caller(generate, k, temperature, max_tokens), CALL_SCHEMA)
+        called = pending.mapInPandas(_caller(generate, k, temperature, max_tokens, in_flight), CALL_SCHEMA)
         parsed = F.when(F.col("error").isNull(), T.parse_response_list(F.col("raw")))
         v = T.validate_response(F.col("parsed"), F.col("options"))
         r = called.withColumn("parsed", parsed).withColumn("v", v)
         r = materialize(r.select(
-            "custom_id", "prompt", "options", "recorded",
+            "custom_id",
             F.struct(F.lit(k).alias("attempt"), F.col("parsed"), F.col("raw"),
                      F.when(F.col("error").isNull(), F.col("v.valid")).alias("valid"),
                      F.when(F.col("error").isNull(), F.col("v.message")).alias("validation_msg"),
                      F.col("time"), F.col("error")).alias("a")))
-        rounds.append(r.select("custom_id", "a"))
-        pending = r.where(~F.coalesce(F.col("a.valid"), F.lit(False))).select("custom_id", "prompt", "options", "recorded")
+        rounds.append(r)
+        open_ids = r.where(~F.coalesce(F.col("a.valid"), F.lit(False))).select("custom_id")
+        if k == max_retries or open_ids.isEmpty():
+            break
+        pending = asked.join(open_ids, "custom_id", "left_semi")
     log = rounds[0]
     for r in rounds[1:]:
         log = log.unionByName(r)

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from stanceframe.operators import batch as B
 from stanceframe.operators.generate import generate_answers
-from stanceframe.plans.queries_text import _requests
+from stanceframe.plans import sqltext as S
+from stanceframe.plans.queries_text import REQ_SQL, _requests, invalid_message_sql, validate_items_sql
 from stanceframe.plans.registry import register
 from stanceframe.session import scratch_path
 from stanceframe.sources import fixtures as FX
@@ -73,7 +74,25 @@ def _generated(spark, sf_dir):
     return generate_answers(_recorded_requests(spark, sf_dir, 5), recorded_answer, max_retries=5)
 
 
-@register("generate_answers")
+# every try of a request judged on its own record; the first valid one ends the request's tries
+GENERATED_SQL = REQ_SQL + f"""
+, record AS (SELECT m.philosopher_name, m.question, row_number() OVER (PARTITION BY m.philosopher_name, m.question ORDER BY o.ord) AS k,
+                    CASE WHEN o.status_code = 200 THEN o.raw END AS raw FROM fx_outputs o JOIN fx_mapping m USING (custom_id)),
+  asked AS (SELECT r.custom_id, r.philosopher_name, r.question, o.options, unnest(range(1, 6)) AS k FROM reqs r JOIN fx_options o ON o.question = r.question),
+  tried AS (SELECT a.custom_id, a.k, a.options, c.raw, CASE WHEN c.raw IS NOT NULL THEN {S.parse_response_list('c.raw')} END AS items
+            FROM asked a LEFT JOIN record c ON c.philosopher_name = a.philosopher_name AND c.question = a.question AND c.k = a.k),
+  checked AS (SELECT custom_id, k, raw, items, {validate_items_sql('items', 'options')} AS inv FROM tried),
+  judged AS (SELECT custom_id, k, raw, items, inv, raw IS NOT NULL AND len(items) > 0 AND len(inv) = 0 AS valid FROM checked),
+  final AS (SELECT custom_id, coalesce(min(CASE WHEN valid THEN k END), 5) AS attempts, bool_or(valid) AS success FROM judged GROUP BY custom_id)
+SELECT f.custom_id, f.success, array_to_string(coalesce(j.items, []::VARCHAR[]), chr(31)) AS parsed,
+       CASE WHEN f.success THEN NULL WHEN j.raw IS NULL THEN 'Exception after 5 attempts: LookupError: no recorded output'
+            WHEN len(j.items) = 0 THEN 'Max retries reached. Last validation: Empty response'
+            ELSE 'Max retries reached. Last validation: ' || {invalid_message_sql('j.inv')} END AS error,
+       CAST(f.attempts AS INT) AS attempts, CAST(f.attempts AS INT) AS n_logged
+FROM final f JOIN judged j ON j.custom_id = f.custom_id AND j.k = f.attempts"""
+
+
+@register("generate_answers", GENERATED_SQL)
 def q_generate_answers(spark, sf_dir):
     """UDF-1: every request answered from the recorded batch outputs with up to 5 validated tries."""
     g = _generated(spark, sf_dir)

@@ -158,7 +158,7 @@ def q_extract_json_list(spark, sf_dir):
     return _explode_items(r, T.extract_json_list("raw"))
 
 
-def _sql_validate(items: str, options: str) -> str:
+def validate_items_sql(items: str, options: str) -> str:
     no = f"list_transform({options}, lambda o: {S.normalize_option('o')})"
     nnc = f"list_transform({options}, lambda o: replace({S.normalize_option('o')}, ':', ''))"
     inv = (f"list_filter({items}, lambda i: NOT (list_contains({options}, i) OR list_contains({no}, "
@@ -170,15 +170,20 @@ _ESC = (r"replace(replace(replace(replace(x, chr(92), chr(92) || chr(92)), chr(1
         r"chr(13), chr(92) || 'r'), chr(9), chr(92) || 't')")
 
 
+def invalid_message_sql(inv: str) -> str:
+    """The message on invalid items: the first three as a list prints them."""
+    return (f"""'Invalid options: [' ||
+                 array_to_string(list_transform({inv}[1:3], lambda x: CASE
+                   WHEN contains(x, '''') AND NOT contains(x, '"') THEN '"' || {_ESC} || '"'
+                   ELSE '''' || replace({_ESC}, '''', chr(92) || '''') || '''' END), ', ') || ']'""")
+
+
 @register("validate_response", f"""
 SELECT ord, CASE WHEN len(items) = 0 THEN false ELSE len(inv) = 0 END AS valid,
        CASE WHEN len(items) = 0 THEN 'Empty response'
-            WHEN len(inv) > 0 THEN 'Invalid options: [' ||
-                 array_to_string(list_transform(inv[1:3], lambda x: CASE
-                   WHEN contains(x, '''') AND NOT contains(x, '"') THEN '"' || {_ESC} || '"'
-                   ELSE '''' || replace({_ESC}, '''', chr(92) || '''') || '''' END), ', ') || ']'
+            WHEN len(inv) > 0 THEN {invalid_message_sql('inv')}
             ELSE 'Valid' END AS message
-FROM (SELECT ord, items, {_sql_validate('items', 'options')} AS inv FROM (
+FROM (SELECT ord, items, {validate_items_sql('items', 'options')} AS inv FROM (
   SELECT r.ord, {S.parse_response_list('r.raw')} AS items, o.options FROM fx_llm_raw r JOIN fx_options o USING (question)))""")
 def q_validate_response(spark, sf_dir):
     """EXP-12: parsed answers validated against the question's options."""
@@ -480,7 +485,7 @@ def q_token_cost_by_family(spark, sf_dir):
 
 @register("run_outcomes", JBR_SQL + f"""
 , rec AS (SELECT j.*, j.success AND len(v.inv) = 0 AND len(j.parsed) > 0 AS ok FROM jbr j JOIN (
-            SELECT custom_id, {_sql_validate(S.parse_response_list('r.raw'), 'o.options')} AS inv
+            SELECT custom_id, {validate_items_sql(S.parse_response_list('r.raw'), 'o.options')} AS inv
             FROM fx_outputs r JOIN fx_mapping m USING (custom_id) JOIN fx_options o ON o.question = m.question) v
           USING (custom_id))
 SELECT CAST(count(*) AS BIGINT) AS processed, CAST(count_if(ok) AS BIGINT) AS n_success,

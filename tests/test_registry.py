@@ -9,7 +9,7 @@ from stanceframe.sources.fixtures import TABLES
 
 from .conftest import SF001
 
-ROWS_ONLY = {"generate_answers"}
+ROWS_ONLY = set()
 
 
 def test_entry(spark):

@@ -88,6 +88,11 @@ def mix(docs: DataFrame, plan: Plan) -> DataFrame:
 
     Every leaf is cut at its budget without sorting it: tokens are summed by the first three and the next
     three digits of the rows' seeded hash, and only the last, tiny cell at the cut is put in order."""
+    return _shares(docs, plan).where("epochs > 0 or take_tokens > 0")
+
+
+def _shares(docs: DataFrame, plan: Plan) -> DataFrame:
+    """The rows of ``mix``, and those of which nothing is taken."""
     levels = list(plan.levels)
     rows = (docs.select("doc_id", *levels, F.coalesce(F.regexp_count(F.col("text"), F.lit(WORD_RE)), F.lit(0))
                         .cast("bigint").alias("n_tokens")).where("n_tokens > 0"))
@@ -127,29 +132,49 @@ def mix(docs: DataFrame, plan: Plan) -> DataFrame:
     inside = Window.partitionBy(*levels).orderBy("h", "n_tokens").rowsBetween(Window.unboundedPreceding, -1)
     at = (both.where("_side = 0").withColumn("_b", F.coalesce(F.sum("n_tokens").over(inside), F.lit(0)))
           .select(*out, F.greatest(F.lit(0), F.least("n_tokens", F.col("cell_cut") - F.col("_b"))).cast("bigint").alias("take_tokens")))
-    return away.unionByName(at).where("epochs > 0 or take_tokens > 0")
+    return away.unionByName(at)
 
 
 def mixed_documents(docs: DataFrame, plan: Plan) -> DataFrame:
     """The mix itself: the rows of ``docs``, one for every copy; a last, partial copy has its token prefix.
 
-    The prefix keeps the text up to its last taken word.  Rows are found again by doc_id, so equal ids
-    are told apart by their number of tokens and levels; columns are those of ``docs``."""
+    The prefix keeps the text up to its last taken word.  Rows are found again by doc_id, levels and number of
+    tokens.  Rows that agree in all of these get what ``mix`` gives to that many rows: where it gives them different
+    shares (at the cut of their leaf), they are numbered, and the first ones get the larger shares.  Columns are
+    those of ``docs``; a null text or id, an empty table and clashing names are as in ``mix``."""
     levels = list(plan.levels)
-    taken = mix(docs, plan).groupBy("doc_id", *levels, "n_tokens").agg(
-        F.max("epochs").alias("mix__epochs"), F.max("take_tokens").alias("mix__take"))
-    taken = taken.select(F.col("doc_id").alias("mix__id"), F.col("n_tokens").alias("mix__tokens"), "mix__epochs", "mix__take",
-                         *(F.col(c).alias(f"mix__{c}") for c in levels))
+    shares = _shares(docs, plan).withColumn("_whole", F.col("take_tokens") == F.col("n_tokens"))
+    taken = shares.groupBy("doc_id", *levels, "n_tokens").agg(
+        F.max("epochs").alias("mix__epochs"), F.count(F.lit(1)).alias("mix__rows"), F.count_if("_whole").alias("mix__whole"),
+        F.coalesce(F.max(F.when(~F.col("_whole"), F.col("take_tokens"))), F.lit(0)).alias("mix__part"))
+    taken = taken.where("mix__epochs > 0 or mix__whole > 0 or mix__part > 0")
+    taken = stored(taken.select(F.col("doc_id").alias("mix__id"), F.col("n_tokens").alias("mix__tokens"), "mix__epochs", "mix__rows", "mix__whole", "mix__part",
+                                *(F.col(c).alias(f"mix__{c}") for c in levels)), "mix-taken")
     rows = docs.withColumn("mix__n", F.coalesce(F.regexp_count(F.col("text"), F.lit(WORD_RE)), F.lit(0)).cast("bigint"))
     on = F.col("doc_id").eqNullSafe(F.col("mix__id")) & (F.col("mix__n") == F.col("mix__tokens"))
     for c in levels:
         on = on & (F.coalesce(F.col(c).cast("string"), F.lit("")) == F.col(f"mix__{c}"))
-    last = F.when(F.col("mix__take") > 0, F.array(F.col("mix__take"))).otherwise(F.array().cast("array<bigint>"))
-    copies = F.concat(F.array_repeat(F.col("mix__n"), F.col("mix__epochs").cast("int")), last)
+    differ = (F.col("mix__rows") > 1) & (F.col("mix__whole") < F.col("mix__rows")) & ((F.col("mix__whole") > 0) | (F.col("mix__part") > 0))
+    found = rows.join(taken.where(~differ), on).withColumn("mix__i", F.lit(0).cast("bigint"))
+    # numbered by their place in a stored table: in a partition, then over the partitions that hold a key
+    key = ["mix__id", "mix__tokens", *(f"mix__{c}" for c in levels)]
+    apart = stored(rows.join(taken.where(differ), on).withColumn("mix__at", F.monotonically_increasing_id()), "mix-apart")
+    apart = apart.withColumn("mix__in", F.shiftright("mix__at", 33))
+    before = (apart.groupBy(*key, "mix__in").agg(F.count(F.lit(1)).alias("c"))
+              .select(*(F.col(k).alias(f"b_{k}") for k in key), F.col("mix__in").alias("b_in"),
+                      F.coalesce(F.sum("c").over(Window.partitionBy(*key).orderBy("mix__in").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("b_n")))
+    same = F.col("mix__in") == F.col("b_in")
+    for k in key:
+        same = same & F.col(k).eqNullSafe(F.col(f"b_{k}"))
+    apart = (apart.withColumn("mix__i", F.row_number().over(Window.partitionBy(*key, "mix__in").orderBy("mix__at")) - 1).join(before, same)
+             .withColumn("mix__i", F.col("mix__i") + F.col("b_n")).select(*found.columns))
+    take = (F.when(F.col("mix__i") < F.col("mix__whole"), F.col("mix__n"))
+            .when(F.col("mix__i") == F.col("mix__whole"), F.col("mix__part")).otherwise(0).cast("bigint"))
+    copies = F.filter(F.concat(F.array_repeat(F.col("mix__n"), F.col("mix__epochs").cast("int")), F.array(take)), lambda k: k > 0)
     words = F.regexp_extract_all(F.col("text"), F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0))
     prefix = F.array_join(F.slice(words, F.lit(1), F.col("mix__k").cast("int")), "")
     text = F.when(F.col("mix__k") < F.col("mix__n"), prefix).otherwise(F.col("text"))
-    return (rows.join(taken, on).withColumn("mix__k", F.explode(copies))
+    return (found.unionByName(apart).withColumn("mix__k", F.explode(copies))
             .select(*(text.alias(c) if c == "text" else F.col(c) for c in docs.columns)))
 
 

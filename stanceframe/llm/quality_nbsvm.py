@@ -55,7 +55,7 @@ def indicators(text: str) -> set:
     words = text.split()
     n = len(words)
     if not n:
-        return {"empty"}
+        return {("empty",)}  # no word is a tuple
     shapes = _RUN.sub(r"\1", text.translate(_SHAPE)).split()
     if len(shapes) != n:  # a character that splits words in one form only
         shapes = [_RUN.sub(r"\1", w.translate(_SHAPE)).strip() for w in words]

@@ -59,6 +59,22 @@ def test_mix_equals_sql_and_meets_budget(docs, percent, epochs):
     assert sum(len(r["text"].split()) for r in out) >= total * percent // 100 - 10 and (not out or out[0].__fields__ == d.columns)
 
 
+@pytest.mark.parametrize("percent", [5, 20, 50, 75, 130])
+def test_mixed_documents_meet_the_budget_exactly_on_repeated_rows(docs, percent):
+    rows = [(1, "a b c d", "en", "src0")] * 4 + [(2, f"text {i} of one id here", "en", "src0") for i in range(5)] + [(None, "no id", "en", "src0")] * 3
+    rows += [(3, "x y z", "de", "src1"), (3, "x y z", "de", "src1"), (4, None, "de", "src1"), (4, "", "de", "src1")]
+    d = docs(rows, 4).withColumn("domain", F.lit("d0"))
+    plan = mixing.Plan(weights={"d0": 1}, percent=percent, max_epochs=2)
+    total = sum(len((t or "").split()) for _, t, *_ in rows)
+    want = sorted(k for r in mixing.mix(d, plan).collect() for k in [r["n_tokens"]] * r["epochs"] + [r["take_tokens"]] if k)
+    out = mixing.mixed_documents(d, plan).collect()
+    assert sorted(len(r["text"].split()) for r in out) == want and sum(want) == total * percent // 100
+
+
+def test_the_word_empty_is_no_mark_of_an_empty_text():
+    assert not quality_nbsvm.indicators("") & quality_nbsvm.indicators("an empty text, empty")
+
+
 def test_mix_of_nothing(docs):
     d = docs([(1, "x")]).withColumn("domain", F.lit("d")).limit(0)
     assert mixing.mix(d, mixing.Plan()).count() == 0 and mixing.mixed_documents(d, mixing.Plan()).count() == 0

@@ -30,13 +30,15 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from stanceframe.llm.common import batches_of, stored
+from stanceframe.llm.common import batches_of, small_batches, stored
 from stanceframe.llm.shingles import Codes, mix
 
 #: Lengths looked for together; a round needs the survivors of the rounds before it.
 ROUNDS = ((1,), (2,), (3, 4, 5))
 #: Hashes that a task gathers before it sends them on, and hashes in one sent row.
-FLUSH, ROW = 1 << 21, 2048
+FLUSH, ROW = 1 << 21, 1024
+#: Runs that a task adds up in the exact pass before it sends them on.
+KEPT = 200_000
 #: Counters that a summary is meant to hold, for the number of partitions (the capacity itself follows the mass).
 COUNTERS = 1 << 20
 #: Bits of a round's table of survivors: at least, at most (32 MB).
@@ -216,7 +218,7 @@ def _summarise(least: int, log_parts: int, log_bits: int):
 
     def run(batches):
         part, s = None, None
-        for batch in batches:
+        for batch in small_batches(batches, 256):
             for p, total, h, c in zip(*(col.to_pylist() for col in batch.columns), strict=True):
                 if p != part:
                     if s is not None:
@@ -228,28 +230,72 @@ def _summarise(least: int, log_parts: int, log_bits: int):
     return run
 
 
-def _count(tables, words: int):
-    """mapInArrow: texts -> (grp, n, phrase, c) of runs that pass the tables; n = 0 counts a group's words."""
+COUNTED = "part int, grps array<string>, ns array<int>, phrases array<string>, counts array<bigint>"
+
+
+def _count(tables, words: int, log_parts: int):
+    """mapInArrow: texts -> by hash partition, packed: (group, n, phrase, count) of the runs that pass the tables; n = 0
+    counts a group's words.  A task adds up by the words themselves and sends what it has when ``KEPT`` are together."""
+    def rows(held: dict) -> Iterator[pa.RecordBatch]:
+        part = [xxhash.xxh3_64_intdigest(b"\0".join((g.encode(), ph)), 3) >> (64 - log_parts) for g, _, ph in held]
+        order = np.argsort(np.array(part, np.int64), kind="stable")
+        keys, counts = list(held), list(held.values())
+        part = np.array(part, np.int64)[order]
+        cut = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1], [True]]))
+        out = [(int(part[a]), order[lo:min(lo + ROW, b)].tolist()) for a, b in zip(cut[:-1], cut[1:], strict=True) for lo in range(a, b, ROW)]
+        for k in range(0, len(out), 64):
+            some = out[k:k + 64]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([p for p, _ in some], pa.int32()), pa.array([[keys[i][0] for i in at] for _, at in some], pa.list_(pa.string())),
+                 pa.array([[keys[i][1] for i in at] for _, at in some], pa.list_(pa.int32())),
+                 pa.array([[keys[i][2].decode() for i in at] for _, at in some], pa.list_(pa.string())),
+                 pa.array([[counts[i] for i in at] for _, at in some], pa.list_(pa.int64()))], names=["part", "grps", "ns", "phrases", "counts"])
+
     def run(batches):
         known = [(t[0].value, t[1]) for t in tables]
+        held: dict[tuple[str, int, bytes], int] = {}
         for w in _blocks(batches):
             if not len(w):
                 continue
-            out: list[tuple[str, int, bytes, int]] = []
             totals = np.bincount(w.group, minlength=len(w.groups))
-            out += [(w.groups[g], 0, b"", int(c)) for g, c in enumerate(totals) if c]
+            for g in np.flatnonzero(totals).tolist():
+                held[w.groups[g], 0, b""] = held.get((w.groups[g], 0, b""), 0) + int(totals[g])
             before = w.group.copy()  # exact number of the run without its last word; at first, of its group
             for n, at, _ in runs(w, known, words):
                 pairs = before[at] * w.words.count + w.word[at + n - 1]
                 _, where, number, counts = np.unique(pairs, return_index=True, return_inverse=True, return_counts=True)
                 for p, c in zip(at[where].tolist(), counts.tolist(), strict=True):
-                    out.append((w.groups[w.group[p]], n, b" ".join(w.words[k] for k in w.word[p:p + n].tolist()), c))
+                    key = (w.groups[w.group[p]], n, b" ".join([w.words[k] for k in w.word[p:p + n].tolist()]))
+                    held[key] = held.get(key, 0) + c
                 before = np.full(len(w), -1, np.int64)
                 before[at] = number
-            for k in range(0, len(out), 50_000):
-                g, n, ph, c = zip(*out[k:k + 50_000], strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(g, pa.string()), pa.array(n, pa.int32()), pa.array(ph, pa.binary()).cast(pa.string()), pa.array(c, pa.int64())],
-                                                 names=["grp", "n", "phrase", "c"])
+            if len(held) > KEPT:
+                yield from rows(held)
+                held = {}
+        if held:
+            yield from rows(held)
+    return run
+
+
+def _total(least: int):
+    """mapInArrow over packed counts sorted by partition: (grp, n, phrase, c) of a partition's runs at or above the threshold."""
+    def frequent(held: dict) -> Iterator[pa.RecordBatch]:
+        out = [(*k, c) for k, c in held.items() if k[1] == 0 or c >= least]
+        for k in range(0, len(out), 10_000):
+            g, n, ph, c = zip(*out[k:k + 10_000], strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(g, pa.string()), pa.array(n, pa.int32()), pa.array(ph, pa.string()), pa.array(c, pa.int64())],
+                                             names=["grp", "n", "phrase", "c"])
+
+    def run(batches):
+        part, held = None, {}
+        for batch in small_batches(batches, 64):
+            for p, *entry in zip(*(col.to_pylist() for col in batch.columns), strict=True):
+                if p != part:
+                    yield from frequent(held)
+                    part, held = p, {}
+                for g, n, ph, c in zip(*entry, strict=True):
+                    held[g, n, ph] = held.get((g, n, ph), 0) + c
+        yield from frequent(held)
     return run
 
 
@@ -257,6 +303,15 @@ def _log2_up(x: float) -> int:
     return max(int(np.ceil(np.log2(max(x, 1)))), 0)
 
 
+def _counters(bytes_: int, lengths: int, plan: Plan) -> float:
+    """About as many counters as summaries of the whole corpus need."""
+    return bytes_ / 6 * lengths / max(plan.least, 1)
+
+
+def _log_parts(bytes_: int, lengths: int, plan: Plan) -> int:
+    return max(6, _log2_up(_counters(bytes_, lengths, plan) / COUNTERS))
+
+
 def survivor_tables(docs: DataFrame, plan: Plan, bytes_: int) -> list:
     """Bit tables of the rounds, broadcast: (table, log2 of its bits).  ``bytes_`` of text only size them."""
     spark = docs.sparkSession
@@ -265,8 +320,8 @@ def survivor_tables(docs: DataFrame, plan: Plan, bytes_: int) -> list:
         used = [n for n in lengths if n <= plan.words]
         if not used:
             break
-        likely = bytes_ / 6 * len(used) / max(plan.least, 1)  # counters that the whole corpus needs
-        log_parts = max(6, _log2_up(likely / COUNTERS))
+        likely = _counters(bytes_, len(used), plan)
+        log_parts = _log_parts(bytes_, len(used), plan)
         log_bits = max(log_parts + 3, min(max(_log2_up(8 * likely), _log2_up(MIN_BITS)), _log2_up(MAX_BITS)))
         shares = docs.mapInArrow(_send(k, tables, log_parts, plan.words), SENT)
         # the window passes a partition's rows on with their whole mass; they spill, none is held by a group
@@ -286,8 +341,11 @@ def frequent_runs(docs: DataFrame, plan: Plan, text: str = "text", group: str =
     src = docs.select(F.coalesce(F.col(text), F.lit("")).alias("t"), F.col(group).cast("string").alias("g"))
     bytes_ = src.agg(F.sum(F.octet_length("t"))).first()[0] or 0
     tables = survivor_tables(src, plan, bytes_)
-    counts = src.mapInArrow(_count(tables, plan.words), "grp string, n int, phrase string, c bigint")
-    return stored(counts.groupBy("grp", "n", "phrase").agg(F.sum("c").alias("c")).where((F.col("n") == 0) | (F.col("c") >= plan.least)), "runs")
+    log_parts = _log_parts(bytes_, 1, plan)
+    counts = src.mapInArrow(_count(tables, plan.words, log_parts), COUNTED)
+    # a partition holds no more runs than the mass it may have, divided by the threshold
+    placed = counts.repartition(F.col("part")).sortWithinPartitions("part")
+    return stored(placed.mapInArrow(_total(plan.least), "grp string, n int, phrase string, c bigint"), "runs")
 
 
 def mine(docs: DataFrame, plan: Plan | None = None, text: str = "text", group: str = "lang") -> DataFrame:

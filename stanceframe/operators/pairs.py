@@ -5,14 +5,15 @@ Plan (per model):
 1. Questions with fewer than ``min_n`` answers are pruned first (a pair can
    never have more co-answers than either question) -- a left-semi join on a
    tiny (model, question) count table that AQE broadcasts at run time.
-2. Theta self join: ``cells a JOIN cells b ON model, respondent AND a.q < b.q``.
-   Both sides are the same DataFrame, so Spark reuses one exchange partitioned
-   by (model, respondent).  A respondent contributes at most Q(Q-1)/2 rows
-   (one cell per question), so no respondent can blow up a task.
-3. The joined rows are immediately collapsed to value-pair counts
-   ``(model, q1, q2, v1, v2, c)`` with map-side partial aggregation: on a
-   five-level scale that is at most 25 rows per pair per task, independent of
-   the number of respondents.
+2. The different (question, value) pairs of a model are its columns, numbered once in a
+   stored table and cut into blocks of ``GRAM_COLUMNS``.  Cells become (respondent, column number).
+3. A tile is a pair of column blocks.  Each task adds up the tile's part of the Gram matrix A'A
+   of one-hot rows, respondents in dense blocks, one tile at a time: its memory is bounded by the
+   block's width, however many questions and values there are.  With one block, the usual
+   case, no cell travels twice.  What leaves a task are value-pair counts
+   ``(model, q1, q2, v1, v2, c)``, summed over tasks.
+   For continuous scores, whose pairs are nearly all different, the caller asks for the theta self join
+   ``cells a JOIN cells b ON model, respondent AND a.q < b.q`` instead.
 4. Pearson and Spearman come from weighted, centred moments of that count
    table.  Spearman ranks are *per pair* (midranks of the pair's co-answered
    rows), computed with RANGE windows over the pair's marginal counts -- exact
@@ -25,15 +26,17 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from stanceframe.functions.pvalues import p_from_r
+from stanceframe.session import materialize
 
 PAIR_KEYS = ("model", "question_1", "question_2")
-PAIR_COUNT_SCHEMA = "model string, question_1 string, v1 double, question_2 string, v2 double, c bigint"
 GRAM_BLOCK = 1024         # respondents per dense block
+GRAM_COLUMNS = 1024       # columns of a block: a tile is a matrix of this width and height
 
 
 def prune_questions(cells: DataFrame, min_n: int) -> DataFrame:
@@ -45,16 +48,12 @@ def prune_questions(cells: DataFrame, min_n: int) -> DataFrame:
     return cells.join(qn, ["model", "question"], "left_semi")
 
 
-def pair_value_counts(cells: DataFrame, min_n: int = 30, method: str = "gram") -> DataFrame:
+def pair_value_counts(cells: DataFrame, min_n: int = 30, method: str = "gram", width: int = GRAM_COLUMNS) -> DataFrame:
     """JOIN-11 as value-pair counts ``(model, q1, q2, v1, v2, c)`` over co-answering respondents.
 
-    ``gram``, for answers on a scale: cells are hash-partitioned by (model,
-    respondent) and sorted, and each task accumulates the Gram matrix A'A of one-hot
-    (question, value) rows block by block in numpy, for one model at a time.
-    No pair of answers is ever enumerated; each task emits at most K^2/2
-    pre-aggregated counts, summed across tasks by one small shuffle.  A task holds
-    K x K numbers, K being the distinct (question, value) pairs of a model.
-    ``join``, for continuous scores (K grows with the respondents): the theta self join
+    ``gram``, for answers on a scale: tiles of the Gram matrix of one-hot (question, value) columns, in numpy.
+    No pair of answers is ever enumerated; a task holds one tile of ``width`` squared numbers.
+    ``join``, for continuous scores (columns grow with the respondents): the theta self join
     on (model, respondent, q1 < q2), aggregated in the same stage.
     Both give the same counts; the caller says which one, whatever the size.
     """
@@ -63,93 +62,109 @@ def pair_value_counts(cells: DataFrame, min_n: int = 30, method: str = "gram") -
     if method not in ("gram", "join"):
         raise ValueError(f"unknown method {method!r}")
     if method == "gram":
-        return _gram_pair_counts(kept)
+        return _gram_pair_counts(kept, width)
     a = kept.select("model", "respondent", F.col("question").alias("question_1"), F.col("score").alias("v1"))
     b = kept.select("model", "respondent", F.col("question").alias("question_2"), F.col("score").alias("v2"))
     joined = a.join(b, ["model", "respondent"]).where(F.col("question_1") < F.col("question_2"))
     return joined.groupBy(*PAIR_KEYS, "v1", "v2").agg(F.count(F.lit(1)).alias("c"))
 
 
-class _Gram:
-    """Per-model accumulator: column ids of (question, value) and the count matrix."""
-
-    def __init__(self):
-        self.ids: dict = {}
-        self.keys: list = []
-        self.g = np.zeros((0, 0))
-
-    def column_ids(self, q: pd.Series, v: pd.Series) -> np.ndarray:
-        codes, uniq = pd.factorize(pd.MultiIndex.from_arrays([q, v]))
-        local = np.empty(len(uniq), dtype=np.int64)
-        for i, key in enumerate(uniq):
-            j = self.ids.get(key)
-            if j is None:
-                j = self.ids[key] = len(self.keys)
-                self.keys.append(key)
-            local[i] = j
-        k = len(self.keys)
-        if self.g.shape[0] < k:
-            g = np.zeros((k, k))
-            g[:self.g.shape[0], :self.g.shape[1]] = self.g
-            self.g = g
-        return local[codes]
-
-    def add(self, rows: np.ndarray, cols: np.ndarray) -> None:
-        k = len(self.keys)
-        for start in range(0, int(rows.max()) + 1 if len(rows) else 0, GRAM_BLOCK):
-            sel = (rows >= start) & (rows < start + GRAM_BLOCK)
-            a = np.zeros((GRAM_BLOCK, k), dtype=np.float32)
-            a[rows[sel] - start, cols[sel]] = 1.0
-            self.g[:k, :k] += (a.T @ a).astype(np.float64)
-
-    def rows(self, model: str) -> pd.DataFrame:
-        if not self.keys:
-            return pd.DataFrame(columns=["model", "question_1", "v1", "question_2", "v2", "c"])
-        q = np.array([k[0] for k in self.keys], dtype=object)
-        v = np.array([k[1] for k in self.keys], dtype=np.float64)
-        i, j = np.nonzero(self.g)
-        keep = q[i] < q[j]
-        i, j = i[keep], j[keep]
-        return pd.DataFrame({"model": model, "question_1": q[i], "v1": v[i], "question_2": q[j], "v2": v[j],
-                             "c": self.g[i, j].astype(np.int64)})
-
-
-def _gram_pair_counts(kept: DataFrame) -> DataFrame:
-    srt = kept.repartition("model", "respondent").sortWithinPartitions("model", "respondent")
-
-    def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        current: tuple[str, _Gram] | None = None   # rows come sorted by model
-        carry = None
-
-        def feed(pdf: pd.DataFrame) -> Iterator[pd.DataFrame]:
-            nonlocal current
-            for model, g in pdf.groupby("model", sort=False):
-                if current is None or current[0] != model:
-                    if current is not None:
-                        yield current[1].rows(current[0])
-                    current = (model, _Gram())
-                cols = current[1].column_ids(g["question"], g["score"])
-                rows = pd.factorize(g["respondent"])[0]
-                current[1].add(rows, cols)
-
-        for pdf in it:
-            if carry is not None and len(carry):
-                pdf = pd.concat([carry, pdf], ignore_index=True)
-            if not len(pdf):
+def _columns(kept: DataFrame) -> DataFrame:
+    """(model, question, v, col, cols): the model's columns numbered from 0, and how many there are."""
+    from stanceframe.operators.ordering import dense_index
+    placed = dense_index(kept.select("model", "question", F.col("score").cast("double").alias("v")).distinct(), ["model", "question", "v"], "_at")
+    per = placed.groupBy("model").agg(F.min("_at").alias("_first"), F.max("_at").alias("_last"))
+    return placed.join(per, "model").select("model", "question", "v", (F.col("_at") - F.col("_first")).cast("int").alias("col"),
+                                            (F.col("_last") - F.col("_first") + 1).cast("int").alias("cols"))
+
+
+class _Tile:
+    """Counts of one tile: columns of block ``i`` by columns of block ``j``."""
+
+    def __init__(self, model: str, i: int, j: int, cols: int, width: int):
+        self.model, self.i, self.j, self.cols, self.width = model, i, j, cols, width
+        self.counts = np.zeros((self._width(i), self._width(j)))
+
+    def _width(self, block: int) -> int:
+        return min(self.width, self.cols - block * self.width)
+
+    def add(self, respondent: np.ndarray, col: np.ndarray) -> None:
+        """Cells sorted by respondent, of whole respondents."""
+        row = np.cumsum(np.diff(respondent, prepend=respondent[0]) != 0)
+        block, last = col // self.width, int(row[-1]) + 1
+        for start in range(0, last, GRAM_BLOCK):
+            lo, hi = np.searchsorted(row, [start, start + GRAM_BLOCK])
+
+            def one_hot(of: int) -> np.ndarray:
+                a = np.zeros((min(GRAM_BLOCK, last - start), self._width(of)), np.float32)
+                here = np.flatnonzero(block[lo:hi] == of) + lo
+                a[row[here] - start, col[here] - of * self.width] = 1.0
+                return a
+
+            left = one_hot(self.i)
+            self.counts += left.T @ (left if self.i == self.j else one_hot(self.j))
+
+    def rows(self) -> pa.RecordBatch:
+        x, y = np.nonzero(self.counts)
+        c = self.counts[x, y].astype(np.int64)
+        x, y = x + self.i * self.width, y + self.j * self.width
+        keep = x < y  # columns are in the order of questions
+        return pa.RecordBatch.from_arrays([pa.array([self.model] * int(keep.sum()), pa.string()), pa.array(x[keep], pa.int32()), pa.array(y[keep], pa.int32()),
+                                           pa.array(c[keep], pa.int64())], names=["model", "col_1", "col_2", "c"])
+
+
+def _gram_pair_counts(kept: DataFrame, width: int) -> DataFrame:
+    columns = _columns(kept)
+    cells = kept.where(F.col("respondent").isNotNull()).select("model", F.xxhash64("respondent").alias("who"), F.col("respondent").cast("string").alias("respondent"), "question",
+                        F.col("score").cast("double").alias("v")).join(columns, ["model", "question", "v"])
+    block = F.floor(F.col("col") / width).cast("int")
+    cells = cells.select("model", "who", "respondent", "col", block.alias("b"), F.explode(F.sequence(F.lit(0), F.floor((F.col("cols") - 1) / width).cast("int"))).alias("p"), "cols")
+    cells = cells.select("model", F.least("b", "p").alias("i"), F.greatest("b", "p").alias("j"), "who", "respondent", "col", "cols")
+    placed = cells.repartition("model", "i", "j", "who").sortWithinPartitions("model", "i", "j", "who", "respondent")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tile: _Tile | None = None
+        carry: pa.Table | None = None  # cells of the last respondent, who may go on in the next batch
+
+        def feed(t: pa.Table) -> Iterator[pa.RecordBatch]:
+            nonlocal tile
+            names = t["model"].combine_chunks().dictionary_encode()
+            model, i, j = names.indices.to_numpy(zero_copy_only=False), t["i"].to_numpy(), t["j"].to_numpy()
+            cols = t["cols"].to_numpy()
+            person = t["respondent"].combine_chunks().dictionary_encode().indices.to_numpy(zero_copy_only=False)
+            col = t["col"].to_numpy()
+            new = np.concatenate([[True], (model[1:] != model[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1]), [True]])
+            cut = np.flatnonzero(new)
+            for lo, hi in zip(cut[:-1], cut[1:], strict=True):
+                key = (names.dictionary[int(model[lo])].as_py(), int(i[lo]), int(j[lo]))
+                if tile is None or (tile.model, tile.i, tile.j) != key:
+                    if tile is not None:
+                        yield tile.rows()
+                    tile = _Tile(*key, int(cols[lo]), width)
+                tile.add(person[lo:hi], col[lo:hi])
+
+        for batch in batches:
+            t = pa.Table.from_batches([batch])
+            t = pa.concat_tables([carry, t]) if carry is not None else t
+            if not len(t):
                 continue
-            # the last respondent may continue in the next batch: hold its rows back
-            last = (pdf["model"].iat[-1], pdf["respondent"].iat[-1])
-            tail = (pdf["model"] == last[0]) & (pdf["respondent"] == last[1])
-            carry = pdf[tail]
-            yield from feed(pdf[~tail])
+            last = t.slice(len(t) - 1)
+            same = [pc.equal(t[c], last[c][0]) for c in ("model", "i", "j", "respondent")]
+            tail = np.logical_and.reduce([np.asarray(x) for x in same])
+            first = len(t) - int(np.argmin(tail[::-1])) if not tail.all() else 0
+            carry = t.slice(first)
+            if first:
+                yield from feed(t.slice(0, first))
         if carry is not None and len(carry):
             yield from feed(carry)
-        if current is not None:
-            yield current[1].rows(current[0])
+        if tile is not None:
+            yield tile.rows()
 
-    counts = srt.select("model", "respondent", "question", F.col("score").cast("double").alias("score")) \
-        .mapInPandas(run, PAIR_COUNT_SCHEMA)
-    return counts.groupBy(*PAIR_KEYS, "v1", "v2").agg(F.sum("c").alias("c"))
+    counts = placed.mapInArrow(run, "model string, col_1 int, col_2 int, c bigint").groupBy("model", "col_1", "col_2").agg(F.sum("c").alias("c"))
+    first = columns.select("model", F.col("col").alias("col_1"), F.col("question").alias("question_1"), F.col("v").alias("v1"))
+    second = columns.select("model", F.col("col").alias("col_2"), F.col("question").alias("question_2"), F.col("v").alias("v2"))
+    named = counts.join(first, ["model", "col_1"]).join(second, ["model", "col_2"])
+    return named.where(F.col("question_1") != F.col("question_2")).select(*PAIR_KEYS, "v1", "v2", "c")
 
 
 def pair_moments(pc: DataFrame) -> DataFrame:
@@ -227,20 +242,42 @@ def correlation_matrix(cells: DataFrame, min_n: int = 30, pairs: DataFrame | Non
     return off.unionByName(diagonal(cells, min_n, vc))
 
 
-def exact_median(df: DataFrame, keys: list[str], value: str, out: str) -> DataFrame:
-    """Exact median per group (mean of the two middle values), with no group in one task.
+MEDIAN_BUCKETS = 1 << 16
 
-    Values get global positions in (keys, value) order from a range-partitioned
-    dense index; each group's first position and size come from a small aggregate;
-    the one or two middle rows are picked by position.  Tied values may swap places
-    between retries, which cannot change the median."""
-    from stanceframe.operators.ordering import dense_index
-    x = dense_index(df.where(F.col(value).isNotNull()).select(*keys, value), [*keys, value], "_g")
-    st = x.groupBy(*keys).agg(F.min("_g").alias("_s"), F.count(F.lit(1)).alias("_n"))
-    lo = F.col("_s") + F.floor((F.col("_n") - 1) / 2)
-    hi = F.col("_s") + F.ceil((F.col("_n") - 1) / 2)
-    return (x.join(st, list(keys)).where((F.col("_g") == lo) | (F.col("_g") == hi))
-            .groupBy(*keys).agg(F.avg(F.col(value).cast("double")).alias(out)))
+
+def exact_median(df: DataFrame, keys: list[str], value: str, out: str) -> DataFrame:
+    """Exact median per group (mean of the two middle values), by counting, without a sort.
+
+    Each group's range of values is cut into ``MEDIAN_BUCKETS`` even buckets, their rows are counted (at most
+    that many counts a group leave the tasks), and the bucket that holds a middle place becomes the
+    next range, until it holds one value.  Any spread of values ends: a range's ends never share a bucket.
+    Nulls do not count; a group without values has no row."""
+    rows = materialize(df.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_v")))
+    names = [f"_k{i}" for i in range(len(keys))]
+    rows = rows.select(*(F.col(k).alias(n) for k, n in zip(keys, names, strict=True)), "_v")
+    n = F.col("_n")
+    middles = F.array_distinct(F.array(F.floor((n - 1) / 2), F.floor(n / 2)))
+    goal = (rows.groupBy(*names).agg(F.count(F.lit(1)).alias("_n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
+            .select(*names, F.posexplode(middles).alias("_m", "_at"), "_lo", "_hi"))
+    goal = materialize(goal)
+    while not goal.where("_lo < _hi").isEmpty():
+        # halves, so that the range of any two numbers is a number
+        share = F.try_divide(F.col("_v") / 2 - F.col("_lo") / 2, F.col("_hi") / 2 - F.col("_lo") / 2)
+        bucket = (F.when(F.col("_v") == F.col("_lo"), 0).when(F.col("_v") == F.col("_hi"), MEDIAN_BUCKETS - 1)
+                  .otherwise(F.greatest(F.lit(0), F.least(F.lit(MEDIAN_BUCKETS - 1), F.floor(F.coalesce(share, F.lit(0.0)) * MEDIAN_BUCKETS)))))
+        same = None
+        for k in names:
+            eq = F.col(f"r.{k}").eqNullSafe(F.col(f"g.{k}"))
+            same = eq if same is None else same & eq
+        inside = (rows.alias("r").join(goal.where("_lo < _hi").alias("g"), same if same is not None else F.lit(True))
+                  .where((F.col("_v") >= F.col("_lo")) & (F.col("_v") <= F.col("_hi")))
+                  .select(*(F.col(f"g.{k}").alias(k) for k in names), "_m", "_at", "_v", bucket.cast("int").alias("_b")))
+        counts = inside.groupBy(*names, "_m", "_at", "_b").agg(F.count(F.lit(1)).alias("_c"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
+        before = F.coalesce(F.sum("_c").over(Window.partitionBy(*names, "_m", "_at").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        found = (counts.withColumn("_before", before).where((F.col("_before") <= F.col("_at")) & (F.col("_at") < F.col("_before") + F.col("_c")))
+                 .select(*names, "_m", (F.col("_at") - F.col("_before")).alias("_at"), "_lo", "_hi"))
+        goal = materialize(goal.where("_lo >= _hi").unionByName(found))
+    return goal.groupBy(*(F.col(n).alias(k) for k, n in zip(keys, names, strict=True))).agg(F.avg("_lo").alias(out))
 
 
 def correlation_reliability(cells: DataFrame, min_n: int = 30, pairs: DataFrame | None = None,

@@ -337,12 +337,13 @@ def q_build_requests(spark, sf_dir):
 SELECT CAST(floor(req_no / 100) AS BIGINT) AS shard, CAST(count(*) AS BIGINT) AS num_requests,
        min(req_no) AS first_req, max(req_no) AS last_req FROM reqs GROUP BY ALL""")
 def q_request_shards(spark, sf_dir):
-    """SNK-4: requests written as 100-request shards (partitioned parquet), manifest read back."""
+    """SNK-4: requests written as 100-request JSONL shards with numbered names, read back with their manifest."""
+    from stanceframe.sources import shards as SH
     from stanceframe.sources.sinks import write_request_shards
     path = write_request_shards(_requests(spark, sf_dir), size=100)
-    sh = spark.read.parquet(path).withColumn("shard", F.col("shard").cast("bigint"))
-    return sh.groupBy("shard").agg(F.count(F.lit(1)).cast("bigint").alias("num_requests"),
-                                   F.min("req_no").alias("first_req"), F.max("req_no").alias("last_req"))
+    lines = SH.read_shards(spark, path).withColumn("req_no", F.get_json_object("value", "$.req_no").cast("bigint"))
+    got = lines.groupBy("shard").agg(F.min("req_no").alias("first_req"), F.max("req_no").alias("last_req"))
+    return SH.read_manifest(spark, path).select(F.col("batch_num").alias("shard"), "num_requests").join(got, "shard")
 
 
 # --- batch outputs (JOIN-6/7, FLT-2, AGG-3/4/15/16/19) --------------------------------------

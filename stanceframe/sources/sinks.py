@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from stanceframe.operators.batch import assign_shards
 from stanceframe.session import scratch_path, stored
+from stanceframe.sources.shards import write_shards
 
 ARRAY_RECORDS = 50_000  # records that one array file holds
 
@@ -85,10 +86,10 @@ def write_csv(df: DataFrame, path: str | None = None, mode: str = "overwrite") -
 
 def write_request_shards(requests: DataFrame, size: int = 100, path: str | None = None,
                          order: str = "req_no") -> str:
-    """SNK-4: fixed-size numbered shards, written partitioned by ``shard``."""
+    """SNK-4: fixed-size numbered JSONL shards, a named file each, many from one task; a manifest beside them."""
     p = _target(requests, path, "shards")
-    assign_shards(requests, size, order).write.mode("overwrite").partitionBy("shard").parquet(p)
-    return p
+    sharded = assign_shards(requests, size, order)
+    return write_shards(sharded.select("shard", order, F.to_json(F.struct(*requests.columns)).alias("value")), p, order)
 
 
 def append_results(batch: DataFrame, path: str, keys: list[str]) -> DataFrame:

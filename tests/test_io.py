@@ -3,6 +3,8 @@
 import json
 import random
 
+import pytest
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from stanceframe.session import materialize, scratch_path
@@ -110,3 +112,33 @@ def test_one_json_array_is_read_by_many_tasks(spark):
     assert {v["name"] for _, v in broken} >= {"x", "z"}
     assert got == {f: list(enumerate(recs)) for f, recs in files.items() if recs}
     assert sorted((r["file_path"].rsplit("/", 1)[1], r["pos"], r["value"]) for r in values) == sorted((f, i, v) for f, vs in strings.items() for i, v in enumerate(vs))
+
+
+def test_many_named_shards_from_few_tasks(spark):
+    from stanceframe.sources import shards as SH
+    path = scratch_path(spark, "named-shards")
+    rows = spark.range(0, 12_000).select((F.col("id") % 3000).alias("shard"), F.concat(F.lit('{"n": '), F.col("id"), F.lit("}")).alias("value"), "id")
+    SH.write_shards(rows, path, "id", tasks=8)
+    files, base = SH.open_fs(path)
+    names = sorted(f.base_name for f in files.get_file_info(SH.fs.FileSelector(base)))
+    assert names == sorted(f"batch_{k:04d}.jsonl" for k in range(3000))  # no folder, no attempt left
+    m = SH.read_manifest(spark, path).collect()
+    assert sorted((r["batch_num"], r["file"], r["num_requests"]) for r in m) == [(k, f"batch_{k:04d}.jsonl", 4) for k in range(3000)]
+    with files.open_input_file(f"{base}/batch_0007.jsonl") as f:
+        assert [json.loads(x)["n"] for x in f.read().splitlines()] == [7, 3007, 6007, 9007]
+    got = SH.read_shards(spark, path).select("shard", F.get_json_object("value", "$.n").cast("bigint").alias("n")).collect()
+    assert sorted(map(tuple, got)) == sorted((k % 3000, k) for k in range(12_000))
+    # a second, smaller write leaves none of the first one's files
+    SH.write_shards(rows.where("shard < 2"), path, "id", prefix="later")
+    assert sorted(f.base_name for f in files.get_file_info(SH.fs.FileSelector(base))) == ["later_0000.jsonl", "later_0001.jsonl"]
+
+
+def test_a_failed_shard_job_leaves_no_names(spark):
+    from stanceframe.sources import shards as SH
+    path = scratch_path(spark, "failed-shards")
+    rows = spark.range(0, 100).select((F.col("id") % 10).alias("shard"), F.when(F.col("id") == 99, F.raise_error(F.lit("stop"))).otherwise(F.lit("x")).alias("value"), "id")
+    with pytest.raises(Exception, match="stop"):
+        SH.write_shards(rows, path, "id", tasks=3)
+    files, base = SH.open_fs(path)
+    there = files.get_file_info(SH.fs.FileSelector(base, allow_not_found=True, recursive=True))
+    assert not [f for f in there if f.is_file and SH.ATTEMPTS not in f.path]

@@ -1,6 +1,8 @@
 """Statistics: p-value engines, BH, property checks and brute-force comparisons."""
 
 import math
+import random
+import statistics
 
 import numpy as np
 import pytest
@@ -211,3 +213,29 @@ def test_exact_median(spark):
     df = spark.createDataFrame([("a", float(v)) for v in [5, 1, 3, 2, 4, 4]] + [("b", 7.0)], "k string, v double")
     got = {r["k"]: r["med"] for r in PR.exact_median(df, ["k"], "v", "med").collect()}
     assert got == {"a": 3.5, "b": 7.0}
+
+
+def test_gram_tiles_equal_the_join(spark):
+    """Blocks of four columns, so that most pairs lie in tiles off the diagonal; a batch may end inside a respondent."""
+    rng = random.Random(11)
+    rows = [(m, r, f"q{q}", float(rng.choice([0, 0.25, 0.5, 1]))) for m in ("a", "b") for r in range(60) for q in range(9 if m == "a" else 3) if rng.random() < 0.7]
+    cells = spark.createDataFrame(rows + [("a", None, "q1", 0.5), ("c", 1, "q1", 1.0)], "model string, respondent bigint, question string, score double")
+    want = sorted(map(tuple, PR.pair_value_counts(cells, 2, "join").collect()))
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        for width in (4, 1024):
+            assert sorted(map(tuple, PR.pair_value_counts(cells, 2, "gram", width).collect())) == want
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+
+
+def test_exact_median_of_any_spread(spark):
+    rng = random.Random(2)
+    groups = {"wide": [1e308, -1e308, 5e-324, 0.0, 1.0, 1.0 + 2**-52, 1e300], "ties": [2.5] * 9 + [7.0], "one": [3.0], "two": [1.0, 4.0],
+              "many": [rng.lognormvariate(0, 9) for _ in range(3001)], "even": [rng.gauss(0, 1) for _ in range(1000)], None: [5.0, 6.0, 8.0]}
+    df = spark.createDataFrame([(k, v) for k, vs in groups.items() for v in vs] + [("nulls", None), ("one", None)], "k string, v double")
+    med = PR.exact_median(df, ["k"], "v", "med")
+    assert {r["k"]: r["med"] for r in med.collect()} == {k: statistics.median(vs) for k, vs in groups.items()}
+    assert "rangepartitioning" not in med._jdf.queryExecution().executedPlan().toString()
+    assert PR.exact_median(df.limit(0), ["k"], "v", "med").count() == 0

@@ -180,7 +180,7 @@ def _rare_prefixes(shared: DataFrame, percent: int) -> DataFrame:
     hold too), the rare tokens to index, and whether more is needed.  A bucket of sets is a group of bounded size."""
     out = pa.schema([("node", pa.int64()), ("n", pa.int64()), ("s", pa.int64()), ("keys", pa.list_(pa.int64())), ("short", pa.bool_())])
 
-    def run(_, table: pa.Table) -> pa.Table:
+    def run(_: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         def column(c: str, kind) -> np.ndarray:
             return np.frombuffer(b"".join(table[c].to_pylist()), kind)
 

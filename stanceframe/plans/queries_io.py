@@ -119,29 +119,28 @@ def q_read_string_array(spark, sf_dir):
 
 
 def _pages_written(spark, sf_dir):
+    """Every page as a file ``<page_id>_views.html`` of one folder."""
     from stanceframe.session import scratch_path
-    path = scratch_path(spark, "pages")
-    pages = FX.table(spark, sf_dir, "pages").select(F.col("page_id").cast("string").alias("page_key"),
+    from stanceframe.sources.shards import write_named
+    pages = FX.table(spark, sf_dir, "pages").select(F.concat(F.col("page_id").cast("string"), F.lit("_views.html")).alias("name"),
                                                     F.col("html").alias("value"))
-    pages.repartition("page_key").write.partitionBy("page_key").text(path)
-    return path
+    return write_named(pages, scratch_path(spark, "pages"), lines=False)
+
+
+def _page_key():
+    return F.regexp_extract("file_name", r"^(.*)_views\.html$", 1).alias("page_key")
 
 
 @register("read_html_pages", "SELECT CAST(page_id AS VARCHAR) AS page_key, html FROM pages")
 def q_read_html_pages(spark, sf_dir):
     """SRC-7: every page saved as its own file, read back whole (one row per file)."""
-    path = _pages_written(spark, sf_dir)
-    p = R.read_html_pages(spark, path, glob="part-*")
-    return p.select(F.regexp_extract("file_path", r"page_key=([^/]+)", 1).alias("page_key"),
-                    F.regexp_replace("html", r"\n$", "").alias("html"))
+    return R.read_html_pages(spark, _pages_written(spark, sf_dir)).select(_page_key(), "html")
 
 
 @register("existing_outputs", "SELECT CAST(page_id AS VARCHAR) AS page_key FROM pages")
 def q_existing_outputs(spark, sf_dir):
     """SRC-9: names of page files already on disk (metadata only), keyed by page."""
-    path = _pages_written(spark, sf_dir)
-    return R.list_existing(spark, path, "part-*").select(
-        F.regexp_extract("path", r"page_key=([^/]+)", 1).alias("page_key"))
+    return R.list_existing(spark, _pages_written(spark, sf_dir), "*_views.html").select(_page_key())
 
 
 def _metrics_roundtrip(spark, sf_dir, how):

@@ -1,9 +1,8 @@
 """Structured Streaming jobs (STR-1, STR-2) over a directory where result files land.
 
-* ``stream_ingest_cells``: file source -> ``applyInPandasWithState`` keyed by
-  cell (a "seen" flag in the state store) -> parquet file sink.  Each trigger
-  touches only its own keys; state and sink commit through the checkpoint in
-  the shared folder, so a restart neither loses nor duplicates rows.
+* ``stream_ingest_cells``: file source -> ``transformWithState`` keyed by cell (a "seen" flag in the RocksDB
+  state store, which may expire) -> parquet file sink.  Each trigger touches only its own keys; state
+  and sink commit through the checkpoint in the shared folder, so a restart neither loses nor duplicates rows.
 * ``stream_run_outcomes``: running outcome counts per model, a streaming
   aggregate in ``complete`` mode whose snapshot each trigger overwrites a table.
 
@@ -12,57 +11,80 @@ Both run with ``trigger(availableNow=True)`` in tests and any trigger in product
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor
 
 from stanceframe.operators.cells import CELL_KEYS
 
 ANSWER_SCHEMA = "model string, respondent bigint, question string, score double, ord bigint"
+STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 OUTCOME_SCHEMA = "model string, success boolean, attempts bigint, generation_time double"
 
 
-def stream_ingest_cells(spark: SparkSession, landing_dir: str, sink_dir: str, checkpoint_dir: str,
-                        keys: Sequence[str] = CELL_KEYS, max_files_per_trigger: int | None = 1,
-                        available_now: bool = True):
-    """STR-1: ingest answer files as they land; one row per cell key, first arrival wins
-    (ties inside a micro-batch broken by ``ord``).
+class FirstArrival(StatefulProcessor):
+    """Keeps a flag per key for ``ttl_ms`` after its row was passed on (for ever if None); passes on the row of the
+    smallest ``ord`` of the key's first trigger."""
 
-    A custom stateful operator (``applyInPandasWithState``) keeps one "seen" flag per
-    key in the state store, so each trigger touches only the keys it brings -- the
-    cost does not grow with the sink.  The parquet file sink plus the checkpoint give
-    exactly-once output across restarts."""
-    reader = spark.readStream.schema(ANSWER_SCHEMA)
-    if max_files_per_trigger:
-        reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
-    src = reader.json(landing_dir).where(F.col("score").isNotNull())
-    key_list = list(keys)
+    def __init__(self, columns: list[str], ttl_ms: int | None):
+        self.columns, self.ttl_ms = columns, ttl_ms
+
+    def init(self, handle) -> None:
+        self.seen = handle.getValueState("seen", "seen boolean", self.ttl_ms)
 
-    def first_arrival(key, pdfs, state):
-        if state.exists:
-            for _ in pdfs:
-                pass
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803 - Spark's names
+        if self.seen.exists():
             return
         best = None
-        for pdf in pdfs:
+        for pdf in rows:
             if len(pdf):
                 row = pdf.loc[[pdf["ord"].idxmin()]]
                 if best is None or row["ord"].iat[0] < best["ord"].iat[0]:
                     best = row
         if best is not None:
-            state.update((True,))
-            yield best[[*key_list, "score", "ord"]]
+            self.seen.update((True,))
+            yield best[self.columns]
+
+    def close(self) -> None:
+        pass
+
 
-    cols = [*key_list, "score", "ord"]
+def stream_ingest_cells(spark: SparkSession, landing_dir: str, sink_dir: str, checkpoint_dir: str,
+                        keys: Sequence[str] = CELL_KEYS, max_files_per_trigger: int | None = 1,
+                        available_now: bool = True, expire_after_ms: int | None = None):
+    """STR-1: ingest answer files as they land; one row per cell key, first arrival wins
+    (ties inside a micro-batch broken by ``ord``).
+
+    The operator keeps one "seen" flag per key in the state store, so each trigger touches only the keys it
+    brings -- the cost does not grow with the sink.  The parquet file sink plus the checkpoint give
+    exactly-once output across restarts.
+
+    ``expire_after_ms`` bounds the state: a flag lives that long (processing time) after its row was passed
+    on.  A duplicate that comes within it is dropped; a later one is a first arrival again and gives another
+    row, which ``first_valid_cells`` over the sink resolves.  Without it no flag expires and no duplicate passes."""
+    reader = spark.readStream.schema(ANSWER_SCHEMA)
+    if max_files_per_trigger:
+        reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
+    src = reader.json(landing_dir).where(F.col("score").isNotNull())
+    cols = [*keys, "score", "ord"]
     types = {f.name: f.dataType.simpleString() for f in src.schema.fields}
     out_schema = ", ".join(f"{c} {types[c]}" for c in cols)
-    out = (src.select(*cols).groupBy(*key_list)
-           .applyInPandasWithState(first_arrival, out_schema, "seen boolean", "append", "NoTimeout"))
+    out = (src.select(*cols).groupBy(*keys)
+           .transformWithStateInPandas(FirstArrival(cols, expire_after_ms), out_schema, "Append", "ProcessingTime" if expire_after_ms else "None"))
     w = (out.writeStream.format("parquet").option("path", sink_dir)
          .option("checkpointLocation", checkpoint_dir).outputMode("append"))
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="30 seconds")
-    return w.start()
+    # a query keeps the settings it was started with; others keep the session's
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name)
+    spark.conf.set(name, STATE_STORE)
+    try:
+        return w.start()
+    finally:
+        spark.conf.set(name, before)
 
 
 def stream_run_outcomes(spark: SparkSession, landing_dir: str, sink_dir: str, checkpoint_dir: str,

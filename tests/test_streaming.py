@@ -25,6 +25,32 @@ def test_stream_ingest_matches_batch_and_restarts_cleanly(spark):
     assert got == want
 
 
+def _waves(spark, n, keys_each):
+    landing = scratch_path(spark, "ttl-landing")
+    for k in range(n):
+        rows = [("m", k * keys_each + i, "q", float(k), k * 100 + i) for i in range(keys_each)] + [("m", 0, "q", 9.0, 10_000 + k)]
+        spark.createDataFrame(rows, ST.ANSWER_SCHEMA).coalesce(1).write.mode("append").json(landing)
+    return landing
+
+
+def test_ingest_state_expires(spark):
+    """Flags that live a moment: the state stays as large as a trigger, and a late duplicate is a first arrival again."""
+    landing = _waves(spark, 3, 20)
+    got = {}
+    for name, ttl in (("short", 1), ("never", None)):
+        sink = scratch_path(spark, f"ttl-sink-{name}")
+        q = ST.stream_ingest_cells(spark, landing, sink, scratch_path(spark, f"ttl-ckpt-{name}"), expire_after_ms=ttl)
+        q.awaitTermination()
+        sizes = [p["stateOperators"][0]["numRowsTotal"] for p in q.recentProgress if p["numInputRows"]]
+        rows = spark.read.parquet(sink).collect()
+        got[name] = (sizes, sorted(r["respondent"] for r in rows))
+        first = [r for r in rows if r["respondent"] == 0 and r["ord"] == 0]
+        assert len(first) == 1 and first[0]["score"] == 0.0
+    assert len(got["never"][0]) == 3 and got["never"][1] == list(range(60))
+    assert got["never"][0][-1] == 60 and max(got["short"][0]) < 60
+    assert got["short"][1] == sorted([*range(60), 0, 0])
+
+
 def test_stream_outcomes(spark):
     recs = spark.createDataFrame([("a", True, 1, 1.0, 1), ("a", False, 5, 2.0, 2), ("b", True, 2, None, 3)],
                                  "model string, success boolean, attempts bigint, generation_time double, ord bigint")

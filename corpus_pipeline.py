@@ -17,7 +17,16 @@ from stanceframe.llm.mixing import Plan, mixed_documents
 from stanceframe.llm.ngram_join import drop_near_duplicates
 from stanceframe.llm.queries import MIX_WEIGHTS, with_domain
 from stanceframe.llm.sentencepiece_codec import default_model, encode_table
-from stanceframe.session import prepare
+from stanceframe.session import prepare as prepare_session
+
+#: Rows of an Arrow batch between Spark and its Python workers.  Rows hold whole texts: the default of 10,000 is some
+#: 30 MB a batch, which the JVM's growing buffers hold about twice, for every task.
+BATCH_ROWS = 2000
+
+
+def prepare(spark: SparkSession) -> None:
+    prepare_session(spark)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
 
 def _filtered(scored: DataFrame, docs: DataFrame, predicted: int) -> DataFrame:

@@ -158,7 +158,9 @@ def mixed_documents(docs: DataFrame, plan: Plan) -> DataFrame:
     found = rows.join(taken.where(~differ), on).withColumn("mix__i", F.lit(0).cast("bigint"))
     # numbered by their place in a stored table: in a partition, then over the partitions that hold a key
     key = ["mix__id", "mix__tokens", *(f"mix__{c}" for c in levels)]
-    apart = stored(rows.join(taken.where(differ), on).withColumn("mix__at", F.monotonically_increasing_id()), "mix-apart")
+    few = taken.where(differ)  # keys at a leaf's cut: counted, and joined without moving the texts if they are few
+    few = F.broadcast(few) if few.count() * 200 <= 32 << 20 else few
+    apart = stored(rows.join(few, on).withColumn("mix__at", F.monotonically_increasing_id()), "mix-apart")
     apart = apart.withColumn("mix__in", F.shiftright("mix__at", 33))
     before = (apart.groupBy(*key, "mix__in").agg(F.count(F.lit(1)).alias("c"))
               .select(*(F.col(k).alias(f"b_{k}") for k in key), F.col("mix__in").alias("b_in"),

@@ -317,7 +317,7 @@ def encode_table(docs: DataFrame, model_file: str, id_col: str = "doc_id", text_
         sha = hashlib.sha256
         for batch in small_batches(batches):
             key, texts = batch.column(0), batch.column(1).to_pylist()
-            for lo, hi in batches_of(texts, 2_000_000):
+            for lo, hi in batches_of(texts, 500_000):
                 n, ids_hex, text_hex, kept = [], [], [], []
                 for ids, shown in enc.encode_all(texts[lo:hi]):
                     n.append(len(ids))

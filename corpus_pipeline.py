@@ -4,6 +4,10 @@
 before it kept.  All but the last return rows with the columns of ``documents``; the last returns the
 token digests of the final corpus.  ``run`` applies them to ``documents``, writing each stage's rows as
 Parquet in the shared folder and reading them back for the next.
+
+In every stage: an empty table gives no rows; columns besides doc_id, text, lang and source pass through unread, so their
+names may clash with the operators' own; very long texts are worked on whole.  What a stage does with nulls, empty texts
+and repeated rows is in its docstring.
 """
 
 from __future__ import annotations
@@ -34,34 +38,48 @@ def _filtered(scored: DataFrame, docs: DataFrame, predicted: int) -> DataFrame:
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of good quality: score 0.3 or more."""
+    """Documents of good quality: score 0.3 or more.
+
+    Null and empty texts are scored alike, as texts without words; every row is judged by itself, so rows without
+    id and repeated rows stay or go by their own text.  Without labels of both classes every score is one constant."""
     prepare(spark)
     model = quality_nbsvm.train(docs, table(spark, sf_dir, "labels"))
     return _filtered(quality_nbsvm.score_documents(docs, model, 0.3, keep=docs.columns), docs, 1)
 
 
 def not_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose toxicity score is below 0.5."""
+    """Documents whose toxicity score is below 0.5.
+
+    Null and empty texts are scored alike, as texts in which no voter finds anything; rows without id and repeated rows
+    stay or go by their own text."""
     prepare(spark)
     model = toxicity.train(docs, table(spark, sf_dir, "labels"))
     return _filtered(toxicity.score_documents(docs, model, 0.5, keep=docs.columns), docs, 0)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, the one with the smallest id, of each group of near duplicates."""
+    """One document, the one with the smallest id, of each group of near duplicates.
+
+    Null and empty texts are duplicates of nothing and stay; so do rows without id.  Of rows that repeat an id and
+    a text one stays; rows of one id with different texts stay or go by their own text."""
     prepare(spark)
     return drop_near_duplicates(docs)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The weighted mix; a document of two epochs comes twice, one at a budget's end with its token prefix."""
+    """The weighted mix; a document of two epochs comes twice, one at a budget's end with its token prefix.
+
+    Null and empty texts have no tokens and are not taken; a null language or source is the name ''; rows without id
+    take part; repeated rows take part one by one, and the budget is met exactly."""
     prepare(spark)
     plan = Plan(levels=("mix__domain", "lang", "source"), weights=MIX_WEIGHTS)
     return mixed_documents(with_domain(docs, "mix__domain"), plan).select(*docs.columns)
 
 
 def token_digests(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """SentencePiece ids and decoded text of every row, as digests."""
+    """SentencePiece ids and decoded text of every row, as digests.
+
+    A null text counts as empty; null ids and repeated rows come out as they come in."""
     prepare(spark)
     return encode_table(docs, default_model())
 

@@ -220,3 +220,33 @@ def test_pipeline_stages_keep_columns_and_shrink(spark):
         else:
             assert out.count() == n
         d, n = out, out.count()
+
+
+def test_pipeline_on_odd_rows(spark, docs):
+    """Null ids and texts, repeated rows, clashing columns and a very long text through every stage; then nothing."""
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    from stanceframe.llm.common import stored
+    sf = SF01.replace("0.01", "0.001")
+    real = [(r["doc_id"], r["text"], r["lang"], r["source"]) for r in table(spark, sf, "documents").collect()]
+    i, t, lang, source = real[0]
+    odd = [(None, t + " no id", lang, source), (i, t, lang, source), (9001, None, lang, source), (9002, "", None, None), (9003, " ".join([t] * 200), lang, source),
+           (9004, t, lang, source)]
+    d = docs(real + odd)
+    before = d.collect()
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        out = stored(stage(spark, d, sf), "odd")
+        rows = out.collect()
+        if k < 4:
+            assert out.columns == d.columns
+            known = {(r["doc_id"], r["text"]) for r in before}
+            assert k == 3 or {(r["doc_id"], r["text"]) for r in rows} <= known
+        if k == 2:
+            assert len({(r["doc_id"], r["text"]) for r in rows}) == len(rows) and not any(r["doc_id"] == 9004 for r in rows)
+        if k == 3:
+            assert all((r["text"] or "").split() for r in rows)
+        if k == 4:
+            assert len(rows) == len(before) and all(len(r["ids_sha256"]) == 64 for r in rows)
+        d, before = out, rows
+    empty = docs(real[:1]).limit(0)
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, empty, sf).count() == 0

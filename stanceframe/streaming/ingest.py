@@ -77,14 +77,17 @@ def stream_ingest_cells(spark: SparkSession, landing_dir: str, sink_dir: str, ch
     w = (out.writeStream.format("parquet").option("path", sink_dir)
          .option("checkpointLocation", checkpoint_dir).outputMode("append"))
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="30 seconds")
-    # a query keeps the settings it was started with; others keep the session's
-    name = "spark.sql.streaming.stateStore.providerClass"
-    before = spark.conf.get(name)
-    spark.conf.set(name, STATE_STORE)
+    # a query keeps the settings it was started with; others keep the session's.  Without data there is nothing to
+    # expire for: such triggers would follow each other for ever under availableNow
+    wanted = {"spark.sql.streaming.stateStore.providerClass": STATE_STORE, "spark.sql.streaming.noDataMicroBatches.enabled": "false"}
+    before = {name: spark.conf.get(name) for name in wanted}
     try:
+        for name, value in wanted.items():
+            spark.conf.set(name, value)
         return w.start()
     finally:
-        spark.conf.set(name, before)
+        for name, value in before.items():
+            spark.conf.set(name, value)
 
 
 def stream_run_outcomes(spark: SparkSession, landing_dir: str, sink_dir: str, checkpoint_dir: str,

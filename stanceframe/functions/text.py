@@ -82,6 +82,11 @@ def _c(x: Column | str) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
+def once(x: Column, make) -> Column:
+    """``make(x)`` with x evaluated once: an expression that stands several times in a lambda runs several times."""
+    return F.transform(F.array(x), lambda e: make(e))[0]
+
+
 # Characters Python's str.isspace() accepts (the set str.strip() removes).
 PY_WHITESPACE = ("\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005"
                  "\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000")
@@ -250,22 +255,27 @@ def parse_response_list(text: Column | str) -> Column:
     [] and {} dropped, items stripped; the *strings* "0" or "false" stay); else all double-quoted runs; else all single-quoted runs; else the text.
     Non-string JSON items come back as their JSON text (``true``, ``{...}``).
     """
-    s = strip_code_fence(text)
-    m = F.regexp_extract(s, r"(?s)\[.*?\]", 0)
-    parsed = F.when(m != "", _json_list(m))
-    # the same list as variants tells a string from a bare value of the same spelling
-    kinds = F.from_json(m, "array<variant>", _JSON_OPTS)
-    pairs = F.zip_with(parsed, kinds, lambda i, v: F.struct(i.alias("i"), (F.schema_of_variant(v) == "STRING").alias("is_text")))
     falsy = F.array(*[F.lit(v) for v in _FALSY_JSON])
-    kept = F.filter(pairs, lambda p: p["i"].isNotNull() & (p["i"] != "")
-                    & (F.coalesce(p["is_text"], F.lit(True)) | ~F.array_contains(falsy, p["i"])))
-    items = F.transform(kept, lambda p: py_strip(p["i"]))
-    dq = F.regexp_extract_all(s, F.lit('"([^"]+)"'), 1)
-    sq = F.regexp_extract_all(s, F.lit("'([^']+)'"), 1)
-    return (F.when(parsed.isNotNull(), items)
-            .when(F.size(dq) > 0, dq)
-            .when(F.size(sq) > 0, sq)
-            .otherwise(F.array(s)))
+
+    def listed(m: Column, parsed: Column) -> Column:
+        # the same list as variants tells a string from a bare value of the same spelling
+        kinds = F.from_json(m, "array<variant>", _JSON_OPTS)
+        pairs = F.zip_with(parsed, kinds, lambda i, v: F.struct(i.alias("i"), (F.schema_of_variant(v) == "STRING").alias("is_text")))
+        kept = F.filter(pairs, lambda p: p["i"].isNotNull() & (p["i"] != "")
+                        & (F.coalesce(p["is_text"], F.lit(True)) | ~F.array_contains(falsy, p["i"])))
+        return F.transform(kept, lambda p: py_strip(p["i"]))
+
+    def quoted(s: Column) -> Column:
+        dq = F.regexp_extract_all(s, F.lit('"([^"]+)"'), 1)
+        sq = F.regexp_extract_all(s, F.lit("'([^']+)'"), 1)
+        return once(dq, lambda d: F.when(F.size(d) > 0, d).otherwise(
+            once(sq, lambda q: F.when(F.size(q) > 0, q).otherwise(F.array(s)))))
+
+    def items(s: Column) -> Column:
+        return once(F.regexp_extract(s, r"(?s)\[.*?\]", 0), lambda m: once(F.when(m != "", _json_list(m)), lambda parsed: F.when(
+            parsed.isNotNull(), listed(m, parsed)).otherwise(quoted(s))))
+
+    return once(strip_code_fence(text), items)
 
 
 def extract_json_list(text: Column | str) -> Column:
@@ -295,22 +305,29 @@ def quoted_item(x: Column) -> Column:
 
 def validate_response(items: Column | str, options: Column | str) -> Column:
     """EXP-12: ``struct(valid, message)``: every item must match an option raw, after
-    normalisation, or after normalisation with colons removed."""
+    normalisation, or after normalisation with colons removed.
+
+    The options are normalised once a row, and only where an item matches none of them raw."""
     items, options = _c(items), _c(options)
-    norm = F.transform(options, lambda o: normalize_option(o))
-    norm_nc = F.transform(options, lambda o: F.replace(normalize_option(o), F.lit(":"), F.lit("")))
-    invalid = F.filter(items, lambda i: ~(
-        F.array_contains(options, i)
-        | F.array_contains(norm, normalize_option(i))
-        | F.array_contains(norm_nc, F.replace(normalize_option(i), F.lit(":"), F.lit("")))))
-    first3 = F.slice(invalid, 1, 3)
-    msg_list = F.concat(F.lit("["), F.array_join(F.transform(first3, quoted_item), ", "), F.lit("]"))
-    empty = items.isNull() | (F.size(items) == 0)
-    valid = F.when(empty, F.lit(False)).otherwise(F.size(invalid) == 0)
-    message = (F.when(empty, F.lit("Empty response"))
-               .when(F.size(invalid) > 0, F.concat(F.lit("Invalid options: "), msg_list))
-               .otherwise(F.lit("Valid")))
-    return F.struct(valid.alias("valid"), message.alias("message"))
+
+    def no_colons(x: Column) -> Column:
+        return F.replace(x, F.lit(":"), F.lit(""))
+
+    def unknown(items: Column, norm: Column) -> Column:
+        def other(i: Column, norm_nc: Column) -> Column:
+            return once(normalize_option(i), lambda n: ~(F.array_contains(norm, n) | F.array_contains(norm_nc, no_colons(n))))
+        return once(F.transform(norm, no_colons), lambda norm_nc: F.filter(items, lambda i: other(i, norm_nc)))
+
+    def judged(invalid: Column) -> Column:
+        msg_list = F.concat(F.lit("["), F.array_join(F.transform(F.slice(invalid, 1, 3), quoted_item), ", "), F.lit("]"))
+        message = F.when(F.size(invalid) > 0, F.concat(F.lit("Invalid options: "), msg_list)).otherwise(F.lit("Valid"))
+        return F.struct((F.size(invalid) == 0).alias("valid"), message.alias("message"))
+
+    empty = F.struct(F.lit(False).alias("valid"), F.lit("Empty response").alias("message"))
+    not_raw = F.filter(items, lambda i: ~F.array_contains(options, i))
+    invalid = once(not_raw, lambda x: F.when(F.size(x) == 0, x).otherwise(
+        once(F.transform(options, normalize_option), lambda norm: unknown(x, norm))))
+    return F.when(items.isNull() | (F.size(items) == 0), empty).otherwise(once(invalid, judged))
 
 
 # --- misc text predicates and keys -------------------------------------------

@@ -188,8 +188,9 @@ FROM (SELECT ord, items, {validate_items_sql('items', 'options')} AS inv FROM (
 def q_validate_response(spark, sf_dir):
     """EXP-12: parsed answers validated against the question's options."""
     r = FX.llm_raw(spark, sf_dir).join(FX.question_options(spark, sf_dir), "question")
-    v = T.validate_response(T.parse_response_list("raw"), F.col("options"))
-    return r.select("ord", v["valid"].alias("valid"), v["message"].alias("message"))
+    # one step a column, so that neither runs again for a use of its result
+    v = r.withColumn("items", T.parse_response_list("raw")).withColumn("v", T.validate_response("items", "options"))
+    return v.select("ord", F.col("v.valid").alias("valid"), F.col("v.message").alias("message"))
 
 
 # --- misc scalar functions ---------------------------------------------------------

@@ -144,3 +144,24 @@ def test_invalid_items_are_printed_like_a_list(spark):
     df = spark.createDataFrame([(["it's", 'say "x"', "both ' and \""], ["Accept"])], "items array<string>, options array<string>")
     got = df.select(T.validate_response("items", "options")["message"]).first()[0]
     assert got == "Invalid options: " + repr(["it's", 'say "x"', "both ' and \""])
+
+
+def test_validation_and_parsing_run_each_step_once(spark):
+    """An option is normalised once a row, not once an item and use; a list is parsed once."""
+    df = spark.createDataFrame([(["a"], ["b"], "x")], "items array<string>, options array<string>, raw string")
+
+    def plan(c):
+        return df.select(c.alias("c"))._jdf.queryExecution().optimizedPlan().toString()
+
+    assert plan(T.validate_response("items", "options")).count("regexp_replace(") <= 8   # four for the options, four for an item
+    p = plan(T.parse_response_list("raw"))
+    assert p.count("from_json") + p.count("jsontostructs") <= 2 and p.count("regexp_extract(") <= 1
+
+
+def test_validation_of_odd_items_and_options(spark):
+    rows = [(["Accept:  x."], ["accept: x"]), (["accept x"], ["Accept:: x"]), (["n"], None), ([None, "n"], ["a"]), (["n"], ["a", None]),
+            ([], ["a"]), (None, ["a"]), ([""], [""]), (["a", "p", "q", "r", "s"], ["a"])]
+    df = spark.createDataFrame(rows, "items array<string>, options array<string>").coalesce(1)
+    got = [tuple(r["v"]) for r in df.select(T.validate_response("items", "options").alias("v")).collect()]
+    assert got == [(True, "Valid"), (True, "Valid"), (True, "Valid"), (False, "Invalid options: ['n']"), (True, "Valid"),
+                   (False, "Empty response"), (False, "Empty response"), (True, "Valid"), (False, "Invalid options: ['p', 'q', 'r']")]

@@ -61,13 +61,12 @@ SELECT CAST(floor(ord / 100) AS BIGINT) AS shard,
        custom_id, status_code, raw AS content, prompt_tokens, completion_tokens, false AS bad_line
 FROM fx_outputs""")
 def q_read_batch_outputs(spark, sf_dir):
-    """SRC-6: batch outputs as 100-line JSONL shards (one file each), read line by line."""
+    """SRC-6: batch outputs as 100-line JSONL shards (a named file each, of one folder), read line by line."""
     from stanceframe.session import scratch_path
-    path = scratch_path(spark, "batch-shards")
-    (_batch_lines(spark, sf_dir).repartition("shard").sortWithinPartitions("shard", "ord")
-     .select("shard", "value").write.partitionBy("shard").text(path))
-    b = R.read_batch_outputs(spark, path, glob="part-*")
-    return b.select(F.regexp_extract("file_path", r"shard=([0-9]+)", 1).cast("bigint").alias("shard"), "line_no",
+    from stanceframe.sources.shards import shard_number, write_shards
+    path = write_shards(_batch_lines(spark, sf_dir), scratch_path(spark, "batch-shards"), "ord")
+    b = R.read_batch_outputs(spark, path, glob="batch_*.jsonl")
+    return b.select(shard_number(F.col("file_name")).alias("shard"), "line_no",
                     "custom_id", F.col("response.status_code").alias("status_code"),
                     F.element_at(F.col("response.body.choices"), 1)["message"]["content"].alias("content"),
                     F.col("response.body.usage.prompt_tokens").alias("prompt_tokens"),

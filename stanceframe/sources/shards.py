@@ -111,17 +111,17 @@ def write_shards(rows: DataFrame, path: str, order: str, prefix: str = "batch",
     return write_named(named, path, [order], tasks=tasks)
 
 
-def _number(file: Column) -> Column:
+def shard_number(file: Column) -> Column:
     return F.regexp_extract(file, r"_([0-9]+)\.jsonl$", 1).cast("bigint")
 
 
 def read_manifest(spark: SparkSession, path: str) -> DataFrame:
     """(batch_num, file, num_requests, bytes, status) of the shards of a folder."""
     t = spark.read.schema("file string, num_requests bigint, bytes bigint, status string").json(f"{path.rstrip('/')}.manifest.jsonl")
-    return t.select(_number(F.col("file")).alias("batch_num"), "*")
+    return t.select(shard_number(F.col("file")).alias("batch_num"), "*")
 
 
 def read_shards(spark: SparkSession, path: str) -> DataFrame:
     """(shard, value): the lines of all shards, numbered by their files' names; files are split and packed by Spark."""
     t = spark.read.text(path, lineSep="\n", pathGlobFilter="*.jsonl")
-    return t.select(_number(F.col("_metadata.file_name")).alias("shard"), "value")
+    return t.select(shard_number(F.col("_metadata.file_name")).alias("shard"), "value")

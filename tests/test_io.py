@@ -142,3 +142,21 @@ def test_a_failed_shard_job_leaves_no_names(spark):
     files, base = SH.open_fs(path)
     there = files.get_file_info(SH.fs.FileSelector(base, allow_not_found=True, recursive=True))
     assert not [f for f in there if f.is_file and SH.ATTEMPTS not in f.path]
+
+
+def test_batch_shards_are_files_of_one_folder(spark, monkeypatch):
+    """A folder per shard is listed folder by folder; its shards are named files beside each other."""
+    from pyarrow import fs
+
+    from stanceframe import session
+    from stanceframe.plans import registry
+    from stanceframe.sources.shards import open_fs
+
+    from .conftest import SF001
+    made = []
+    real = session.scratch_path
+    monkeypatch.setattr(session, "scratch_path", lambda s, name: made.append((name, real(s, name))) or made[-1][1])
+    n = registry.queries()["read_batch_outputs"](spark, SF001).count()
+    files, base = open_fs(dict(made)["batch-shards"])
+    names = sorted(f.base_name for f in files.get_file_info(fs.FileSelector(base, recursive=True)) if not f.base_name.startswith("."))
+    assert n == 1000 and names == [f"batch_{i:04d}.jsonl" for i in range(10)]

@@ -113,3 +113,13 @@ def test_generate_answers_query_returns_recorded_outputs(spark):
         log = r["all_attempts"]
         assert [a["raw"] for a in log] == want[:len(log)] and (r["success"] or len(log) == 5)
         assert all((a["error"] is None) == (a["raw"] is not None) for a in log)
+
+
+def test_later_rounds_neither_join_nor_shuffle_prompts(spark, monkeypatch):
+    from stanceframe.operators import generate as G
+    plans, real = [], G.materialize
+    monkeypatch.setattr(G, "materialize", lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or real(df))
+    req = spark.createDataFrame([(f"r{i}", "p", ["Accept: yes"]) for i in range(20)], "custom_id string, prompt string, options array<string>")
+    out = G.generate_answers(req, lambda p, t, m, attempt=1: "no" if attempt < 3 else '["Accept: yes"]').collect()
+    assert {(r["custom_id"], r["attempts"], r["success"]) for r in out} == {(f"r{i}", 3, True) for i in range(20)}
+    assert len(plans) == 3 and not any("Join" in p or "Exchange" in p for p in plans)

@@ -125,10 +125,11 @@ def fdr_bh(df: DataFrame, p_col: str, out: str, family: tuple[str, ...] | list[s
          .withColumn("_rank", F.col("_g") - F.col("_start") + 1)
          .withColumn("_adj", F.col("_pf") * F.col("_m") / F.col("_rank"))
          .withColumn("_blk", F.floor((F.col("_rank") - 1) / block)))
-    inblock = Window.partitionBy(*fam, "_blk").orderBy("_g").rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    # from the last place backwards: a frame that runs to the end is computed anew for every row
+    inblock = Window.partitionBy(*fam, "_blk").orderBy(F.desc("_g")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     x = x.withColumn("_sfx", F.min("_adj").over(inblock))
     bmin = x.groupBy(*fam, "_blk").agg(F.min("_adj").alias("_bmin"))
-    later = Window.partitionBy(*fam).orderBy("_blk").rowsBetween(1, Window.unboundedFollowing)
+    later = Window.partitionBy(*fam).orderBy(F.desc("_blk")).rowsBetween(Window.unboundedPreceding, -1)
     carry = bmin.withColumn("_carry", F.min("_bmin").over(later)).drop("_bmin")
     x = x.join(carry, [*fam, "_blk"])
     adj = F.least(F.lit(1.0), F.least(F.col("_sfx"), F.coalesce(F.col("_carry"), F.col("_sfx"))))

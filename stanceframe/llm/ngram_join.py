@@ -39,7 +39,6 @@ RANGE_BYTES = 16_000_000  # tokens that one group counts at a time
 GROUP_BLOCK = 1024  # sets of a group that are compared with each other, or with another block, in one go
 SMALL_SIDE = 32 << 20  # a side of a join this small, by its counted rows, is broadcast
 _U = np.uint64
-_MARK = np.uint32(0xFFFFFFFF)
 
 
 def _narrow(docs: DataFrame) -> DataFrame:
@@ -70,8 +69,39 @@ def prefix_length(n, percent: int = PERCENT):
     return n - -(-percent * n // 100) + 1
 
 
+def pack_fixed(values: np.ndarray, width: int) -> bytes:
+    """Numbers below 2^width, ``width`` bits each."""
+    bits = np.unpackbits(values.astype(">u4").view(np.uint8).reshape(-1, 4), axis=1)
+    return np.packbits(bits[:, 32 - width:]).tobytes()
+
+
+def unpack_fixed(raw: bytes, width: int, count: int) -> np.ndarray:
+    bits = np.zeros((count, 32), np.uint8)
+    bits[:, 32 - width:] = np.unpackbits(np.frombuffer(raw, np.uint8), count=count * width).reshape(count, width)
+    return np.packbits(bits, axis=1).view(">u4").ravel().astype(np.uint32)
+
+
+def _low_bits(count: int) -> int:
+    return min(31, max(0, 32 - count.bit_length()))
+
+
+def pack_ascending(values: np.ndarray) -> tuple[bytes, bytes]:
+    """32-bit numbers in ascending order: their low bits, and the steps of what is above them as runs of zeros."""
+    low = _low_bits(len(values))
+    high = (values >> np.uint32(low)).astype(np.int64)
+    marks = np.zeros(int(high[-1]) + len(values) if len(values) else 0, bool)
+    marks[high + np.arange(len(values))] = True
+    return pack_fixed(values & np.uint32((1 << low) - 1), low), np.packbits(marks).tobytes()
+
+
+def unpack_ascending(low_raw: bytes, high_raw: bytes, count: int) -> np.ndarray:
+    low = _low_bits(count)
+    high = np.flatnonzero(np.unpackbits(np.frombuffer(high_raw, np.uint8)))[:count] - np.arange(count)
+    return (high.astype(np.uint32) << np.uint32(low)) | unpack_fixed(low_raw, low, count)
+
+
 def _token_rows(docs: DataFrame, bits: int) -> DataFrame:
-    """Packed (token, set) entries by range of tokens.  Repeated sets of a task and tokens that are
+    """Packed (token, set) entries by range of tokens, some 20 bits a token and 10 its set.  Repeated sets of a task and tokens that are
     frequent inside a block are folded before the shuffle: the latter go as one mark, with a count
     per set of how many of its tokens were folded."""
     shift = _U(64 - bits)
@@ -85,17 +115,23 @@ def _token_rows(docs: DataFrame, bits: int) -> DataFrame:
         lead[lo] = True
         of = (h >> shift).astype(np.int64) if bits else np.zeros(len(h), np.int64)
         cut = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1], [True]]))
+        begin = np.zeros(len(h), bool)  # a set's size goes with its first token only
+        begin[np.unique(d, return_index=True)[1]] = True
         for a, b in zip(cut[:-1], cut[1:], strict=True):
             own, place = np.unique(d[a:b], return_inverse=True)
             folded = np.bincount(place[hot[a:b]], minlength=len(own)).astype("<u4")
+            size = np.zeros(len(own), "<u4")
+            size[place[begin[a:b]]] = sizes[d[a:b][begin[a:b]]]
             keep = ~hot[a:b] | lead[a:b]
-            entry = np.where(hot[a:b], _MARK, place.astype(np.uint32))[keep]
-            part = (h[a:b][keep] << _U(bits)) >> _U(32)  # the 32 bits after the range's
+            entry = np.where(hot[a:b], len(own), place)[keep]  # a mark is one more than the last set
+            part = ((h[a:b][keep] << _U(bits)) >> _U(32)).astype(np.uint32)  # the 32 bits after the range's, ascending
             # 32 bits stand for a token in its range: see _shared_tokens for tokens that agree in them
-            yield {"part": int(of[a]), "nodes": nodes[own].tobytes(), "sizes": sizes[own].astype("<u4").tobytes(),
-                   "folded": folded.tobytes(), "tokens": part.astype("<u4").tobytes(), "entry": entry.astype("<u4").tobytes()}
+            low, high = pack_ascending(part)
+            yield {"part": int(of[a]), "nodes": nodes[own].tobytes(), "sizes": size.tobytes(), "folded": folded.tobytes(),
+                   "count": len(part), "low": low, "high": high, "entry": pack_fixed(entry, len(own).bit_length())}
 
-    schema = pa.schema([("part", pa.int32()), *((c, pa.binary()) for c in ("nodes", "sizes", "folded", "tokens", "entry"))])
+    schema = pa.schema([("part", pa.int32()), *((c, pa.binary()) for c in ("nodes", "sizes", "folded")), ("count", pa.int32()),
+                        *((c, pa.binary()) for c in ("low", "high", "entry"))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -115,21 +151,21 @@ def _token_rows(docs: DataFrame, bits: int) -> DataFrame:
                 if keep.any():
                     yield pa.RecordBatch.from_pylist(list(rows(digest, size, d[keep], h[keep])), schema=schema)
 
-    return _narrow(docs).mapInArrow(run, "part int, nodes binary, sizes binary, folded binary, tokens binary, entry binary")
+    return _narrow(docs).mapInArrow(run, "part int, nodes binary, sizes binary, folded binary, count int, low binary, high binary, entry binary")
 
 
 def _shared_tokens(rows: DataFrame, bits: int) -> DataFrame:
-    """Per range of tokens and bucket of sets, packed: the sets, their sizes, how many of their tokens there other sets
-    hold too, and the rare ones of these.
+    """Per range of tokens and bucket of sets, packed: the sets, their sizes (once a set, else 0), how many of their tokens
+    there other sets hold too, and the rare ones of these.
 
     A token is known here by its range and the next 32 bits.  Tokens of one set that agree in these count as
     often as they are: a set's entries are taken from one row that holds it, never folded by token.  So what
     counts as shared may be too much, never too little."""
-    out = pa.schema([("bucket", pa.int32()), *((c, pa.binary()) for c in ("nodes", "sizes", "shared", "rares", "rare"))])
+    out = pa.schema([("bucket", pa.int32()), ("part", pa.int32()), *((c, pa.binary()) for c in ("nodes", "sizes", "shared", "rares", "rare"))])
 
     def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         part = key[0].as_py()
-        cols = {c: table[c].to_pylist() for c in ("nodes", "sizes", "folded", "tokens", "entry")}
+        cols = {c: table[c].to_pylist() for c in ("nodes", "sizes", "folded", "count", "low", "high", "entry")}
         own = [np.frombuffer(x, np.uint64) for x in cols["nodes"]]
         start = np.concatenate([[0], np.cumsum([len(x) for x in own])])
         node = np.concatenate(own)
@@ -138,10 +174,10 @@ def _shared_tokens(rows: DataFrame, bits: int) -> DataFrame:
         here = np.zeros(len(node), bool)  # of equal sets in several rows, one
         here[np.unique(node, return_index=True)[1]] = True
         token, at, marked = [], [], []
-        for k, (t, e) in enumerate(zip(cols["tokens"], cols["entry"], strict=True)):
-            tok, entry = np.frombuffer(t, "<u4"), np.frombuffer(e, "<u4")
-            marked.append(tok[entry == _MARK])
-            real = entry != _MARK
+        for k, (n, low, high, e) in enumerate(zip(cols["count"], cols["low"], cols["high"], cols["entry"], strict=True)):
+            tok, entry = unpack_ascending(low, high, n), unpack_fixed(e, len(own[k]).bit_length(), n)
+            real = entry < len(own[k])
+            marked.append(tok[~real])
             place = entry[real].astype(np.int64) + start[k]
             keep = here[place]
             token.append(tok[real][keep])
@@ -160,19 +196,19 @@ def _shared_tokens(rows: DataFrame, bits: int) -> DataFrame:
         by_node = np.argsort(node, kind="stable")
         rank[by_node] = np.arange(len(node))
         rares = np.bincount(at[rare], minlength=len(node))
-        r_at, r_tok = at[rare], (_U(part) << _U(32)) | token[rare].astype(np.uint64)
+        r_at, r_tok = at[rare], token[rare].astype("<u4")
         r_order = np.argsort(rank[r_at], kind="stable")
-        by_node = by_node[shared[by_node] > 0]
+        by_node = by_node[((shared > 0) | (here & (size > 0)))[by_node]]
         r_end = np.concatenate([[0], np.cumsum(rares[by_node])])
         r_tok = r_tok[r_order]
         of = (node[by_node] >> _U(64 - bits)).astype(np.int64) if bits else np.zeros(len(by_node), np.int64)
         cut = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1], [True]])) if len(of) else np.zeros(1, np.int64)
-        rows_ = [{"bucket": int(of[a]), "nodes": node[by_node[a:b]].tobytes(), "sizes": size[by_node[a:b]].tobytes(),
+        rows_ = [{"bucket": int(of[a]), "part": part, "nodes": node[by_node[a:b]].tobytes(), "sizes": size[by_node[a:b]].tobytes(),
                   "shared": shared[by_node[a:b]].astype("<u4").tobytes(), "rares": rares[by_node[a:b]].astype("<u4").tobytes(),
                   "rare": r_tok[r_end[a]:r_end[b]].tobytes()} for a, b in zip(cut[:-1], cut[1:], strict=True)]
         return pa.Table.from_pylist(rows_, schema=out)
 
-    return rows.groupBy("part").applyInArrow(run, "bucket int, nodes binary, sizes binary, shared binary, rares binary, rare binary")
+    return rows.groupBy("part").applyInArrow(run, "bucket int, part int, nodes binary, sizes binary, shared binary, rares binary, rare binary")
 
 
 def _rare_prefixes(shared: DataFrame, percent: int) -> DataFrame:
@@ -185,10 +221,11 @@ def _rare_prefixes(shared: DataFrame, percent: int) -> DataFrame:
             return np.frombuffer(b"".join(table[c].to_pylist()), kind)
 
         node, n = column("nodes", np.uint64), column("sizes", "<u4").astype(np.int64)
-        part_shared, rares, rare = column("shared", "<u4").astype(np.int64), column("rares", "<u4").astype(np.int64), column("rare", np.uint64)
-        names, first, where = np.unique(node, return_index=True, return_inverse=True)
+        part_shared, rares, rare = column("shared", "<u4").astype(np.int64), column("rares", "<u4").astype(np.int64), column("rare", "<u4").astype(np.uint64)
+        rare |= np.repeat(np.asarray(table["part"]).astype(np.uint64) << _U(32), [len(x) // 4 for x in table["rare"].to_pylist()])
+        names, where = np.unique(node, return_inverse=True)
         sh = np.bincount(where, weights=part_shared, minlength=len(names)).astype(np.int64)
-        n = n[first]
+        n = np.bincount(where, weights=n, minlength=len(names)).astype(np.int64)  # each set's size stands once
         owner = np.repeat(where, rares)
         order = np.lexsort((rare, owner))
         owner, rare = owner[order], rare[order]

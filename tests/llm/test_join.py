@@ -138,3 +138,29 @@ def test_connected_components(spark):
             up[max(x, y)] = min(x, y)
     got = {r["node"]: r["component"] for r in connected_components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()}
     assert got == {x: find(x) for x in up}
+
+
+def test_packed_numbers_come_back():
+    rng = np.random.default_rng(6)
+    for n in (0, 1, 2, 7, 1000):
+        x = np.sort(rng.integers(0, 2**32, n, dtype=np.uint32))
+        x[n // 2:] = x[n // 2] if n > 2 else x[n // 2:]  # equal ones stay
+        assert J.unpack_ascending(*J.pack_ascending(x), n).tolist() == x.tolist()
+        for width in (1, 5, 11):
+            y = rng.integers(0, 1 << width, n, dtype=np.uint32)
+            raw = J.pack_fixed(y, width)
+            assert len(raw) == -(-n * width // 8) and J.unpack_fixed(raw, width, n).tolist() == y.tolist()
+    edge = np.array([0, 0, 2**32 - 1, 2**32 - 1], np.uint32)
+    assert J.unpack_ascending(*J.pack_ascending(edge), 4).tolist() == edge.tolist()
+
+
+def test_token_rows_are_small_and_hold_each_size_once(docs):
+    """500 texts of some 300 shingles in 64 ranges: 8 bytes of tokens and sets a token before they were packed."""
+    rng = random.Random(8)
+    rows = [(i, " ".join(str(rng.randrange(10**9)) for _ in range(304))) for i in range(500)]
+    got = J._token_rows(docs(rows, 1), 6).collect()
+    tokens = sum(r["count"] for r in got)
+    assert tokens == 500 * 300
+    assert sum(len(r["low"]) + len(r["high"]) + len(r["entry"]) for r in got) < 5 * tokens
+    sizes = [x for r in got for x in np.frombuffer(r["sizes"], "<u4").tolist() if x]
+    assert sizes == [300] * 500

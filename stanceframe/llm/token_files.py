@@ -38,6 +38,9 @@ _SPACES = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\
 _STRETCH = re.compile(f" ?[^{_SPACES}]+|[{_SPACES}]+(?![^{_SPACES}])|[{_SPACES}]")
 #: White space outside ASCII: a text that holds any is cut by the expression above.
 _WIDE_SPACE = re.compile("[\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]")
+_ASCII_SPACE = frozenset(b"\x20\x09\x0a\x0b\x0c\x0d")
+BLOCK = 8_000_000  # characters that are cut into stretches at a time
+PIECE = 1 << 18  # bytes of stretches that are encoded in one go
 
 
 def default_tokenizer() -> str:
@@ -62,6 +65,10 @@ class IdEncoder:
         self.special = [t["content"] for t in spec.get("added_tokens", [])]
         self.width = 2 if self.tok.get_vocab_size() <= 1 << 16 else 4
         self.known: dict[bytes, bytes] = register_cache("token files", {})  # ids in 4 bytes each
+        # bytes that an id stands for: a byte-level vocabulary writes each byte as one character
+        vocab = self.tok.get_vocab()
+        self.bytes_of = np.zeros(max(vocab.values(), default=0) + 1, np.int64)
+        self.bytes_of[list(vocab.values())] = [len(x) for x in vocab]
 
     def encode_all(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of every text.  Texts whose stretches ASCII white space alone divides are cut together, as bytes."""
@@ -76,19 +83,48 @@ class IdEncoder:
                     out[k] = got
         return out
 
-    def _learn(self, stretches: list[bytes]) -> list[bytes]:
-        """The ids of different stretches, 4 bytes each; new ones are encoded in one call."""
-        found = [self.known.get(w) for w in stretches]
+    def _learn(self, stretches: list[bytes], ascii_spaced: bool = False) -> list[bytes]:
+        """The ids of different stretches, 4 bytes each; new ones are encoded together.  ``ascii_spaced``: they were cut
+        by ASCII white space and hold no other."""
+        found = list(map(self.known.get, stretches))
         if None in found:
-            new = [w for w, x in zip(stretches, found, strict=True) if x is None]
-            fresh = {w: array("I", e.ids).tobytes() for w, e in
-                     zip(new, self.tok.encode_batch_fast([w.decode() for w in new], add_special_tokens=False), strict=True)}
-            if len(self.known) + len(fresh) > MAX_CACHED:
+            at = [k for k, x in enumerate(found) if x is None]
+            lines = [k for k in at if stretches[k][-1] not in _ASCII_SPACE] if ascii_spaced else []
+            words = [stretches[k] for k in lines]
+            ids = [x for lo, hi in batches_of(words, PIECE) for x in self._by_lines(words[lo:hi])]
+            if len(lines) < len(at):
+                alone = sorted({*at}.difference(lines))
+                words += (others := [stretches[k] for k in alone])
+                ids += self._one_by_one(others)
+                lines += alone
+            for k, x in zip(lines, ids, strict=True):
+                found[k] = x
+            if len(self.known) + len(words) > MAX_CACHED:
                 self.known.clear()
-            self.known.update((w, x) for w, x in fresh.items() if len(w) <= 64)
-            found = [fresh[w] if x is None else x for w, x in zip(stretches, found, strict=True)]
+            fresh = zip(words, ids, strict=True)
+            self.known.update(fresh if max(map(len, words)) <= 64 else [(w, x) for w, x in fresh if len(w) <= 64])
         return found
 
+    def _one_by_one(self, words: list[bytes]) -> list[bytes]:
+        return [array("I", e.ids).tobytes() for e in self.tok.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)]
+
+    def _by_lines(self, words: list[bytes]) -> list[bytes]:
+        """The ids of words, encoded as one text and taken apart by the bytes that the ids stand for.
+
+        A word that begins with a space follows the one before it, as in a text; others begin a line.  Where some
+        of the words' bounds are no bounds of ids, the words are encoded one by one."""
+        bare = np.array([w[0] != 32 for w in words], np.int64)
+        end = np.cumsum(np.array([len(w) for w in words], np.int64) + bare)
+        text = b"".join([b"\n" + w if x else w for w, x in zip(words, bare.tolist(), strict=True)]).decode()
+        ids = np.array(self.tok.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
+        bound = np.concatenate([[0], np.cumsum(self.bytes_of[ids])])
+        begin = np.concatenate([[0], end[:-1]]) + bare
+        a, b = np.searchsorted(bound, begin), np.searchsorted(bound, end)
+        if bound[-1] != end[-1] or not np.array_equal(bound[a], begin) or not np.array_equal(bound[b], end):
+            return self._one_by_one(words)
+        raw = ids.tobytes()
+        return [raw[i:j] for i, j in zip((4 * a).tolist(), (4 * b).tolist(), strict=True)]
+
     def _by_text(self, texts: list[str]) -> Iterator[np.ndarray]:
         for t in texts:
             whole = not self.by_stretch or any(s in t for s in self.special)
@@ -114,9 +150,9 @@ class IdEncoder:
         begin[word[data[word - 1] != 32]] = True
         offsets = np.flatnonzero(begin).astype(np.int64)
         coded = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(offsets) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(data)]).dictionary_encode()
-        ids = self._learn(coded.dictionary.to_pylist())
+        ids = self._learn(coded.dictionary.to_pylist(), ascii_spaced=True)
         code = coded.indices.to_numpy(zero_copy_only=False)
-        size = np.array([len(x) for x in ids], np.int64) // 4
+        size = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
         start = np.concatenate([[0], np.cumsum(size)[:-1]])
         n = size[code]
         end = np.cumsum(n)
@@ -273,7 +309,7 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer_file: str, end_id:
                 name = f"ids-{uuid.uuid4().hex}.zst"
                 out = fs.open_output_stream(f"{base}/{name}", compression=None)
                 w, first = FrameWriter(out, max(enc.width, 4 if end_id > 0xFFFF else 2)), ids[0]
-            for lo, hi in batches_of(texts, 4_000_000):
+            for lo, hi in batches_of(texts, BLOCK):
                 for doc_id, got in zip(ids[lo:hi], enc.encode_all(texts[lo:hi]), strict=True):
                     w.add(doc_id, np.append(got, np.uint32(end_id)))
                     tokens += len(got) + 1

@@ -106,3 +106,29 @@ def test_token_files_round_trip(docs, spark):
     some = K.read_token_files(manifest, folder, wanted=[500, 7]).collect()
     assert sorted(r["doc_id"] for r in some) == [7, 500] and {r["start"] for r in some} == {got[7]["start"], got[500]["start"]}
     assert K.token_table(docs(rows).limit(0), K.default_tokenizer()).count() == 0
+
+
+def test_new_words_are_encoded_together_and_taken_apart(monkeypatch):
+    """Few calls of the library for many new words, the ids those of each word by itself."""
+    enc = K.IdEncoder(K.default_tokenizer())
+    texts = [t for t in ODD + _random_texts(3000) if t.strip()] + ["'s it's\n's\n\nfoo,bar\tx  y\r\n z9 'll\x1c 'd", " " + "long" * 40 + "\nlong", "a​b ﻿c"]
+    want = [e.ids for e in enc.tok.encode_batch(texts, add_special_tokens=False)]
+    sent = []
+    tok = enc.tok
+
+    class Counting:
+        def encode_batch_fast(self, batch, **kw):
+            sent.append(len(batch))
+            return tok.encode_batch_fast(batch, **kw)
+
+        def __getattr__(self, name):
+            return getattr(tok, name)
+    enc.tok = Counting()
+    assert [x.tolist() for x in enc.encode_all(texts)] == want
+    words = {w for t in texts for w in t.split()}
+    assert len(words) > 3000 and sum(sent) < len(words) / 2, (sum(sent), len(words))
+    assert [x.tolist() for x in enc.encode_all(texts)] == want  # from the table
+    # an id that stands for other bytes than its characters: words are encoded by themselves
+    other = K.IdEncoder(K.default_tokenizer())
+    other.bytes_of = other.bytes_of + 1
+    assert [x.tolist() for x in other.encode_all(texts)] == want

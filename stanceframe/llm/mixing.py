@@ -155,7 +155,9 @@ def mixed_documents(docs: DataFrame, plan: Plan) -> DataFrame:
     for c in levels:
         on = on & (F.coalesce(F.col(c).cast("string"), F.lit("")) == F.col(f"mix__{c}"))
     differ = (F.col("mix__rows") > 1) & (F.col("mix__whole") < F.col("mix__rows")) & ((F.col("mix__whole") > 0) | (F.col("mix__part") > 0))
-    found = rows.join(taken.where(~differ), on).withColumn("mix__i", F.lit(0).cast("bigint"))
+    alike = taken.where(~differ)
+    alike = F.broadcast(alike) if alike.count() * 200 <= 32 << 20 else alike  # counted too: if small, no text is moved
+    found = rows.join(alike, on).withColumn("mix__i", F.lit(0).cast("bigint"))
     # numbered by their place in a stored table: in a partition, then over the partitions that hold a key
     key = ["mix__id", "mix__tokens", *(f"mix__{c}" for c in levels)]
     few = taken.where(differ)  # keys at a leaf's cut: counted, and joined without moving the texts if they are few
